@@ -106,9 +106,7 @@ def pseudonym_column(rules: list[Rule], n: Column, orig: Column, k: Column) -> C
 def build_registry(occ: DataFrame, rules: list[Rule], numbering: str = "auto") -> DataFrame:
     """Registry rows: ``_scope, rule, key, n, pseudonym, first_pos, first_v,
     first_k, occurrences``."""
-    keys = first_seen(occ).persist()
-    mode = choose_numbering(keys, numbering)
-    numbered = number_window(keys) if mode == "window" else number_ranged(keys)
+    numbered = number(first_seen(occ).persist(), numbering)
     return numbered.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))
 
 
@@ -155,19 +153,24 @@ def collisions(registry: DataFrame) -> DataFrame:
             .where(F.col("n_values") > 1))
 
 
-def continue_registry(old: DataFrame, occ: DataFrame, rules: list[Rule]) -> DataFrame:
+def number(keys: DataFrame, numbering: str = "auto") -> DataFrame:
+    mode = choose_numbering(keys, numbering)
+    return number_window(keys) if mode == "window" else number_ranged(keys)
+
+
+def continue_registry(old: DataFrame, occ: DataFrame, rules: list[Rule], numbering: str = "auto") -> DataFrame:
     """Known values keep their number, new ones continue each counter.
 
-    ``old`` is a registry produced earlier (same columns as
-    :func:`build_registry`); new first positions must sort after old ones."""
+    ``old`` is an earlier internal registry (columns of :func:`build_registry`);
+    the new batch's first positions must sort after the old ones."""
     keys = ["_scope", "rule", "key"]
-    fresh = first_seen(occ).join(old.select(*keys), keys, "left_anti")
+    seen = first_seen(occ).persist()
+    fresh = seen.join(old.select(*keys), keys, "left_anti")
     base = old.groupBy("_scope", "rule").agg(F.max("n").alias("_base"))
-    fresh = fresh.join(base, ["_scope", "rule"], "left")
-    numbered = number_window(fresh, F.coalesce(F.col("_base"), F.lit(0))).drop("_base")
+    numbered = number(fresh, numbering).join(base, ["_scope", "rule"], "left")
+    numbered = numbered.withColumn("n", F.col("n") + F.coalesce(F.col("_base"), F.lit(0))).drop("_base")
     numbered = numbered.withColumn("pseudonym", pseudonym_column(
         rules, F.col("n"), F.col("first_v"), F.col("first_k")))
-    old_known = old.join(first_seen(occ).select(*keys, F.col("occurrences").alias("_new_occ")), keys, "left")
-    old_known = old_known.withColumn(
-        "occurrences", F.col("occurrences") + F.coalesce(F.col("_new_occ"), F.lit(0))).drop("_new_occ")
-    return old_known.unionByName(numbered.select(*old.columns))
+    known = old.join(seen.select(*keys, F.col("occurrences").alias("_new")), keys, "left")
+    known = known.withColumn("occurrences", F.col("occurrences") + F.coalesce(F.col("_new"), F.lit(0))).drop("_new")
+    return known.unionByName(numbered.select(*old.columns))

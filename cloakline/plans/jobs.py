@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import registry as reg
+from ..operators.names import cells_to_table, redact_sheet, sheet_units
 from ..operators.restore import restore_sequential, restore_tokens
 from ..operators.spans import detect
 from ..operators.splice import splice
@@ -37,6 +38,7 @@ class Redaction:
     stats: DataFrame  # scope cols, rule, count
     spans: DataFrame  # internal: units with kept spans (persisted)
     scope_cols: list
+    internal: DataFrame = None  # registry with internal columns, for continuation (R9)
 
 
 def scope_struct(scope_cols: list[str] | None):
@@ -72,7 +74,8 @@ def scope_columns(df: DataFrame, scope_cols: list[str] | None) -> DataFrame:
 
 
 def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None,
-                 use_entities: bool = True, numbering: str = "auto", splice_mask=None) -> dict:
+                 use_entities: bool = True, numbering: str = "auto", splice_mask=None,
+                 prior: DataFrame | None = None) -> dict:
     """Core of J1 on prepared units (``_scope, _unit, _text``, ...).
 
     ``splice_mask``: optional boolean column name; units where it is false
@@ -88,7 +91,10 @@ def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
         spanned = spanned.drop(ents_col)
     spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
     occ = reg.occurrences(spanned, rules)
-    registry = reg.build_registry(occ, rules, numbering)
+    if prior is None:
+        registry = reg.build_registry(occ, rules, numbering)
+    else:
+        registry = reg.continue_registry(prior, occ, rules, numbering)
     registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
     targets = spanned if splice_mask is None else spanned.where(F.col(splice_mask))
     occ_t = reg.occurrences(targets, rules)
@@ -102,16 +108,19 @@ def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
 
 def redact(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[str] | None = None,
            rules: list[Rule] | None = None, proper_nouns: bool = False, entities: DataFrame | None = None,
-           use_entities: bool = True, numbering: str = "auto", order_col: str | None = None) -> Redaction:
+           use_entities: bool = True, numbering: str = "auto", order_col: str | None = None,
+           prior: Redaction | None = None) -> Redaction:
     """Redact ``text_col`` of ``df``.
 
     ``key_cols`` identify a unit and give the first-seen order inside a scope;
     ``scope_cols`` choose the registry (one per distinct value — e.g. one per
-    file), none means one corpus-wide registry."""
+    file), none means one corpus-wide registry.  ``prior`` continues the
+    registry of an earlier batch (R9): known values keep their pseudonyms."""
     rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
     units = to_units(df, text_col, key_cols, scope_cols, order_col)
     ents = entity_lists(entities, key_cols, scope_cols) if entities is not None else None
-    res = redact_units(units, rules, ents, use_entities, numbering)
+    res = redact_units(units, rules, ents, use_entities, numbering,
+                       prior=prior.internal if prior is not None else None)
     redacted = res["units"].withColumn(text_col, F.col("_text")).select(*df.columns)
     registry = res["registry"]
     return Redaction(
@@ -123,6 +132,7 @@ def redact(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[s
         stats=scope_columns(reg.stats(registry), scope_cols),
         spans=res["spans"],
         scope_cols=scope_cols or [],
+        internal=registry,
     )
 
 
@@ -143,3 +153,31 @@ def restore(df: DataFrame, text_col: str, key_cols: list[str], mapping: DataFram
     else:
         raise ValueError(f"unknown restore mode {mode!r}")
     return out.withColumn(text_col, F.col("_text")).select(*df.columns)
+
+
+@dataclass
+class TableRedaction:
+    redacted: DataFrame  # the wide table, string cells redacted
+    header: DataFrame  # col, text: header cells after redaction
+    registry: DataFrame
+    mapping: DataFrame
+
+
+def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, multi_col_names: bool = False,
+                 proper_nouns: bool = False, numbering: str = "auto") -> TableRedaction:
+    """J3 (and S8): redact every string cell of a wide table — header row
+    included, other types untouched — with one registry for the table.  With
+    ``multi_col_names`` the split-name pre-scan and component fallback run
+    (M1-M6)."""
+    rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
+    units = sheet_units(df, row_col, 0, multi_col_names).withColumn("_scope", scope_struct(None))
+    res = redact_sheet(units, rules, numbering)
+    cells = res["cells"]
+    registry = res["registry"]
+    return TableRedaction(
+        redacted=cells_to_table(df, cells, row_col),
+        header=cells.where(F.col("_unit.hdr") == 0).select("col", F.col("_text").alias("text")),
+        registry=registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
+                                 "first_v", "first_k", "occurrences"),
+        mapping=scope_columns(reg.mapping(registry), None),
+    )

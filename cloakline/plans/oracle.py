@@ -123,6 +123,7 @@ def strip_sql(col: str) -> str:
 
 
 def template_sql(template: str, n: str, orig: str) -> str:
+    """Template as SQL; DuckDB's ``format`` takes Python-style specs."""
     if template == "preserve_length":
         return f"lpad(CAST({n} AS VARCHAR), CAST(greatest(length({orig}), length(CAST({n} AS VARCHAR))) AS INTEGER), '0')"
     import string as _s
@@ -130,14 +131,11 @@ def template_sql(template: str, n: str, orig: str) -> str:
     out = []
     for literal, name, spec, _ in _s.Formatter().parse(template):
         if literal:
-            out.append(q(literal))
-        if name == "n":
-            out.append(f"printf('%{spec or 'd'}', {n})")
-        elif name == "orig":
-            out.append(orig)
-        elif name == "orig_len":
-            out.append(f"printf('%{spec or 'd'}', length({orig}))")
-    return " || ".join(out) if out else "''"
+            out.append(q(literal.replace("{", "{{").replace("}", "}}")))
+        if name is not None:
+            arg = {"n": n, "orig": orig, "orig_len": f"length({orig})"}[name]
+            out.append(f"format({q('{:' + (spec or '') + '}')}, {arg})")
+    return "(" + " || ".join(out) + ")" if out else "''"
 
 
 def registry_sql(rules, kept_name: str, scope: list[str], pos: str) -> str:

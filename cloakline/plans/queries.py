@@ -202,3 +202,135 @@ def roundtrip_orders(spark, d):
     back = restore(r.redacted, "text", ["unit_seq"], r.mapping, None, mode="single_pass", rules=_rules())
     audit = roundtrip_audit(units, back, ["unit_seq"], "text")
     return audit.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ── S8 / M1-M6: cells and split names ───────────────────────────────────────
+
+from ..sources.fixtures import staff, staff_sql  # noqa: E402
+from ..sources.units import cell_units  # noqa: E402
+from .jobs import redact_table  # noqa: E402
+
+STAFF_COLS = ["First Name", "Last Name", "Email", "Balance"]
+STAFF_STR = ["First Name", "Last Name", "Email"]
+
+
+@register("cell_units", "WITH staff AS " + staff_sql() + "\n" + "\nUNION ALL\n".join(
+    f"SELECT row, {i} AS col_idx, '{c}' AS col, \"{c}\" AS text FROM staff" for i, c in enumerate(STAFF_STR)))
+def q_cell_units(spark, d):
+    return cell_units(staff(spark, d), "row").select("row", F.col("col_idx"), "col", "text")
+
+
+def _staff_units_sql(prescan: bool) -> str:
+    hdr = " UNION ALL ".join(f"SELECT CAST(1000000000000 + {i} AS BIGINT) AS uid, CAST(NULL AS BIGINT) AS row, "
+                             f"'{c}' AS col, '{c}' AS text, true AS cell" for i, c in enumerate(STAFF_COLS))
+    cells = " UNION ALL ".join(f"SELECT 1100000000000 + row * 100 + {i}, row, '{c}', \"{c}\", true FROM staff"
+                               for i, c in enumerate(STAFF_STR))
+    parts = [hdr, cells]
+    if prescan:
+        parts.append("SELECT 100000000000 + row * 100, row, NULL, concat_ws(' ', \"First Name\", \"Last Name\", "
+                     "\"Email\"), false FROM staff")
+        parts.append("SELECT 100000000000 + row * 100 + 1, row, NULL, \"First Name\" || ' ' || \"Last Name\", "
+                     "false FROM staff")
+    return "(" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def _staff_sql(prescan: bool) -> str:
+    rules = _rules()
+    src = "(SELECT uid, text FROM U)"
+    ctes = ["staff AS " + staff_sql(), "U AS " + _staff_units_sql(prescan)]
+    kc, last = O.kept(rules, src, ["uid"])
+    ctes += kc
+    ctes.append(f"K AS (SELECT uid, k, rule, s, e, v FROM {last})")
+    if prescan:
+        name_k = [r.name for r in rules].index("name")
+        ctes.append(f"""src AS (SELECT DISTINCT rule, {O.strip_sql('v')} AS key FROM K WHERE uid < 1000000000000
+          AND rule IN ('name', 'proper_noun') AND contains({O.strip_sql('v')}, ' '))""")
+        ctes.append(f"""wd AS (SELECT DISTINCT rule, key, unnest(string_split_regex(key, '[{O.WS}]+')) AS word FROM src)""")
+        ctes.append("comp AS (SELECT word FROM wd WHERE length(word) >= 2 GROUP BY word HAVING count(*) = 1)")
+        ctes.append(f"""fb AS (SELECT u.uid, {name_k} AS k, 'name' AS rule, 0 AS s, CAST(length(u.text) AS INTEGER) AS e,
+          {O.strip_sql('u.text')} AS v FROM U u WHERE u.cell AND u.text IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM K WHERE K.uid = u.uid)
+          AND {O.strip_sql('u.text')} IN (SELECT word FROM comp))""")
+        ctes.append("events AS (SELECT * FROM K UNION ALL SELECT * FROM fb)")
+    else:
+        ctes.append("events AS (SELECT * FROM K)")
+    ctes.append("registry AS " + O.registry_sql(
+        rules, "events", [], "CAST(uid AS HUGEINT) * 10000000000 + CAST(k AS HUGEINT) * 1000000000 + s"))
+    spans = (f"(SELECT x.uid, x.s, x.e, r.pseudonym FROM events x JOIN registry r ON x.rule = r.rule "
+             f"AND {O.strip_sql('x.v')} = r.key WHERE x.uid >= 1000000000000)")
+    ctes.append(f"C AS (SELECT u.row, u.col, o.text FROM {O.splice_sql('(SELECT uid, text FROM U WHERE cell)', ['uid'], spans)} o "
+                f"JOIN U u ON u.uid = o.uid WHERE u.row IS NOT NULL)")
+    pivot = ", ".join(f"max(CASE WHEN col = '{c}' THEN text END) AS \"{c}\"" for c in STAFF_STR)
+    return _with(ctes, f"""SELECT s.row, p."First Name", p."Last Name", p."Email", s."Balance" FROM staff s
+      LEFT JOIN (SELECT row, {pivot} FROM C GROUP BY row) p ON p.row = s.row""")
+
+
+@register("staff_cells", _staff_sql(False))
+def staff_cells(spark, d):
+    return redact_table(staff(spark, d), "row", rules=_rules(), multi_col_names=False).redacted
+
+
+@register("split_name_table", _staff_sql(True))
+def split_name_table(spark, d):
+    return redact_table(staff(spark, d), "row", rules=_rules(), multi_col_names=True).redacted
+
+
+# ── S9: page lines and page text ─────────────────────────────────────────────
+
+from ..sources.units import line_units, page_text, paragraph_units, paragraph_write_back  # noqa: E402
+
+LINE_RE2 = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+LINES_SQL = f"""(SELECT page_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS text FROM (
+  SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (
+    SELECT page_id, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS parts
+    FROM (SELECT page_id, string_split_regex(coalesce(html, ''), {O.q(LINE_RE2)}) AS p FROM pages))))"""
+
+
+@register("line_units", f"SELECT page_id, line_no, text FROM {LINES_SQL}")
+def q_line_units(spark, d):
+    return line_units(table(spark, d, "pages"), ["page_id"], None, "html").select("page_id", "line_no", "text")
+
+
+def _page_text_sql():
+    rules = _rules()
+    ctes, last = _registry_ctes(rules, "L", ["page_id", "line_no"], ["page_id"],
+                                "CAST(line_no AS BIGINT) * 10000000000 + CAST(k AS BIGINT) * 1000000000 + s")
+    ctes.insert(0, f"L AS {LINES_SQL}")
+    spans = (f"(SELECT x.page_id, x.line_no, x.s, x.e, r.pseudonym FROM {last} x JOIN registry r "
+             f"ON x.page_id = r.page_id AND x.rule = r.rule AND {O.strip_sql('x.v')} = r.key)")
+    ctes.append(f"R AS {O.splice_sql('L', ['page_id', 'line_no'], spans)}")
+    return _with(ctes, """SELECT p.page_id, '--- Page 1 ---' || chr(10) ||
+        coalesce((SELECT string_agg(text, chr(10) ORDER BY line_no) FROM R WHERE R.page_id = p.page_id), '') AS text
+      FROM pages p""")
+
+
+@register("page_text", _page_text_sql())
+def q_page_text(spark, d):
+    pages = table(spark, d, "pages")
+    lines = line_units(pages, ["page_id"], None, "html")
+    red = redact(lines, "text", ["page_no", "line_no"], ["page_id"], rules=_rules()).redacted
+    return page_text(red, pages.select("page_id", F.lit(1).alias("page_no")), ["page_id"])
+
+
+# ── S5: fragmented paragraphs (conversation turns as runs) ───────────────────
+
+def _fragment_sql():
+    rules = _rules()
+    merged = """(SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, min(turn) AS first_turn
+      FROM conversations GROUP BY conv_id)"""
+    ctes, last = _registry_ctes(rules, "P", ["conv_id"], ["conv_id"], "CAST(k AS BIGINT) * 1000000000 + s")
+    ctes.insert(0, f"P AS {merged}")
+    spans = (f"(SELECT x.conv_id, x.s, x.e, r.pseudonym FROM {last} x JOIN registry r "
+             f"ON x.conv_id = r.conv_id AND x.rule = r.rule AND {O.strip_sql('x.v')} = r.key)")
+    ctes.append(f"N AS {O.splice_sql('P', ['conv_id'], spans)}")
+    return _with(ctes, """SELECT c.conv_id, c.turn, CASE WHEN n.text = p.text THEN c.text
+        WHEN c.turn = p.first_turn THEN n.text ELSE '' END AS text
+      FROM conversations c JOIN P p ON p.conv_id = c.conv_id JOIN N n ON n.conv_id = c.conv_id""")
+
+
+@register("fragment_merge", _fragment_sql())
+def fragment_merge(spark, d):
+    conv = table(spark, d, "conversations")
+    paras = paragraph_units(conv, ["conv_id"], "turn", "text")
+    red = redact(paras, "text", ["conv_id"], ["conv_id"], rules=_rules()).redacted
+    return paragraph_write_back(conv, paras, red, ["conv_id"], "turn", "text").select("conv_id", "turn", "text")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# First and last names used to build the split-name staff table.
+# Name lists for the derived split-name staff table (our own fixture data).
 FIRST_NAMES = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy", "Mallory"]
 LAST_NAMES = ["Johnson", "Smith", "Brown", "Taylor", "Wilson", "Davies", "Evans", "Thomas", "Roberts",
               "Walker", "Wright", "Green", "Hall"]
@@ -44,7 +44,10 @@ def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.array(*[F.lit(x) for x in LAST_NAMES])
     fi = F.pmod(F.col("c_custkey"), F.lit(len(FIRST_NAMES)))
     li = F.pmod(F.col("c_custkey") * 7 + F.floor(F.col("c_custkey") / 3), F.lit(len(LAST_NAMES)))
-    fn, ln = F.element_at(first, (fi + 1).cast("int")), F.element_at(last, (li + 1).cast("int"))
+    fn = F.element_at(first, (fi + 1).cast("int"))
+    # every fourth customer gets a surname of its own (an unambiguous component)
+    own = F.concat(F.lit("Q"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    ln = F.when(F.pmod(F.col("c_custkey"), F.lit(4)) == 1, own).otherwise(F.element_at(last, (li + 1).cast("int")))
     email = F.concat(F.lower(fn), F.lit("."), F.lower(ln), F.col("c_custkey").cast("string"), F.lit("@uni.ac.uk"))
     return c.select(F.col("c_custkey").alias("row"), fn.alias("First Name"), ln.alias("Last Name"),
                     email.alias("Email"), F.col("c_acctbal").alias("Balance"))
@@ -54,7 +57,8 @@ def staff_sql() -> str:
     first = ", ".join(f"'{x}'" for x in FIRST_NAMES)
     last = ", ".join(f"'{x}'" for x in LAST_NAMES)
     fn = f"[{first}][(c_custkey % {len(FIRST_NAMES)}) + 1]"
-    ln = f"[{last}][((c_custkey * 7 + floor(c_custkey / 3)::BIGINT) % {len(LAST_NAMES)}) + 1]"
+    ln = (f"CASE WHEN c_custkey % 4 = 1 THEN 'Q' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') "
+          f"ELSE [{last}][((c_custkey * 7 + floor(c_custkey / 3)::BIGINT) % {len(LAST_NAMES)}) + 1] END")
     return (f"(SELECT c_custkey AS row, {fn} AS \"First Name\", {ln} AS \"Last Name\", "
             f"lower({fn}) || '.' || lower({ln}) || CAST(c_custkey AS VARCHAR) || '@uni.ac.uk' AS \"Email\", "
             f"c_acctbal AS \"Balance\" FROM customer)")
