@@ -334,3 +334,163 @@ def fragment_merge(spark, d):
     paras = paragraph_units(conv, ["conv_id"], "turn", "text")
     red = redact(paras, "text", ["conv_id"], ["conv_id"], rules=_rules()).redacted
     return paragraph_write_back(conv, paras, red, ["conv_id"], "turn", "text").select("conv_id", "turn", "text")
+
+
+# ── D2/D3, D12, J2: entities and proper nouns ───────────────────────────────
+
+from ..sources.fixtures import entities as entity_table  # noqa: E402
+
+
+def _entity_sql():
+    rules = _rules()
+    name_rule = next(r for r in rules if r.name == "name")
+    ents = O.title_spans("(SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0)", ["doc_id"], "[A-Z][a-z]+",
+                         1 << 30, 2, name_rule.exclusions, sep="[ ]+")
+    parts = []
+    for k, r in enumerate(rules):
+        body = ents if r.name == "name" else O.rule_spans(r, DOCS, ["doc_id"])
+        parts.append(f"SELECT doc_id, {k} AS k, {O.q(r.name)} AS rule, s, e, v FROM {body}")
+    ctes = ["cand AS (" + "\nUNION ALL\n".join(parts) + ")", "lvl0 AS (SELECT * FROM cand WHERE k = 0)"]
+    for k in range(1, len(rules)):
+        ctes.append(f"""lvl{k} AS (SELECT * FROM lvl{k - 1} UNION ALL SELECT c.* FROM cand c WHERE c.k = {k}
+          AND NOT EXISTS (SELECT 1 FROM lvl{k - 1} x WHERE x.doc_id = c.doc_id AND x.s < c.e AND x.e > c.s))""")
+    last = f"lvl{len(rules) - 1}"
+    ctes.append(f"registry AS {O.registry_sql(rules, last, ['doc_id'], 'CAST(k AS BIGINT) * 1000000000 + s')}")
+    return _splice_docs_sql(ctes, last)
+
+
+@register("entity_docs", _entity_sql())
+def entity_docs(spark, d):
+    ents = entity_table(spark, d)
+    return redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules(), entities=ents).redacted
+
+
+@register("entity_spans", """SELECT doc_id, s, e, label FROM (SELECT g.doc_id, g.s, g.e,
+  CASE WHEN g.doc_id % 2 = 0 THEN 'PERSON' ELSE 'GPE' END AS label FROM """ + O.title_spans(
+    DOCS, ["doc_id"], "[A-Z][a-z]+", 1 << 30, 2, sep="[ ]+") + " g)")
+def entity_spans(spark, d):
+    return entity_table(spark, d).select("doc_id", "s", "e", "label")
+
+
+_PC, _PL = _docs_registry_ctes(_rules(proper_nouns=True))
+
+
+@register("proper_noun_docs", _splice_docs_sql(_PC, _PL))
+def proper_noun_docs(spark, d):
+    return redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True).redacted
+
+
+@register("proper_noun_registry", _with(_PC, """SELECT doc_id, rule, key AS original, CAST(n AS BIGINT) AS n,
+  pseudonym FROM registry WHERE rule = 'proper_noun'"""))
+def proper_noun_registry(spark, d):
+    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True)
+    return (r.registry.where(F.col("rule") == "proper_noun")
+            .select("doc_id", "rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym"))
+
+
+# ── R9: incremental registry (two batches of order units) ───────────────────
+
+CUTOFF = "1995-01-01"
+
+
+def _incremental_sql():
+    rules = _rules()
+    src = f"""(SELECT unit_seq, text, CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS batch
+               FROM {ORD})"""
+    ctes, last = O.kept(rules, "B", ["unit_seq"])
+    ctes.insert(0, f"B AS {src}")
+    ctes.append(f"KB AS (SELECT x.*, b.batch FROM {last} x JOIN B b ON b.unit_seq = x.unit_seq)")
+    ctes.append("registry AS " + O.registry_sql(
+        rules, "KB", [], "CAST(batch AS HUGEINT) * 100000000000000000 + CAST(unit_seq AS HUGEINT) * 10000000000 "
+                         "+ CAST(k AS HUGEINT) * 1000000000 + s"))
+    return _with(ctes, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry")
+
+
+@register("registry_incremental", _incremental_sql())
+def registry_incremental(spark, d):
+    units = order_units(spark, d).withColumn(
+        "_ord", F.struct(F.when(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp"), 0).otherwise(1)
+                         .alias("batch"), F.col("unit_seq")))
+    first = redact(units.where(F.col("_ord.batch") == 0), "text", ["unit_seq"], None, rules=_rules(),
+                   order_col="_ord")
+    second = redact(units.where(F.col("_ord.batch") == 1), "text", ["unit_seq"], None, rules=_rules(),
+                    order_col="_ord", prior=first)
+    return second.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
+
+
+# ── R4/R5: templates ─────────────────────────────────────────────────────────
+
+_TPL_RULES = [
+    rule("email", "mail{n:x}-{orig_len:03d}", r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"),
+    rule("name", "{orig:.4}{n:>5}", r"\b[A-Z][a-z]{1,25}(?:\s+[A-Z][a-z]{1,25}){1,3}\b", min_word_length=2),
+    rule("id", "preserve_length", r"\b\d{7,8}\b"),
+    rule("username", "U{n:^7}|{orig}", r"\b(?=[a-zA-Z0-9]*[a-zA-Z])(?=[a-zA-Z0-9]*\d)[a-zA-Z0-9]{8}\b"),
+]
+_TC, _TL = _orders_registry_ctes(_TPL_RULES)
+
+
+@register("template_render", _with(_TC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
+def template_render(spark, d):
+    r = _orders_redaction(spark, d, rules=_TPL_RULES)
+    return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
+
+
+# ── S10-S12: mapping documents and paths ────────────────────────────────────
+
+from ..sources.mapping_io import mapping_documents, read_mapping, redact_paths, restore_paths  # noqa: E402
+
+_DOC_PATH = "'/data/' || source || '/doc' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.docx' " \
+            "WHEN 1 THEN '.PDF' WHEN 2 THEN '.xlsx' ELSE '.odt' END"
+
+
+def _doc_path():
+    ext = (F.when(F.pmod("doc_id", F.lit(4)) == 0, ".docx").when(F.pmod("doc_id", F.lit(4)) == 1, ".PDF")
+           .when(F.pmod("doc_id", F.lit(4)) == 2, ".xlsx").otherwise(".odt"))
+    return F.concat(F.lit("/data/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), ext)
+
+
+@register("mapping_json", _with(_C, """SELECT doc_id, 'mapping' AS kind, pseudonym AS name, arg_max(key, fpos) AS value
+  FROM registry GROUP BY doc_id, pseudonym
+  UNION ALL SELECT doc_id, 'stats', rule, CAST(count(*) AS VARCHAR) FROM registry GROUP BY doc_id, rule"""))
+def mapping_json(spark, d):
+    docs = table(spark, d, "documents")
+    r = redact(docs.select("doc_id", "text"), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    files = docs.select("doc_id", _doc_path().alias("source_file")).select(
+        "doc_id", "source_file", redact_paths(F.col("source_file"))["redacted"].alias("redacted_file"))
+    js = mapping_documents(r.registry, ["doc_id"], files)
+    back = read_mapping(js, ["doc_id"])
+    parsed = js.select("doc_id", F.from_json("json", "stats map<string,bigint>").alias("d"))
+    stats = parsed.select("doc_id", F.explode("d.stats").alias("name", "c")).select(
+        "doc_id", F.lit("stats").alias("kind"), "name", F.col("c").cast("string").alias("value"))
+    return back.select("doc_id", F.lit("mapping").alias("kind"), F.col("pseudonym").alias("name"),
+                       F.col("original").alias("value")).unionByName(stats)
+
+
+_SFX = "regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)"
+_STEM = f"left(regexp_extract(path, '([^/]*)$', 1), length(regexp_extract(path, '([^/]*)$', 1)) - length({_SFX}))"
+_DIRP = "regexp_extract(path, '^(.*/)?[^/]*$', 1)"
+_RSFX = f"CASE lower({_SFX}) WHEN '.pdf' THEN '.txt' WHEN '.docx' THEN '.docx' WHEN '.xlsx' THEN '.xlsx' " \
+        f"WHEN '.odt' THEN '.odt' END"
+
+
+@register("paths", f"""WITH a AS (SELECT doc_id, {_DOC_PATH} AS path FROM documents),
+  b AS (SELECT doc_id, path, {_RSFX} IS NOT NULL AS supported,
+               {_DIRP} || {_STEM} || '_redacted' || {_RSFX} AS redacted,
+               {_DIRP} || {_STEM} || '_mapping.json' AS mapping FROM a),
+  c AS (SELECT *, redacted AS path2 FROM b)
+  SELECT doc_id, supported, redacted, mapping,
+    regexp_extract(path2, '^(.*/)?[^/]*$', 1) || left(regexp_extract(path2, '([^/]*)$', 1),
+      length(regexp_extract(path2, '([^/]*)$', 1)) - length(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
+      '^.+(\\.[^.]+)$', 1))) || '_restored' || lower(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
+      '^.+(\\.[^.]+)$', 1)) AS restored,
+    regexp_extract(path2, '^(.*/)?[^/]*$', 1) || regexp_replace(left(regexp_extract(path2, '([^/]*)$', 1),
+      length(regexp_extract(path2, '([^/]*)$', 1)) - length(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
+      '^.+(\\.[^.]+)$', 1))), '_redacted$', '') || '_mapping.json' AS restore_mapping
+  FROM c""")
+def paths(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", _doc_path().alias("path"))
+    red = docs.select("doc_id", redact_paths(F.col("path")).alias("r"))
+    back = red.select("doc_id", "r", restore_paths(F.col("r.redacted")).alias("b"))
+    return back.select("doc_id", F.col("r.supported").alias("supported"), F.col("r.redacted").alias("redacted"),
+                       F.col("r.mapping").alias("mapping"), F.col("b.restored").alias("restored"),
+                       F.col("b.mapping").alias("restore_mapping"))
