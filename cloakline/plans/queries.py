@@ -494,3 +494,42 @@ def paths(spark, d):
     return back.select("doc_id", F.col("r.supported").alias("supported"), F.col("r.redacted").alias("redacted"),
                        F.col("r.mapping").alias("mapping"), F.col("b.restored").alias("restored"),
                        F.col("b.mapping").alias("restore_mapping"))
+
+
+# ── R9 as a stream: foreachBatch over monthly event files ───────────────────
+
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources.fixtures import event_units  # noqa: E402
+from ..streaming import incremental  # noqa: E402
+
+
+def _stream_sql():
+    rules = _rules()
+    src = """(SELECT event_id AS unit_seq, year(ts) * 100 + month(ts) AS m,
+               'account ' || CAST(user_id + 1000000 AS VARCHAR) || ' ' || event_type AS text FROM events)"""
+    ctes, last = O.kept(rules, "E", ["unit_seq"])
+    ctes.insert(0, f"E AS {src}")
+    ctes.append(f"KB AS (SELECT x.*, b.m FROM {last} x JOIN E b ON b.unit_seq = x.unit_seq)")
+    ctes.append("registry AS " + O.registry_sql(
+        rules, "KB", [], "CAST(m AS HUGEINT) * 100000000000000000 + CAST(unit_seq AS HUGEINT) * 10000000000 "
+                         "+ CAST(k AS HUGEINT) * 1000000000 + s"))
+    return _with(ctes, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry")
+
+
+@register("stream_registry", _stream_sql())
+def stream_registry(spark, d):
+    """Events staged as one file per month (written in month order into the
+    shared checkpoint folder), read as a file stream one file per trigger."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").withColumn("m", F.year("ts") * 100 + F.month("ts"))
+    months = [r[0] for r in events.select("m").distinct().orderBy("m").collect()]
+    for m in months:  # a handful of months; each write is a distributed job
+        events.where(F.col("m") == m).drop("m").coalesce(1).write.parquet(f"{base}/src/m={m}")
+    stream = (spark.readStream.schema(table(spark, d, "events").schema.add("m", "integer"))
+              .option("maxFilesPerTrigger", 1).parquet(f"{base}/src"))
+    q = incremental.start(event_units(stream), "text", ["unit_seq"], _rules(), state_dir=f"{base}/state")
+    q.awaitTermination()
+    reg_df = incremental.latest_registry(spark, f"{base}/state")
+    return reg_df.select("rule", F.col("key").alias("original"), F.col("n").cast("bigint").alias("n"), "pseudonym")
