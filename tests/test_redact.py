@@ -1,0 +1,177 @@
+"""Redaction behaviour on small fixtures, checked against the plain-Python
+statement in ``model.py`` and against the expectations of the reference's
+own tests."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cloakline.operators.spans import candidates_table, overlaps
+from cloakline.rules import EXAMPLE_CONFIG, build_rules, load_config, load_rules, rule
+from conftest import redact_cases
+from model import ModelRegistry, model_redact, model_restore
+
+EMAIL = rule("email", "person{n:03d}@anon.invalid", r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b")
+NAME = rule("name", "Person{n:03d}", r"\b[A-Z][a-z]{1,25}(?:\s+[A-Z][a-z]{1,25}){1,3}\b", min_word_length=2,
+            exclusions=["January", "Monday", "English", "Figure", "Table", "Section", "Page", "True", "False",
+                        "Microsoft"])
+ID = rule("id", "preserve_length", r"\b\d{7,8}\b")
+USER = rule("username", "user{n:04d}xx", r"\b(?=[a-zA-Z0-9]*[a-zA-Z])(?=[a-zA-Z0-9]*\d)[a-zA-Z0-9]{8}\b")
+ALL = [EMAIL, NAME, ID, USER]
+
+CASES = [
+    "Contact user@example.com today",
+    "Send to user+tag@example.com please",
+    "Reply to user@mail.dept.ac.uk here",
+    "Student 1234567 enrolled",
+    "Ref 12345678 filed",
+    "ID: 1234567",
+    "Code 123456 here",
+    "Number 123456789 here",
+    "Code 012345678 here",
+    "Login: jsmith01 via portal",
+    "Code: 12345678",
+    "Word: password",
+    "ref: abc1234",
+    "ref: abc123def",
+    "Signed by John Smith",
+    "Written by Mary Anne Jones",
+    "Date is January Monday",
+    "Submit the Report today",
+    "Email: John.Smith@example.com here",
+    "From user@x.com to user@x.com",
+    "a@x.com and b@x.com",
+    "",
+    "   ",
+    "No sensitive data here at all.",
+    "user@x.com is the contact",
+    "contact is user@x.com",
+    "user@x.com 1234567 ab12cd34",
+    "Ünïcödé context, email user@x.com here",
+    "User ab12cd34 <user@dept.org> ID 1234567 enrolled",
+    "January Alice Smith",
+    "Jo A and Jo Sm",
+    "Alice Johnson met Bob\tSmith",
+    "١٢٣٤٥٦٧ and ²1234567",
+    "café Reńe Dupont x‍y \u001c 1234567",
+    "\U0001F600a@b.co .a@b.co é.a@b.co +a@b.co",
+    None,
+]
+
+
+@pytest.fixture(scope="module")
+def redacted(spark):
+    return redact_cases(spark, CASES, ALL)
+
+
+def test_matches_model(redacted):
+    texts, maps = redacted
+    for case, got, m in zip(CASES, texts, maps):
+        reg = ModelRegistry()
+        assert got == model_redact(case, reg, ALL), case
+        assert m == reg.mapping(), case
+
+
+def test_reference_expectations(redacted):
+    t = dict(zip(CASES[:-1], redacted[0][:-1]))
+    assert "@anon.invalid" in t["Contact user@example.com today"]
+    assert "0000001" in t["Student 1234567 enrolled"]
+    assert "00000001" in t["Ref 12345678 filed"]
+    assert "123456" in t["Code 123456 here"]
+    assert "123456789" in t["Number 123456789 here"]
+    assert "012345678" in t["Code 012345678 here"]
+    assert "user0001xx" in t["Login: jsmith01 via portal"]
+    assert "user" not in t["Code: 12345678"]
+    assert "user" not in t["Word: password"]
+    assert "Person" in t["Signed by John Smith"]
+    assert "January" in t["Date is January Monday"]
+    assert "Report" in t["Submit the Report today"]
+    e = t["Email: John.Smith@example.com here"]
+    assert e.count("@anon.invalid") == 1 and "Person" not in e
+    hits = [w for w in t["From user@x.com to user@x.com"].split() if "@anon.invalid" in w]
+    assert len(hits) == 2 and hits[0] == hits[1]
+    assert "person001@anon.invalid" in t["a@x.com and b@x.com"] and "person002" in t["a@x.com and b@x.com"]
+    assert t[""] == "" and t["   "] == "   "
+    assert t["No sensitive data here at all."] == "No sensitive data here at all."
+    assert "Ünïcödé" in t["Ünïcödé context, email user@x.com here"]
+    # whole-match rejection: the excluded word spoils the whole hit
+    assert t["January Alice Smith"] == "January Alice Smith"
+    assert redacted[0][-1] is None
+
+
+def test_round_trip(spark, redacted):
+    texts, maps = redacted
+    for case, red, m in zip(CASES, texts, maps):
+        assert model_restore(red, m) == case
+
+
+def test_overlap_predicate(spark):
+    df = spark.createDataFrame([(0, 4), (11, 19), (26, 30), (0, 5), (10, 15), (3, 7), (8, 15), (6, 9), (4, 12)],
+                               "s int, e int")
+    spans = F.array(F.struct(F.lit(5).alias("s"), F.lit(10).alias("e")),
+                    F.struct(F.lit(20).alias("s"), F.lit(25).alias("e")))
+    got = [r[0] for r in df.select(overlaps(spans, F.col("s"), F.col("e"))).collect()]
+    assert got == [False, False, False, False, False, True, True, True, True]
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+    assert df.select(overlaps(empty, F.col("s"), F.col("e"))).first()[0] is False
+
+
+def test_registry_keys_stripped_and_per_rule_counters(spark):
+    ws_rule = rule("email", "person{n:03d}@anon.invalid", r"\s*[a-z]+@x\.com\s*")
+    texts, maps = redact_cases(spark, ["a@x.com  and   a@x.com b@x.com"], [ws_rule, NAME])
+    assert set(maps[0].values()) == {"a@x.com", "b@x.com"}
+
+
+def _edge_text(rnd):
+    pieces = ["a@b.co", ".a@b.co", "é.a@b.co", "+a@b.co", "1234567", "12345678", "123456789", "ab12cd34",
+              "Alice Smith", "Mary Anne Jones Lee Ray", "Ünal Ölmez", "John Smith", "٣٤٥٦٧٨٩", "²1234567",
+              "René Dupont", "x‍y", "\u001c", "😀", "January Alice", "Jo A", "O'Brien Smith",
+              "Smith_John Doe", "Abcdefghijklmnopqrstuvwxyzab Cd", "SW1A 1AA", "AB123456C", "07700 900123",
+              " ", "\n", "\t", ",", "-", "_", "(", ")", "Ab", "Cd Ef"]
+    return "".join(rnd.choice(pieces) + rnd.choice(["", " ", "", ".", " "]) for _ in range(rnd.randint(0, 12)))
+
+
+def test_native_spans_equal_python_re(spark):
+    """Random edge units: the translated Java patterns give Python's offsets."""
+    rnd = random.Random(7)
+    texts = [_edge_text(rnd) for _ in range(3000)]
+    rules = load_rules(proper_nouns=True) + build_rules(load_config(EXAMPLE_CONFIG))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, _text string")
+    got = sorted(tuple(r) for r in candidates_table(df, rules, ["id"]).collect())
+    from model import passes
+    exp = []
+    for i, t in enumerate(texts):
+        if not t.strip():
+            continue
+        for k, r in enumerate(rules):
+            for m in r.compiled.finditer(t):
+                if passes(m.group(), r):
+                    exp.append((i, r.name, k, m.start(), m.end(), m.group()))
+    assert got == sorted(exp)
+
+
+def test_python_fallback_rule(spark):
+    odd = rule("odd", "Q{n}", r"(a)?(?(1)b|c)x")  # conditional: not translatable
+    assert not odd.native
+    texts, _ = redact_cases(spark, ["cx and abx then bx cx"], [odd])
+    assert texts == ["Q1 and Q2 then bx Q1"]
+
+
+@pytest.mark.parametrize("numbering", ["window", "ranged"])
+def test_partition_invariance(spark, numbering):
+    """Same registry for 1, 7 and 200 shuffle partitions."""
+    from cloakline.plans.jobs import redact
+    from cloakline.sources.fixtures import order_units
+
+    units = order_units(spark, "/root/testdata/sf0.001")
+    seen = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            r = redact(units, "text", ["unit_seq"], None, rules=load_rules(), numbering=numbering)
+            seen.append(sorted(tuple(x) for x in r.registry.select("rule", "original", "n", "pseudonym").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2]
