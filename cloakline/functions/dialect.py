@@ -325,6 +325,7 @@ def _seq_edge_wordonly(seq: list[Node], first: bool) -> bool:
 class JavaRegex:
     pattern: str
     ascii: bool
+    literal: str | None = None
 
 
 class _Emitter:
@@ -351,10 +352,43 @@ class _Emitter:
 
     def seq(self, seq: list[Node], top: bool) -> str:
         out = []
+        lead = self._leading_boundary(seq) if top else None
         for idx, node in enumerate(seq):
+            if lead is not None and idx == lead[0]:
+                continue  # the leading \b, re-emitted after the first atom
+            if lead is not None and idx == lead[1]:
+                # \b X{m,n}  ->  X (?<!W X) X{m-1,n-1}: one cheap class test
+                # per position instead of a look-behind at every position
+                atom = self.node(node, seq, idx, top)
+                w = self.W
+                if lead[2]:
+                    out.append(f"{atom}(?<![{w}]{atom})" + _less_one(atom, node.quant))
+                else:  # class mixing word and other characters: split it
+                    body = atom[1:-1]
+                    aw, an = f"[{body}&&[{w}]]", f"[{body}&&[^{w}]]"
+                    out.append(f"(?:{aw}(?<![{w}]{aw})|{an}(?<=[{w}]{an}))" + _less_one(atom, node.quant))
+                continue
             out.append(self.node(node, seq, idx, top) + node.quant)
         return "".join(out)
 
+    def _leading_boundary(self, seq: list[Node]):
+        i = 0
+        while i < len(seq) and seq[i].kind == "anchor" and seq[i].text.startswith("(?"):
+            i += 1
+        if i >= len(seq) or seq[i].kind != "anchor" or seq[i].text != "\\b":
+            return None
+        j = i + 1
+        while j < len(seq) and seq[j].kind == "group" and seq[j].prefix.startswith(("(?=", "(?!")):
+            j += 1
+        if j >= len(seq):
+            return None
+        atom = seq[j]
+        if atom.kind in ("lit", "esc", "cls") and atom.qmin >= 1 and _node_wordonly(atom, True):
+            return (i, j, True)
+        if atom.kind == "cls" and atom.qmin >= 1 and not atom.text.startswith("[^") and "[" not in atom.text[1:]:
+            return (i, j, False)
+        return None
+
     def node(self, node: Node, seq: list[Node], idx: int, top: bool) -> str:
         if node.kind in ("lit", "backref", "dot"):
             return node.text
@@ -380,6 +414,38 @@ class _Emitter:
         return self.both_sided(False)
 
 
+def _less_one(atom: str, quant: str) -> str:
+    """``atom`` repeated one time fewer than ``quant`` says (``quant`` min >= 1)."""
+    if quant == "":
+        return ""
+    mod = quant[-1] if len(quant) > 1 and quant[-1] in "?+" and not quant.startswith("{") or (
+        quant.startswith("{") and quant[-1] in "?+") else ""
+    core = quant[: len(quant) - len(mod)]
+    if core == "+":
+        return atom + "*" + mod
+    m = re.fullmatch(r"\{(\d+)(,?)(\d*)\}", core)
+    lo, comma, hi = int(m.group(1)), m.group(2), m.group(3)
+    if not comma:
+        return "" if lo == 1 else atom + "{" + str(lo - 1) + "}" + mod
+    if hi:
+        return atom + "{" + str(lo - 1) + "," + str(int(hi) - 1) + "}" + mod
+    return atom + "{" + str(lo - 1) + ",}" + mod
+
+
+def required_literal(pattern: str, flags: int = 0) -> str | None:
+    """A character every match must contain (cheap ``instr`` pre-filter)."""
+    try:
+        tree = _Parser(re.sub(r"^\(\?[aiLmsux]+\)", "", pattern), bool(flags & re.VERBOSE)).parse()
+    except Untranslatable:
+        return None
+    if len(tree) != 1 or flags & re.IGNORECASE or pattern.startswith("(?i"):
+        return None
+    for node in tree[0]:
+        if node.kind == "lit" and node.qmin >= 1 and not node.prefix.isalnum():
+            return node.prefix
+    return None
+
+
 def can_match_empty(pattern: str, flags: int = 0) -> bool:
     try:
         import re._parser as sre_parse  # Python 3.11+
@@ -428,4 +494,4 @@ def to_java(pattern: str, flags: int = 0) -> JavaRegex:
         jflags += "m"
     if flags & re.DOTALL or "s" in inline:
         jflags += "s"
-    return JavaRegex(f"(?{jflags}){body}", ascii_mode)
+    return JavaRegex(f"(?{jflags}){body}", ascii_mode, required_literal(pattern, flags))

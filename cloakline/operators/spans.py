@@ -93,6 +93,8 @@ def regex_candidates(text: Column, rule: Rule, k: int) -> Column:
     """All matches of one rule that pass its exclusions, ordered by start."""
     if rule.native:
         raw = _offsets(_pieces(text, rule.java), k)
+        if rule.literal:  # cheap pre-filter: skip the regex when a required character is absent
+            raw = F.when(F.instr(text, rule.literal) > 0, raw).otherwise(_empty())
     else:
         raw = _python_scanner(rule, k)(text)
     return F.filter(raw, lambda x: passes_exclusions(x["v"], rule))

@@ -41,8 +41,15 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
+def _spread(df: DataFrame, ids) -> DataFrame:
+    """Hash-spread units over the shuffle partitions before per-row regex work
+    (small test tables are single parquet files = one scan task)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *ids)
+
+
 def _cands(df: DataFrame, rules, ids, cols=("s", "e", "v")) -> DataFrame:
-    units = df.select(*ids, F.col("text").alias("_text"))
+    units = _spread(df, ids).select(*ids, F.col("text").alias("_text"))
     return candidates_table(units, rules, list(ids)).select(*ids, *cols)
 
 
@@ -80,7 +87,7 @@ def _kept_sql(rules, src, ids, select):
 @register("resolve_overlaps", _kept_sql(_rules(), ORD, ["unit_seq"], "unit_seq, rule, s, e, v"))
 def resolve_overlaps(spark, d):
     rules = _rules()
-    units = order_units(spark, d).select("unit_seq", F.col("text").alias("_text"))
+    units = _spread(order_units(spark, d), ["unit_seq"]).select("unit_seq", F.col("text").alias("_text"))
     names = reg.rule_names(rules)
     return (detect(units, rules).select("unit_seq", F.explode("_spans").alias("h"))
             .select("unit_seq", F.element_at(names, F.col("h.k") + 1).alias("rule"),

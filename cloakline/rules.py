@@ -32,6 +32,7 @@ class Rule:
     min_word_length: int = 1
     pn_only: bool = False
     java: str | None = field(default=None, compare=False)
+    literal: str | None = field(default=None, compare=False)  # a character every match contains
 
     @property
     def compiled(self) -> re.Pattern | None:
@@ -57,11 +58,12 @@ def build_rules(config: dict) -> list[Rule]:
     for block in config.get("patterns", []):
         flags = python_flags(block.get("regex_flags", []))
         regex = block.get("regex")
-        java = None
+        java = literal = None
         if regex is not None:
             re.compile(regex, flags)  # fail early on a bad pattern
             try:
-                java = to_java(regex, flags).pattern
+                jr = to_java(regex, flags)
+                java, literal = jr.pattern, jr.literal
             except Untranslatable:
                 java = None
         rules.append(Rule(
@@ -75,6 +77,7 @@ def build_rules(config: dict) -> list[Rule]:
             min_word_length=int(block.get("min_word_length", 1)),
             pn_only=bool(block.get("pn_only", False)),
             java=java,
+            literal=literal,
         ))
     return rules
 

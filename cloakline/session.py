@@ -24,7 +24,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cloak
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -42,10 +42,12 @@ def test_boundary_forms_for_default_rules():
     rules = load_rules(proper_nouns=True)
     java = {r.name: r.java for r in rules}
     W = r"[\p{L}\p{N}_]"
-    assert java["id"] == rf"(?d)(?<!{W})[\p{{Nd}}]{{7,8}}(?!{W})"
-    assert java["name"].startswith(rf"(?d)(?<!{W})[A-Z]")
-    # leading \b of email sits before a mixed class: two-sided form
-    assert java["email"].startswith(r"(?d)(?:(?<!")
+    # leading \b: one class test after the first character, not a look-behind at every position
+    assert java["id"] == rf"(?d)[\p{{Nd}}](?<!{W}[\p{{Nd}}])[\p{{Nd}}]{{6,7}}(?!{W})"
+    assert java["name"].startswith(rf"(?d)[A-Z](?<!{W}[A-Z])[a-z]{{1,25}}")
+    # leading \b of email sits before a class mixing word and other characters: split in two
+    assert java["email"].startswith(r"(?d)(?:[a-zA-Z0-9._%+\-&&[\p{L}\p{N}_]]")
+    assert {r.name: r.literal for r in rules}["email"] == "@"
     assert all(r.native for r in rules)
 
 
