@@ -39,7 +39,9 @@ def occurrences(spanned: DataFrame, rules: list[Rule], spans_col: str = "_spans"
 
     ``pos = (unit, k, s)`` is the reference's call order of ``get_or_create``."""
     h = F.col("h")
-    return (spanned.select("_scope", "_unit", F.explode(spans_col).alias("h"))
+    # explode_outer + filter keeps the optimizer from re-deriving the spans
+    # in an inferred size(...) > 0 filter pushed below the exchange
+    return (spanned.select("_scope", "_unit", F.explode_outer(spans_col).alias("h")).where(h.isNotNull())
             .select("_scope", "_unit", h["s"].alias("s"), h["e"].alias("e"), h["k"].alias("k"),
                     h["v"].alias("v"),
                     F.element_at(rule_names(rules), h["k"] + 1).alias("rule"),

@@ -164,6 +164,9 @@ def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], t
     names = F.array(*[F.lit(r.name) for r in rules])
     arrs = [F.when(is_blank(text), _empty()).otherwise(regex_candidates(text, r, k))
             for k, r in enumerate(rules) if r.regex is not None]
-    return (units.select(*key_cols, F.explode(F.flatten(F.array(*arrs))).alias("h"))
+    # explode_outer + filter: a plain explode makes the optimizer infer
+    # size(...) > 0 and push the whole span expression below the exchange
+    return (units.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
+            .where(F.col("h").isNotNull())
             .select(*key_cols, F.element_at(names, F.col("h.k") + 1).alias("rule"), F.col("h.k").alias("k"),
                     F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))

@@ -89,7 +89,7 @@ def resolve_overlaps(spark, d):
     rules = _rules()
     units = _spread(order_units(spark, d), ["unit_seq"]).select("unit_seq", F.col("text").alias("_text"))
     names = reg.rule_names(rules)
-    return (detect(units, rules).select("unit_seq", F.explode("_spans").alias("h"))
+    return (detect(units, rules).select("unit_seq", F.explode_outer("_spans").alias("h")).where(F.col("h").isNotNull())
             .select("unit_seq", F.element_at(names, F.col("h.k") + 1).alias("rule"),
                     F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))
 

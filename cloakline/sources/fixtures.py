@@ -76,7 +76,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.when(F.col("text").isNull(), F.array().cast("array<struct<s:int,e:int,k:int,v:string>>")).otherwise(
         _offsets(_pieces(F.col("text"), "(?d)" + NAME_SHAPE), 0))
     label = F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, F.lit("PERSON")).otherwise(F.lit("GPE"))
-    return (d.select("doc_id", label.alias("label"), F.explode(spans).alias("h"))
+    return (d.select("doc_id", label.alias("label"), F.explode_outer(spans).alias("h")).where(F.col("h").isNotNull())
             .select("doc_id", F.col("h.s").alias("s"), F.col("h.e").alias("e"), "label",
                     F.col("h.v").alias("text")))
 

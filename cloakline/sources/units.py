@@ -27,8 +27,9 @@ def line_units(df: DataFrame, file_cols: list[str], page_col: str | None, text_c
     """One row per line (``str.splitlines``) of each page; null page -> no lines.
     Columns: file cols, ``page_no``, ``line_no`` (0-based), ``text``."""
     page = F.col(page_col) if page_col else F.lit(1)
-    return df.select(*file_cols, page.alias("page_no"),
-                     F.posexplode(splitlines(F.col(text_col))).alias("line_no", "text"))
+    return (df.select(*file_cols, page.alias("page_no"),
+                      F.posexplode_outer(splitlines(F.col(text_col))).alias("line_no", "text"))
+            .where(F.col("line_no").isNotNull()))
 
 
 def page_text(lines: DataFrame, pages: DataFrame, file_cols: list[str]) -> DataFrame:
