@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import render
 from ..functions.text import strip_ws
 from ..rules import Rule
-from ..session import broadcast_if_small, checkpointed, partitions
+from ..session import checkpointed, partitions
 
 # A (scope, rule) group above this many distinct values is numbered with the
 # ranged two-phase form instead of one window partition.
@@ -84,7 +84,9 @@ def number_ranged(keys: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_cnt"), F.min("_gid").alias("_g0"))
     w = Window.partitionBy("_scope", "rule").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    numbered = ranged.join(broadcast_if_small(offs), ["_scope", "rule", "_pid"])
+    # offs has at most (scope, rule) groups + partitions rows; AQE broadcasts it
+    # once its measured size is under the broadcast threshold, else shuffles.
+    numbered = ranged.join(offs, ["_scope", "rule", "_pid"])
     return numbered.withColumn("n", F.col("_before") + F.col("_gid") - F.col("_g0") + 1).drop(
         "_pid", "_gid", "_cnt", "_g0", "_before")
 

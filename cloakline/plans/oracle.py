@@ -18,7 +18,6 @@ from ..rules import load_rules
 
 W = r"\p{L}\p{N}_"
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-EMAIL_RE2 = (rf"(^|[^{W}])([a-zA-Z0-9_][a-zA-Z0-9._%+\-]*@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}})([^{W}]|$)")
 
 
 def q(s: str) -> str:
@@ -74,9 +73,13 @@ def run_spans(src: str, ids: list[str], full: str, extra: str = "") -> str:
       WHERE regexp_full_match(tok, {q(full)}) {extra})"""
 
 
-def email_spans(src: str, ids: list[str]) -> str:
+def context_spans(src: str, ids: list[str], body: str, flags: str = "", like: str | None = None) -> str:
+    """Matches of ``\b BODY \b`` (BODY starting and ending with word
+    characters) with RE2: the boundary characters are consumed as context
+    groups and offsets rebuilt from the split gaps: ids, s, e, v."""
     i = _ids(ids)
-    p = q(EMAIL_RE2)
+    p = q(f"{flags}(^|[^{W}])({body})([^{W}]|$)")
+    cond = f"AND text LIKE {q(like)}" if like else ""
     return f"""(SELECT {i}, CAST(s AS INTEGER) AS s, CAST(s + length(m[j]) AS INTEGER) AS e, m[j] AS v FROM (
       SELECT {i}, m, j,
         coalesce(list_sum([length(x) for x in g[1:j]]), 0)
@@ -84,7 +87,11 @@ def email_spans(src: str, ids: list[str]) -> str:
       FROM (SELECT {i}, f, pre, m, g, unnest(generate_series(1, len(f))) AS j FROM (
         SELECT {i}, regexp_extract_all(text, {p}, 0) AS f, regexp_extract_all(text, {p}, 1) AS pre,
                regexp_extract_all(text, {p}, 2) AS m, string_split_regex(text, {p}) AS g
-        FROM {src} WHERE text IS NOT NULL AND text LIKE '%@%'))))"""
+        FROM {src} WHERE text IS NOT NULL {cond}))))"""
+
+
+def email_spans(src: str, ids: list[str]) -> str:
+    return context_spans(src, ids, r"[a-zA-Z0-9_][a-zA-Z0-9._%+\-]*@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", like="%@%")
 
 
 def rule_spans(rule, src: str, ids: list[str]) -> str:
@@ -100,6 +107,12 @@ def rule_spans(rule, src: str, ids: list[str]) -> str:
     if rule.name == "username":
         return run_spans(src, ids, "[a-zA-Z0-9]{8}",
                          "AND regexp_matches(tok, '[a-zA-Z]') AND regexp_matches(tok, '[0-9]')")
+    if rule.name == "ni_number":
+        return context_spans(src, ids, r"[A-CEGHJ-PR-TW-Z]{2}\p{Nd}{6}[A-D]", "(?i)")
+    if rule.name == "phone_uk":
+        return context_spans(src, ids, rf"0[{WS}]*\p{{Nd}}[\p{{Nd}}{WS}]{{8,12}}\p{{Nd}}")
+    if rule.name == "postcode":
+        return context_spans(src, ids, rf"[A-Z]{{1,2}}\p{{Nd}}[A-Z\p{{Nd}}]?[{WS}]*\p{{Nd}}[A-Z]{{2}}", "(?i)")
     raise KeyError(rule.name)
 
 

@@ -540,3 +540,25 @@ def stream_registry(spark, d):
     q.awaitTermination()
     reg_df = incremental.latest_registry(spark, f"{base}/state")
     return reg_df.select("rule", F.col("key").alias("original"), F.col("n").cast("bigint").alias("n"), "pseudonym")
+
+
+# ── D13: the example detector set ───────────────────────────────────────────
+
+from ..rules import EXAMPLE_CONFIG, build_rules, load_config  # noqa: E402
+from ..sources.fixtures import contact_units, contact_units_sql  # noqa: E402
+
+_EX_RULES = build_rules(load_config(EXAMPLE_CONFIG))
+_EC, _EL = _registry_ctes(_EX_RULES, "CU", ["unit_seq"], [], "CAST(unit_seq AS BIGINT) * 10000000000 "
+                                                               "+ CAST(k AS BIGINT) * 1000000000 + s")
+_EC.insert(0, f"CU AS {contact_units_sql()}")
+
+
+@register("example_rules", _splice_docs_sql(_EC, _EL, "CU", ["unit_seq"], []))
+def example_rules(spark, d):
+    return redact(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES).redacted
+
+
+@register("example_registry", _with(_EC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
+def example_registry(spark, d):
+    r = redact(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES)
+    return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")

@@ -85,3 +85,34 @@ def event_units(df: DataFrame) -> DataFrame:
     """Units from ``events`` rows: the user id as a 7-digit account number."""
     text = F.concat(F.lit("account "), (F.col("user_id") + 1000000).cast("string"), F.lit(" "), F.col("event_type"))
     return df.select(F.col("event_id").alias("unit_seq"), "ts", text.alias("text"))
+
+
+# NI-number letter pairs for the contact fixture (mixed case on purpose).
+NI_PREFIXES = ["AB", "ce", "HJ", "pr", "Tw"]
+
+
+def contact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unit per customer with a national-insurance-like number, a UK-style
+    phone number and a postcode (for the example detector set)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ni = F.concat(F.element_at(F.array(*[F.lit(x) for x in NI_PREFIXES]), (F.pmod(k, F.lit(5)) + 1).cast("int")),
+                  F.lpad(F.pmod(k * 7919, F.lit(1000000)).cast("string"), 6, "0"),
+                  F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.pmod(k, F.lit(4)) + 1).cast("int")))
+    phone = F.concat(F.lit("07700 "), F.lpad(F.pmod(k * 13, F.lit(1000000)).cast("string"), 6, "0"))
+    pc = F.concat(F.lit("SW"), (F.pmod(k, F.lit(9)) + 1).cast("string"), F.lit("A "),
+                  (F.pmod(k, F.lit(7)) + 1).cast("string"), F.lit("AB"))
+    pc = F.when(F.pmod(k, F.lit(2)) == 1, F.lower(pc)).otherwise(pc)
+    text = F.concat(F.lit("Customer "), F.col("c_name"), F.lit(" NI "), ni, F.lit(" tel "), phone, F.lit(" post "), pc)
+    return c.select(k.alias("unit_seq"), text.alias("text"))
+
+
+def contact_units_sql() -> str:
+    pref = ", ".join(f"'{x}'" for x in NI_PREFIXES)
+    ni = (f"[{pref}][(c_custkey % 5) + 1] || lpad(CAST((c_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') "
+          f"|| ['A', 'B', 'C', 'D'][(c_custkey % 4) + 1]")
+    phone = "'07700 ' || lpad(CAST((c_custkey * 13) % 1000000 AS VARCHAR), 6, '0')"
+    pc = "'SW' || CAST(c_custkey % 9 + 1 AS VARCHAR) || 'A ' || CAST(c_custkey % 7 + 1 AS VARCHAR) || 'AB'"
+    pc = f"CASE WHEN c_custkey % 2 = 1 THEN lower({pc}) ELSE {pc} END"
+    return (f"(SELECT c_custkey AS unit_seq, 'Customer ' || c_name || ' NI ' || {ni} || ' tel ' || {phone} "
+            f"|| ' post ' || {pc} AS text FROM customer)")
