@@ -181,3 +181,14 @@ def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, m
                                  "first_v", "first_k", "occurrences"),
         mapping=scope_columns(reg.mapping(registry), None),
     )
+
+
+def restore_text_files(spark, paths: str, mapping: DataFrame, mode: str = "sequential",
+                       rules: list[Rule] | None = None) -> DataFrame:
+    """Restore plain-text files, each file one unit (``wholetext``).
+
+    ``mapping``: ``file, pseudonym, original, order`` where ``file`` is the
+    redacted file's path as Spark reports it (``input_file_name``)."""
+    files = (spark.read.text(paths, wholetext=True)
+             .select(F.input_file_name().alias("file"), F.col("value").alias("text")))
+    return restore(files, "text", ["file"], mapping, ["file"], mode=mode, rules=rules)

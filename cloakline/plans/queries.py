@@ -562,3 +562,30 @@ def example_rules(spark, d):
 def example_registry(spark, d):
     r = redact(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES)
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
+
+
+# ── T1 vs T5: sequential restore rewrites a restored value, single pass not ──
+
+HAZARD_SQL = """(SELECT o_orderkey AS unit_seq, 'id ' || CAST(o_orderkey + 1000000 AS VARCHAR) || ' code '
+  || CAST(o_orderkey + 90000000 AS VARCHAR) AS text FROM orders)"""
+
+
+def hazard_units(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("unit_seq"), F.concat(
+        F.lit("id "), (F.col("o_orderkey") + 1000000).cast("string"), F.lit(" code "),
+        (F.col("o_orderkey") + 90000000).cast("string")).alias("text"))
+
+
+@register("restore_modes", f"""SELECT unit_seq,
+  replace(replace('id 0000001 code 00000002', '00000002', CAST(unit_seq + 90000000 AS VARCHAR)),
+          '0000001', CAST(unit_seq + 1000000 AS VARCHAR)) AS sequential,
+  text AS single_pass FROM {HAZARD_SQL}""")
+def restore_modes(spark, d):
+    units = hazard_units(spark, d)
+    rules = _rules("id")
+    r = redact(units, "text", ["unit_seq"], ["unit_seq"], rules=rules)
+    seq = restore(r.redacted, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="sequential")
+    one = restore(r.redacted, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="single_pass", rules=rules)
+    return (seq.withColumnRenamed("text", "sequential")
+            .join(one.withColumnRenamed("text", "single_pass"), "unit_seq"))
