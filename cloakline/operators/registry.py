@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import render
 from ..functions.text import strip_ws
 from ..rules import Rule
-from ..session import checkpointed, partitions
+from ..session import checkpointed
 
 # A (scope, rule) group above this many distinct values is numbered with the
 # ranged two-phase form instead of one window partition.
@@ -73,9 +73,9 @@ def number_ranged(keys: DataFrame) -> DataFrame:
        rows — and prefix-sum those counts in a window;
     3. ``n = rows in earlier partitions + rank inside this partition``.
     """
-    spark = keys.sparkSession
     ordered = keys.sortWithinPartitions("_scope", "rule", "first_pos")
-    ranged = (ordered.repartitionByRange(partitions(spark), "_scope", "rule", "first_pos")
+    # no fixed count: AQE may merge adjacent ranges, which keeps them ordered
+    ranged = (ordered.repartitionByRange("_scope", "rule", "first_pos")
               .sortWithinPartitions("_scope", "rule", "first_pos")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_gid", F.monotonically_increasing_id()))

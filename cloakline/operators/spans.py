@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, split_ws
@@ -125,15 +125,77 @@ def plan_detectors(rules: list[Rule], have_entities: bool, use_entities: bool =
     return kinds
 
 
+# Texts longer than this many characters take the row-based route: per-row
+# arrays cost O(matches^2) (fold with concat, exists per candidate), the
+# row-based route is O(matches log matches).  Both give identical spans.
+HEAVY_CHARS = 100_000
+
+
+def _heavy(text: Column) -> Column:
+    return F.length(text) > F.lit(HEAVY_CHARS)
+
+
+def _rows_of(units: DataFrame, key_cols: list[str], text: Column, rule: Rule, k: int, kind: str,
+             ents_col: str | None) -> DataFrame:
+    """Candidates of one rule as rows ``keys, k, s, e, v`` — linear per text."""
+    if kind == "regex" and rule.native:
+        pieces = _pieces(text, rule.java)
+        if rule.literal:
+            pieces = F.when(F.instr(text, rule.literal) > 0, pieces).otherwise(F.array(text))
+        df = (units.select(*key_cols, F.posexplode_outer(pieces).alias("_i", "_p"))
+              .where(F.col("_i").isNotNull()))
+        w = Window.partitionBy(*key_cols).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("s", F.coalesce(F.sum(F.length("_p")).over(w), F.lit(0)).cast("int"))
+        df = df.where(F.col("_i") % 2 == 1).select(
+            *key_cols, F.lit(k).alias("k"), "s", (F.col("s") + F.length("_p")).alias("e"), F.col("_p").alias("v"))
+    else:
+        if kind == "entity":  # within-rule overlaps of an entity list: sequential fold on its own list
+            arr = F.aggregate(entity_candidates(text, F.col(ents_col), rule, k), _empty(), lambda acc, x: F.when(
+                overlaps(acc, x["s"], x["e"]), acc).otherwise(F.concat(acc, F.array(x))))
+        else:
+            arr = _python_scanner(rule, k)(text)
+        df = (units.select(*key_cols, F.explode_outer(arr).alias("h")).where(F.col("h").isNotNull())
+              .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
+                      F.col("h.v").alias("v")))
+    return df.where(passes_exclusions(F.col("v"), rule))
+
+
+def _resolve_rows(levels: list[DataFrame], key_cols: list[str]) -> DataFrame:
+    """First-claim-wins over candidate rows, one level per rule: a candidate
+    survives when no earlier-kept span starts before it and ends after its
+    start, none starts at its start (both non-empty), and none starts after it
+    but before its end — running max / min windows in start order."""
+    kept = levels[0]
+    order = Window.partitionBy(*key_cols).orderBy("s")
+    before = order.rangeBetween(Window.unboundedPreceding, -1)
+    same = order.rangeBetween(0, 0)
+    after = order.rangeBetween(1, Window.unboundedFollowing)
+    for cands in levels[1:]:
+        both = kept.withColumn("_kept", F.lit(True)).unionByName(cands.withColumn("_kept", F.lit(False)))
+        ke, ks = F.when(F.col("_kept"), F.col("e")), F.when(F.col("_kept"), F.col("s"))
+        both = (both.withColumn("_pe", F.max(ke).over(before)).withColumn("_se", F.max(ke).over(same))
+                .withColumn("_ns", F.min(ks).over(after)))
+        clash = ((F.col("_pe") > F.col("s")) | ((F.col("_se") > F.col("s")) & (F.col("e") > F.col("s")))
+                 | (F.col("_ns") < F.col("e")))
+        kept = both.where(F.col("_kept") | ~F.coalesce(clash, F.lit(False))).drop("_kept", "_pe", "_se", "_ns")
+    return kept
+
+
 def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
-           use_entities: bool = True, out_col: str = "_spans") -> DataFrame:
+           use_entities: bool = True, out_col: str = "_spans", key_cols: list[str] | None = None) -> DataFrame:
     """Add ``out_col``: kept spans ``array<struct<s,e,k,v>>`` sorted by start.
 
-    Each resolution level is its own projection so the optimizer keeps one
-    evaluation of every regex (levels are referenced twice)."""
+    Ordinary texts: per-row arrays, each resolution level its own projection
+    so the optimizer keeps one evaluation of every regex (levels are
+    referenced twice).  Texts over ``HEAVY_CHARS`` characters (when the unit
+    key is known): candidate rows, windows clustered by the unit key — with
+    units hash-partitioned on that key there is no extra shuffle — joined back
+    with a shuffled hash join (no sort of the text side)."""
     text = F.col(text_col)
+    if key_cols is None and {"_scope", "_unit"} <= set(units.columns):
+        key_cols = ["_scope", "_unit"]
     kinds = plan_detectors(rules, ents_col is not None, use_entities)
-    blank = is_blank(text)
+    skip = is_blank(text) | (_heavy(text) if key_cols else F.lit(False))
     cand_cols = []
     for k, (r, kind) in enumerate(zip(rules, kinds)):
         if kind == "entity":
@@ -142,7 +204,7 @@ def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_co
             c = regex_candidates(text, r, k)
         else:
             continue
-        cand_cols.append((f"_c{k}", kind, F.when(blank, _empty()).otherwise(c)))
+        cand_cols.append((f"_c{k}", kind, F.when(skip, _empty()).otherwise(c)))
     base = [c for c in units.columns]
     df = units.select(*base, *[c.alias(n) for n, _, c in cand_cols])
     kept = "_kept"
@@ -154,19 +216,35 @@ def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_co
         else:
             step = F.concat(F.col(kept), F.filter(F.col(name), lambda x: ~overlaps(F.col(kept), x["s"], x["e"])))
         df = df.select(*base, *[n for n, _, _ in cand_cols], step.alias(kept))
-    return df.select(*base, F.array_sort(F.col(kept)).alias(out_col))
+    light = F.array_sort(F.col(kept))
+    if not key_cols or not cand_cols:
+        return df.select(*base, light.alias(out_col))
+    heavy_units = units.where(_heavy(text) & ~is_blank(text))
+    levels = [_rows_of(heavy_units, key_cols, text, rules[k], k, kind, ents_col)
+              for k, kind in enumerate(kinds) if kind != "none"]
+    heavy = (_resolve_rows(levels, key_cols).groupBy(*key_cols)
+             .agg(F.array_sort(F.collect_list(F.struct("s", "e", "k", "v"))).alias("_hv")))
+    df = df.join(heavy.hint("shuffle_hash"), key_cols, "left")
+    spans = F.when(F.col("_hv").isNotNull(), F.col("_hv")).otherwise(light).cast(SPAN_T)
+    return df.select(*base, spans.alias(out_col))
 
 
 def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text") -> DataFrame:
     """Every candidate of every regex rule (before overlap resolution), one row
-    per hit: ``key_cols, rule, k, s, e, v``."""
+    per hit: ``key_cols, rule, k, s, e, v``.  Long texts take the row route."""
     text = F.col(text_col)
     names = F.array(*[F.lit(r.name) for r in rules])
-    arrs = [F.when(is_blank(text), _empty()).otherwise(regex_candidates(text, r, k))
+    arrs = [F.when(is_blank(text) | _heavy(text), _empty()).otherwise(regex_candidates(text, r, k))
             for k, r in enumerate(rules) if r.regex is not None]
     # explode_outer + filter: a plain explode makes the optimizer infer
     # size(...) > 0 and push the whole span expression below the exchange
-    return (units.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
-            .where(F.col("h").isNotNull())
-            .select(*key_cols, F.element_at(names, F.col("h.k") + 1).alias("rule"), F.col("h.k").alias("k"),
-                    F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))
+    light = (units.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
+             .where(F.col("h").isNotNull())
+             .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
+                     F.col("h.v").alias("v")))
+    heavy_units = units.where(_heavy(text) & ~is_blank(text))
+    rows = light
+    for k, r in enumerate(rules):
+        if r.regex is not None:
+            rows = rows.unionByName(_rows_of(heavy_units, key_cols, text, r, k, "regex", None))
+    return rows.select(*key_cols, F.element_at(names, F.col("k") + 1).alias("rule"), "k", "s", "e", "v")

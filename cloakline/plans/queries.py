@@ -89,7 +89,8 @@ def resolve_overlaps(spark, d):
     rules = _rules()
     units = _spread(order_units(spark, d), ["unit_seq"]).select("unit_seq", F.col("text").alias("_text"))
     names = reg.rule_names(rules)
-    return (detect(units, rules).select("unit_seq", F.explode_outer("_spans").alias("h")).where(F.col("h").isNotNull())
+    return (detect(units, rules, key_cols=["unit_seq"]).select("unit_seq", F.explode_outer("_spans").alias("h"))
+            .where(F.col("h").isNotNull())
             .select("unit_seq", F.element_at(names, F.col("h.k") + 1).alias("rule"),
                     F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))
 
@@ -152,13 +153,13 @@ def stats_docs(spark, d):
 _OC, _OL = _orders_registry_ctes(_rules())
 
 
-def _orders_redaction(spark, d, numbering="ranged", rules=None):
+def _orders_redaction(spark, d, numbering="auto", rules=None):
     return redact(order_units(spark, d), "text", ["unit_seq"], None, rules=rules or _rules(), numbering=numbering)
 
 
 @register("registry_orders", _with(_OC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
 def registry_orders(spark, d):
-    r = _orders_redaction(spark, d)
+    r = _orders_redaction(spark, d, numbering="ranged")  # the two-phase path, checked by the oracle
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 

@@ -175,3 +175,33 @@ def test_partition_invariance(spark, numbering):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_heavy_route_equals_array_route(spark, monkeypatch):
+    """Long texts take the row-based route; force it for every text and
+    compare with the per-row array route."""
+    import cloakline.operators.spans as sp
+    from cloakline.operators.spans import detect
+
+    rnd = random.Random(11)
+    texts = [_edge_text(rnd) for _ in range(400)] + CASES[:-1]
+    rules = load_rules(proper_nouns=True) + build_rules(load_config(EXAMPLE_CONFIG))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, _text string")
+    light = sorted((i, tuple(map(tuple, s))) for i, s in detect(df, rules, key_cols=["id"]).select("id", "_spans").collect())
+    cands_light = sorted(map(tuple, candidates_table(df, rules, ["id"]).collect()))
+    monkeypatch.setattr(sp, "HEAVY_CHARS", 0)
+    heavy = sorted((i, tuple(map(tuple, s))) for i, s in detect(df, rules, key_cols=["id"]).select("id", "_spans").collect())
+    cands_heavy = sorted(map(tuple, candidates_table(df, rules, ["id"]).collect()))
+    assert heavy == light and cands_heavy == cands_light
+    # entity lists (overlapping on purpose) through both routes
+    from cloakline.plans.jobs import entity_lists, to_units
+    ents = spark.createDataFrame([(1, 4, 15, "PERSON"), (1, 8, 20, "PERSON"), (1, 28, 41, "PERSON"),
+                                  (1, 0, 3, "GPE")], "id long, s int, e int, label string")
+    u = to_units(spark.createDataFrame([(1, "Met Alice Smith in Paris on January First x@y.com")],
+                                       "id long, text string"), "text", ["id"])
+    u = u.join(entity_lists(ents, ["id"], None), ["_scope", "_unit"], "left")
+    name = rule("name", "P{n}", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", spacy_ner=True, exclusions=["January"])
+    got_heavy = detect(u, [EMAIL, name], ents_col="_ents").first()["_spans"]
+    monkeypatch.setattr(sp, "HEAVY_CHARS", 100_000)
+    got_light = detect(u, [EMAIL, name], ents_col="_ents").first()["_spans"]
+    assert got_heavy == got_light and [(x.s, x.e) for x in got_light] == [(4, 15), (42, 49)]
