@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,9 +127,10 @@ def plan_detectors(rules: list[Rule], have_entities: bool, use_entities: bool =
 
 
 # Texts longer than this many characters take the row-based route: per-row
-# arrays cost O(matches^2) (fold with concat, exists per candidate), the
+# arrays cost O(matches^2) (fold with concat, exists per candidate), which
+# this bound keeps near 10^7 steps per text even when matches are dense; the
 # row-based route is O(matches log matches).  Both give identical spans.
-HEAVY_CHARS = 100_000
+HEAVY_CHARS = 20_000
 
 
 def _heavy(text: Column) -> Column:
@@ -216,17 +218,23 @@ def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_co
         else:
             step = F.concat(F.col(kept), F.filter(F.col(name), lambda x: ~overlaps(F.col(kept), x["s"], x["e"])))
         df = df.select(*base, *[n for n, _, _ in cand_cols], step.alias(kept))
-    light = F.array_sort(F.col(kept))
+    light = df.select(*base, F.array_sort(F.col(kept)).alias(out_col))
     if not key_cols or not cand_cols:
-        return df.select(*base, light.alias(out_col))
+        return light
+    # Persist the ordinary result (callers reuse it) and add the row route
+    # only when a long text is actually present.
+    light = light.persist(StorageLevel.MEMORY_AND_DISK)
+    # count(), not limit(1): one parallel job that also fills the cache
+    if light.where(_heavy(text) & ~is_blank(text)).count() == 0:
+        return light
     heavy_units = units.where(_heavy(text) & ~is_blank(text))
     levels = [_rows_of(heavy_units, key_cols, text, rules[k], k, kind, ents_col)
               for k, kind in enumerate(kinds) if kind != "none"]
     heavy = (_resolve_rows(levels, key_cols).groupBy(*key_cols)
              .agg(F.array_sort(F.collect_list(F.struct("s", "e", "k", "v"))).alias("_hv")))
-    df = df.join(heavy.hint("shuffle_hash"), key_cols, "left")
-    spans = F.when(F.col("_hv").isNotNull(), F.col("_hv")).otherwise(light).cast(SPAN_T)
-    return df.select(*base, spans.alias(out_col))
+    patched = light.join(heavy.hint("shuffle_hash"), key_cols, "left")
+    spans = F.when(F.col("_hv").isNotNull(), F.col("_hv")).otherwise(F.col(out_col)).cast(SPAN_T)
+    return patched.select(*base, spans.alias(out_col))
 
 
 def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text") -> DataFrame:
@@ -243,6 +251,8 @@ def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], t
              .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
                      F.col("h.v").alias("v")))
     heavy_units = units.where(_heavy(text) & ~is_blank(text))
+    if heavy_units.count() == 0:
+        return light.select(*key_cols, F.element_at(names, F.col("k") + 1).alias("rule"), "k", "s", "e", "v")
     rows = light
     for k, r in enumerate(rules):
         if r.regex is not None:

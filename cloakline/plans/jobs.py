@@ -52,7 +52,9 @@ def to_units(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list
     """Add ``_scope`` / ``_unit`` (unit identity and first-seen order) and
     ``_text``; other columns ride along untouched."""
     unit = F.col(order_col) if order_col else F.struct(*[F.col(c) for c in key_cols])
-    return df.select("*", scope_struct(scope_cols).alias("_scope"), unit.alias("_unit"),
+    # the text travels once, as _text (callers rename it back)
+    rest = [c for c in df.columns if c != text_col]
+    return df.select(*rest, scope_struct(scope_cols).alias("_scope"), unit.alias("_unit"),
                      F.col(text_col).alias("_text"))
 
 

@@ -49,7 +49,7 @@ def _spread(df: DataFrame, ids) -> DataFrame:
 
 
 def _cands(df: DataFrame, rules, ids, cols=("s", "e", "v")) -> DataFrame:
-    units = _spread(df, ids).select(*ids, F.col("text").alias("_text"))
+    units = _spread(df, ids).select(*ids, F.col("text").alias("_text")).persist()
     return candidates_table(units, rules, list(ids)).select(*ids, *cols)
 
 
