@@ -126,15 +126,11 @@ def plan_detectors(rules: list[Rule], have_entities: bool, use_entities: bool =
     return kinds
 
 
-# Texts longer than this many characters take the row-based route: per-row
-# arrays cost O(matches^2) (fold with concat, exists per candidate), which
-# this bound keeps near 10^7 steps per text even when matches are dense; the
-# row-based route is O(matches log matches).  Both give identical spans.
-HEAVY_CHARS = 20_000
-
-
-def _heavy(text: Column) -> Column:
-    return F.length(text) > F.lit(HEAVY_CHARS)
+# A text where some rule has more than this many matches takes the row-based
+# route: the per-row array route costs O(matches^2) (a fold with concat, an
+# ``exists`` per candidate), the row route O(matches log matches).  Both give
+# identical spans; the bound keeps the array route near 10^7 steps per text.
+MAX_ARRAY_MATCHES = 1000
 
 
 def _rows_of(units: DataFrame, key_cols: list[str], text: Column, rule: Rule, k: int, kind: str,
@@ -183,78 +179,129 @@ def _resolve_rows(levels: list[DataFrame], key_cols: list[str]) -> DataFrame:
     return kept
 
 
-def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
-           use_entities: bool = True, out_col: str = "_spans", key_cols: list[str] | None = None) -> DataFrame:
-    """Add ``out_col``: kept spans ``array<struct<s,e,k,v>>`` sorted by start.
+def _excluded(arr: Column, rule: Rule) -> Column:
+    return F.filter(arr, lambda x: passes_exclusions(x["v"], rule))
 
-    Ordinary texts: per-row arrays, each resolution level its own projection
-    so the optimizer keeps one evaluation of every regex (levels are
-    referenced twice).  Texts over ``HEAVY_CHARS`` characters (when the unit
-    key is known): candidate rows, windows clustered by the unit key — with
-    units hash-partitioned on that key there is no extra shuffle — joined back
-    with a shuffled hash join (no sort of the text side)."""
+
+def candidate_frame(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
+                    use_entities: bool = True, route_long: bool = False) -> tuple[DataFrame, list]:
+    """Per-row candidate arrays ``_c{k}`` plus ``_long`` (some rule has more
+    than ``MAX_ARRAY_MATCHES`` matches: left empty here, see :func:`patch_long`).
+    Regex pieces are their own projection, so sizing them costs no second
+    regex pass."""
     text = F.col(text_col)
-    if key_cols is None and {"_scope", "_unit"} <= set(units.columns):
-        key_cols = ["_scope", "_unit"]
     kinds = plan_detectors(rules, ents_col is not None, use_entities)
-    skip = is_blank(text) | (_heavy(text) if key_cols else F.lit(False))
-    cand_cols = []
+    blank = is_blank(text)
+    base = list(units.columns)
+    raw, sizes = [], []
     for k, (r, kind) in enumerate(zip(rules, kinds)):
-        if kind == "entity":
-            c = entity_candidates(text, F.col(ents_col), r, k)
+        if kind == "regex" and r.native:
+            p = _pieces(text, r.java)
+            if r.literal:
+                p = F.when(F.instr(text, r.literal) > 0, p).otherwise(F.array(text))
+            raw.append((k, "pieces", F.when(blank, F.array().cast("array<string>")).otherwise(p)))
+            sizes.append((F.size(F.col(f"_r{k}")) - 1) / 2)
         elif kind == "regex":
-            c = regex_candidates(text, r, k)
-        else:
-            continue
-        cand_cols.append((f"_c{k}", kind, F.when(skip, _empty()).otherwise(c)))
-    base = [c for c in units.columns]
-    df = units.select(*base, *[c.alias(n) for n, _, c in cand_cols])
+            raw.append((k, "spans", F.when(blank, _empty()).otherwise(_python_scanner(r, k)(text))))
+            sizes.append(F.size(F.col(f"_r{k}")))
+        elif kind == "entity":
+            raw.append((k, "spans", F.when(blank, _empty()).otherwise(entity_candidates(text, F.col(ents_col), r, k))))
+            sizes.append(F.size(F.col(f"_r{k}")))
+    df = units.select(*base, *[c.alias(f"_r{k}") for k, _, c in raw])
+    too_many = F.lit(False)
+    if route_long:
+        for sz in sizes:
+            too_many = too_many | (sz > F.lit(MAX_ARRAY_MATCHES))
+    df = df.withColumn("_long", too_many)
+    cands = []
+    for k, form, _ in raw:
+        arr = _offsets(F.col(f"_r{k}"), k) if form == "pieces" else F.col(f"_r{k}")
+        if kinds[k] != "entity":
+            arr = _excluded(arr, rules[k])
+        cands.append((f"_c{k}", kinds[k], F.when(F.col("_long"), _empty()).otherwise(arr)))
+    df = df.select(*base, "_long", *[c.alias(n) for n, _, c in cands])
+    return df, cands
+
+
+def detect_light(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
+                 use_entities: bool = True, out_col: str = "_spans", skip_long: bool = False) -> DataFrame:
+    """Per-row array route: ``out_col`` = kept spans sorted by start, plus the
+    ``_long`` flag.  Each resolution level is its own projection so the
+    optimizer keeps one evaluation of every regex (levels are referenced
+    twice).  With ``skip_long`` texts flagged ``_long`` get no spans here."""
+    df, cands = candidate_frame(units, rules, text_col, ents_col, use_entities, route_long=skip_long)
+    base = list(units.columns)
     kept = "_kept"
     df = df.withColumn(kept, _empty())
-    for name, kind, _ in cand_cols:
+    for name, kind, _ in cands:
         if kind == "entity":
             step = F.aggregate(F.col(name), F.col(kept), lambda acc, x: F.when(
                 overlaps(acc, x["s"], x["e"]), acc).otherwise(F.concat(acc, F.array(x))))
         else:
             step = F.concat(F.col(kept), F.filter(F.col(name), lambda x: ~overlaps(F.col(kept), x["s"], x["e"])))
-        df = df.select(*base, *[n for n, _, _ in cand_cols], step.alias(kept))
-    light = df.select(*base, F.array_sort(F.col(kept)).alias(out_col))
-    if not key_cols or not cand_cols:
-        return light
-    # Persist the ordinary result (callers reuse it) and add the row route
-    # only when a long text is actually present.
-    light = light.persist(StorageLevel.MEMORY_AND_DISK)
-    # count(), not limit(1): one parallel job that also fills the cache
-    if light.where(_heavy(text) & ~is_blank(text)).count() == 0:
-        return light
-    heavy_units = units.where(_heavy(text) & ~is_blank(text))
+        df = df.select(*base, "_long", *[n for n, _, _ in cands], step.alias(kept))
+    return df.select(*base, "_long", F.array_sort(F.col(kept)).alias(out_col))
+
+
+def long_units(df: DataFrame, text_col: str = "_text") -> Column:
+    return F.col("_long")
+
+
+def patch_long(light: DataFrame, units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text",
+               ents_col: str | None = None, use_entities: bool = True, out_col: str = "_spans") -> DataFrame:
+    """Row route for texts flagged ``_long``: candidate rows, windows
+    clustered by the unit key (no extra shuffle when units are hash-partitioned
+    on it), joined back with a shuffled hash join (no sort of the text side)."""
+    text = F.col(text_col)
+    kinds = plan_detectors(rules, ents_col is not None, use_entities)
+    heavy_units = light.where(F.col("_long")).select(*units.columns)
     levels = [_rows_of(heavy_units, key_cols, text, rules[k], k, kind, ents_col)
               for k, kind in enumerate(kinds) if kind != "none"]
+    if not levels:
+        return light
     heavy = (_resolve_rows(levels, key_cols).groupBy(*key_cols)
              .agg(F.array_sort(F.collect_list(F.struct("s", "e", "k", "v"))).alias("_hv")))
     patched = light.join(heavy.hint("shuffle_hash"), key_cols, "left")
     spans = F.when(F.col("_hv").isNotNull(), F.col("_hv")).otherwise(F.col(out_col)).cast(SPAN_T)
-    return patched.select(*base, spans.alias(out_col))
+    return patched.withColumn(out_col, spans).select(*light.columns)
+
+
+def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
+           use_entities: bool = True, out_col: str = "_spans", key_cols: list[str] | None = None) -> DataFrame:
+    """Add ``out_col``: kept spans ``array<struct<s,e,k,v>>`` sorted by start.
+
+    With a unit key (``key_cols``, or ``_scope``/``_unit`` when present) the
+    result is persisted and long texts take the row route when any exist."""
+    if key_cols is None and {"_scope", "_unit"} <= set(units.columns):
+        key_cols = ["_scope", "_unit"]
+    light = detect_light(units, rules, text_col, ents_col, use_entities, out_col, skip_long=bool(key_cols))
+    if not key_cols:
+        return light
+    light = light.persist(StorageLevel.MEMORY_AND_DISK)
+    # count(), not limit(1): one parallel job that also fills the cache
+    if light.where(long_units(light, text_col)).count() == 0:
+        return light
+    return patch_long(light, units, rules, key_cols, text_col, ents_col, use_entities, out_col)
 
 
 def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text") -> DataFrame:
     """Every candidate of every regex rule (before overlap resolution), one row
-    per hit: ``key_cols, rule, k, s, e, v``.  Long texts take the row route."""
-    text = F.col(text_col)
+    per hit: ``key_cols, rule, k, s, e, v``.  Texts with many matches take the
+    row route."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    arrs = [F.when(is_blank(text) | _heavy(text), _empty()).otherwise(regex_candidates(text, r, k))
-            for k, r in enumerate(rules) if r.regex is not None]
+    rx = [r for r in rules if r.regex is not None]
+    frame, cands = candidate_frame(units, rules, text_col, None, False, route_long=True)
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    arrs = [F.col(n) for n, kind, _ in cands if kind == "regex"]
     # explode_outer + filter: a plain explode makes the optimizer infer
     # size(...) > 0 and push the whole span expression below the exchange
-    light = (units.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
-             .where(F.col("h").isNotNull())
-             .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
-                     F.col("h.v").alias("v")))
-    heavy_units = units.where(_heavy(text) & ~is_blank(text))
-    if heavy_units.count() == 0:
-        return light.select(*key_cols, F.element_at(names, F.col("k") + 1).alias("rule"), "k", "s", "e", "v")
-    rows = light
-    for k, r in enumerate(rules):
-        if r.regex is not None:
-            rows = rows.unionByName(_rows_of(heavy_units, key_cols, text, r, k, "regex", None))
+    rows = (frame.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
+            .where(F.col("h").isNotNull())
+            .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
+                    F.col("h.v").alias("v")))
+    if rx and frame.where(F.col("_long")).count() > 0:
+        heavy_units = frame.where(F.col("_long")).select(*units.columns)
+        for k, r in enumerate(rules):
+            if r.regex is not None:
+                rows = rows.unionByName(_rows_of(heavy_units, key_cols, F.col(text_col), r, k, "regex", None))
     return rows.select(*key_cols, F.element_at(names, F.col("k") + 1).alias("rule"), "k", "s", "e", "v")

@@ -178,8 +178,8 @@ def test_partition_invariance(spark, numbering):
 
 
 def test_heavy_route_equals_array_route(spark, monkeypatch):
-    """Long texts take the row-based route; force it for every text and
-    compare with the per-row array route."""
+    """Texts with many matches take the row-based route; force it for every
+    text with a match and compare with the per-row array route."""
     import cloakline.operators.spans as sp
     from cloakline.operators.spans import detect
 
@@ -189,7 +189,7 @@ def test_heavy_route_equals_array_route(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, _text string")
     light = sorted((i, tuple(map(tuple, s))) for i, s in detect(df, rules, key_cols=["id"]).select("id", "_spans").collect())
     cands_light = sorted(map(tuple, candidates_table(df, rules, ["id"]).collect()))
-    monkeypatch.setattr(sp, "HEAVY_CHARS", 0)
+    monkeypatch.setattr(sp, "MAX_ARRAY_MATCHES", 0)
     heavy = sorted((i, tuple(map(tuple, s))) for i, s in detect(df, rules, key_cols=["id"]).select("id", "_spans").collect())
     cands_heavy = sorted(map(tuple, candidates_table(df, rules, ["id"]).collect()))
     assert heavy == light and cands_heavy == cands_light
@@ -202,6 +202,6 @@ def test_heavy_route_equals_array_route(spark, monkeypatch):
     u = u.join(entity_lists(ents, ["id"], None), ["_scope", "_unit"], "left")
     name = rule("name", "P{n}", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", spacy_ner=True, exclusions=["January"])
     got_heavy = detect(u, [EMAIL, name], ents_col="_ents").first()["_spans"]
-    monkeypatch.setattr(sp, "HEAVY_CHARS", 100_000)
+    monkeypatch.setattr(sp, "MAX_ARRAY_MATCHES", 1000)
     got_light = detect(u, [EMAIL, name], ents_col="_ents").first()["_spans"]
     assert got_heavy == got_light and [(x.s, x.e) for x in got_light] == [(4, 15), (42, 49)]
