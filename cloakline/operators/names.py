@@ -27,7 +27,6 @@ from ..functions.text import WORD, is_blank, split_ws, strip_ws
 from ..rules import Rule
 from ..session import partitions
 from . import registry as reg
-from .spans import detect
 from .splice import splice
 
 # Header aliases (lower-cased, stripped) of name columns.
@@ -121,9 +120,14 @@ def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
 def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto") -> dict:
     """Number one sheet's events (spans + component fallbacks) and splice its
     cells.  ``units``: ``_scope, _unit, _text, _cell, col``."""
+    from ..plans.jobs import spans_checked
+
     n = partitions(units.sparkSession)
     units = units.repartition(n, "_scope", "_unit")
-    spanned = detect(units, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    # every cell adds at most one fallback event to the bound
+    spanned, bound = spans_checked(units, rules, extra=F.col("_cell").cast("int"))
+    if numbering == "auto":
+        numbering = "window" if bound <= reg.WINDOW_GROUP_MAX else "ranged"
     occ = reg.occurrences(spanned, rules)
     name_k = next((k for k, r in enumerate(rules) if r.name == "name"), None)
     events = occ

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators import registry as reg
 from ..operators.names import cells_to_table, redact_sheet, sheet_units
 from ..operators.restore import restore_sequential, restore_tokens
-from ..operators.spans import detect_light, long_units, patch_long
+from ..operators.spans import detect_light, patch_long
 from ..operators.splice import splice
 from ..rules import Rule, load_rules
 from ..session import partitions
@@ -75,6 +75,30 @@ def scope_columns(df: DataFrame, scope_cols: list[str] | None) -> DataFrame:
     return df.drop("_scope")
 
 
+def spans_checked(units: DataFrame, rules: list[Rule], ents_col: str | None = None, use_entities: bool = True,
+                  extra: F.Column | None = None):
+    """Kept spans of hash-partitioned units, persisted, plus a bound on the
+    values one (scope, rule) can hold.
+
+    One pass over the persisted spans answers both size checks: are there
+    texts with too many matches for the array route (they take the row
+    route), and how many occurrences can one scope hold (``extra`` adds
+    further events per unit)."""
+    spanned = detect_light(units, rules, "_text", ents_col, use_entities, skip_long=True)
+    spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
+    long_ = F.col("_long")
+    events = F.size("_spans") + F.when(long_, F.length("_text")).otherwise(F.lit(0))
+    if extra is not None:
+        events = events + extra
+    per_scope = spanned.groupBy("_scope").agg(F.sum(events).alias("bound"),
+                                              F.sum(F.when(long_, 1).otherwise(0)).alias("long"))
+    bound, n_long = per_scope.agg(F.max("bound"), F.sum("long")).first()
+    if n_long:
+        spanned = patch_long(spanned, units, rules, ["_scope", "_unit"], "_text", ents_col, use_entities)
+        spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
+    return spanned, int(bound or 0)
+
+
 def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None,
                  use_entities: bool = True, numbering: str = "auto", splice_mask=None,
                  prior: DataFrame | None = None) -> dict:
@@ -88,24 +112,11 @@ def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
     if entities is not None:
         units = units.join(entities, ["_scope", "_unit"], "left")
         ents_col = "_ents"
-    keys = ["_scope", "_unit"]
-    spanned = detect_light(units, rules, "_text", ents_col, use_entities, skip_long=True)
-    spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
-    # One pass over the persisted spans answers both size checks: are there
-    # long texts for the row route, and how many values can one (scope, rule)
-    # hold at most (occurrences; a long text's length bounds its matches)?
-    long_ = long_units(spanned)
-    per_scope = spanned.groupBy("_scope").agg(
-        F.sum(F.size("_spans") + F.when(long_, F.length("_text")).otherwise(F.lit(0))).alias("bound"),
-        F.sum(F.when(long_, 1).otherwise(0)).alias("long"))
-    bound, n_long = per_scope.agg(F.max("bound"), F.sum("long")).first()
-    if n_long:
-        spanned = patch_long(spanned, units, rules, keys, "_text", ents_col, use_entities)
-        spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
+    spanned, bound = spans_checked(units, rules, ents_col, use_entities)
     if ents_col:
         spanned = spanned.drop(ents_col)
     if numbering == "auto":
-        numbering = "window" if (bound or 0) <= reg.WINDOW_GROUP_MAX else "ranged"
+        numbering = "window" if bound <= reg.WINDOW_GROUP_MAX else "ranged"
     occ = reg.occurrences(spanned, rules)
     if prior is None:
         registry = reg.build_registry(occ, rules, numbering)
