@@ -1,0 +1,33 @@
+"""Plan shape: the text is shuffled once; filters and columns reach the scan."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from cloakline.plans.jobs import redact
+from cloakline.rules import load_rules
+from conftest import SF001
+
+
+def _plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_shuffled_once(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    r = redact(docs, "text", ["doc_id"], ["doc_id"], rules=load_rules())
+    plan = _plan(r.redacted)
+    # the per-unit regroup reuses the units' hash partitioning: no second
+    # exchange on (_scope, _unit) feeding the join with the text
+    assert not re.search(r"Exchange hashpartitioning\(_scope#\d+, _unit#\d+, \d+\), ENSURE_REQUIREMENTS", plan)
+    assert re.search(r"Exchange hashpartitioning\(_scope#\d+, _unit#\d+, \d+\), REPARTITION_BY_NUM", plan)
+
+
+def test_scan_is_pruned_and_filtered(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").where(F.col("lang") == "en").select("doc_id", "text")
+    r = redact(docs, "text", ["doc_id"], ["doc_id"], rules=load_rules())
+    plan = _plan(r.redacted)
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
+    assert scans and all("PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in s for s in scans)
+    assert all("source" not in s.split("ReadSchema:")[1] for s in scans)
