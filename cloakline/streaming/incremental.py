@@ -27,21 +27,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def registry_path(state_dir: str, batch_id: int) -> str:
-    return f"{state_dir}/registry/batch={batch_id}"
+def registry_path(state_dir: str) -> str:
+    return f"{state_dir}/registry"
 
 
 def redact_batch(batch: DataFrame, batch_id: int, state_dir: str, text_col: str, key_cols: list[str],
                  rules: list[Rule]) -> None:
+    """Redact one micro-batch.  The registry is stored as append-only deltas,
+    one ``batch=<id>`` partition holding the values first seen in that batch;
+    the batch reads the partitions before it (partition pruning) and
+    overwrites only its own, so a replay gives the same result."""
     spark = batch.sparkSession
     units = batch.withColumn("_ord", F.struct(F.lit(batch_id).alias("batch"),
                                               *[F.col(c) for c in key_cols]))
     prior = None
-    prev = registry_path(state_dir, batch_id - 1)
-    if batch_id > 0 and _exists(spark, prev):
-        prior = Redaction(None, None, None, None, None, [], internal=spark.read.parquet(prev))
+    base = registry_path(state_dir)
+    if batch_id > 0 and _exists(spark, base):
+        old = spark.read.parquet(base).where(F.col("batch") < batch_id).drop("batch")
+        prior = Redaction(None, None, None, None, None, [], internal=old)
     res = redact(units, text_col, key_cols, None, rules=rules, order_col="_ord", prior=prior)
-    res.internal.write.mode("overwrite").parquet(registry_path(state_dir, batch_id))
+    fresh = res.internal.where(F.col("first_pos.u.batch") == batch_id)
+    (fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(base))
     res.redacted.drop("_ord").write.mode("overwrite").parquet(f"{state_dir}/redacted/batch={batch_id}")
 
 
@@ -59,11 +66,5 @@ def start(stream: DataFrame, text_col: str, key_cols: list[str], rules: list[Rul
 
 
 def latest_registry(spark: SparkSession, state_dir: str) -> DataFrame:
-    """The registry written by the last completed batch."""
-    base = f"{state_dir}/registry"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    ids = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                 if s.getPath().getName().startswith("batch="))
-    return spark.read.parquet(registry_path(state_dir, ids[-1]))
+    """The registry after the last completed batch (union of the deltas)."""
+    return spark.read.parquet(registry_path(state_dir)).drop("batch")
