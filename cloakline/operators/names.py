@@ -144,7 +144,7 @@ def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto") -
         events = occ.unionByName(fb)
     registry = reg.build_registry(events, rules, numbering).persist(StorageLevel.MEMORY_AND_DISK)
     cell_events = events.where(F.col("pos.u.phase") == 1)
-    hits = reg.attach_pseudonyms(cell_events, registry)
+    hits = reg.attach_pseudonyms(cell_events, registry, may_be_hot=bound > reg.HOT_KEY_OCCURRENCES)
     repl = (hits.repartition(n, "_scope", "_unit").groupBy("_scope", "_unit")
             .agg(F.array_sort(F.collect_list(F.struct("s", "e", "pseudonym"))).alias("_repl")))
     cells = spanned.where("_cell").join(repl, ["_scope", "_unit"], "left")

@@ -114,12 +114,16 @@ def build_registry(occ: DataFrame, rules: list[Rule], numbering: str = "auto") -
     return numbered.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))
 
 
-def attach_pseudonyms(occ: DataFrame, registry: DataFrame) -> DataFrame:
+def attach_pseudonyms(occ: DataFrame, registry: DataFrame, may_be_hot: bool = True) -> DataFrame:
     """Occurrences joined with their pseudonym.  Values with more than
     ``HOT_KEY_OCCURRENCES`` occurrences are salted: their registry row is
     replicated over ``SALT_BUCKETS`` salts and each occurrence picks one by
-    hashing its position, so no single task receives all of a hot value."""
+    hashing its position, so no single task receives all of a hot value.
+    ``may_be_hot=False`` (no scope has that many occurrences) skips it."""
     keys = ["_scope", "rule", "key"]
+    if not may_be_hot:
+        return occ.join(registry.select(*keys, "pseudonym"), keys).select(
+            "_scope", "_unit", "s", "e", "k", "rule", "key", "pseudonym")
     hot = registry.where(F.col("occurrences") > HOT_KEY_OCCURRENCES).select(*keys, F.lit(True).alias("_hot"))
     # At most total_occurrences / HOT_KEY_OCCURRENCES rows: bounded, broadcast.
     occ = occ.join(F.broadcast(hot), keys, "left").withColumn(

@@ -46,8 +46,9 @@ def passes_exclusions(v: Column, rule: Rule) -> Column:
     if rule.min_word_length > 1:
         cond = cond & F.forall(words, lambda w: F.length(w) >= F.lit(rule.min_word_length))
     if rule.exclusions:
-        excl = F.array(*[F.lit(x) for x in rule.exclusions])
-        cond = cond & ~F.coalesce(F.arrays_overlap(words, excl), F.lit(False))
+        # IN over literals becomes a hash-set lookup (OptimizeIn -> InSet)
+        excl = list(rule.exclusions)
+        cond = cond & ~F.exists(words, lambda w: w.isin(*excl))
     return cond
 
 
@@ -60,7 +61,8 @@ def _pieces(text: Column, java: str) -> Column:
 
 
 def _offsets(pieces: Column, k: int) -> Column:
-    """Odd pieces are matches; running code-point length gives their offsets."""
+    """Odd pieces are matches; running code-point length gives their offsets.
+    A single piece means no match: no fold at all."""
     init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), _empty().alias("out"))
 
     def step(acc, x):
@@ -69,7 +71,7 @@ def _offsets(pieces: Column, k: int) -> Column:
         out = F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
         return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
-    return F.aggregate(pieces, init, step, lambda acc: acc["out"])
+    return F.when(F.size(pieces) <= 1, _empty()).otherwise(F.aggregate(pieces, init, step, lambda acc: acc["out"]))
 
 
 def _python_scanner(rule: Rule, k: int):

@@ -125,7 +125,7 @@ def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
     registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
     targets = spanned if splice_mask is None else spanned.where(F.col(splice_mask))
     occ_t = reg.occurrences(targets, rules)
-    hits = reg.attach_pseudonyms(occ_t, registry)
+    hits = reg.attach_pseudonyms(occ_t, registry, may_be_hot=bound > reg.HOT_KEY_OCCURRENCES)
     repl = (hits.repartition(n, "_scope", "_unit").groupBy("_scope", "_unit")
             .agg(F.array_sort(F.collect_list(F.struct("s", "e", "pseudonym"))).alias("_repl")))
     out = targets.join(repl, ["_scope", "_unit"], "left")
