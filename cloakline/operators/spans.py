@@ -245,10 +245,6 @@ def detect_light(units: DataFrame, rules: list[Rule], text_col: str = "_text", e
     return df.select(*base, "_long", F.array_sort(F.col(kept)).alias(out_col))
 
 
-def long_units(df: DataFrame, text_col: str = "_text") -> Column:
-    return F.col("_long")
-
-
 def patch_long(light: DataFrame, units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text",
                ents_col: str | None = None, use_entities: bool = True, out_col: str = "_spans") -> DataFrame:
     """Row route for texts flagged ``_long``: candidate rows, windows
@@ -281,7 +277,7 @@ def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_co
         return light
     light = light.persist(StorageLevel.MEMORY_AND_DISK)
     # count(), not limit(1): one parallel job that also fills the cache
-    if light.where(long_units(light, text_col)).count() == 0:
+    if light.where(F.col("_long")).count() == 0:
         return light
     return patch_long(light, units, rules, key_cols, text_col, ents_col, use_entities, out_col)
 

@@ -219,3 +219,41 @@ def restore_text_files(spark, paths: str, mapping: DataFrame, mode: str = "seque
     files = (spark.read.text(paths, wholetext=True)
              .select(F.input_file_name().alias("file"), F.col("value").alias("text")))
     return restore(files, "text", ["file"], mapping, ["file"], mode=mode, rules=rules)
+
+
+def redact_lines(pages: DataFrame, file_cols: list[str], page_col: str | None, text_col: str,
+                 rules: list[Rule] | None = None, proper_nouns: bool = False):
+    """S9 job: every line redacted on its own, one registry per file; returns
+    ``(file text DataFrame, Redaction of the lines)``."""
+    from ..sources.units import line_units, page_text
+
+    lines = line_units(pages, file_cols, page_col, text_col)
+    r = redact(lines, "text", ["page_no", "line_no"], file_cols, rules=rules, proper_nouns=proper_nouns)
+    page_list = pages.select(*file_cols, (F.col(page_col) if page_col else F.lit(1)).alias("page_no"))
+    return page_text(r.redacted, page_list, file_cols), r
+
+
+def redact_runs(runs: DataFrame, para_cols: list[str], run_col: str, text_col: str,
+                scope_cols: list[str] | None = None, rules: list[Rule] | None = None, proper_nouns: bool = False):
+    """S5 job: paragraphs made of runs; returns ``(runs written back, Redaction)``."""
+    from ..sources.units import paragraph_units, paragraph_write_back
+
+    paras = paragraph_units(runs, para_cols, run_col, text_col)
+    r = redact(paras, "text", para_cols, scope_cols, rules=rules, proper_nouns=proper_nouns)
+    return paragraph_write_back(runs, paras, r.redacted, para_cols, run_col, text_col), r
+
+
+def redact_kind(df: DataFrame, kind: str, **options):
+    """Dispatch on the unit kind — ``text`` (one unit per row), ``lines``
+    (pages split into lines), ``fragments`` (paragraph runs), ``cells`` (wide
+    table); an unknown kind is an error."""
+    from ..sources.units import check_kind
+
+    check_kind(kind)
+    if kind == "text":
+        return redact(df, **options)
+    if kind == "lines":
+        return redact_lines(df, **options)
+    if kind == "fragments":
+        return redact_runs(df, **options)
+    return redact_table(df, **options)

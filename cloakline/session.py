@@ -1,5 +1,4 @@
-"""Session helpers: local session for tests/bench, checkpoint directory,
-size-checked broadcast."""
+"""Session helpers: local session for tests/bench, checkpoint directory."""
 
 from __future__ import annotations
 
@@ -7,10 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a side is never broadcast explicitly; AQE still may.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cloakline") -> SparkSession:
@@ -55,9 +50,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; larger sides take a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -97,12 +97,3 @@ def cell_units(df: DataFrame, row_col: str, include_header: bool = False) -> Dat
                                        f"row {df.schema[row_col].dataType.simpleString()}, col_idx int, col string, text string")
         stacked = header.unionByName(stacked)
     return stacked
-
-
-def cells_write_back(df: DataFrame, cells: DataFrame, row_col: str) -> DataFrame:
-    """Pivot redacted cells back onto the wide table (header row excluded)."""
-    strs = [c for c in string_columns(df) if c != row_col]
-    back = (cells.where(F.col("row").isNotNull()).groupBy("row")
-            .agg(*[F.max(F.when(F.col("col") == c, F.col("text"))).alias(c) for c in strs]))
-    rest = [c for c in df.columns if c not in strs]
-    return df.select(*rest).join(back.withColumnRenamed("row", row_col), row_col, "left").select(*df.columns)

@@ -195,3 +195,15 @@ def test_streaming_batches_continue_registry(spark):
     got = dict(reg.select("key", "pseudonym").collect())
     assert got == {"a@x.com": "person001@anon.invalid", "b@x.com": "person002@anon.invalid",
                    "c@x.com": "person003@anon.invalid"}
+
+
+def test_kind_dispatch(spark):
+    from cloakline.plans.jobs import redact_kind
+
+    df = spark.createDataFrame([(1, "a@x.com")], "id long, text string")
+    assert redact_kind(df, "text", text_col="text", key_cols=["id"], rules=ALL).redacted.first()["text"] \
+        == "person001@anon.invalid"
+    out, _ = redact_kind(df, "lines", file_cols=["id"], page_col=None, text_col="text", rules=ALL)
+    assert out.first()["text"] == "--- Page 1 ---\nperson001@anon.invalid"
+    with pytest.raises(ValueError):
+        redact_kind(df, "docx")
