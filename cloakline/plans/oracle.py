@@ -53,7 +53,7 @@ def title_spans(src: str, ids: list[str], word: str, max_words: int, min_words:
     i = _ids(ids)
     excl = f"AND NOT list_has_any(words, {str_list(exclusions)})" if exclusions else ""
     return f"""(SELECT g.{i.replace(', ', ', g.')}, g.s, g.e, substring(t.text, g.s + 1, g.e - g.s) AS v FROM (
-      SELECT {i}, min(s) AS s, max(s + length(tok)) AS e, count(*) AS nw, list(tok ORDER BY i) AS words FROM (
+      SELECT {i}, min(s) AS s, CAST(max(s + length(tok)) AS INTEGER) AS e, count(*) AS nw, list(tok ORDER BY i) AS words FROM (
         SELECT *, row_number() OVER (PARTITION BY {i}, island ORDER BY i) AS w FROM (
           SELECT *, sum(CASE WHEN isn AND NOT cont THEN 1 ELSE 0 END)
                       OVER (PARTITION BY {i} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
