@@ -40,6 +40,12 @@ class Redaction:
     scope_cols: list
     internal: DataFrame = None  # registry with internal columns, for continuation (R9)
 
+    def unpersist(self) -> None:
+        """Release the cached span table and registry once outputs are written."""
+        for df in (self.spans, self.internal):
+            if df is not None:
+                df.unpersist()
+
 
 def scope_struct(scope_cols: list[str] | None):
     if scope_cols:

@@ -205,3 +205,23 @@ def test_heavy_route_equals_array_route(spark, monkeypatch):
     monkeypatch.setattr(sp, "MAX_ARRAY_MATCHES", 1000)
     got_light = detect(u, [EMAIL, name], ents_col="_ents").first()["_spans"]
     assert got_heavy == got_light and [(x.s, x.e) for x in got_light] == [(4, 15), (42, 49)]
+
+
+from hypothesis import given, settings, HealthCheck, strategies as st  # noqa: E402
+
+_PIECES = st.sampled_from(["a@b.co", ".x@y.org", "1234567", "12345678", "ab12cd34", "Alice Smith", "Bob",
+                           "Jones", " ", "  ", " ", "\n", ",", "é", "٣", "_", "-", "Mr", "January",
+                           "😀", "x", "Zz", "0", "@"])
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(_PIECES, max_size=14).map("".join), min_size=50, max_size=50))
+def test_hypothesis_spans_match_python(spark, texts):
+    """Property: for generated texts the native scan equals Python re."""
+    from model import passes
+    rules = load_rules(proper_nouns=True)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, _text string")
+    got = sorted(tuple(r) for r in candidates_table(df, rules, ["id"]).collect())
+    exp = sorted((i, r.name, k, m.start(), m.end(), m.group()) for i, t in enumerate(texts) if t.strip()
+                 for k, r in enumerate(rules) for m in r.compiled.finditer(t) if passes(m.group(), r))
+    assert got == exp
