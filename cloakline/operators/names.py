@@ -117,9 +117,11 @@ def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
     return counted.where(F.col("_n") == 1).select("_scope", "word")
 
 
-def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto") -> dict:
+def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto", prior: DataFrame | None = None) -> dict:
     """Number one sheet's events (spans + component fallbacks) and splice its
-    cells.  ``units``: ``_scope, _unit, _text, _cell, col``."""
+    cells.  ``units``: ``_scope, _unit, _text, _cell, col``.  ``prior`` is the
+    registry left by earlier sheets of the same workbook: its values keep their
+    pseudonyms, take part in component words, and counters continue."""
     from ..plans.jobs import spans_checked
 
     n = partitions(units.sparkSession)
@@ -132,7 +134,9 @@ def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto") -
     name_k = next((k for k, r in enumerate(rules) if r.name == "name"), None)
     events = occ
     if name_k is not None:
-        firsts = reg.first_seen(occ).where(F.col("first_pos.u.phase") == 0)
+        firsts = reg.first_seen(occ).where(F.col("first_pos.u.phase") == 0).select("_scope", "rule", "key")
+        if prior is not None:
+            firsts = firsts.unionByName(prior.select("_scope", "rule", "key"))
         comps = component_words(firsts, rules)
         bare = spanned.where(F.col("_cell") & (F.size("_spans") == 0) & F.col("_text").isNotNull())
         fb = (bare.withColumn("word", strip_ws("_text"))
@@ -142,7 +146,11 @@ def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto") -
                       F.col("word").alias("key"),
                       F.struct(F.col("_unit").alias("u"), F.lit(name_k).alias("k"), F.lit(0).alias("s")).alias("pos")))
         events = occ.unionByName(fb)
-    registry = reg.build_registry(events, rules, numbering).persist(StorageLevel.MEMORY_AND_DISK)
+    if prior is None:
+        registry = reg.build_registry(events, rules, numbering)
+    else:
+        registry = reg.continue_registry(prior, events, rules, numbering)
+    registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
     cell_events = events.where(F.col("pos.u.phase") == 1)
     hits = reg.attach_pseudonyms(cell_events, registry, may_be_hot=bound > reg.HOT_KEY_OCCURRENCES)
     repl = (hits.repartition(n, "_scope", "_unit").groupBy("_scope", "_unit")

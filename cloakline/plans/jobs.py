@@ -194,17 +194,22 @@ class TableRedaction:
     header: DataFrame  # col, text: header cells after redaction
     registry: DataFrame
     mapping: DataFrame
+    internal: DataFrame = None  # registry with internal columns (next sheet continues it)
+    sheet: int = 0
 
 
 def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, multi_col_names: bool = False,
-                 proper_nouns: bool = False, numbering: str = "auto") -> TableRedaction:
+                 proper_nouns: bool = False, numbering: str = "auto",
+                 prior: TableRedaction | None = None) -> TableRedaction:
     """J3 (and S8): redact every string cell of a wide table — header row
     included, other types untouched — with one registry for the table.  With
     ``multi_col_names`` the split-name pre-scan and component fallback run
-    (M1-M6)."""
+    (M1-M6).  ``prior``: the previous sheet of the same workbook (shared
+    registry, S8)."""
     rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
-    units = sheet_units(df, row_col, 0, multi_col_names).withColumn("_scope", scope_struct(None))
-    res = redact_sheet(units, rules, numbering)
+    sheet = prior.sheet + 1 if prior is not None else 0
+    units = sheet_units(df, row_col, sheet, multi_col_names).withColumn("_scope", scope_struct(None))
+    res = redact_sheet(units, rules, numbering, prior=prior.internal if prior is not None else None)
     cells = res["cells"]
     registry = res["registry"]
     return TableRedaction(
@@ -213,9 +218,23 @@ def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, m
         registry=registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
                                  "first_v", "first_k", "occurrences"),
         mapping=scope_columns(reg.mapping(registry), None),
+        internal=registry,
+        sheet=sheet,
     )
 
 
+def redact_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | None = None,
+                    multi_col_names: bool = False, proper_nouns: bool = False) -> list[TableRedaction]:
+    """All sheets of a workbook in order with one registry (S8, M6): each
+    sheet continues the registry of the one before (a few sheets; each step is
+    a distributed job)."""
+    out, prior = [], None
+    for df, row_col in sheets:
+        prior = redact_table(df, row_col, rules, multi_col_names, proper_nouns, prior=prior)
+        out.append(prior)
+    return out
+
+
 def restore_text_files(spark, paths: str, mapping: DataFrame, mode: str = "sequential",
                        rules: list[Rule] | None = None) -> DataFrame:
     """Restore plain-text files, each file one unit (``wholetext``).

@@ -207,3 +207,18 @@ def test_kind_dispatch(spark):
     assert out.first()["text"] == "--- Page 1 ---\nperson001@anon.invalid"
     with pytest.raises(ValueError):
         redact_kind(df, "docx")
+
+
+def test_workbook_sheets_share_registry(spark):
+    from cloakline.plans.jobs import redact_workbook
+
+    s1 = spark.createDataFrame([(1, "Alice", "Johnson", "a@x.com")],
+                               "row long, `First Name` string, `Last Name` string, Email string")
+    s2 = spark.createDataFrame([(1, "Johnson", "a@x.com b@x.com")], "row long, Who string, Email string")
+    t1, t2 = redact_workbook([(s1, "row"), (s2, "row")], rules=[EMAIL, NAME], multi_col_names=True)
+    r2 = t2.redacted.first()
+    assert r2["Email"] == "person001@anon.invalid person002@anon.invalid"
+    m = dict(t2.mapping.select("pseudonym", "original").collect())
+    # "Johnson" is a component of "Alice Johnson" registered by sheet 1
+    assert r2["Who"].startswith("Person") and m[r2["Who"]] == "Johnson"
+    assert m[t1.redacted.first()["Last Name"]] == "Johnson"
