@@ -92,36 +92,61 @@ def sheet_units(df: DataFrame, row_col: str, sheet: int = 0, multi_col_names: bo
     return units.unionByName(prescan)
 
 
-def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
-    """M4: ``_scope, word`` for words hitting exactly one source value.
-
-    ``keys``: first-seen registry rows (``_scope, rule, key``) that were
-    registered before the cell phase."""
+def _sheet_phase(pos) -> F.Column:
+    """Registration stage of a first position: 2 * sheet + phase."""
+    return pos["u"]["sheet"] * 2 + pos["u"]["phase"]
+
+
+def component_table(sources: DataFrame, rules: list[Rule]) -> DataFrame:
+    """M4 for every sheet at once: ``_scope, word, lo, hi``.
+
+    ``sources``: registry keys ``_scope, rule, key, stage`` (``stage`` =
+    2 * sheet + phase of their first registration).  A word (2+ characters)
+    is a component for the cells of sheet ``j`` when the values registered
+    before that sheet's cell phase (stage <= 2j) include a value having the
+    word as one of its words, and a word-boundary search for it hits exactly
+    one of them: ``lo <= 2j < hi`` with ``lo`` the stage of its first hit
+    (which must be a value the word comes from) and ``hi`` the stage of the
+    second hit (null when there is none)."""
     eligible = [r.name for r in rules if r.entity or r.name in NAME_LIKE_RULES]
-    src = (keys.where(F.col("rule").isin(eligible) & F.col("key").contains(" "))
-           .select("_scope", "rule", "key").distinct())
-    words = (src.select("_scope", F.explode(F.array_distinct(split_ws("key"))).alias("word"))
-             .where(F.length("word") >= 2).distinct())
+    src = (sources.where(F.col("rule").isin(eligible) & F.col("key").contains(" "))
+           .groupBy("_scope", "rule", "key").agg(F.min("stage").alias("stage")))
+    words = (src.select("_scope", "rule", "key", "stage", F.explode(F.array_distinct(split_ws("key"))).alias("word"))
+             .where(F.length("word") >= 2))
+    origin = words.groupBy("_scope", "word").agg(F.min(F.struct("stage", "rule", "key")).alias("q"))
     # Join key: the word's first \w run (any true hit is a whole run of the
     # source), or its first character when it has no word character at all.
     run = F.regexp_extract(F.col("word"), f"[{WORD}]+", 0)
-    words = words.withColumn("_jk", F.when(run != "", run).otherwise(F.substring("word", 1, 1)))
-    src_keys = src.select("_scope", "rule", "key", F.explode(F.array_distinct(F.concat(
+    cand = origin.withColumn("_jk", F.when(run != "", run).otherwise(F.substring("word", 1, 1)))
+    src_keys = src.select("_scope", "rule", "key", "stage", F.explode(F.array_distinct(F.concat(
         F.regexp_extract_all(F.col("key"), F.lit(f"[{WORD}]+"), F.lit(0)),
         F.split(F.regexp_replace(F.col("key"), f"[{WORD}\\s]", ""), "")))).alias("_jk")).where(F.col("_jk") != "")
-    pairs = words.join(src_keys, ["_scope", "_jk"]).dropDuplicates(["_scope", "word", "rule", "key"])
+    pairs = cand.join(src_keys, ["_scope", "_jk"]).dropDuplicates(["_scope", "word", "rule", "key"])
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pairs = pairs.withColumn("_pat", F.concat(F.lit(f"(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])")))
-    hits = pairs.where(F.expr("key rlike _pat"))
-    counted = hits.groupBy("_scope", "word").agg(F.count_distinct("rule", "key").alias("_n"))
-    return counted.where(F.col("_n") == 1).select("_scope", "word")
+    hits = pairs.where(F.expr("key rlike _pat")).select(
+        "_scope", "word", "q", F.struct("stage", "rule", "key").alias("h"))
+    # first and second hit per word: two partial-aggregation passes, no sort of a group
+    first = hits.groupBy("_scope", "word").agg(F.min("h").alias("p1"), F.first("q").alias("q"))
+    second = (hits.join(first.select("_scope", "word", "p1"), ["_scope", "word"])
+              .where(F.col("h") > F.col("p1")).groupBy("_scope", "word").agg(F.min("h").alias("p2")))
+    comps = first.where(F.col("q") == F.col("p1")).join(second, ["_scope", "word"], "left")
+    return comps.select("_scope", "word", F.col("p1.stage").alias("lo"), F.col("p2.stage").alias("hi"))
+
+
+def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
+    """M4 for one set of registered values (all before the cells):
+    ``_scope, word``."""
+    comps = component_table(keys.withColumn("stage", F.lit(0)), rules)
+    return comps.where(F.col("hi").isNull()).select("_scope", "word")
 
 
 def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto", prior: DataFrame | None = None) -> dict:
-    """Number one sheet's events (spans + component fallbacks) and splice its
+    """Number one workbook's events (spans + component fallbacks; any number
+    of sheets, ``_unit.sheet`` gives their order) in one pass and splice the
     cells.  ``units``: ``_scope, _unit, _text, _cell, col``.  ``prior`` is the
-    registry left by earlier sheets of the same workbook: its values keep their
-    pseudonyms, take part in component words, and counters continue."""
+    registry left by earlier sheets (values keep their pseudonyms, take part
+    in component words, counters continue)."""
     from ..plans.jobs import spans_checked
 
     n = partitions(units.sparkSession)
@@ -134,13 +159,15 @@ def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto", p
     name_k = next((k for k, r in enumerate(rules) if r.name == "name"), None)
     events = occ
     if name_k is not None:
-        firsts = reg.first_seen(occ).where(F.col("first_pos.u.phase") == 0).select("_scope", "rule", "key")
+        sources = reg.first_seen(occ).select("_scope", "rule", "key", _sheet_phase(F.col("first_pos")).alias("stage"))
         if prior is not None:
-            firsts = firsts.unionByName(prior.select("_scope", "rule", "key"))
-        comps = component_words(firsts, rules)
+            sources = sources.unionByName(prior.select("_scope", "rule", "key",
+                                                       _sheet_phase(F.col("first_pos")).alias("stage")))
+        comps = component_table(sources, rules)
         bare = spanned.where(F.col("_cell") & (F.size("_spans") == 0) & F.col("_text").isNotNull())
-        fb = (bare.withColumn("word", strip_ws("_text"))
-              .join(comps, ["_scope", "word"], "left_semi")
+        stage = F.col("_unit.sheet") * 2  # components are fixed before the sheet's cell phase
+        fb = (bare.withColumn("word", strip_ws("_text")).join(comps, ["_scope", "word"])
+              .where((F.col("lo") <= stage) & (F.col("hi").isNull() | (F.col("hi") > stage)))
               .select("_scope", "_unit", F.lit(0).alias("s"), F.length("_text").alias("e"),
                       F.lit(name_k).alias("k"), F.col("word").alias("v"), F.lit("name").alias("rule"),
                       F.col("word").alias("key"),

@@ -27,7 +27,7 @@ from ..operators.restore import restore_sequential, restore_tokens
 from ..operators.spans import detect_light, patch_long
 from ..operators.splice import splice
 from ..rules import Rule, load_rules
-from ..session import partitions
+from ..session import checkpointed, partitions
 
 
 @dataclass
@@ -224,14 +224,31 @@ def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, m
 
 
 def redact_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | None = None,
-                    multi_col_names: bool = False, proper_nouns: bool = False) -> list[TableRedaction]:
-    """All sheets of a workbook in order with one registry (S8, M6): each
-    sheet continues the registry of the one before (a few sheets; each step is
-    a distributed job)."""
-    out, prior = [], None
-    for df, row_col in sheets:
-        prior = redact_table(df, row_col, rules, multi_col_names, proper_nouns, prior=prior)
-        out.append(prior)
+                    multi_col_names: bool = False, proper_nouns: bool = False,
+                    numbering: str = "auto") -> list[TableRedaction]:
+    """All sheets of a workbook with one registry (S8, M6), numbered in one
+    pass in (sheet, phase, row, cell) order: no loop over sheets, component
+    words decided per sheet from the values registered before its cells."""
+    rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
+    units = None
+    for j, (df, row_col) in enumerate(sheets):
+        u = sheet_units(df, row_col, j, multi_col_names)
+        units = u if units is None else units.unionByName(u)
+    units = units.withColumn("_scope", scope_struct(None))
+    res = redact_sheet(units, rules, numbering)
+    # read once per sheet below: a reliable checkpoint keeps each sheet's plan
+    # small (otherwise every branch carries the whole redaction plan)
+    cells, registry = checkpointed(res["cells"]), res["registry"]
+    mapping = scope_columns(reg.mapping(registry), None)
+    public = registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
+                             "first_v", "first_k", "occurrences")
+    out = []
+    for j, (df, row_col) in enumerate(sheets):
+        mine = cells.where(F.col("_unit.sheet") == j)
+        out.append(TableRedaction(
+            redacted=cells_to_table(df, mine, row_col),
+            header=mine.where(F.col("_unit.hdr") == 0).select("col", F.col("_text").alias("text")),
+            registry=public, mapping=mapping, internal=registry, sheet=j))
     return out
 
 

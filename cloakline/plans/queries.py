@@ -590,3 +590,62 @@ def restore_modes(spark, d):
     one = restore(r.redacted, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="single_pass", rules=rules)
     return (seq.withColumnRenamed("text", "sequential")
             .join(one.withColumnRenamed("text", "single_pass"), "unit_seq"))
+
+
+# ── S8 + M6: a workbook of several sheets sharing one registry ──────────────
+
+from ..sources.fixtures import staff_sheets  # noqa: E402
+from .jobs import redact_workbook  # noqa: E402
+
+
+def _workbook_sql() -> str:
+    rules = _rules()
+    name_k = [r.name for r in rules].index("name")
+    S = "CAST(sheet AS BIGINT) * 10000000000000"
+    hdr = " UNION ALL ".join(f"SELECT {S} + 1000000000000 + {i} AS uid, sheet, CAST(NULL AS BIGINT) AS row, "
+                             f"'{c}' AS col, '{c}' AS text, true AS cell FROM sheets" for i, c in enumerate(STAFF_COLS))
+    cells = " UNION ALL ".join(f"SELECT {S} + 1100000000000 + row * 100 + {i}, sheet, row, '{c}', \"{c}\", true "
+                               f"FROM staffs" for i, c in enumerate(STAFF_STR))
+    pre = (f"SELECT {S} + 100000000000 + row * 100, sheet, row, NULL, concat_ws(' ', \"First Name\", "
+           f"\"Last Name\", \"Email\"), false FROM staffs UNION ALL "
+           f"SELECT {S} + 100000000000 + row * 100 + 1, sheet, row, NULL, \"First Name\" || ' ' || \"Last Name\", "
+           f"false FROM staffs")
+    ctes = ["staff0 AS " + staff_sql(),
+            "staffs AS (SELECT s.*, CAST(dense_rank() OVER (ORDER BY c.c_mktsegment) - 1 AS BIGINT) AS sheet "
+            "FROM staff0 s JOIN customer c ON c.c_custkey = s.row)",
+            "sheets AS (SELECT DISTINCT sheet FROM staffs)",
+            f"U AS ({hdr} UNION ALL {cells} UNION ALL {pre})"]
+    kc, last = O.kept(rules, "(SELECT uid, text FROM U)", ["uid"])
+    ctes += kc
+    ctes.append(f"K AS (SELECT uid, k, rule, s, e, v FROM {last})")
+    # sources for sheet j: multi-word name values of the pre-scans of sheets <= j
+    ctes.append(f"""src AS (SELECT rule, {O.strip_sql('v')} AS key, min(u.sheet) AS sheet FROM K JOIN U u USING (uid)
+      WHERE NOT u.cell AND rule IN ('name', 'proper_noun') AND contains({O.strip_sql('v')}, ' ')
+      GROUP BY rule, {O.strip_sql('v')})""")
+    ctes.append(f"wd AS (SELECT DISTINCT rule, key, sheet, unnest(string_split_regex(key, '[{O.WS}]+')) AS word FROM src)")
+    ctes.append("""comp AS (SELECT w.word, j.sheet FROM (SELECT DISTINCT word FROM wd WHERE length(word) >= 2) w, sheets j
+      WHERE (SELECT count(*) FROM wd x WHERE x.word = w.word AND x.sheet <= j.sheet) = 1)""")
+    ctes.append(f"""fb AS (SELECT u.uid, {name_k} AS k, 'name' AS rule, 0 AS s, CAST(length(u.text) AS INTEGER) AS e,
+      {O.strip_sql('u.text')} AS v FROM U u WHERE u.cell AND u.text IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM K WHERE K.uid = u.uid)
+      AND EXISTS (SELECT 1 FROM comp c WHERE c.word = {O.strip_sql('u.text')} AND c.sheet = u.sheet))""")
+    ctes.append("events AS (SELECT * FROM K UNION ALL SELECT * FROM fb)")
+    ctes.append("registry AS " + O.registry_sql(
+        rules, "events", [], "CAST(uid AS HUGEINT) * 10000000000 + CAST(k AS HUGEINT) * 1000000000 + s"))
+    spans = (f"(SELECT x.uid, x.s, x.e, r.pseudonym FROM events x JOIN registry r ON x.rule = r.rule "
+             f"AND {O.strip_sql('x.v')} = r.key JOIN U u ON u.uid = x.uid WHERE u.cell)")
+    ctes.append(f"C AS (SELECT u.row, u.col, o.text FROM {O.splice_sql('(SELECT uid, text FROM U WHERE cell)', ['uid'], spans)} o "
+                f"JOIN U u ON u.uid = o.uid WHERE u.row IS NOT NULL)")
+    pivot = ", ".join(f"max(CASE WHEN col = '{c}' THEN text END) AS \"{c}\"" for c in STAFF_STR)
+    return _with(ctes, f"""SELECT s.row, p."First Name", p."Last Name", p."Email", s."Balance" FROM staffs s
+      LEFT JOIN (SELECT row, {pivot} FROM C GROUP BY row) p ON p.row = s.row""")
+
+
+@register("workbook_sheets", _workbook_sql())
+def workbook_sheets(spark, d):
+    sheets = staff_sheets(spark, d)
+    parts = redact_workbook([(df, "row") for _, df in sheets], rules=_rules(), multi_col_names=True)
+    out = parts[0].redacted
+    for p in parts[1:]:
+        out = out.unionByName(p.redacted)
+    return out

@@ -116,3 +116,11 @@ def contact_units_sql() -> str:
     pc = f"CASE WHEN c_custkey % 2 = 1 THEN lower({pc}) ELSE {pc} END"
     return (f"(SELECT c_custkey AS unit_seq, 'Customer ' || c_name || ' NI ' || {ni} || ' tel ' || {phone} "
             f"|| ' post ' || {pc} AS text FROM customer)")
+
+
+def staff_sheets(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """The staff table as a workbook: one sheet per market segment, in name order."""
+    seg = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), "c_mktsegment")
+    st = staff(spark, sf_dir).join(seg, "row")
+    names = sorted(r[0] for r in seg.select("c_mktsegment").distinct().collect())  # a handful of segments
+    return [(s, st.where(F.col("c_mktsegment") == s).drop("c_mktsegment")) for s in names]
