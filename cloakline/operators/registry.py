@@ -114,24 +114,32 @@ def build_registry(occ: DataFrame, rules: list[Rule], numbering: str = "auto") -
     return numbered.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Equi-join ``big`` with ``small`` (one row per key) where the keys listed
+    in ``hot`` are salted: their ``small`` row is replicated over
+    ``SALT_BUCKETS`` salts and each ``big`` row picks one by hashing its
+    ``spread`` columns, so no single task receives all rows of a hot key.
+    ``hot`` has at most total rows / ``HOT_KEY_OCCURRENCES`` keys: broadcast."""
+    flag = hot.select(*keys, F.lit(True).alias("_hot"))
+    big = big.join(F.broadcast(flag), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALT_BUCKETS))).otherwise(F.lit(0)))
+    small = (small.join(F.broadcast(flag), keys, "left")
+             .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
+                                            .otherwise(F.array(F.lit(0))))))
+    return big.drop("_hot").join(small.drop("_hot"), keys + ["_salt"]).drop("_salt")
+
+
 def attach_pseudonyms(occ: DataFrame, registry: DataFrame, may_be_hot: bool = True) -> DataFrame:
-    """Occurrences joined with their pseudonym.  Values with more than
-    ``HOT_KEY_OCCURRENCES`` occurrences are salted: their registry row is
-    replicated over ``SALT_BUCKETS`` salts and each occurrence picks one by
-    hashing its position, so no single task receives all of a hot value.
+    """Occurrences joined with their pseudonym; values with more than
+    ``HOT_KEY_OCCURRENCES`` occurrences are salted (:func:`salted_join`).
     ``may_be_hot=False`` (no scope has that many occurrences) skips it."""
     keys = ["_scope", "rule", "key"]
+    cols = ["_scope", "_unit", "s", "e", "k", "rule", "key", "pseudonym"]
+    small = registry.select(*keys, "pseudonym")
     if not may_be_hot:
-        return occ.join(registry.select(*keys, "pseudonym"), keys).select(
-            "_scope", "_unit", "s", "e", "k", "rule", "key", "pseudonym")
-    hot = registry.where(F.col("occurrences") > HOT_KEY_OCCURRENCES).select(*keys, F.lit(True).alias("_hot"))
-    # At most total_occurrences / HOT_KEY_OCCURRENCES rows: bounded, broadcast.
-    occ = occ.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_unit", "s"), F.lit(SALT_BUCKETS))).otherwise(F.lit(0)))
-    reg = registry.select(*keys, "pseudonym", F.explode(F.when(
-        F.col("occurrences") > HOT_KEY_OCCURRENCES, F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))
-    ).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    return occ.join(reg, keys + ["_salt"]).select("_scope", "_unit", "s", "e", "k", "rule", "key", "pseudonym")
+        return occ.join(small, keys).select(*cols)
+    hot = registry.where(F.col("occurrences") > HOT_KEY_OCCURRENCES).select(*keys)
+    return salted_join(occ, small, keys, hot, ["_unit", "s"]).select(*cols)
 
 
 def mapping(registry: DataFrame) -> DataFrame:

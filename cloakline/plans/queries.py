@@ -417,7 +417,7 @@ def _incremental_sql():
 @register("registry_incremental", _incremental_sql())
 def registry_incremental(spark, d):
     units = order_units(spark, d).withColumn(
-        "_ord", F.struct(F.when(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp"), 0).otherwise(1)
+        "_ord", F.struct(F.when(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz"), 0).otherwise(1)
                          .alias("batch"), F.col("unit_seq")))
     first = redact(units.where(F.col("_ord.batch") == 0), "text", ["unit_seq"], None, rules=_rules(),
                    order_col="_ord")
