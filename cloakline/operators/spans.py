@@ -1,6 +1,11 @@
 """Span detection (D1-D7) and first-claim-wins overlap resolution (O1-O2).
 
-Everything runs per row inside whole-stage codegen; no shuffle.
+Two exact routes giving identical spans:
+
+* the *array route* (default): per-row Column expressions, no shuffle;
+* the *row route* for texts where a rule has more than ``MAX_ARRAY_MATCHES``
+  matches (the array route is quadratic in matches per text): candidates as
+  rows, offsets and priority by windows clustered on the unit key.
 
 *Regex scan (D1).*  One regex pass marks every match with a private-use
 character (``regexp_replace(text, rx, MARK$0MARK)``); splitting on the mark
