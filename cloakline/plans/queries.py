@@ -623,12 +623,16 @@ def _workbook_sql() -> str:
       WHERE NOT u.cell AND rule IN ('name', 'proper_noun') AND contains({O.strip_sql('v')}, ' ')
       GROUP BY rule, {O.strip_sql('v')})""")
     ctes.append(f"wd AS (SELECT DISTINCT rule, key, sheet, unnest(string_split_regex(key, '[{O.WS}]+')) AS word FROM src)")
-    ctes.append("""comp AS (SELECT w.word, j.sheet FROM (SELECT DISTINCT word FROM wd WHERE length(word) >= 2) w, sheets j
-      WHERE (SELECT count(*) FROM wd x WHERE x.word = w.word AND x.sheet <= j.sheet) = 1)""")
+    # first and second source (in sheet order) holding each word
+    ctes.append("""wr AS (SELECT word, sheet, row_number() OVER (PARTITION BY word ORDER BY sheet, rule, key) AS rn
+      FROM wd WHERE length(word) >= 2)""")
+    ctes.append("""comp AS (SELECT word, max(CASE WHEN rn = 1 THEN sheet END) AS lo,
+      max(CASE WHEN rn = 2 THEN sheet END) AS hi FROM wr GROUP BY word)""")
     ctes.append(f"""fb AS (SELECT u.uid, {name_k} AS k, 'name' AS rule, 0 AS s, CAST(length(u.text) AS INTEGER) AS e,
       {O.strip_sql('u.text')} AS v FROM U u WHERE u.cell AND u.text IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM K WHERE K.uid = u.uid)
-      AND EXISTS (SELECT 1 FROM comp c WHERE c.word = {O.strip_sql('u.text')} AND c.sheet = u.sheet))""")
+      AND EXISTS (SELECT 1 FROM comp c WHERE c.word = {O.strip_sql('u.text')} AND c.lo <= u.sheet
+                  AND (c.hi IS NULL OR c.hi > u.sheet)))""")
     ctes.append("events AS (SELECT * FROM K UNION ALL SELECT * FROM fb)")
     ctes.append("registry AS " + O.registry_sql(
         rules, "events", [], "CAST(uid AS HUGEINT) * 10000000000 + CAST(k AS HUGEINT) * 1000000000 + s"))
