@@ -222,3 +222,27 @@ def test_workbook_sheets_share_registry(spark):
     # "Johnson" is a component of "Alice Johnson" registered by sheet 1
     assert r2["Who"].startswith("Person") and m[r2["Who"]] == "Johnson"
     assert m[t1.redacted.first()["Last Name"]] == "Johnson"
+
+
+def test_collisions_and_last_registered_wins(spark):
+    from cloakline.operators import registry as reg
+
+    a = rule("id", "X{n}", r"\b\d{7}\b")
+    b = rule("code", "X{n}", r"\b[a-z]{3}\d{3}\b")
+    df = spark.createDataFrame([(1, "1234567 abc123")], "id long, text string")
+    r = redact(df, "text", ["id"], None, rules=[a, b])
+    assert r.redacted.first()["text"] == "X1 X1"
+    coll = reg.collisions(r.registry.withColumnRenamed("original", "key").withColumn("_scope", F.lit(0))).collect()
+    assert [(c["pseudonym"], c["n_values"]) for c in coll] == [("X1", 2)]
+    # the mapping keeps the value registered last (it cannot be reversed exactly)
+    assert dict(r.mapping.select("pseudonym", "original").collect()) == {"X1": "abc123"}
+
+
+def test_sequential_restore_rewrites_twice_single_pass_does_not(spark):
+    df = spark.createDataFrame([(1, "7654321 then 90000001")], "id long, text string")
+    idr = rule("id", "preserve_length", r"\b\d{7,8}\b")
+    r = redact(df, "text", ["id"], ["id"], rules=[idr])
+    assert r.redacted.first()["text"] == "0000001 then 00000002"
+    seq = restore(r.redacted, "text", ["id"], r.mapping, ["id"]).first()["text"]
+    one = restore(r.redacted, "text", ["id"], r.mapping, ["id"], mode="single_pass", rules=[idr]).first()["text"]
+    assert seq == "7654321 then 97654321" and one == "7654321 then 90000001"
