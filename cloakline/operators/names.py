@@ -110,7 +110,8 @@ def component_table(sources: DataFrame, rules: list[Rule]) -> DataFrame:
     second hit (null when there is none)."""
     eligible = [r.name for r in rules if r.entity or r.name in NAME_LIKE_RULES]
     src = (sources.where(F.col("rule").isin(eligible) & F.col("key").contains(" "))
-           .groupBy("_scope", "rule", "key").agg(F.min("stage").alias("stage")))
+           .groupBy("_scope", "rule", "key").agg(F.min("stage").alias("stage"))
+           .persist(StorageLevel.MEMORY_AND_DISK))  # read for words and for join keys
     words = (src.select("_scope", "rule", "key", "stage", F.explode(F.array_distinct(split_ws("key"))).alias("word"))
              .where(F.length("word") >= 2))
     origin = words.groupBy("_scope", "word").agg(F.min(F.struct("stage", "rule", "key")).alias("q"))
@@ -124,8 +125,9 @@ def component_table(sources: DataFrame, rules: list[Rule]) -> DataFrame:
     pairs = cand.join(src_keys, ["_scope", "_jk"]).dropDuplicates(["_scope", "word", "rule", "key"])
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pairs = pairs.withColumn("_pat", F.concat(F.lit(f"(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])")))
-    hits = pairs.where(F.expr("key rlike _pat")).select(
-        "_scope", "word", "q", F.struct("stage", "rule", "key").alias("h"))
+    hits = (pairs.where(F.expr("key rlike _pat"))
+            .select("_scope", "word", "q", F.struct("stage", "rule", "key").alias("h"))
+            .persist(StorageLevel.MEMORY_AND_DISK))  # read for the first and the second hit
     # first and second hit per word: two partial-aggregation passes, no sort of a group
     first = hits.groupBy("_scope", "word").agg(F.min("h").alias("p1"), F.first("q").alias("q"))
     second = (hits.join(first.select("_scope", "word", "p1"), ["_scope", "word"])
