@@ -1,0 +1,17 @@
+"""cloakline — find personal data in Spark string columns, replace it with
+stable numbered placeholders, and restore it from the mapping.
+
+Typical use::
+
+    from cloakline import redact, restore, load_rules
+    r = redact(df, text_col="text", key_cols=["doc_id"], scope_cols=["doc_id"])
+    r.redacted, r.registry, r.mapping, r.stats
+    back = restore(r.redacted, "text", ["doc_id"], r.mapping, ["doc_id"])
+"""
+
+from .plans.jobs import (redact, redact_kind, redact_lines, redact_runs, redact_table, redact_workbook, restore,
+                         restore_text_files)
+from .rules import build_rules, load_config, load_rules, rule
+
+__all__ = ["redact", "redact_kind", "redact_lines", "redact_runs", "redact_table", "redact_workbook", "restore",
+           "restore_text_files", "build_rules", "load_config", "load_rules", "rule"]
