@@ -144,9 +144,11 @@ def attach_pseudonyms(occ: DataFrame, registry: DataFrame, may_be_hot: bool = Tr
 
 def mapping(registry: DataFrame) -> DataFrame:
     """``pseudonym -> stripped original``; when pseudonyms collide the value
-    registered last wins; ``order`` is the pseudonym's first registration."""
+    registered last wins; ``order`` is the pseudonym's first registration;
+    ``occurrences`` how often it was written (a skew hint for restore)."""
     return registry.groupBy("_scope", "pseudonym").agg(
-        F.max_by("key", "first_pos").alias("original"), F.min("first_pos").alias("order"))
+        F.max_by("key", "first_pos").alias("original"), F.min("first_pos").alias("order"),
+        F.sum("occurrences").alias("occurrences"))
 
 
 def stats(registry: DataFrame) -> DataFrame:

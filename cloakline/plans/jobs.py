@@ -176,7 +176,7 @@ def restore(df: DataFrame, text_col: str, key_cols: list[str], mapping: DataFram
     (``scope cols, pseudonym, original, order``)."""
     units = to_units(df, text_col, key_cols, scope_cols)
     m = mapping.select(scope_struct(scope_cols).alias("_scope"), "pseudonym", "original",
-                       *(["order"] if "order" in mapping.columns else []))
+                       *[c for c in ("order", "occurrences") if c in mapping.columns])
     if mode == "sequential":
         if "order" not in m.columns:
             raise ValueError("sequential restore needs the mapping's 'order' column")
