@@ -245,3 +245,16 @@ def test_salted_join_back_equals_plain(spark, monkeypatch):
     back = restore(salted.redacted, "text", ["unit_seq"], salted.mapping, None, mode="single_pass", rules=load_rules())
     assert sorted(map(tuple, back.select("unit_seq", "text").collect())) == sorted(
         map(tuple, units.select("unit_seq", "text").collect()))
+
+
+def test_texts_holding_the_marker_character(spark):
+    """Texts that already contain the private-use marker take the
+    split + extract form; spans still equal Python re."""
+    from model import passes
+    texts = [" a@b.co  Alice Smith 1234567", "xy@z.io", "", "Bob Jonesab12cd34"]
+    rules = load_rules()
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, _text string")
+    got = sorted(tuple(r) for r in candidates_table(df, rules, ["id"]).collect())
+    exp = sorted((i, r.name, k, m.start(), m.end(), m.group()) for i, t in enumerate(texts) if t.strip()
+                 for k, r in enumerate(rules) for m in r.compiled.finditer(t) if passes(m.group(), r))
+    assert got == exp and len(exp) >= 5
