@@ -128,7 +128,8 @@ def _edge_text(rnd):
               "Alice Smith", "Mary Anne Jones Lee Ray", "Ünal Ölmez", "John Smith", "٣٤٥٦٧٨٩", "²1234567",
               "René Dupont", "x‍y", "\u001c", "😀", "January Alice", "Jo A", "O'Brien Smith",
               "Smith_John Doe", "Abcdefghijklmnopqrstuvwxyzab Cd", "SW1A 1AA", "AB123456C", "07700 900123",
-              " ", "\n", "\t", ",", "-", "_", "(", ")", "Ab", "Cd Ef"]
+              " ", "\n", "\t", ",", "-", "_", "(", ")", "Ab", "Cd Ef", "Alice\u00a0Smith",
+              "Rene\u0301 Dupont", "\u2028", "Ana\u3000Lee", "\u00b2\u00b3"]
     return "".join(rnd.choice(pieces) + rnd.choice(["", " ", "", ".", " "]) for _ in range(rnd.randint(0, 12)))
 
 
