@@ -154,7 +154,7 @@ def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto", p
     n = partitions(units.sparkSession)
     units = units.repartition(n, "_scope", "_unit")
     # every cell adds at most one fallback event to the bound
-    spanned, bound = spans_checked(units, rules, extra=F.col("_cell").cast("int"))
+    spanned, bound = spans_checked(units, rules, extra=F.col("_cell").cast("int"), one_scope=True)
     if numbering == "auto":
         numbering = "window" if bound <= reg.WINDOW_GROUP_MAX else "ranged"
     occ = reg.occurrences(spanned, rules)

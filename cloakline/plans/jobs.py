@@ -82,7 +82,7 @@ def scope_columns(df: DataFrame, scope_cols: list[str] | None) -> DataFrame:
 
 
 def spans_checked(units: DataFrame, rules: list[Rule], ents_col: str | None = None, use_entities: bool = True,
-                  extra: F.Column | None = None):
+                  extra: F.Column | None = None, one_scope: bool = False):
     """Kept spans of hash-partitioned units, persisted, plus a bound on the
     values one (scope, rule) can hold.
 
@@ -96,9 +96,12 @@ def spans_checked(units: DataFrame, rules: list[Rule], ents_col: str | None = No
     events = F.size("_spans") + F.when(long_, F.length("_text")).otherwise(F.lit(0))
     if extra is not None:
         events = events + extra
-    per_scope = spanned.groupBy("_scope").agg(F.sum(events).alias("bound"),
-                                              F.sum(F.when(long_, 1).otherwise(0)).alias("long"))
-    bound, n_long = per_scope.agg(F.max("bound"), F.sum("long")).first()
+    if one_scope:  # a corpus-wide registry: a global aggregate, no shuffle
+        bound, n_long = spanned.agg(F.sum(events), F.sum(F.when(long_, 1).otherwise(0))).first()
+    else:
+        per_scope = spanned.groupBy("_scope").agg(F.sum(events).alias("bound"),
+                                                  F.sum(F.when(long_, 1).otherwise(0)).alias("long"))
+        bound, n_long = per_scope.agg(F.max("bound"), F.sum("long")).first()
     if n_long:
         spanned = patch_long(spanned, units, rules, ["_scope", "_unit"], "_text", ents_col, use_entities)
         spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
@@ -107,7 +110,7 @@ def spans_checked(units: DataFrame, rules: list[Rule], ents_col: str | None = No
 
 def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None,
                  use_entities: bool = True, numbering: str = "auto", splice_mask=None,
-                 prior: DataFrame | None = None) -> dict:
+                 prior: DataFrame | None = None, one_scope: bool = False) -> dict:
     """Core of J1 on prepared units (``_scope, _unit, _text``, ...).
 
     ``splice_mask``: optional boolean column name; units where it is false
@@ -118,7 +121,7 @@ def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
     if entities is not None:
         units = units.join(entities, ["_scope", "_unit"], "left")
         ents_col = "_ents"
-    spanned, bound = spans_checked(units, rules, ents_col, use_entities)
+    spanned, bound = spans_checked(units, rules, ents_col, use_entities, one_scope=one_scope)
     if ents_col:
         spanned = spanned.drop(ents_col)
     if numbering == "auto":
@@ -153,7 +156,7 @@ def redact(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[s
     units = to_units(df, text_col, key_cols, scope_cols, order_col)
     ents = entity_lists(entities, key_cols, scope_cols) if entities is not None else None
     res = redact_units(units, rules, ents, use_entities, numbering,
-                       prior=prior.internal if prior is not None else None)
+                       prior=prior.internal if prior is not None else None, one_scope=not scope_cols)
     redacted = res["units"].withColumn(text_col, F.col("_text")).select(*df.columns)
     registry = res["registry"]
     return Redaction(
