@@ -14,8 +14,6 @@ DuckDB's RE2 has no look-around, so the rules are restated in SQL terms:
 
 from __future__ import annotations
 
-from ..rules import load_rules
-
 W = r"\p{L}\p{N}_"
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -175,7 +173,3 @@ def splice_sql(src: str, ids: list[str], spans: str) -> str:
                                                           ORDER BY x.s), 0) AS prev_e
               FROM {spans} x JOIN {src} t2 ON {_on(ids, 'x', 't2')})
         GROUP BY {i}) p ON {_on(ids, 't', 'p')})"""
-
-
-def default_rules(proper_nouns: bool = False):
-    return load_rules(proper_nouns=proper_nouns)
