@@ -246,3 +246,17 @@ def test_sequential_restore_rewrites_twice_single_pass_does_not(spark):
     seq = restore(r.redacted, "text", ["id"], r.mapping, ["id"]).first()["text"]
     one = restore(r.redacted, "text", ["id"], r.mapping, ["id"], mode="single_pass", rules=[idr]).first()["text"]
     assert seq == "7654321 then 97654321" and one == "7654321 then 90000001"
+
+
+def test_sequential_restore_refuses_oversized_scope(spark, monkeypatch):
+    import cloakline.operators.restore as resmod
+
+    monkeypatch.setattr(resmod, "SEQUENTIAL_MAX_ENTRIES", 1)
+    units = spark.createDataFrame([(1, "Person001 person001@anon.invalid")], "id long, text string")
+    m = spark.createDataFrame([(p, o, i) for i, (p, o) in enumerate(MAPPING.items())],
+                              "pseudonym string, original string, order int")
+    with pytest.raises(ValueError, match="restore_tokens"):
+        restore(units, "text", ["id"], m)
+    # the single-pass form has no such limit
+    out = restore(units, "text", ["id"], m, mode="single_pass", rules=load_rules()).first()["text"]
+    assert out == "John Smith john@example.com"
