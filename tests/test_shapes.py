@@ -260,3 +260,10 @@ def test_sequential_restore_refuses_oversized_scope(spark, monkeypatch):
     # the single-pass form has no such limit
     out = restore(units, "text", ["id"], m, mode="single_pass", rules=load_rules()).first()["text"]
     assert out == "John Smith john@example.com"
+
+
+def test_header_cells_are_units_first(spark):
+    df = spark.createDataFrame([(1, "Ann Lee")], "row long, `John Smith` string")
+    r = redact_table(df, "row", rules=[NAME])
+    assert dict(r.header.collect()) == {"John Smith": "Person001"}  # the header row comes first
+    assert r.redacted.first()["John Smith"] == "Person002"
