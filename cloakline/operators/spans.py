@@ -111,8 +111,10 @@ def regex_candidates(text: Column, rule: Rule, k: int) -> Column:
 def entity_candidates(text: Column, ents: Column, rule: Rule, k: int) -> Column:
     """Entities (``array<struct<s,e,label>>`` sorted by start) with a label
     of the rule, exclusions applied."""
+    if not rule.labels:  # no label can match
+        return _empty()
     picked = F.filter(F.coalesce(ents, F.array().cast("array<struct<s:int,e:int,label:string>>")),
-                      lambda x: F.array_contains(F.array(*[F.lit(lb) for lb in rule.labels]), x["label"]))
+                      lambda x: x["label"].isin(*rule.labels))
     spans = F.transform(picked, lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"),
         text.substr(x["s"] + 1, x["e"] - x["s"]).alias("v")))
