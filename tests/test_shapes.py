@@ -267,3 +267,15 @@ def test_header_cells_are_units_first(spark):
     r = redact_table(df, "row", rules=[NAME])
     assert dict(r.header.collect()) == {"John Smith": "Person001"}  # the header row comes first
     assert r.redacted.first()["John Smith"] == "Person002"
+
+
+def test_template_specs_match_python_format(spark):
+    from cloakline.functions.templates import render, render_python
+
+    tpls = ["N{n:,}", "X{n:+05d}", "{orig:>8}|", "{orig:<8}|", "{n:x}{n:X}{n:o}", "{orig_len:03d}",
+            "A{n:^7}B", "p{n: d}", "{orig:.2}", "100%{n}", "{{x}}{n}", "preserve_length"]
+    df = spark.createDataFrame([(7, "ab c"), (1234567, "12345")], "n long, o string")
+    rows = df.select("n", "o", *[render(t, F.col("n"), F.col("o")).alias(f"t{i}") for i, t in enumerate(tpls)]).collect()
+    for row in rows:
+        for i, t in enumerate(tpls):
+            assert row[f"t{i}"] == render_python(t, row["n"], row["o"]), t
