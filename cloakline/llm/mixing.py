@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import word_count
+from cloakline.llm.common import word_count, written
 
 BUCKET_ROWS = 65_536
 #: passes in order of q: the first takes whatever comes, later ones what still fits
@@ -133,4 +133,5 @@ def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
-    return cuts(rows, targets(rows, weights, max_copies), rows.count())
+    """The finished plan, written (a row a source), so that nothing is planned twice."""
+    return written(cuts(rows, written(targets(rows, weights, max_copies), "mix-targets"), rows.count()), "mix-plan")
