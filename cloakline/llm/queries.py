@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm import mixing, packing, simhash, token_files
+from cloakline.llm import line_dedup, mixing, packing, quality_rules, simhash, token_files
 from cloakline.llm.common import python_ready, table, written
 
 
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, size=1024, end_id=2, carry=[F.crc32("ids").alias("ids_crc32")])
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(mixing.measured(table(spark, sf_dir, "documents")), "sizes")
     mixed = mixing.copies(rows, mixing.mix_plan(rows))
@@ -47,5 +51,10 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_pareto_mix, op5_token_files, op6_simhash_groups)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups, op8_line_dedup)}
 ORACLES: dict[str, str] = {}
