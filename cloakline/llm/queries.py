@@ -11,8 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm import line_dedup, mixing, packing, quality_rules, simhash, token_files
-from cloakline.llm.common import python_ready, table, written
+from cloakline.llm import langid, line_dedup, mixing, packing, permutation_index, quality_knn, quality_rules, simhash, token_files
+from cloakline.llm.common import held_out, python_ready, table, written
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model, reject=False)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +58,23 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.learn(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    found = quality_knn.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+                        (F.col("score") >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups, op8_line_dedup)}
+    op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
+    op7_permutation_index, op8_line_dedup, op9_quality_knn)}
 ORACLES: dict[str, str] = {}
