@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import python_ready, written
+from cloakline.llm.common import packed, python_ready, written
 
 MIN_WORDS = 10
 _JUNK = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -79,18 +79,20 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     return repeated_spans(units(docs, **options)).drop("row")
 
 
-def cleaned(docs: DataFrame, sep: str = "\n", text_col: str = "text", **options) -> DataFrame:
+def cleaned(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Every row of ``docs`` with repeated units cut out of its text, and the
     kept parts' original offsets in ``kept_spans`` (array of start, end)."""
-    whole = written(docs.withColumn("_row", F.monotonically_increasing_id()), "line-docs")
-    spans = (repeated_spans(units(whole, sep=sep, text_col=text_col, row_col="_row", **options))
+    whole = written(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "line-docs")
+    plain = whole.select(F.col(f"_all.{id_col}").alias("doc_id"), F.col(f"_all.{text_col}").alias("text"), "_row")
+    spans = (repeated_spans(units(plain, sep=sep, row_col="_row", **options))
              .groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")))  # lines of one text
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.length(text)
+    text = F.col(f"_all.{text_col}")
+    n = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
     cut = F.coalesce("_cut", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda s: F.least(s["end"] + len(sep), n.cast("bigint"))))
-    ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(n.cast("bigint")))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda s: F.least(s["end"] + len(sep), n)))
+    ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(n))
     kept = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["end"] > s["start"])
-    out = whole.join(spans, "_row", "left").withColumn("kept_spans", kept)
-    parts = F.transform("kept_spans", lambda s: F.substring(F.col(text_col), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(parts, ""))).drop("_row", "_cut")
+    out = whole.join(spans, "_row", "left").withColumn("_kept", kept)
+    parts = F.transform("_kept", lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    new = F.when(text.isNotNull(), F.array_join(parts, ""))
+    return out.select(F.col("_all").withField(text_col, new).alias("_all"), "_kept").select("_all.*", F.col("_kept").alias("kept_spans"))

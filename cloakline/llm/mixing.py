@@ -26,26 +26,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import word_count, written
+from cloakline.llm.common import packed, word_count, written
 
 BUCKET_ROWS = 65_536
 #: passes in order of q: the first takes whatever comes, later ones what still fits
 ROUNDS = 3
 
 
-def uniform(id_col: str, text_col: str, seed: str) -> Column:
+def uniform(doc: Column, text: Column, seed: str) -> Column:
     """A number in (0, 1) from 52 bits of an MD5 digest; equal on every run."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                      F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(doc.cast("string"), F.lit("")),
+                      F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              seed: str = "mix", keep: bool = False) -> DataFrame:
-    """Columns ``_id, _source, _size, _u`` of every row (with all others if ``keep``)."""
-    new = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"),
-           uniform(id_col, text_col, seed).alias("_u")]
-    return docs.select(*([F.col(f"`{c}`") for c in docs.columns] if keep else []), *new)
+    """Columns ``_id, _source, _size, _u`` of every row (with ``_all``, the whole row, if ``keep``)."""
+    of = lambda c: F.col(f"_all.{c}")
+    return packed(docs).select(*(["_all"] if keep else []), of(id_col).alias("_id"), of(source_col).alias("_source"),
+                               word_count(of(text_col)).alias("_size"), uniform(of(id_col), of(text_col), seed).alias("_u"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
@@ -135,3 +135,12 @@ def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
     """The finished plan, written (a row a source), so that nothing is planned twice."""
     return written(cuts(rows, written(targets(rows, weights, max_copies), "mix-targets"), rows.count()), "mix-plan")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, **columns) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them.  The rows are measured
+    twice, once for the plan and once for the result, so that texts are neither
+    shuffled nor written."""
+    plan = mix_plan(written(measured(docs, **columns), "sizes"), weights, max_copies)
+    taken = copies(measured(docs, keep=True, **columns), plan).where("copies > 0")
+    return taken.select("_all", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_all.*")

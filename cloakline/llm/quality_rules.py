@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import NON_WS, WS, written
+from cloakline.llm.common import NON_WS, WS, packed, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -148,7 +148,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return judged(rows, fences(rows)).select(F.col("_id").alias("doc_id"), "_q.*", F.col("_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Whole rows of ``docs`` that pass."""
-    rows = written(counted(docs, text_col), "quality-rows")
-    return judged(rows, fences(rows)).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(counted(packed(docs), f"_all.{text_col}"), "quality-rows")
+    lang, source = f"_all.{lang_col}", f"_all.{source_col}"
+    return judged(rows, fences(rows, lang, source), lang, source).where("_kept").select("_all.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm import langid, line_dedup, mixing, packing, permutation_index, quality_knn, quality_rules, simhash, token_files
+from cloakline.llm import langid, line_dedup, mixing, packing, permutation_index, pii, quality_knn, quality_rules, simhash, token_files
 from cloakline.llm.common import held_out, python_ready, table, written
 
 
@@ -74,7 +74,14 @@ def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint")
+    return found.select("doc_id", *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(4)],
+                        F.sha2(pii.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
-    op7_permutation_index, op8_line_dedup, op9_quality_knn)}
+    op7_permutation_index, op8_line_dedup, op9_quality_knn, op10_pii)}
 ORACLES: dict[str, str] = {}

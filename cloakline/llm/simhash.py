@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import python_ready, written
+from cloakline.llm.common import packed, python_ready, written
 
 #: classes in a block bucket up to which they are joined with each other
 BUCKET = 64
@@ -121,10 +121,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                       keep: bool = False) -> DataFrame:
-    """Written table ``_id, _fp, _row`` (with all columns of ``docs`` if ``keep``)."""
+    """Written table ``_id, _fp, _row`` (with ``_all``, the whole row, if ``keep``)."""
     python_ready(docs.sparkSession)
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep else []
-    rows = docs.select(*kept, F.col(id_col).cast("bigint").alias("_id"), fingerprint(F.col(text_col), shingle).alias("_fp"))
+    rows = packed(docs).select(*(["_all"] if keep else []), F.col(f"_all.{id_col}").cast("bigint").alias("_id"),
+                               fingerprint(F.col(f"_all.{text_col}"), shingle).alias("_fp"))
     return written(rows.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
 
 
@@ -152,4 +152,4 @@ def keep_one(docs: DataFrame, **columns) -> DataFrame:
     best = (rows.select("_fp", "_id", "_row").join(groups(rows), "_fp")
             .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_none"))
             .agg(F.min(F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("i"), F.col("_row").alias("r")))["r"].alias("_row")))
-    return rows.join(best.select("_row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(best.select("_row"), "_row", "left_semi").select("_all.*")
