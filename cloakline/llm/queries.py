@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cloakline.llm import langid, line_dedup, mixing, packing, permutation_index, pii, quality_knn, quality_rules, simhash, token_files
 from cloakline.llm.common import held_out, python_ready, table, written
+from cloakline.llm.oracle import ORACLES  # noqa: F401
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
     op7_permutation_index, op8_line_dedup, op9_quality_knn, op10_pii)}
-ORACLES: dict[str, str] = {}
