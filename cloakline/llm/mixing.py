@@ -68,7 +68,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: i
     s = s.withColumn("free", free).withColumn(
         "target", F.when(F.col("free").isNull() | (F.col("rank") < F.col("free.rank")), F.col("cap").cast("double"))
         .otherwise(F.col("w") * F.col("free.l") / F.col("free.wl")))
-    ratio = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
+    ratio = F.coalesce(F.try_divide("target", "s"), F.lit(0.0))
     s = s.withColumn("sure", F.floor(ratio).cast("bigint")).withColumn("p", ratio - F.floor(ratio))
     return s.select("_source", F.col("s").alias("source_size"), "rows", "target", "sure", "p",
                     (F.col("target") - F.col("sure") * F.col("s")).alias("rest"))
@@ -78,7 +78,7 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of sources with something to draw, with q."""
     both = rows.join(plan, rows["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
     odds = F.col("p") / (1 - F.col("p"))
-    return both.withColumn("q", F.when(F.col("p") > 0, (F.col("_u") / (1 - F.col("_u"))) / odds))
+    return both.withColumn("q", F.try_divide(F.col("_u") / (1 - F.col("_u")), odds))
 
 
 def cuts(rows: DataFrame, plan: DataFrame, n_rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -33,10 +33,10 @@ MIN_GROUP = 200
 SKETCH_K = 4096
 #: ratio: (expression on the counts, slack, whether low values are rejected too)
 RATIOS = {
-    "symbols": ("n_symbols / word_chars", 0.03, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.35, False),
-    "upper": ("n_upper / word_chars", 0.25, False),
-    "word_length": ("word_chars / n_words", 2.0, True),
+    "symbols": ("try_divide(n_symbols, word_chars)", 0.03, False),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", 0.35, False),
+    "upper": ("try_divide(n_upper, word_chars)", 0.25, False),
+    "word_length": ("try_divide(word_chars, n_words)", 2.0, True),
 }
 
 
