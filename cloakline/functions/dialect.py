@@ -346,9 +346,10 @@ class _Emitter:
                 "\\s": f"[{s}]", "\\S": f"[^{s}]"}.get(t, t)
 
     def cls(self, t: str) -> str:
+        """A class, escape by escape: a backslash takes the next character with it."""
         w, s, d = self.W, self.S, self.D
-        return (t.replace("\\d", d).replace("\\w", w).replace("\\s", s)
-                .replace("\\D", f"[^{d}]").replace("\\W", f"[^{w}]").replace("\\S", f"[^{s}]"))
+        sets = {"\\d": d, "\\w": w, "\\s": s, "\\D": f"[^{d}]", "\\W": f"[^{w}]", "\\S": f"[^{s}]"}
+        return re.sub(r"\\.", lambda m: sets.get(m.group(), m.group()), t, flags=re.DOTALL)
 
     def seq(self, seq: list[Node], top: bool) -> str:
         out = []

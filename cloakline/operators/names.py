@@ -23,10 +23,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, is_blank, split_ws, strip_ws
+from ..functions.text import WORD, WS, is_blank, split_ws, strip_ws
 from ..rules import Rule
-from ..session import partitions
+from ..session import checkpointed
 from . import registry as reg
+from .spans import detect
 from .splice import splice
 
 # Header aliases (lower-cased, stripped) of name columns.
@@ -37,18 +38,20 @@ MIDDLE_NAME_HEADERS = frozenset({"middle name", "middle", "middle initial"})
 NAME_LIKE_RULES = ("name", "proper_noun")
 
 
+_HEADER_SLOT = {h: slot for slot, aliases in (("first", FIRST_NAME_HEADERS), ("middle", MIDDLE_NAME_HEADERS), ("last", LAST_NAME_HEADERS))
+                for h in aliases}
+
+
 def name_column_triples(headers: list) -> list[tuple]:
     """M2: ``(first, middle or None, last)`` column positions.  The i-th first
-    column pairs with the i-th last column; the middle is the first middle
-    column strictly between them."""
-    norm = [str(h).strip().lower() if h else "" for h in headers]
-    pos = {kind: [i for i, h in enumerate(norm) if h in aliases]
-           for kind, aliases in (("f", FIRST_NAME_HEADERS), ("l", LAST_NAME_HEADERS), ("m", MIDDLE_NAME_HEADERS))}
-    out = []
-    for f, last in zip(pos["f"], pos["l"]):
-        between = [m for m in pos["m"] if f < m < last]
-        out.append((f, between[0] if between else None, last))
-    return out
+    column goes with the i-th last column; a middle column counts if it stands
+    between the two, the first such one."""
+    slots: dict[str, list[int]] = {"first": [], "middle": [], "last": []}
+    for place, header in enumerate(headers):
+        slot = _HEADER_SLOT.get(str(header or "").strip().lower())
+        if slot:
+            slots[slot].append(place)
+    return [(a, next((m for m in slots["middle"] if a < m < z), None), z) for a, z in zip(slots["first"], slots["last"])]
 
 
 def _joined(cells: list) -> F.Column:
@@ -107,33 +110,51 @@ def component_table(sources: DataFrame, rules: list[Rule]) -> DataFrame:
     word as one of its words, and a word-boundary search for it hits exactly
     one of them: ``lo <= 2j < hi`` with ``lo`` the stage of its first hit
     (which must be a value the word comes from) and ``hi`` the stage of the
-    second hit (null when there is none)."""
+    second hit (null when there is none).
+
+    A word that is one run of word characters is hit by exactly the values that
+    have it as a run: its two smallest hits come from an aggregate over
+    (run, value), no pairs.  Only words with inner punctuation are searched for
+    in values, and only in those that hold their rarest run."""
     eligible = [r.name for r in rules if r.entity or r.name in NAME_LIKE_RULES]
     src = (sources.where(F.col("rule").isin(eligible) & F.col("key").contains(" "))
-           .groupBy("_scope", "rule", "key").agg(F.min("stage").alias("stage"))
-           .persist(StorageLevel.MEMORY_AND_DISK))  # read for words and for join keys
-    words = (src.select("_scope", "rule", "key", "stage", F.explode(F.array_distinct(split_ws("key"))).alias("word"))
-             .where(F.length("word") >= 2))
-    origin = words.groupBy("_scope", "word").agg(F.min(F.struct("stage", "rule", "key")).alias("q"))
-    # Join key: the word's first \w run (any true hit is a whole run of the
-    # source), or its first character when it has no word character at all.
-    run = F.regexp_extract(F.col("word"), f"[{WORD}]+", 0)
-    cand = origin.withColumn("_jk", F.when(run != "", run).otherwise(F.substring("word", 1, 1)))
-    src_keys = src.select("_scope", "rule", "key", "stage", F.explode(F.array_distinct(F.concat(
-        F.regexp_extract_all(F.col("key"), F.lit(f"[{WORD}]+"), F.lit(0)),
-        F.split(F.regexp_replace(F.col("key"), f"[{WORD}\\s]", ""), "")))).alias("_jk")).where(F.col("_jk") != "")
-    pairs = cand.join(src_keys, ["_scope", "_jk"]).dropDuplicates(["_scope", "word", "rule", "key"])
+           .groupBy("_scope", "rule", "key").agg(F.min("stage").alias("stage")))
+    src = checkpointed(src)  # names only; read for runs and for words
+    hit = F.struct("stage", "rule", "key")
+    run = f"[{WORD}]+"
+    pieces = F.array_distinct(F.concat(F.regexp_extract_all("key", F.lit(run), F.lit(0)),
+                                       F.split(F.regexp_replace("key", f"[{WORD}\\s]", ""), "")))
+    # per run (or lone punctuation character): how many values hold it, and the two first
+    of_run = src.select("_scope", hit.alias("h"), F.explode(pieces).alias("run")).where("run <> ''")
+    runs = checkpointed(two_smallest(of_run, ["_scope", "run"]))
+    origin = (src.select("_scope", hit.alias("h"), F.explode(F.array_distinct(split_ws("key"))).alias("word"))
+              .where(F.length("word") >= 2).groupBy("_scope", "word").agg(F.min("h").alias("q")))
+    plain = F.col("word").rlike(f"^{run}$")
+    simple = (origin.where(plain).join(runs.withColumnRenamed("run", "word"), ["_scope", "word"])
+              .select("_scope", "word", "q", "p1", "p2"))
+    # words with inner punctuation, posted at their rarest piece
+    parts = F.array_distinct(F.concat(F.regexp_extract_all("word", F.lit(run), F.lit(0)),
+                                      F.filter(F.split(F.regexp_replace("word", run, ""), ""), lambda x: x != "")))
+    odd = origin.where(~plain).select("_scope", "word", "q", F.explode(parts).alias("run"))
+    odd = (odd.join(runs.select("_scope", "run", "n"), ["_scope", "run"])
+           .groupBy("_scope", "word").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.first("q").alias("q")))
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pairs = pairs.withColumn("_pat", F.concat(F.lit(f"(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])")))
-    hits = (pairs.where(F.expr("key rlike _pat"))
-            .select("_scope", "word", "q", F.struct("stage", "rule", "key").alias("h"))
-            .persist(StorageLevel.MEMORY_AND_DISK))  # read for the first and the second hit
-    # first and second hit per word: two partial-aggregation passes, no sort of a group
-    first = hits.groupBy("_scope", "word").agg(F.min("h").alias("p1"), F.first("q").alias("q"))
-    second = (hits.join(first.select("_scope", "word", "p1"), ["_scope", "word"])
-              .where(F.col("h") > F.col("p1")).groupBy("_scope", "word").agg(F.min("h").alias("p2")))
-    comps = first.where(F.col("q") == F.col("p1")).join(second, ["_scope", "word"], "left")
-    return comps.select("_scope", "word", F.col("p1.stage").alias("lo"), F.col("p2.stage").alias("hi"))
+    pattern = F.concat(F.lit(f"(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])"))
+    found = (odd.withColumn("_pat", pattern).join(of_run, ["_scope", "run"]).where(F.expr("h.key rlike _pat"))
+             .select("_scope", "word", "q", "h"))
+    odd_hits = two_smallest(found.select("_scope", "word", "h"), ["_scope", "word"])
+    odd = odd.select("_scope", "word", "q").join(odd_hits, ["_scope", "word"]).select("_scope", "word", "q", "p1", "p2")
+    return checkpointed(simple.unionByName(odd).where(F.col("q") == F.col("p1"))
+                        .select("_scope", "word", F.col("p1.stage").alias("lo"), F.col("p2.stage").alias("hi")))
+
+
+def two_smallest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the number of rows and the two smallest ``h`` (distinct per key),
+    by partial aggregation (no sort of a group): min, then min of the others."""
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("h").alias("p1"))
+    more = (rows.join(first.where("n > 1").select(*keys, "p1"), keys).where(F.col("h") > F.col("p1"))
+            .groupBy(*keys).agg(F.min("h").alias("p2")))
+    return first.join(more, keys, "left")
 
 
 def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -143,50 +164,50 @@ def component_words(keys: DataFrame, rules: list[Rule]) -> DataFrame:
     return comps.where(F.col("hi").isNull()).select("_scope", "word")
 
 
-def redact_sheet(units: DataFrame, rules: list[Rule], numbering: str = "auto", prior: DataFrame | None = None) -> dict:
+def mask_sheet(units: DataFrame, rules: list[Rule], multi_col_names: bool, prior: DataFrame | None = None) -> dict:
     """Number one workbook's events (spans + component fallbacks; any number
     of sheets, ``_unit.sheet`` gives their order) in one pass and splice the
     cells.  ``units``: ``_scope, _unit, _text, _cell, col``.  ``prior`` is the
     registry left by earlier sheets (values keep their pseudonyms, take part
-    in component words, counters continue)."""
-    from ..plans.jobs import spans_checked
-
-    n = partitions(units.sparkSession)
-    units = units.repartition(n, "_scope", "_unit")
-    # every cell adds at most one fallback event to the bound
-    spanned, bound = spans_checked(units, rules, extra=F.col("_cell").cast("int"), one_scope=True)
-    if numbering == "auto":
-        numbering = "window" if bound <= reg.WINDOW_GROUP_MAX else "ranged"
+    in component words, counters continue).  The component fallback runs only
+    with ``multi_col_names``, and not for a sheet that is a header only."""
+    from ..plans.jobs import UNIT
+
+    # cells are short: the spans of a sheet are kept with them and read for the
+    # registry, the fallback and the splice
+    spanned = detect(units.withColumn("_h", F.xxhash64("_text")), rules).persist(StorageLevel.MEMORY_AND_DISK)
     occ = reg.occurrences(spanned, rules)
     name_k = next((k for k, r in enumerate(rules) if r.name == "name"), None)
     events = occ
-    if name_k is not None:
+    if multi_col_names and name_k is not None:
         sources = reg.first_seen(occ).select("_scope", "rule", "key", _sheet_phase(F.col("first_pos")).alias("stage"))
         if prior is not None:
             sources = sources.unionByName(prior.select("_scope", "rule", "key",
                                                        _sheet_phase(F.col("first_pos")).alias("stage")))
-        comps = component_table(sources, rules)
-        bare = spanned.where(F.col("_cell") & (F.size("_spans") == 0) & F.col("_text").isNotNull())
+        comps = component_table(sources, rules).withColumnRenamed("word", "_word")
+        filled = spanned.where(F.col("_cell") & (F.col("_unit.hdr") == 1)).select(F.col("_unit.sheet").alias("_sheet")).distinct()
+        bare = (spanned.where(F.col("_cell") & (F.size("_spans") == 0) & ~is_blank(F.col("_text")))
+                .withColumn("_word", strip_ws("_text")).where((F.length("_word") >= 2) & ~F.col("_word").rlike(f"[{WS}]"))
+                .withColumn("_sheet", F.col("_unit.sheet")).join(F.broadcast(filled), "_sheet", "left_semi"))  # a row a sheet
+        # distinct words first: a status word in every row is one row here, and only components go on
+        asked = checkpointed(bare.select("_scope", "_word").distinct().join(comps, ["_scope", "_word"]))
         stage = F.col("_unit.sheet") * 2  # components are fixed before the sheet's cell phase
-        fb = (bare.withColumn("word", strip_ws("_text")).join(comps, ["_scope", "word"])
+        counts = bare.groupBy("_scope", "_word").agg(F.count("*").alias("n")).join(asked, ["_scope", "_word"], "left_semi")
+        fb = (reg.salted_join(bare, asked, ["_scope", "_word"], reg.hot_keys(counts, ["_scope", "_word"], "n"), ["_unit"])
               .where((F.col("lo") <= stage) & (F.col("hi").isNull() | (F.col("hi") > stage)))
-              .select("_scope", "_unit", F.lit(0).alias("s"), F.length("_text").alias("e"),
-                      F.lit(name_k).alias("k"), F.col("word").alias("v"), F.lit("name").alias("rule"),
-                      F.col("word").alias("key"),
+              .select("_scope", "_unit", "_h", F.lit(0).alias("s"), F.length("_text").alias("e"),
+                      F.lit(name_k).alias("k"), F.col("_word").alias("v"), F.lit("name").alias("rule"),
+                      F.col("_word").alias("key"),
                       F.struct(F.col("_unit").alias("u"), F.lit(name_k).alias("k"), F.lit(0).alias("s")).alias("pos")))
         events = occ.unionByName(fb)
-    if prior is None:
-        registry = reg.build_registry(events, rules, numbering)
-    else:
-        registry = reg.continue_registry(prior, events, rules, numbering)
+    registry = reg.build_registry(events, rules) if prior is None else reg.continue_registry(prior, events, rules)
     registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
     cell_events = events.where(F.col("pos.u.phase") == 1)
-    hits = reg.attach_pseudonyms(cell_events, registry, may_be_hot=bound > reg.HOT_KEY_OCCURRENCES)
-    repl = (hits.repartition(n, "_scope", "_unit").groupBy("_scope", "_unit")
-            .agg(F.array_sort(F.collect_list(F.struct("s", "e", "pseudonym"))).alias("_repl")))
-    cells = spanned.where("_cell").join(repl, ["_scope", "_unit"], "left")
-    cells = cells.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl", "_spans")
-    return {"cells": cells, "registry": registry}
+    hits = reg.attach_pseudonyms(cell_events, registry, UNIT)
+    repl = hits.groupBy(*UNIT).agg(F.array_sort(F.collect_set(F.struct("s", "e", "pseudonym"))).alias("_repl"))
+    cells = spanned.where("_cell").join(repl, UNIT, "left")
+    cells = cells.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl", "_spans", "_h")
+    return {"cells": cells, "registry": registry, "cached": [spanned, registry]}
 
 
 def cells_to_table(df: DataFrame, cells: DataFrame, row_col: str) -> DataFrame:

@@ -20,14 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.templates import render
 from ..functions.text import strip_ws
 from ..rules import Rule
-from ..session import checkpointed
+from ..session import checkpointed, partitions
 
-# A (scope, rule) group above this many distinct values is numbered with the
-# ranged two-phase form instead of one window partition.
-WINDOW_GROUP_MAX = 1_000_000
-# Occurrences of one value above which the join-back salts that value.
-HOT_KEY_OCCURRENCES = 100_000
-SALT_BUCKETS = 64
+# A value is hot when it has more occurrences than an even share of this many
+# per task; its rows are then dealt over one salt per HOT_ROWS occurrences.
+HOT_ROWS = 100_000
 
 
 def rule_names(rules: list[Rule]) -> Column:
@@ -41,8 +38,9 @@ def occurrences(spanned: DataFrame, rules: list[Rule], spans_col: str = "_spans"
     h = F.col("h")
     # explode_outer + filter keeps the optimizer from re-deriving the spans
     # in an inferred size(...) > 0 filter pushed below the exchange
-    return (spanned.select("_scope", "_unit", F.explode_outer(spans_col).alias("h")).where(h.isNotNull())
-            .select("_scope", "_unit", h["s"].alias("s"), h["e"].alias("e"), h["k"].alias("k"),
+    ids = [c for c in ("_scope", "_unit", "_h") if c in spanned.columns]
+    return (spanned.select(*ids, F.explode_outer(spans_col).alias("h")).where(h.isNotNull())
+            .select(*ids, h["s"].alias("s"), h["e"].alias("e"), h["k"].alias("k"),
                     h["v"].alias("v"),
                     F.element_at(rule_names(rules), h["k"] + 1).alias("rule"),
                     strip_ws(h["v"]).alias("key"),
@@ -58,7 +56,7 @@ def first_seen(occ: DataFrame) -> DataFrame:
 
 
 def number_window(keys: DataFrame, offset: Column | None = None) -> DataFrame:
-    w = Window.partitionBy("_scope", "rule").orderBy("first_pos")
+    w = Window.partitionBy("_scope", "rule").orderBy("first_pos", "key")
     n = F.row_number().over(w)
     return keys.withColumn("n", n if offset is None else n + offset)
 
@@ -73,10 +71,9 @@ def number_ranged(keys: DataFrame) -> DataFrame:
        rows — and prefix-sum those counts in a window;
     3. ``n = rows in earlier partitions + rank inside this partition``.
     """
-    ordered = keys.sortWithinPartitions("_scope", "rule", "first_pos")
     # no fixed count: AQE may merge adjacent ranges, which keeps them ordered
-    ranged = (ordered.repartitionByRange("_scope", "rule", "first_pos")
-              .sortWithinPartitions("_scope", "rule", "first_pos")
+    ranged = (keys.repartitionByRange("_scope", "rule", "first_pos", "key")
+              .sortWithinPartitions("_scope", "rule", "first_pos", "key")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_gid", F.monotonically_increasing_id()))
     ranged = checkpointed(ranged)
@@ -91,13 +88,6 @@ def number_ranged(keys: DataFrame) -> DataFrame:
         "_pid", "_gid", "_cnt", "_g0", "_before")
 
 
-def choose_numbering(keys: DataFrame, numbering: str) -> str:
-    if numbering != "auto":
-        return numbering
-    biggest = keys.groupBy("_scope", "rule").count().agg(F.max("count")).first()[0]
-    return "window" if (biggest or 0) <= WINDOW_GROUP_MAX else "ranged"
-
-
 def pseudonym_column(rules: list[Rule], n: Column, orig: Column, k: Column) -> Column:
     """Template of the rule block that registered the value."""
     expr = None
@@ -107,39 +97,45 @@ def pseudonym_column(rules: list[Rule], n: Column, orig: Column, k: Column) -> C
     return expr
 
 
-def build_registry(occ: DataFrame, rules: list[Rule], numbering: str = "auto") -> DataFrame:
+def build_registry(occ: DataFrame, rules: list[Rule], numbering: str = "ranged") -> DataFrame:
     """Registry rows: ``_scope, rule, key, n, pseudonym, first_pos, first_v,
-    first_k, occurrences``."""
-    numbered = number(first_seen(occ).persist(), numbering)
+    first_k, occurrences``.  ``ranged`` spreads scopes of any size over all
+    tasks; ``window`` is for scopes that are one unit each."""
+    numbered = number(first_seen(occ), numbering)
     return numbered.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
-    """Equi-join ``big`` with ``small`` (one row per key) where the keys listed
-    in ``hot`` are salted: their ``small`` row is replicated over
-    ``SALT_BUCKETS`` salts and each ``big`` row picks one by hashing its
-    ``spread`` columns, so no single task receives all rows of a hot key.
-    ``hot`` has at most total rows / ``HOT_KEY_OCCURRENCES`` keys: broadcast."""
-    flag = hot.select(*keys, F.lit(True).alias("_hot"))
-    big = big.join(F.broadcast(flag), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALT_BUCKETS))).otherwise(F.lit(0)))
-    small = (small.join(F.broadcast(flag), keys, "left")
-             .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
+def hot_keys(counts: DataFrame, keys: list[str], n_col: str, total: int | None = None) -> DataFrame:
+    """Keys of ``counts`` with more than ``max(HOT_ROWS, total / (8 x partitions))``
+    rows, and their number of salts.  There are at most 8 x partitions of them,
+    whatever the corpus, so the list may be broadcast."""
+    parts = partitions(counts.sparkSession)
+    total = total if total is not None else counts.agg(F.sum(n_col)).first()[0] or 0
+    limit = max(HOT_ROWS, total // (8 * parts))
+    salts = F.least(F.ceil(F.col(n_col) / F.lit(float(HOT_ROWS))), F.lit(64 * parts)).cast("int")
+    return counts.where(F.col(n_col) > limit).select(*keys, salts.alias("_salts"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join ``big`` with ``small`` (one row per key) where the keys of
+    ``hot`` (:func:`hot_keys`) are salted: their ``small`` row is repeated for
+    every salt and each ``big`` row picks one by hashing its ``spread`` columns,
+    so no task gets all rows of a hot key."""
+    hot = F.broadcast(hot)
+    big = big.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(F.lit(0)).cast("int"))
+    small = (small.join(hot, keys, "left")
+             .withColumn("_salt", F.explode(F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
                                             .otherwise(F.array(F.lit(0))))))
-    return big.drop("_hot").join(small.drop("_hot"), keys + ["_salt"]).drop("_salt")
+    return big.drop("_salts").join(small.drop("_salts"), keys + ["_salt"], how).drop("_salt")
 
 
-def attach_pseudonyms(occ: DataFrame, registry: DataFrame, may_be_hot: bool = True) -> DataFrame:
-    """Occurrences joined with their pseudonym; values with more than
-    ``HOT_KEY_OCCURRENCES`` occurrences are salted (:func:`salted_join`).
-    ``may_be_hot=False`` (no scope has that many occurrences) skips it."""
+def attach_pseudonyms(occ: DataFrame, registry: DataFrame, unit: list[str]) -> DataFrame:
+    """Occurrences joined with their pseudonym, hot values salted."""
     keys = ["_scope", "rule", "key"]
-    cols = ["_scope", "_unit", "s", "e", "k", "rule", "key", "pseudonym"]
-    small = registry.select(*keys, "pseudonym")
-    if not may_be_hot:
-        return occ.join(small, keys).select(*cols)
-    hot = registry.where(F.col("occurrences") > HOT_KEY_OCCURRENCES).select(*keys)
-    return salted_join(occ, small, keys, hot, ["_unit", "s"]).select(*cols)
+    hot = hot_keys(registry, keys, "occurrences")
+    joined = salted_join(occ, registry.select(*keys, "pseudonym"), keys, hot, ["_unit", "s"])
+    return joined.select(*unit, "s", "e", "k", "rule", "key", "pseudonym")
 
 
 def mapping(registry: DataFrame) -> DataFrame:
@@ -171,24 +167,21 @@ def collisions(registry: DataFrame) -> DataFrame:
             .where(F.col("n_values") > 1))
 
 
-def number(keys: DataFrame, numbering: str = "auto") -> DataFrame:
-    mode = choose_numbering(keys, numbering)
-    return number_window(keys) if mode == "window" else number_ranged(keys)
+def number(keys: DataFrame, numbering: str = "ranged") -> DataFrame:
+    return number_window(keys) if numbering == "window" else number_ranged(keys)
 
 
-def continue_registry(old: DataFrame, occ: DataFrame, rules: list[Rule], numbering: str = "auto") -> DataFrame:
+def continue_registry(old: DataFrame, occ: DataFrame, rules: list[Rule], numbering: str = "ranged") -> DataFrame:
     """Known values keep their number, new ones continue each counter.
 
     ``old`` is an earlier internal registry (columns of :func:`build_registry`);
-    the new batch's first positions must sort after the old ones."""
+    the new batch's first positions must sort after the old ones.  """
     keys = ["_scope", "rule", "key"]
-    seen = first_seen(occ).persist()
-    fresh = seen.join(old.select(*keys), keys, "left_anti")
+    seen = first_seen(occ)
     base = old.groupBy("_scope", "rule").agg(F.max("n").alias("_base"))
-    numbered = number(fresh, numbering).join(base, ["_scope", "rule"], "left")
-    numbered = numbered.withColumn("n", F.col("n") + F.coalesce(F.col("_base"), F.lit(0))).drop("_base")
-    numbered = numbered.withColumn("pseudonym", pseudonym_column(
-        rules, F.col("n"), F.col("first_v"), F.col("first_k")))
+    fresh = number(seen.join(old.select(*keys), keys, "left_anti"), numbering).join(base, ["_scope", "rule"], "left")
+    fresh = fresh.withColumn("n", F.col("n") + F.coalesce(F.col("_base"), F.lit(0))).drop("_base")
+    fresh = fresh.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))
     known = old.join(seen.select(*keys, F.col("occurrences").alias("_new")), keys, "left")
     known = known.withColumn("occurrences", F.col("occurrences") + F.coalesce(F.col("_new"), F.lit(0))).drop("_new")
-    return known.unionByName(numbered.select(*old.columns))
+    return known.unionByName(fresh.select(*old.columns))

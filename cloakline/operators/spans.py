@@ -1,22 +1,19 @@
 """Span detection (D1-D7) and first-claim-wins overlap resolution (O1-O2).
 
-Two exact routes giving identical spans:
-
-* the *array route* (default): per-row Column expressions, no shuffle;
-* the *row route* for texts where a rule has more than ``MAX_ARRAY_MATCHES``
-  matches (the array route is quadratic in matches per text): candidates as
-  rows, offsets and priority by windows clustered on the unit key.
+Everything is per-row Column work: no shuffle, one route for texts of any
+length, linear but for a factor of the square root of the number of matches.
 
 *Regex scan (D1).*  One regex pass marks every match with a private-use
 character (``regexp_replace(text, rx, MARK$0MARK)``); splitting on the mark
-gives ``[gap, match, gap, match, ..., gap]`` and a single ``aggregate`` over the
-pieces yields code-point offsets.  Texts that already hold the mark use the
-equivalent ``split(text, rx)`` + ``regexp_extract_all`` pair instead.
-
-*Overlaps (O2).*  Matches of one regex rule never overlap each other, so rule
-``j`` only has to be checked against the spans kept by rules ``< j``: a
-``filter`` + ``exists`` per level.  Entity rules (whose spans may overlap each
-other) use the sequential ``aggregate`` form.
+gives ``[gap, match, gap, match, ..., gap]`` and one scan over the pieces gives
+code-point offsets.  Texts that already hold the mark use the equivalent
+``split(text, rx)`` + ``regexp_extract_all`` pair instead.
+
+*Overlaps (O2).*  Rule ``j`` is checked against the spans kept by rules
+``< j``: kept starts and candidate ends are merged in one sorted array, and a
+scan carries the largest kept end that started before a candidate's end.  Spans
+of an entity rule may overlap each other; a second scan in their order settles
+that against what the same rule has kept so far.
 """
 
 from __future__ import annotations
@@ -24,10 +21,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import FEW, let, scan
 from ..functions.text import is_blank, split_ws
 from ..rules import Rule
 
@@ -66,17 +63,16 @@ def _pieces(text: Column, java: str) -> Column:
 
 
 def _offsets(pieces: Column, k: int) -> Column:
-    """Odd pieces are matches; running code-point length gives their offsets.
-    A single piece means no match: no fold at all."""
-    init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), _empty().alias("out"))
+    """Odd pieces are matches; running code-point length gives their offsets."""
+    state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"))
 
-    def step(acc, x):
-        end = acc["pos"] + F.length(x)
-        hit = F.struct(acc["pos"].alias("s"), end.alias("e"), F.lit(k).alias("k"), x.alias("v"))
-        out = F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
+    def step(st, x):
+        end = st["pos"] + F.length(x)
+        hit = F.struct(st["pos"].alias("s"), end.alias("e"), F.lit(k).alias("k"), x.alias("v"))
+        return (F.struct(end.alias("pos"), (st["i"] + 1).alias("i")),
+                F.when(st["i"] % 2 == 1, F.array(hit)).otherwise(_empty()))
 
-    return F.when(F.size(pieces) <= 1, _empty()).otherwise(F.aggregate(pieces, init, step, lambda acc: acc["out"]))
+    return let(pieces, lambda p: F.when(F.size(p) > 1, scan(p, state, SPAN_T, step)).otherwise(_empty()))
 
 
 def _python_scanner(rule: Rule, k: int):
@@ -135,178 +131,78 @@ def plan_detectors(rules: list[Rule], have_entities: bool, use_entities: bool =
     return kinds
 
 
-# A text where some rule has more than this many matches takes the row-based
-# route: the per-row array route costs O(matches^2) (a fold with concat, an
-# ``exists`` per candidate), the row route O(matches log matches).  Both give
-# identical spans; the bound keeps the array route near 10^7 steps per text.
-MAX_ARRAY_MATCHES = 1000
-
-
-def _rows_of(units: DataFrame, key_cols: list[str], text: Column, rule: Rule, k: int, kind: str,
-             ents_col: str | None) -> DataFrame:
-    """Candidates of one rule as rows ``keys, k, s, e, v`` — linear per text."""
-    if kind == "regex" and rule.native:
-        pieces = _pieces(text, rule.java)
-        if rule.literal:
-            pieces = F.when(F.instr(text, rule.literal) > 0, pieces).otherwise(F.array(text))
-        df = (units.select(*key_cols, F.posexplode_outer(pieces).alias("_i", "_p"))
-              .where(F.col("_i").isNotNull()))
-        w = Window.partitionBy(*key_cols).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumn("s", F.coalesce(F.sum(F.length("_p")).over(w), F.lit(0)).cast("int"))
-        df = df.where(F.col("_i") % 2 == 1).select(
-            *key_cols, F.lit(k).alias("k"), "s", (F.col("s") + F.length("_p")).alias("e"), F.col("_p").alias("v"))
-    else:
-        if kind == "entity":  # within-rule overlaps of an entity list: sequential fold on its own list
-            arr = F.aggregate(entity_candidates(text, F.col(ents_col), rule, k), _empty(), lambda acc, x: F.when(
-                overlaps(acc, x["s"], x["e"]), acc).otherwise(F.concat(acc, F.array(x))))
-        else:
-            arr = _python_scanner(rule, k)(text)
-        df = (units.select(*key_cols, F.explode_outer(arr).alias("h")).where(F.col("h").isNotNull())
-              .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
-                      F.col("h.v").alias("v")))
-    return df.where(passes_exclusions(F.col("v"), rule))
-
-
-def _resolve_rows(levels: list[DataFrame], key_cols: list[str]) -> DataFrame:
-    """First-claim-wins over candidate rows, one level per rule: a candidate
-    survives when no earlier-kept span starts before it and ends after its
-    start, none starts at its start (both non-empty), and none starts after it
-    but before its end — running max / min windows in start order."""
-    kept = levels[0]
-    order = Window.partitionBy(*key_cols).orderBy("s")
-    before = order.rangeBetween(Window.unboundedPreceding, -1)
-    same = order.rangeBetween(0, 0)
-    after = order.rangeBetween(1, Window.unboundedFollowing)
-    for cands in levels[1:]:
-        both = kept.withColumn("_kept", F.lit(True)).unionByName(cands.withColumn("_kept", F.lit(False)))
-        ke, ks = F.when(F.col("_kept"), F.col("e")), F.when(F.col("_kept"), F.col("s"))
-        both = (both.withColumn("_pe", F.max(ke).over(before)).withColumn("_se", F.max(ke).over(same))
-                .withColumn("_ns", F.min(ks).over(after)))
-        clash = ((F.col("_pe") > F.col("s")) | ((F.col("_se") > F.col("s")) & (F.col("e") > F.col("s")))
-                 | (F.col("_ns") < F.col("e")))
-        kept = both.where(F.col("_kept") | ~F.coalesce(clash, F.lit(False))).drop("_kept", "_pe", "_se", "_ns")
-    return kept
-
-
-def _excluded(arr: Column, rule: Rule) -> Column:
-    return F.filter(arr, lambda x: passes_exclusions(x["v"], rule))
-
-
-def candidate_frame(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
-                    use_entities: bool = True, route_long: bool = False) -> tuple[DataFrame, list]:
-    """Per-row candidate arrays ``_c{k}`` plus ``_long`` (some rule has more
-    than ``MAX_ARRAY_MATCHES`` matches: left empty here, see :func:`patch_long`).
-    Regex pieces are their own projection, so sizing them costs no second
-    regex pass."""
-    text = F.col(text_col)
-    kinds = plan_detectors(rules, ents_col is not None, use_entities)
-    blank = is_blank(text)
-    base = list(units.columns)
-    raw, sizes = [], []
-    for k, (r, kind) in enumerate(zip(rules, kinds)):
-        if kind == "regex" and r.native:
-            p = _pieces(text, r.java)
-            if r.literal:
-                p = F.when(F.instr(text, r.literal) > 0, p).otherwise(F.array(text))
-            raw.append((k, "pieces", F.when(blank, F.array().cast("array<string>")).otherwise(p)))
-            sizes.append((F.size(F.col(f"_r{k}")) - 1) / 2)
-        elif kind == "regex":
-            raw.append((k, "spans", F.when(blank, _empty()).otherwise(_python_scanner(r, k)(text))))
-            sizes.append(F.size(F.col(f"_r{k}")))
-        elif kind == "entity":
-            raw.append((k, "spans", F.when(blank, _empty()).otherwise(entity_candidates(text, F.col(ents_col), r, k))))
-            sizes.append(F.size(F.col(f"_r{k}")))
-    df = units.select(*base, *[c.alias(f"_r{k}") for k, _, c in raw])
-    too_many = F.lit(False)
-    if route_long:
-        for sz in sizes:
-            too_many = too_many | (sz > F.lit(MAX_ARRAY_MATCHES))
-    df = df.withColumn("_long", too_many)
-    cands = []
-    for k, form, _ in raw:
-        arr = _offsets(F.col(f"_r{k}"), k) if form == "pieces" else F.col(f"_r{k}")
-        if kinds[k] != "entity":
-            arr = _excluded(arr, rules[k])
-        cands.append((f"_c{k}", kinds[k], F.when(F.col("_long"), _empty()).otherwise(arr)))
-    df = df.select(*base, "_long", *[c.alias(n) for n, _, c in cands])
-    return df, cands
-
-
-def detect_light(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
-                 use_entities: bool = True, out_col: str = "_spans", skip_long: bool = False) -> DataFrame:
-    """Per-row array route: ``out_col`` = kept spans sorted by start, plus the
-    ``_long`` flag.  Each resolution level is its own projection so the
-    optimizer keeps one evaluation of every regex (levels are referenced
-    twice).  With ``skip_long`` texts flagged ``_long`` get no spans here."""
-    df, cands = candidate_frame(units, rules, text_col, ents_col, use_entities, route_long=skip_long)
-    base = list(units.columns)
-    kept = "_kept"
-    df = df.withColumn(kept, _empty())
-    for name, kind, _ in cands:
-        if kind == "entity":
-            step = F.aggregate(F.col(name), F.col(kept), lambda acc, x: F.when(
-                overlaps(acc, x["s"], x["e"]), acc).otherwise(F.concat(acc, F.array(x))))
-        else:
-            step = F.concat(F.col(kept), F.filter(F.col(name), lambda x: ~overlaps(F.col(kept), x["s"], x["e"])))
-        df = df.select(*base, "_long", *[n for n, _, _ in cands], step.alias(kept))
-    return df.select(*base, "_long", F.array_sort(F.col(kept)).alias(out_col))
+def _free_of(kept: Column, cands: Column) -> Column:
+    """Candidates that overlap no kept span: sorted by (place, kind), a kept span
+    stands at its start, a candidate at its end, ahead of starts at that place."""
+    kind = "array<struct<p:int,t:int,s:int,e:int,k:int,v:string>>"
+    starts = F.transform(kept, lambda x: F.struct(x["s"].alias("p"), F.lit(1).alias("t"), x["s"].alias("s"), x["e"].alias("e"),
+                                                  x["k"].alias("k"), F.lit("").alias("v")))
+    ends = F.transform(cands, lambda x: F.struct(x["e"].alias("p"), F.lit(0).alias("t"), x["s"].alias("s"), x["e"].alias("e"),
+                                                 x["k"].alias("k"), x["v"].alias("v")))
+
+    def step(far, x):
+        span = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["v"].alias("v"))
+        return (F.when(x["t"] == 1, F.greatest(far, x["e"])).otherwise(far),
+                F.when((x["t"] == 0) & (far <= x["s"]), F.array(span)).otherwise(_empty()))
 
+    free = scan(F.sort_array(F.concat(starts, ends).cast(kind)), F.lit(0), SPAN_T, step)
+    # few kept spans: look at each of them instead of sorting
+    each = F.filter(cands, lambda x: ~overlaps(kept, x["s"], x["e"]))
+    return F.when(F.size(cands) == 0, _empty()).when(F.size(kept) == 0, cands).when(F.size(kept) <= FEW, each).otherwise(free)
 
-def patch_long(light: DataFrame, units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text",
-               ents_col: str | None = None, use_entities: bool = True, out_col: str = "_spans") -> DataFrame:
-    """Row route for texts flagged ``_long``: candidate rows, windows
-    clustered by the unit key (no extra shuffle when units are hash-partitioned
-    on it), joined back with a shuffled hash join (no sort of the text side)."""
+
+def _first_come(cands: Column) -> Column:
+    """Of spans sorted by start, those that overlap none kept before them.
+    ``near``: the largest kept end among spans starting where the last one did
+    (an empty span does not overlap those)."""
+    state = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("far"), F.lit(0).alias("near"))
+
+    def step(st, x):
+        moved = x["s"] > st["at"]
+        far = F.when(moved, F.greatest(st["far"], st["near"])).otherwise(st["far"])
+        near = F.when(moved, F.lit(0)).otherwise(st["near"])
+        ok = (far <= x["s"]) & ((near <= x["s"]) | (x["e"] == x["s"]))
+        return (F.struct(x["s"].alias("at"), far.alias("far"), F.when(ok, F.greatest(near, x["e"])).otherwise(near).alias("near")),
+                F.when(ok, F.array(x)).otherwise(_empty()))
+
+    return scan(cands, state, SPAN_T, step)
+
+
+def _candidate_columns(units: DataFrame, rules: list[Rule], text_col: str, ents_col: str | None, use_entities: bool):
+    """``units`` with one candidate array ``_c{k}`` per active rule."""
     text = F.col(text_col)
     kinds = plan_detectors(rules, ents_col is not None, use_entities)
-    heavy_units = light.where(F.col("_long")).select(*units.columns)
-    levels = [_rows_of(heavy_units, key_cols, text, rules[k], k, kind, ents_col)
-              for k, kind in enumerate(kinds) if kind != "none"]
-    if not levels:
-        return light
-    heavy = (_resolve_rows(levels, key_cols).groupBy(*key_cols)
-             .agg(F.array_sort(F.collect_list(F.struct("s", "e", "k", "v"))).alias("_hv")))
-    patched = light.join(heavy.hint("shuffle_hash"), key_cols, "left")
-    spans = F.when(F.col("_hv").isNotNull(), F.col("_hv")).otherwise(F.col(out_col)).cast(SPAN_T)
-    return patched.withColumn(out_col, spans).select(*light.columns)
+    active = [k for k, kind in enumerate(kinds) if kind != "none"]
+    cols = []
+    for k in active:
+        arr = entity_candidates(text, F.col(ents_col), rules[k], k) if kinds[k] == "entity" else regex_candidates(text, rules[k], k)
+        cols.append(F.when(is_blank(text), _empty()).otherwise(arr).cast(SPAN_T).alias(f"_c{k}"))
+    return units.select(*units.columns, *cols), active, kinds
 
 
 def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_col: str | None = None,
-           use_entities: bool = True, out_col: str = "_spans", key_cols: list[str] | None = None) -> DataFrame:
+           use_entities: bool = True, out_col: str = "_spans") -> DataFrame:
     """Add ``out_col``: kept spans ``array<struct<s,e,k,v>>`` sorted by start.
-
-    With a unit key (``key_cols``, or ``_scope``/``_unit`` when present) the
-    result is persisted and long texts take the row route when any exist."""
-    if key_cols is None and {"_scope", "_unit"} <= set(units.columns):
-        key_cols = ["_scope", "_unit"]
-    light = detect_light(units, rules, text_col, ents_col, use_entities, out_col, skip_long=bool(key_cols))
-    if not key_cols:
-        return light
-    light = light.persist(StorageLevel.MEMORY_AND_DISK)
-    # count(), not limit(1): one parallel job that also fills the cache
-    if light.where(F.col("_long")).count() == 0:
-        return light
-    return patch_long(light, units, rules, key_cols, text_col, ents_col, use_entities, out_col)
+    Each level is its own projection, so every regex is evaluated once."""
+    df, active, kinds = _candidate_columns(units, rules, text_col, ents_col, use_entities)
+    kept = F.col("_kept")
+    df = df.withColumn("_kept", _empty())
+    for k in active:
+        cands = _free_of(kept, F.col(f"_c{k}"))
+        if kinds[k] == "entity":
+            cands = _first_come(F.array_sort(cands))
+        df = df.withColumn("_kept", F.concat(kept, cands))
+    return df.select(*units.columns, F.array_sort("_kept").alias(out_col))
 
 
 def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text") -> DataFrame:
     """Every candidate of every regex rule (before overlap resolution), one row
-    per hit: ``key_cols, rule, k, s, e, v``.  Texts with many matches take the
-    row route."""
+    per hit: ``key_cols, rule, k, s, e, v``."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    rx = [r for r in rules if r.regex is not None]
-    frame, cands = candidate_frame(units, rules, text_col, None, False, route_long=True)
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    arrs = [F.col(n) for n, kind, _ in cands if kind == "regex"]
+    df, active, _ = _candidate_columns(units, rules, text_col, None, False)
     # explode_outer + filter: a plain explode makes the optimizer infer
-    # size(...) > 0 and push the whole span expression below the exchange
-    rows = (frame.select(*key_cols, F.explode_outer(F.flatten(F.array(*arrs))).alias("h"))
+    # size(...) > 0 and evaluate the whole span expression twice
+    return (df.select(*key_cols, F.explode_outer(F.flatten(F.array(*[F.col(f"_c{k}") for k in active]))).alias("h"))
             .where(F.col("h").isNotNull())
-            .select(*key_cols, F.col("h.k").alias("k"), F.col("h.s").alias("s"), F.col("h.e").alias("e"),
-                    F.col("h.v").alias("v")))
-    if rx and frame.where(F.col("_long")).count() > 0:
-        heavy_units = frame.where(F.col("_long")).select(*units.columns)
-        for k, r in enumerate(rules):
-            if r.regex is not None:
-                rows = rows.unionByName(_rows_of(heavy_units, key_cols, F.col(text_col), r, k, "regex", None))
-    return rows.select(*key_cols, F.element_at(names, F.col("k") + 1).alias("rule"), "k", "s", "e", "v")
+            .select(*key_cols, F.element_at(names, F.col("h.k") + 1).alias("rule"), F.col("h.k").alias("k"),
+                    F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))

@@ -1,50 +1,51 @@
-"""Composite jobs (J1-J5): redact and restore DataFrames.
-
-Physical shape of :func:`redact` (one text shuffle in total):
-
-1. units hash-partitioned on ``(scope, unit)`` — spreads even a scope holding
-   a third of all rows, fixes few-large-input-file scans;
-2. span column computed per row and persisted (feeds registry and splice);
-3. registry: partial aggregation -> shuffle on ``(scope, rule, key)`` ->
-   numbering (window or ranged two-phase);
-4. occurrences joined to the registry (hot values salted), regrouped per unit
-   — the regroup is hash-partitioned like step 1 so the final join with the
-   persisted units needs no second shuffle of the text;
-5. splice.
+"""Composite jobs (J1-J5): mask and restore DataFrames.
+
+Texts stay where they are.  Spans are found per row; then
+
+* when every unit has its own registry (``scope_cols`` are the key columns) the
+  values are numbered and spliced inside the row: no exchange, nothing cached;
+* otherwise only spans travel: the hits (no text) are kept, numbered by a
+  two-phase ranged count that spreads a scope of any size, joined with their
+  pseudonyms (hot values salted) and regrouped per unit.  Units without a hit
+  pass through; only the text of units with hits is joined by the unit key.
+
+A unit is matched by its key and a hash of its text, so rows that share a key
+by mistake are still masked each by its own spans.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+from ..functions.text import strip_ws
 from ..operators import registry as reg
-from ..operators.names import cells_to_table, redact_sheet, sheet_units
+from ..operators.names import cells_to_table, mask_sheet, sheet_units
 from ..operators.restore import restore_sequential, restore_tokens
-from ..operators.spans import detect_light, patch_long
+from ..operators.spans import detect
 from ..operators.splice import splice
 from ..rules import Rule, load_rules
-from ..session import checkpointed, partitions
+from ..session import checkpointed, spread_small
 
 
 @dataclass
-class Redaction:
-    redacted: DataFrame  # input columns, text replaced
+class Masking:
+    masked: DataFrame  # input columns, text replaced
     registry: DataFrame  # scope cols, rule, original, n, pseudonym, ...
     mapping: DataFrame  # scope cols, pseudonym, original
     stats: DataFrame  # scope cols, rule, count
-    spans: DataFrame  # internal: units with kept spans (persisted)
     scope_cols: list
     internal: DataFrame = None  # registry with internal columns, for continuation (R9)
+    cached: list = field(default_factory=list)
 
     def unpersist(self) -> None:
-        """Release the cached span table and registry once outputs are written."""
-        for df in (self.spans, self.internal):
-            if df is not None:
-                df.unpersist()
+        """Release the cached hits and registry once outputs are written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def scope_struct(scope_cols: list[str] | None):
@@ -81,130 +82,166 @@ def scope_columns(df: DataFrame, scope_cols: list[str] | None) -> DataFrame:
     return df.drop("_scope")
 
 
-def spans_checked(units: DataFrame, rules: list[Rule], ents_col: str | None = None, use_entities: bool = True,
-                  extra: F.Column | None = None, one_scope: bool = False):
-    """Kept spans of hash-partitioned units, persisted, plus a bound on the
-    values one (scope, rule) can hold.
-
-    One pass over the persisted spans answers both size checks: are there
-    texts with too many matches for the array route (they take the row
-    route), and how many occurrences can one scope hold (``extra`` adds
-    further events per unit)."""
-    spanned = detect_light(units, rules, "_text", ents_col, use_entities, skip_long=True)
-    spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
-    long_ = F.col("_long")
-    events = F.size("_spans") + F.when(long_, F.length("_text")).otherwise(F.lit(0))
-    if extra is not None:
-        events = events + extra
-    if one_scope:  # a corpus-wide registry: a global aggregate, no shuffle
-        bound, n_long = spanned.agg(F.sum(events), F.sum(F.when(long_, 1).otherwise(0))).first()
-    else:
-        per_scope = spanned.groupBy("_scope").agg(F.sum(events).alias("bound"),
-                                                  F.sum(F.when(long_, 1).otherwise(0)).alias("long"))
-        bound, n_long = per_scope.agg(F.max("bound"), F.sum("long")).first()
-    if n_long:
-        spanned = patch_long(spanned, units, rules, ["_scope", "_unit"], "_text", ents_col, use_entities)
-        spanned = spanned.persist(StorageLevel.MEMORY_AND_DISK)
-    return spanned, int(bound or 0)
-
-
-def redact_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None,
-                 use_entities: bool = True, numbering: str = "auto", splice_mask=None,
-                 prior: DataFrame | None = None, one_scope: bool = False) -> dict:
-    """Core of J1 on prepared units (``_scope, _unit, _text``, ...).
-
-    ``splice_mask``: optional boolean column name; units where it is false
-    consume numbers but are not spliced (pre-scan units, R10)."""
-    n = partitions(units.sparkSession)
-    units = units.repartition(n, "_scope", "_unit")
+UNIT = ["_scope", "_unit", "_h"]
+HAS_SPANS, NO_SPANS = "size(_spans) > 0 AND _b >= 0", "size(_spans) <= 0 AND _b >= 0"
+
+
+def with_barrier(spanned: DataFrame) -> DataFrame:
+    """A column that a filter on the spans also reads: it is not deterministic, so
+    the optimizer leaves the filter above the span projections.  Pushed below
+    them it would evaluate every rule level anew for each reference."""
+    return spanned.withColumn("_b", F.monotonically_increasing_id())
+
+
+def opaque(text: Column) -> Column:
+    """The same value, formally not deterministic: a later filter on the masked
+    text stays above it instead of repeating the whole chain of rule levels."""
+    return F.when(F.monotonically_increasing_id() >= 0, text)
+
+
+def in_row_pseudonyms(spans: Column, rules: list[Rule]) -> Column:
+    """Spans with pseudonyms, numbered within the row: a value's number is its
+    place among the rule's distinct values in order of (rule, start)."""
+    names = list(dict.fromkeys(r.name for r in rules))
+    of_rule = {m: [k for k, r in enumerate(rules) if r.name == m] for m in names}
+    in_order = F.transform(spans, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), strip_ws(x["v"]).alias("key"), x["v"].alias("v")))
+    lists = {}
+    for m in names:  # first occurrence of every value, in order
+        mine = F.filter(F.array_sort(in_order), lambda x: x["k"].isin(*of_rule[m]))
+        lists[m] = F.struct(F.array_distinct(F.transform(mine, lambda x: x["key"])).alias("keys"), mine.alias("all"))
+
+    def numbered(found: Column) -> Column:
+        def one(x: Column) -> Column:
+            key = strip_ws(x["v"])
+            out = F.lit(None).cast("string")
+            for m in names:
+                group = found[f"r{names.index(m)}"]
+                n = F.array_position(group["keys"], key)
+                first = F.get(F.filter(group["all"], lambda y: y["key"] == key), F.lit(0))
+                out = F.when(x["k"].isin(*of_rule[m]), reg.pseudonym_column(rules, n, first["v"], first["k"])).otherwise(out)
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), out.alias("pseudonym"))
+
+        return F.transform(spans, one)
+
+    return F.when(F.size(spans) > 0, let(F.struct(*[lists[m].alias(f"r{i}") for i, m in enumerate(names)]), numbered))
+
+
+def masked_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None, use_entities: bool = True,
+                 prior: DataFrame | None = None, own_scope: bool = False) -> dict:
+    """Core of J1 on prepared units (``_scope, _unit, _text``, ...): the masked
+    units, the registry, and the cached frames to release afterwards."""
     ents_col = None
     if entities is not None:
         units = units.join(entities, ["_scope", "_unit"], "left")
         ents_col = "_ents"
-    spanned, bound = spans_checked(units, rules, ents_col, use_entities, one_scope=one_scope)
+    spanned = detect(units.withColumn("_h", F.xxhash64("_text")), rules, "_text", ents_col, use_entities)
     if ents_col:
         spanned = spanned.drop(ents_col)
-    if numbering == "auto":
-        numbering = "window" if bound <= reg.WINDOW_GROUP_MAX else "ranged"
-    occ = reg.occurrences(spanned, rules)
-    if prior is None:
-        registry = reg.build_registry(occ, rules, numbering)
-    else:
-        registry = reg.continue_registry(prior, occ, rules, numbering)
+    if own_scope and prior is None:
+        registry = reg.build_registry(reg.occurrences(spanned, rules), rules, "window")
+        # a column of its own: splice reads it several times, also inside a lambda
+        out = spanned.withColumn("_repl", in_row_pseudonyms(F.col("_spans"), rules))
+        out = out.withColumn("_text", opaque(splice(F.col("_text"), F.col("_repl"))))
+        return {"units": out.drop("_spans", "_h", "_repl"), "registry": registry, "cached": []}
+    spanned = with_barrier(spanned)
+    hits = spanned.where(HAS_SPANS).select(*UNIT, "_spans").persist(StorageLevel.MEMORY_AND_DISK)  # spans only: read for the registry and for the join
+    occ = reg.occurrences(hits, rules)
+    registry = reg.build_registry(occ, rules) if prior is None else reg.continue_registry(prior, occ, rules)
     registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
-    targets = spanned if splice_mask is None else spanned.where(F.col(splice_mask))
-    occ_t = reg.occurrences(targets, rules)
-    hits = reg.attach_pseudonyms(occ_t, registry, may_be_hot=bound > reg.HOT_KEY_OCCURRENCES)
-    repl = (hits.repartition(n, "_scope", "_unit").groupBy("_scope", "_unit")
-            .agg(F.array_sort(F.collect_list(F.struct("s", "e", "pseudonym"))).alias("_repl")))
-    out = targets.join(repl, ["_scope", "_unit"], "left")
-    out = out.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl")
-    return {"units": out, "registry": registry, "spans": spanned}
-
-
-def redact(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[str] | None = None,
-           rules: list[Rule] | None = None, proper_nouns: bool = False, entities: DataFrame | None = None,
-           use_entities: bool = True, numbering: str = "auto", order_col: str | None = None,
-           prior: Redaction | None = None) -> Redaction:
-    """Redact ``text_col`` of ``df``.
+    out = spliced(spanned, reg.attach_pseudonyms(occ, registry, UNIT))
+    return {"units": out.drop("_h"), "registry": registry, "cached": [hits, registry]}
+
+
+def spliced(spanned: DataFrame, hits: DataFrame) -> DataFrame:
+    """Texts with their hits (``UNIT``, s, e, pseudonym) replaced.  A set per unit:
+    repeated rows of one key and text give the same hits twice."""
+    repl = hits.groupBy(*UNIT).agg(F.array_sort(F.collect_set(F.struct("s", "e", "pseudonym"))).alias("_repl"))
+    some = spanned.where(HAS_SPANS).drop("_spans", "_b").join(repl, UNIT)
+    some = some.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl")
+    return some.unionByName(spanned.where(NO_SPANS).drop("_spans", "_b"))
+
+
+def mask(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[str] | None = None,
+         rules: list[Rule] | None = None, proper_nouns: bool = False, entities: DataFrame | None = None,
+         use_entities: bool = True, order_col: str | None = None, prior: Masking | None = None) -> Masking:
+    """Mask ``text_col`` of ``df``.
 
     ``key_cols`` identify a unit and give the first-seen order inside a scope;
     ``scope_cols`` choose the registry (one per distinct value — e.g. one per
     file), none means one corpus-wide registry.  ``prior`` continues the
     registry of an earlier batch (R9): known values keep their pseudonyms."""
     rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
-    units = to_units(df, text_col, key_cols, scope_cols, order_col)
+    units = to_units(spread_small(df), text_col, key_cols, scope_cols, order_col)
     ents = entity_lists(entities, key_cols, scope_cols) if entities is not None else None
-    res = redact_units(units, rules, ents, use_entities, numbering,
-                       prior=prior.internal if prior is not None else None, one_scope=not scope_cols)
-    redacted = res["units"].withColumn(text_col, F.col("_text")).select(*df.columns)
+    res = masked_units(units, rules, ents, use_entities, prior.internal if prior is not None else None,
+                       own_scope=bool(scope_cols) and set(key_cols) <= set(scope_cols))
     registry = res["registry"]
-    return Redaction(
-        redacted=redacted,
+    return Masking(
+        masked=res["units"].withColumn(text_col, F.col("_text")).select(*df.columns),
         registry=scope_columns(registry.select(
             "_scope", "rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
             "first_v", "first_k", "occurrences"), scope_cols),
         mapping=scope_columns(reg.mapping(registry), scope_cols),
         stats=scope_columns(reg.stats(registry), scope_cols),
-        spans=res["spans"],
         scope_cols=scope_cols or [],
         internal=registry,
+        cached=res["cached"],
     )
 
 
+def require_entries(mapping: DataFrame) -> None:
+    """Restoring needs a mapping with entries."""
+    if mapping.isEmpty():
+        raise ValueError("the mapping is empty: nothing can be restored")
+
+
 def restore(df: DataFrame, text_col: str, key_cols: list[str], mapping: DataFrame,
-            scope_cols: list[str] | None = None, mode: str = "sequential",
-            rules: list[Rule] | None = None) -> DataFrame:
+            scope_cols: list[str] | None = None, mode: str = "sequential") -> DataFrame:
     """Restore ``text_col`` of ``df`` from a mapping
-    (``scope cols, pseudonym, original, order``)."""
-    units = to_units(df, text_col, key_cols, scope_cols)
-    m = mapping.select(scope_struct(scope_cols).alias("_scope"), "pseudonym", "original",
-                       *[c for c in ("order", "occurrences") if c in mapping.columns])
+    (``scope cols, pseudonym, original, order``).  An empty mapping is an error."""
+    units = to_units(spread_small(df), text_col, key_cols, scope_cols)
+    # read several times below, and often the end of a long plan: written once
+    m = checkpointed(mapping.select(scope_struct(scope_cols).alias("_scope"), "pseudonym", "original",
+                                    *[c for c in ("order",) if c in mapping.columns]))
+    require_entries(m)
     if mode == "sequential":
         if "order" not in m.columns:
             raise ValueError("sequential restore needs the mapping's 'order' column")
         out = restore_sequential(units, m)
     elif mode == "single_pass":
-        out = restore_tokens(units, m, rules if rules is not None else load_rules(proper_nouns=True))
+        out = restore_tokens(units, m)
     else:
         raise ValueError(f"unknown restore mode {mode!r}")
     return out.withColumn(text_col, F.col("_text")).select(*df.columns)
 
 
+def applied_entries(mapping: DataFrame, scope_cols: list[str] | None = None) -> DataFrame:
+    """How many mapping entries a restore works with, per scope."""
+    return mapping.groupBy(*(scope_cols or [])).agg(F.count("*").alias("entries"))
+
+
 @dataclass
-class TableRedaction:
-    redacted: DataFrame  # the wide table, string cells redacted
-    header: DataFrame  # col, text: header cells after redaction
+class TableMasking:
+    masked: DataFrame  # the wide table, string cells masked
+    header: DataFrame  # col, text: header cells after masking
     registry: DataFrame
     mapping: DataFrame
     internal: DataFrame = None  # registry with internal columns (next sheet continues it)
     sheet: int = 0
+    cached: list = field(default_factory=list)
 
+    def unpersist(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
-def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, multi_col_names: bool = False,
-                 proper_nouns: bool = False, numbering: str = "auto",
-                 prior: TableRedaction | None = None) -> TableRedaction:
-    """J3 (and S8): redact every string cell of a wide table — header row
+
+def _public(registry: DataFrame) -> DataFrame:
+    return registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos", "first_v", "first_k", "occurrences")
+
+
+def mask_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, multi_col_names: bool = False,
+               proper_nouns: bool = False, prior: TableMasking | None = None) -> TableMasking:
+    """J3 (and S8): mask every string cell of a wide table — header row
     included, other types untouched — with one registry for the table.  With
     ``multi_col_names`` the split-name pre-scan and component fallback run
     (M1-M6).  ``prior``: the previous sheet of the same workbook (shared
@@ -212,23 +249,17 @@ def redact_table(df: DataFrame, row_col: str, rules: list[Rule] | None = None, m
     rules = rules if rules is not None else load_rules(proper_nouns=proper_nouns)
     sheet = prior.sheet + 1 if prior is not None else 0
     units = sheet_units(df, row_col, sheet, multi_col_names).withColumn("_scope", scope_struct(None))
-    res = redact_sheet(units, rules, numbering, prior=prior.internal if prior is not None else None)
-    cells = res["cells"]
-    registry = res["registry"]
-    return TableRedaction(
-        redacted=cells_to_table(df, cells, row_col),
+    res = mask_sheet(units, rules, multi_col_names, prior=prior.internal if prior is not None else None)
+    cells, registry = res["cells"], res["registry"]
+    return TableMasking(
+        masked=cells_to_table(df, cells, row_col),
         header=cells.where(F.col("_unit.hdr") == 0).select("col", F.col("_text").alias("text")),
-        registry=registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
-                                 "first_v", "first_k", "occurrences"),
-        mapping=scope_columns(reg.mapping(registry), None),
-        internal=registry,
-        sheet=sheet,
-    )
+        registry=_public(registry), mapping=scope_columns(reg.mapping(registry), None),
+        internal=registry, sheet=sheet, cached=res["cached"])
 
 
-def redact_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | None = None,
-                    multi_col_names: bool = False, proper_nouns: bool = False,
-                    numbering: str = "auto") -> list[TableRedaction]:
+def mask_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | None = None,
+                  multi_col_names: bool = False, proper_nouns: bool = False) -> list[TableMasking]:
     """All sheets of a workbook with one registry (S8, M6), numbered in one
     pass in (sheet, phase, row, cell) order: no loop over sheets, component
     words decided per sheet from the values registered before its cells."""
@@ -238,67 +269,114 @@ def redact_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | Non
         u = sheet_units(df, row_col, j, multi_col_names)
         units = u if units is None else units.unionByName(u)
     units = units.withColumn("_scope", scope_struct(None))
-    res = redact_sheet(units, rules, numbering)
+    res = mask_sheet(units, rules, multi_col_names)
     # read once per sheet below: a reliable checkpoint keeps each sheet's plan
-    # small (otherwise every branch carries the whole redaction plan)
+    # small (otherwise every branch carries the whole plan)
     cells, registry = checkpointed(res["cells"]), res["registry"]
     mapping = scope_columns(reg.mapping(registry), None)
-    public = registry.select("rule", F.col("key").alias("original"), "n", "pseudonym", "first_pos",
-                             "first_v", "first_k", "occurrences")
     out = []
     for j, (df, row_col) in enumerate(sheets):
         mine = cells.where(F.col("_unit.sheet") == j)
-        out.append(TableRedaction(
-            redacted=cells_to_table(df, mine, row_col),
+        out.append(TableMasking(
+            masked=cells_to_table(df, mine, row_col),
             header=mine.where(F.col("_unit.hdr") == 0).select("col", F.col("_text").alias("text")),
-            registry=public, mapping=mapping, internal=registry, sheet=j))
+            registry=_public(registry), mapping=mapping, internal=registry, sheet=j, cached=res["cached"]))
     return out
 
 
-def restore_text_files(spark, paths: str, mapping: DataFrame, mode: str = "sequential",
-                       rules: list[Rule] | None = None) -> DataFrame:
+def restore_table(df: DataFrame, row_col: str, mapping: DataFrame, mode: str = "sequential") -> DataFrame:
+    """T2 for a wide table: every string cell restored, other types untouched.
+    A row's cells are the units of one array column, so the table is neither
+    unpivoted nor pivoted back where no cell changes."""
+    from ..sources.units import cell_units
+
+    strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != row_col]
+    if not strs:
+        require_entries(mapping)
+        return df
+    cells = cell_units(df, row_col).where(F.col("text").isNotNull()).select(F.col(row_col), "col", "text")
+    back = restore(cells, "text", [row_col, "col"], mapping, None, mode)
+    wide = back.groupBy(row_col).agg(*[F.max(F.when(F.col("col") == c, F.col("text"))).alias(c) for c in strs])
+    rest = [c for c in df.columns if c not in strs]
+    return df.select(*rest).join(wide, row_col, "left").select(*df.columns)
+
+
+def restore_workbook(sheets: list[tuple[DataFrame, str]], mapping: DataFrame, mode: str = "sequential") -> list[DataFrame]:
+    """T2 for the sheets of a workbook: one mapping for all."""
+    return [restore_table(df, row_col, mapping, mode) for df, row_col in sheets]
+
+
+def restore_text_files(spark, paths: str, mapping: DataFrame, mode: str = "sequential") -> DataFrame:
     """Restore plain-text files, each file one unit (``wholetext``).
 
     ``mapping``: ``file, pseudonym, original, order`` where ``file`` is the
-    redacted file's path as Spark reports it (``input_file_name``)."""
+    masked file's path as Spark reports it (``input_file_name``)."""
     files = (spark.read.text(paths, wholetext=True)
              .select(F.input_file_name().alias("file"), F.col("value").alias("text")))
-    return restore(files, "text", ["file"], mapping, ["file"], mode=mode, rules=rules)
+    return restore(files, "text", ["file"], mapping, ["file"], mode=mode)
 
 
-def redact_lines(pages: DataFrame, file_cols: list[str], page_col: str | None, text_col: str,
-                 rules: list[Rule] | None = None, proper_nouns: bool = False):
-    """S9 job: every line redacted on its own, one registry per file; returns
-    ``(file text DataFrame, Redaction of the lines)``."""
+def mask_lines(pages: DataFrame, file_cols: list[str], page_col: str | None, text_col: str,
+               rules: list[Rule] | None = None, proper_nouns: bool = False):
+    """S9 job: every line masked on its own, one registry per file; returns
+    ``(file text DataFrame, Masking of the lines)``."""
     from ..sources.units import line_units, page_text
 
     lines = line_units(pages, file_cols, page_col, text_col)
-    r = redact(lines, "text", ["page_no", "line_no"], file_cols, rules=rules, proper_nouns=proper_nouns)
+    r = mask(lines, "text", ["page_no", "line_no"], file_cols, rules=rules, proper_nouns=proper_nouns)
     page_list = pages.select(*file_cols, (F.col(page_col) if page_col else F.lit(1)).alias("page_no"))
-    return page_text(r.redacted, page_list, file_cols), r
+    return page_text(r.masked, page_list, file_cols), r
+
 
+def mask_runs(runs: DataFrame, para_cols: list[str], run_col: str, text_col: str,
+              scope_cols: list[str] | None = None, rules: list[Rule] | None = None, proper_nouns: bool = False):
+    """S5 job: paragraphs made of runs; returns ``(runs written back, Masking)``."""
+    from ..sources.units import paragraph_units, paragraph_write_back
+
+    paras = paragraph_units(runs, para_cols, run_col, text_col)
+    r = mask(paras, "text", para_cols, scope_cols, rules=rules, proper_nouns=proper_nouns)
+    return paragraph_write_back(runs, paras, r.masked, para_cols, run_col, text_col), r
 
-def redact_runs(runs: DataFrame, para_cols: list[str], run_col: str, text_col: str,
-                scope_cols: list[str] | None = None, rules: list[Rule] | None = None, proper_nouns: bool = False):
-    """S5 job: paragraphs made of runs; returns ``(runs written back, Redaction)``."""
+
+def restore_runs(runs: DataFrame, para_cols: list[str], run_col: str, text_col: str, mapping: DataFrame,
+                 scope_cols: list[str] | None = None, mode: str = "sequential") -> DataFrame:
+    """T2 for paragraphs made of runs: the paragraph is restored as one text and
+    written back like a masked one."""
     from ..sources.units import paragraph_units, paragraph_write_back
 
     paras = paragraph_units(runs, para_cols, run_col, text_col)
-    r = redact(paras, "text", para_cols, scope_cols, rules=rules, proper_nouns=proper_nouns)
-    return paragraph_write_back(runs, paras, r.redacted, para_cols, run_col, text_col), r
+    back = restore(paras, "text", para_cols, mapping, scope_cols, mode)
+    return paragraph_write_back(runs, paras, back, para_cols, run_col, text_col)
+
+
+def mask_nodes(nodes: DataFrame, key_cols: list[str], text_col: str, scope_cols: list[str] | None = None,
+               rules: list[Rule] | None = None, proper_nouns: bool = False):
+    """S7 job: text nodes of documents masked one by one and put back between
+    the markup; returns ``(documents, Masking of the nodes)``."""
+    from ..sources.units import node_units, node_write_back
 
+    units = node_units(nodes, key_cols, text_col)
+    r = mask(units, "text", [*key_cols, "node_no"], scope_cols, rules=rules, proper_nouns=proper_nouns)
+    return node_write_back(nodes, units, r.masked, key_cols, text_col), r
 
-def redact_kind(df: DataFrame, kind: str, **options):
+
+def mask_kind(df: DataFrame, kind: str, **options):
     """Dispatch on the unit kind — ``text`` (one unit per row), ``lines``
     (pages split into lines), ``fragments`` (paragraph runs), ``cells`` (wide
-    table); an unknown kind is an error."""
+    table), ``nodes`` (text between markup); an unknown kind is an error."""
+    from ..sources.units import check_kind
+
+    check_kind(kind)
+    jobs = {"text": mask, "lines": mask_lines, "fragments": mask_runs, "cells": mask_table, "nodes": mask_nodes}
+    return jobs[kind](df, **options)
+
+
+def restore_kind(df: DataFrame, kind: str, **options) -> DataFrame:
+    """S4 for restoring: ``text`` and ``lines`` (a page's or file's whole text is
+    one unit), ``fragments``, ``cells``; an unknown kind is an error."""
     from ..sources.units import check_kind
 
     check_kind(kind)
-    if kind == "text":
-        return redact(df, **options)
-    if kind == "lines":
-        return redact_lines(df, **options)
-    if kind == "fragments":
-        return redact_runs(df, **options)
-    return redact_table(df, **options)
+    if kind == "nodes":
+        raise ValueError("restore the documents that mask_nodes wrote as kind 'text'")
+    return {"text": restore, "lines": restore, "fragments": restore_runs, "cells": restore_table}[kind](df, **options)

@@ -13,7 +13,7 @@ from ..operators.spans import candidates_table, detect
 from ..rules import load_rules, rule
 from ..sources.fixtures import ORDER_UNITS_SQL, order_units, table
 from . import oracle as O
-from .jobs import redact, restore
+from .jobs import mask, restore
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,7 +89,7 @@ def resolve_overlaps(spark, d):
     rules = _rules()
     units = _spread(order_units(spark, d), ["unit_seq"]).select("unit_seq", F.col("text").alias("_text"))
     names = reg.rule_names(rules)
-    return (detect(units, rules, key_cols=["unit_seq"]).select("unit_seq", F.explode_outer("_spans").alias("h"))
+    return (detect(units, rules).select("unit_seq", F.explode_outer("_spans").alias("h"))
             .where(F.col("h").isNotNull())
             .select("unit_seq", F.element_at(names, F.col("h.k") + 1).alias("rule"),
                     F.col("h.s").alias("s"), F.col("h.e").alias("e"), F.col("h.v").alias("v")))
@@ -120,7 +120,7 @@ _C, _L = _docs_registry_ctes(_rules())
 
 @register("registry_docs", _with(_C, "SELECT doc_id, rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
 def registry_docs(spark, d):
-    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    r = mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
     return r.registry.select("doc_id", "rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
@@ -134,48 +134,48 @@ def _splice_docs_sql(ctes, last, src=DOCS, ids=("doc_id",), scope=("doc_id",)):
 
 @register("redacted_docs", _splice_docs_sql(_C, _L))
 def redacted_docs(spark, d):
-    return redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules()).redacted
+    return mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules()).masked
 
 
 @register("mapping_docs", _with(_C, """SELECT doc_id, pseudonym, arg_max(key, fpos) AS original
   FROM registry GROUP BY doc_id, pseudonym"""))
 def mapping_docs(spark, d):
-    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    r = mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
     return r.mapping.select("doc_id", "pseudonym", "original")
 
 
 @register("stats_docs", _with(_C, "SELECT doc_id, rule, count(*) AS count FROM registry GROUP BY doc_id, rule"))
 def stats_docs(spark, d):
-    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    r = mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
     return r.stats.select("doc_id", "rule", F.col("count").cast("bigint").alias("count"))
 
 
 _OC, _OL = _orders_registry_ctes(_rules())
 
 
-def _orders_redaction(spark, d, numbering="auto", rules=None):
-    return redact(order_units(spark, d), "text", ["unit_seq"], None, rules=rules or _rules(), numbering=numbering)
+def _orders_masking(spark, d, rules=None):
+    return mask(order_units(spark, d), "text", ["unit_seq"], None, rules=rules or _rules())
 
 
 @register("registry_orders", _with(_OC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
 def registry_orders(spark, d):
-    r = _orders_redaction(spark, d, numbering="ranged")  # the two-phase path, checked by the oracle
+    r = _orders_masking(spark, d)
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
 @register("redacted_orders", _splice_docs_sql(_OC, _OL, ORD, ["unit_seq"], []))
 def redacted_orders(spark, d):
-    return _orders_redaction(spark, d).redacted.select("unit_seq", "text")
+    return _orders_masking(spark, d).masked.select("unit_seq", "text")
 
 
 @register("mapping_orders", _with(_OC, "SELECT pseudonym, arg_max(key, fpos) AS original FROM registry GROUP BY pseudonym"))
 def mapping_orders(spark, d):
-    return _orders_redaction(spark, d).mapping.select("pseudonym", "original")
+    return _orders_masking(spark, d).mapping.select("pseudonym", "original")
 
 
 @register("stats_total_orders", _with(_OC, "SELECT rule, count(*) AS count FROM registry GROUP BY ROLLUP (rule)"))
 def stats_total_orders(spark, d):
-    r = _orders_redaction(spark, d)
+    r = _orders_masking(spark, d)
     # rollup over the corpus registry: per-rule counts plus the total row
     regs = r.registry.withColumn("_scope", F.lit(0))
     return reg.stats_with_total(regs).select("rule", F.col("count").cast("bigint").alias("count"))
@@ -189,7 +189,7 @@ _CC, _CL = _orders_registry_ctes(_COLL_RULES)
 @register("collisions_orders", _with(_CC, """SELECT pseudonym, count(*) AS n_values FROM registry
   GROUP BY pseudonym HAVING count(*) > 1"""))
 def collisions_orders(spark, d):
-    r = _orders_redaction(spark, d, rules=_COLL_RULES)
+    r = _orders_masking(spark, d, rules=_COLL_RULES)
     regs = r.registry.withColumnRenamed("original", "key").withColumn("_scope", F.lit(0))
     return reg.collisions(regs).select("pseudonym", F.col("n_values").cast("bigint").alias("n_values"))
 
@@ -198,16 +198,16 @@ def collisions_orders(spark, d):
 
 @register("restore_docs", "SELECT doc_id, text FROM documents")
 def restore_docs(spark, d):
-    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    r = mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules())
     m = r.mapping
-    return restore(r.redacted, "text", ["doc_id"], m, ["doc_id"], mode="sequential")
+    return restore(r.masked, "text", ["doc_id"], m, ["doc_id"], mode="sequential")
 
 
 @register("roundtrip_orders", "SELECT true AS ok, count(*) AS n FROM orders")
 def roundtrip_orders(spark, d):
     units = order_units(spark, d)
-    r = _orders_redaction(spark, d)
-    back = restore(r.redacted, "text", ["unit_seq"], r.mapping, None, mode="single_pass", rules=_rules())
+    r = _orders_masking(spark, d)
+    back = restore(r.masked, "text", ["unit_seq"], r.mapping, None, mode="single_pass")
     audit = roundtrip_audit(units, back, ["unit_seq"], "text")
     return audit.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
 
@@ -216,7 +216,7 @@ def roundtrip_orders(spark, d):
 
 from ..sources.fixtures import staff, staff_sql  # noqa: E402
 from ..sources.units import cell_units  # noqa: E402
-from .jobs import redact_table  # noqa: E402
+from .jobs import mask_table  # noqa: E402
 
 STAFF_COLS = ["First Name", "Last Name", "Email", "Balance"]
 STAFF_STR = ["First Name", "Last Name", "Email"]
@@ -275,12 +275,12 @@ def _staff_sql(prescan: bool) -> str:
 
 @register("staff_cells", _staff_sql(False))
 def staff_cells(spark, d):
-    return redact_table(staff(spark, d), "row", rules=_rules(), multi_col_names=False).redacted
+    return mask_table(staff(spark, d), "row", rules=_rules(), multi_col_names=False).masked
 
 
 @register("split_name_table", _staff_sql(True))
 def split_name_table(spark, d):
-    return redact_table(staff(spark, d), "row", rules=_rules(), multi_col_names=True).redacted
+    return mask_table(staff(spark, d), "row", rules=_rules(), multi_col_names=True).masked
 
 
 # ── S9: page lines and page text ─────────────────────────────────────────────
@@ -316,7 +316,7 @@ def _page_text_sql():
 def q_page_text(spark, d):
     pages = table(spark, d, "pages")
     lines = line_units(pages, ["page_id"], None, "html")
-    red = redact(lines, "text", ["page_no", "line_no"], ["page_id"], rules=_rules()).redacted
+    red = mask(lines, "text", ["page_no", "line_no"], ["page_id"], rules=_rules()).masked
     return page_text(red, pages.select("page_id", F.lit(1).alias("page_no")), ["page_id"])
 
 
@@ -340,7 +340,7 @@ def _fragment_sql():
 def fragment_merge(spark, d):
     conv = table(spark, d, "conversations")
     paras = paragraph_units(conv, ["conv_id"], "turn", "text")
-    red = redact(paras, "text", ["conv_id"], ["conv_id"], rules=_rules()).redacted
+    red = mask(paras, "text", ["conv_id"], ["conv_id"], rules=_rules()).masked
     return paragraph_write_back(conv, paras, red, ["conv_id"], "turn", "text").select("conv_id", "turn", "text")
 
 
@@ -370,7 +370,7 @@ def _entity_sql():
 @register("entity_docs", _entity_sql())
 def entity_docs(spark, d):
     ents = entity_table(spark, d)
-    return redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules(), entities=ents).redacted
+    return mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules(), entities=ents).masked
 
 
 @register("entity_spans", """SELECT doc_id, s, e, label FROM (SELECT g.doc_id, g.s, g.e,
@@ -385,13 +385,13 @@ _PC, _PL = _docs_registry_ctes(_rules(proper_nouns=True))
 
 @register("proper_noun_docs", _splice_docs_sql(_PC, _PL))
 def proper_noun_docs(spark, d):
-    return redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True).redacted
+    return mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True).masked
 
 
 @register("proper_noun_registry", _with(_PC, """SELECT doc_id, rule, key AS original, CAST(n AS BIGINT) AS n,
   pseudonym FROM registry WHERE rule = 'proper_noun'"""))
 def proper_noun_registry(spark, d):
-    r = redact(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True)
+    r = mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], proper_nouns=True)
     return (r.registry.where(F.col("rule") == "proper_noun")
             .select("doc_id", "rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym"))
 
@@ -419,9 +419,9 @@ def registry_incremental(spark, d):
     units = order_units(spark, d).withColumn(
         "_ord", F.struct(F.when(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz"), 0).otherwise(1)
                          .alias("batch"), F.col("unit_seq")))
-    first = redact(units.where(F.col("_ord.batch") == 0), "text", ["unit_seq"], None, rules=_rules(),
+    first = mask(units.where(F.col("_ord.batch") == 0), "text", ["unit_seq"], None, rules=_rules(),
                    order_col="_ord")
-    second = redact(units.where(F.col("_ord.batch") == 1), "text", ["unit_seq"], None, rules=_rules(),
+    second = mask(units.where(F.col("_ord.batch") == 1), "text", ["unit_seq"], None, rules=_rules(),
                     order_col="_ord", prior=first)
     return second.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
@@ -439,7 +439,7 @@ _TC, _TL = _orders_registry_ctes(_TPL_RULES)
 
 @register("template_render", _with(_TC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
 def template_render(spark, d):
-    r = _orders_redaction(spark, d, rules=_TPL_RULES)
+    r = _orders_masking(spark, d, rules=_TPL_RULES)
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
@@ -462,7 +462,7 @@ def _doc_path():
   UNION ALL SELECT doc_id, 'stats', rule, CAST(count(*) AS VARCHAR) FROM registry GROUP BY doc_id, rule"""))
 def mapping_json(spark, d):
     docs = table(spark, d, "documents")
-    r = redact(docs.select("doc_id", "text"), "text", ["doc_id"], ["doc_id"], rules=_rules())
+    r = mask(docs.select("doc_id", "text"), "text", ["doc_id"], ["doc_id"], rules=_rules())
     files = docs.select("doc_id", _doc_path().alias("source_file")).select(
         "doc_id", "source_file", redact_paths(F.col("source_file"))["redacted"].alias("redacted_file"))
     js = mapping_documents(r.registry, ["doc_id"], files)
@@ -539,7 +539,7 @@ def stream_registry(spark, d):
               .option("maxFilesPerTrigger", 1).parquet(f"{base}/src"))
     q = incremental.start(event_units(stream), "text", ["unit_seq"], _rules(), state_dir=f"{base}/state")
     q.awaitTermination()
-    reg_df = incremental.latest_registry(spark, f"{base}/state")
+    reg_df = incremental.latest_registry(spark, f"{base}/state", event_units(events), ["unit_seq"])
     return reg_df.select("rule", F.col("key").alias("original"), F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
@@ -556,12 +556,12 @@ _EC.insert(0, f"CU AS {contact_units_sql()}")
 
 @register("example_rules", _splice_docs_sql(_EC, _EL, "CU", ["unit_seq"], []))
 def example_rules(spark, d):
-    return redact(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES).redacted
+    return mask(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES).masked
 
 
 @register("example_registry", _with(_EC, "SELECT rule, key AS original, CAST(n AS BIGINT) AS n, pseudonym FROM registry"))
 def example_registry(spark, d):
-    r = redact(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES)
+    r = mask(contact_units(spark, d), "text", ["unit_seq"], None, rules=_EX_RULES)
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
@@ -585,9 +585,9 @@ def hazard_units(spark, d):
 def restore_modes(spark, d):
     units = hazard_units(spark, d)
     rules = _rules("id")
-    r = redact(units, "text", ["unit_seq"], ["unit_seq"], rules=rules)
-    seq = restore(r.redacted, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="sequential")
-    one = restore(r.redacted, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="single_pass", rules=rules)
+    r = mask(units, "text", ["unit_seq"], ["unit_seq"], rules=rules)
+    seq = restore(r.masked, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="sequential")
+    one = restore(r.masked, "text", ["unit_seq"], r.mapping, ["unit_seq"], mode="single_pass")
     return (seq.withColumnRenamed("text", "sequential")
             .join(one.withColumnRenamed("text", "single_pass"), "unit_seq"))
 
@@ -595,7 +595,7 @@ def restore_modes(spark, d):
 # ── S8 + M6: a workbook of several sheets sharing one registry ──────────────
 
 from ..sources.fixtures import staff_sheets  # noqa: E402
-from .jobs import redact_workbook  # noqa: E402
+from .jobs import mask_workbook  # noqa: E402
 
 
 def _workbook_sql() -> str:
@@ -648,8 +648,8 @@ def _workbook_sql() -> str:
 @register("workbook_sheets", _workbook_sql())
 def workbook_sheets(spark, d):
     sheets = staff_sheets(spark, d)
-    parts = redact_workbook([(df, "row") for _, df in sheets], rules=_rules(), multi_col_names=True)
-    out = parts[0].redacted
+    parts = mask_workbook([(df, "row") for _, df in sheets], rules=_rules(), multi_col_names=True)
+    out = parts[0].masked
     for p in parts[1:]:
-        out = out.unionByName(p.redacted)
+        out = out.unionByName(p.masked)
     return out

@@ -29,14 +29,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cloak
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when none is set (tests,
-    local runs) fall back to a fresh scratch folder."""
+    """The cluster's ``spark.checkpoint.dir``.  With a local master and none set
+    (tests) a fresh scratch folder; on a cluster that would be a folder other
+    machines cannot see, so there it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="cloakline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -50,3 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+# Below this many bytes of input per core a table is dealt over all cores first.
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small input may be one file, hence one task: deal its rows over the cores.
+    Larger inputs have splits enough and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < SPREAD_BYTES * cores else df

@@ -20,10 +20,12 @@ RESTORE_SUFFIX = {".docx": ".docx", ".odt": ".odt", ".xlsx": ".xlsx", ".txt": ".
 
 
 def mapping_documents(registry: DataFrame, scope_cols: list[str], files: DataFrame | None = None,
-                      entities_used: bool = False) -> DataFrame:
+                      entities_used: bool = False, scopes: DataFrame | None = None) -> DataFrame:
     """One JSON mapping document per scope.  ``registry`` has scope
     columns plus ``rule, original, pseudonym, first_pos``; ``files`` (scope
-    columns, ``source_file``, ``redacted_file``) names the files."""
+    columns, ``source_file``, ``redacted_file``) names the files.  Every scope of
+    ``files`` (or of ``scopes``) gets a document, with empty maps if it has no
+    entry."""
     m = registry.groupBy(*scope_cols, "pseudonym").agg(
         F.max_by("original", "first_pos").alias("original"), F.min("first_pos").alias("o"))
     maps = m.groupBy(*scope_cols).agg(F.map_from_entries(F.transform(
@@ -33,6 +35,11 @@ def mapping_documents(registry: DataFrame, scope_cols: list[str], files: DataFra
     stats = st.groupBy(*scope_cols).agg(F.map_from_entries(F.transform(
         F.array_sort(F.collect_list(F.struct("o", "rule", "c"))), lambda x: F.struct(x["rule"], x["c"]))).alias("stats"))
     doc = maps.join(stats, scope_cols)
+    known = files if files is not None else scopes
+    if known is not None:
+        doc = known.select(*scope_cols).distinct().join(doc, scope_cols, "left")
+    doc = doc.withColumns({"mapping": F.coalesce("mapping", F.create_map().cast("map<string,string>")),
+                           "stats": F.coalesce("stats", F.create_map().cast("map<string,bigint>"))})
     if files is not None:
         doc = doc.join(files.select(*scope_cols, "source_file", "redacted_file"), scope_cols, "left")
     else:
@@ -47,19 +54,12 @@ def mapping_documents(registry: DataFrame, scope_cols: list[str], files: DataFra
 
 def read_mapping(docs: DataFrame, scope_cols: list[str], json_col: str = "json") -> DataFrame:
     """Mapping documents -> ``scope cols, pseudonym, original, order``.
-    Documents without entries yield no rows (see :func:`require_entries`)."""
+    Documents without entries yield no rows (``plans.jobs.restore`` raises on an empty mapping)."""
     parsed = docs.select(*scope_cols, F.from_json(F.col(json_col), MAPPING_DOC_SCHEMA).alias("d"))
     return parsed.select(*scope_cols, F.posexplode(F.map_entries(F.col("d.mapping"))).alias("order", "x")).select(
         *scope_cols, F.col("x.key").alias("pseudonym"), F.col("x.value").alias("original"), "order")
 
 
-def require_entries(mapping: DataFrame) -> DataFrame:
-    """Fail like the reference when a mapping holds no entries."""
-    if mapping.limit(1).count() == 0:
-        raise ValueError("mapping file contains no entries")
-    return mapping
-
-
 def _name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 

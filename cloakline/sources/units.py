@@ -1,18 +1,18 @@
 """Unit shapers (S4-S9): tables <-> text units, and their write-back.
 
 The reference walks document containers; here every container kind is a table
-shape, and the redaction core only sees ``(scope, unit, text)`` rows.
+shape, and the masking core only sees ``(scope, unit, text)`` rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import splitlines
+from ..functions.text import is_blank, splitlines
 
 # Unit kinds this library shapes (the reference's file kinds, re-aimed).
-KINDS = ("text", "lines", "fragments", "cells")
+KINDS = ("text", "lines", "fragments", "cells", "nodes")
 
 
 def check_kind(kind: str) -> str:
@@ -97,3 +97,44 @@ def cell_units(df: DataFrame, row_col: str, include_header: bool = False) -> Dat
                                        f"row {df.schema[row_col].dataType.simpleString()}, col_idx int, col string, text string")
         stacked = header.unionByName(stacked)
     return stacked
+
+
+# ── S7: text nodes between markup ────────────────────────────────────────────
+
+TAG = "<[^>]*>"
+
+
+def node_units(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
+    """Every text node of a marked-up document as a unit ``keys, node_no, text``,
+    in document order; blank nodes are no units."""
+    return (df.select(*key_cols, F.posexplode_outer(F.split(F.col(text_col), TAG, -1)).alias("node_no", "text"))
+            .where(~is_blank(F.col("text"))))
+
+
+def node_write_back(df: DataFrame, before: DataFrame, after: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
+    """Changed nodes put back between the tags; documents without a changed node
+    stay as they are, and their text is not shuffled with the nodes."""
+    changed = (before.join(after.select(*key_cols, "node_no", F.col("text").alias("_new")), [*key_cols, "node_no"])
+               .where(~F.col("text").eqNullSafe(F.col("_new")))
+               .groupBy(*key_cols).agg(F.map_from_entries(F.collect_list(F.struct("node_no", "_new"))).alias("_changed")))  # nodes of one document
+    nodes, tags = F.split(F.col(text_col), TAG, -1), F.regexp_extract_all(F.col(text_col), F.lit(TAG), F.lit(0))
+    kept = F.transform(nodes, lambda x, i: F.coalesce(F.element_at("_changed", i), x))
+    whole = F.array_join(F.flatten(F.zip_with(kept, tags, lambda x, t: F.array(x, F.coalesce(t, F.lit(""))))), "")
+    return (df.join(changed, key_cols, "left").withColumn(text_col, F.when(F.col("_changed").isNotNull(), whole).otherwise(F.col(text_col)))
+            .select(*df.columns))
+
+
+# ── S6: order of units inside nested containers ──────────────────────────────
+
+KIND_RANK = {"paragraph": 0, "cell": 1}
+
+
+def container_order(part: Column, container: Column, kind: Column, row: Column, cell: Column, para: Column) -> Column:
+    """Sort key of a unit: inside a container all its paragraphs come before its
+    table cells, these row by row, cell by cell, paragraph by paragraph; parts
+    (body, then header and footer of each section) in their own order.  Use it
+    as ``order_col`` of ``mask``."""
+    rank = F.coalesce(*[F.when(kind == k, F.lit(r)) for k, r in KIND_RANK.items()])
+    none = lambda c: F.coalesce(c.cast("bigint"), F.lit(-1).cast("bigint"))
+    return F.struct(none(part).alias("part"), none(container).alias("container"), rank.alias("kind"),
+                    none(row).alias("row"), none(cell).alias("cell"), none(para).alias("para"))

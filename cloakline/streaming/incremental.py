@@ -1,6 +1,6 @@
-"""Streaming redaction with a registry that grows batch by batch.
+"""Streaming masking with a registry that grows batch by batch.
 
-``readStream`` -> ``foreachBatch``: every micro-batch is redacted with the
+``readStream`` -> ``foreachBatch``: every micro-batch is masked with the
 registry left by the previous batch; known values keep their pseudonyms, new
 values continue each counter.  State lives in a shared folder (the session's
 checkpoint directory by default), versioned by batch id, so a replayed batch
@@ -15,7 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.jobs import Redaction, redact
+from ..plans.jobs import Masking, mask
 from ..rules import Rule
 from ..session import ensure_checkpoint_dir
 
@@ -31,40 +31,50 @@ def registry_path(state_dir: str) -> str:
     return f"{state_dir}/registry"
 
 
-def redact_batch(batch: DataFrame, batch_id: int, state_dir: str, text_col: str, key_cols: list[str],
-                 rules: list[Rule]) -> None:
-    """Redact one micro-batch.  The registry is stored as append-only deltas,
+def registry_schema(batch: DataFrame, key_cols: list[str]) -> str:
+    """Columns of the stored registry, so that state without any row reads too."""
+    unit = ",".join(["batch:int", *[f"`{c}`:{batch.schema[c].dataType.simpleString()}" for c in key_cols]])
+    return (f"_scope struct<corpus:int>, rule string, key string, first_pos struct<u:struct<{unit}>,k:int,s:int>, "
+            "first_v string, first_k int, occurrences bigint, n bigint, pseudonym string, batch int")
+
+
+def mask_batch(batch: DataFrame, batch_id: int, state_dir: str, text_col: str, key_cols: list[str],
+               rules: list[Rule]) -> None:
+    """Mask one micro-batch.  The registry is stored as append-only deltas,
     one ``batch=<id>`` partition holding the values first seen in that batch;
     the batch reads the partitions before it (partition pruning) and
-    overwrites only its own, so a replay gives the same result."""
+    overwrites only its own, so a replay gives the same result.  Nothing stays
+    cached after the batch."""
     spark = batch.sparkSession
     units = batch.withColumn("_ord", F.struct(F.lit(batch_id).alias("batch"),
                                               *[F.col(c) for c in key_cols]))
     prior = None
     base = registry_path(state_dir)
     if batch_id > 0 and _exists(spark, base):
-        old = spark.read.parquet(base).where(F.col("batch") < batch_id).drop("batch")
-        prior = Redaction(None, None, None, None, None, [], internal=old)
-    res = redact(units, text_col, key_cols, None, rules=rules, order_col="_ord", prior=prior)
+        old = spark.read.schema(registry_schema(batch, key_cols)).parquet(base).where(F.col("batch") < batch_id).drop("batch")
+        prior = Masking(None, None, None, None, [], internal=old)
+    res = mask(units, text_col, key_cols, None, rules=rules, order_col="_ord", prior=prior)
     fresh = res.internal.where(F.col("first_pos.u.batch") == batch_id)
     (fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(base))
-    res.redacted.drop("_ord").write.mode("overwrite").parquet(f"{state_dir}/redacted/batch={batch_id}")
+    res.masked.drop("_ord").write.mode("overwrite").parquet(f"{state_dir}/redacted/batch={batch_id}")
+    res.unpersist()
 
 
 def start(stream: DataFrame, text_col: str, key_cols: list[str], rules: list[Rule], state_dir: str | None = None,
           checkpoint: str | None = None, once: bool = True):
-    """Start the streaming redaction; returns the StreamingQuery."""
+    """Start the streaming masking; returns the StreamingQuery."""
     spark = stream.sparkSession
     state_dir = state_dir or os.path.join(ensure_checkpoint_dir(spark), "stream-redaction")
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: redact_batch(df, bid, state_dir, text_col, key_cols, rules))
+              .foreachBatch(lambda df, bid: mask_batch(df, bid, state_dir, text_col, key_cols, rules))
               .option("checkpointLocation", checkpoint or f"{state_dir}/_checkpoint"))
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-def latest_registry(spark: SparkSession, state_dir: str) -> DataFrame:
-    """The registry after the last completed batch (union of the deltas)."""
-    return spark.read.parquet(registry_path(state_dir)).drop("batch")
+def latest_registry(spark: SparkSession, state_dir: str, units: DataFrame, key_cols: list[str]) -> DataFrame:
+    """The registry after the last completed batch (union of the deltas).
+    ``units``: any frame with the key columns of the stream."""
+    return spark.read.schema(registry_schema(units, key_cols)).parquet(registry_path(state_dir)).drop("batch")
