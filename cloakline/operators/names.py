@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, WS, is_blank, split_ws, strip_ws
 from ..rules import Rule
-from ..session import checkpointed
+from ..session import checkpointed, spread_small
 from . import registry as reg
 from .spans import detect
 from .splice import splice
@@ -175,7 +175,7 @@ def mask_sheet(units: DataFrame, rules: list[Rule], multi_col_names: bool, prior
 
     # cells are short: the spans of a sheet are kept with them and read for the
     # registry, the fallback and the splice
-    spanned = detect(units.withColumn("_h", F.xxhash64("_text")), rules).persist(StorageLevel.MEMORY_AND_DISK)
+    spanned = detect(spread_small(units).withColumn("_h", F.xxhash64("_text")), rules).persist(StorageLevel.MEMORY_AND_DISK)
     occ = reg.occurrences(spanned, rules)
     name_k = next((k for k, r in enumerate(rules) if r.name == "name"), None)
     events = occ

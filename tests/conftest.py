@@ -28,15 +28,15 @@ def spark():
     yield s
 
 
-def redact_cases(spark, cases, rules, numbering="auto", entities=None):
-    """Redact many independent texts in one job: each case is its own scope
-    (a fresh registry, like one reference call).  Returns (texts, mappings)."""
-    from cloakline.plans.jobs import redact
+def mask_cases(spark, cases, rules, entities=None):
+    """Mask many independent texts in one job: each case is its own scope
+    (a fresh registry).  Returns (texts, mappings)."""
+    from cloakline.plans.jobs import mask
 
     rows = [(i, 0, t) for i, t in enumerate(cases)]
     df = spark.createDataFrame(rows, "case long, seq long, text string")
-    r = redact(df, "text", ["seq"], ["case"], rules=rules, numbering=numbering, entities=entities)
-    out = dict(r.redacted.select("case", "text").collect())
+    r = mask(df, "text", ["seq"], ["case"], rules=rules, entities=entities)
+    out = dict(r.masked.select("case", "text").collect())
     maps = {}
     for case, p, o in r.mapping.select("case", "pseudonym", "original").collect():
         maps.setdefault(case, {})[p] = o
