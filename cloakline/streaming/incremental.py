@@ -20,11 +20,12 @@ from ..rules import Rule
 from ..session import ensure_checkpoint_dir
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _has_state(spark: SparkSession, base: str) -> bool:
+    """Whether any batch has stored a value: batches without a new value leave no
+    partition, and a folder without files has no schema to read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/batch=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def registry_path(state_dir: str) -> str:
@@ -32,7 +33,7 @@ def registry_path(state_dir: str) -> str:
 
 
 def registry_schema(batch: DataFrame, key_cols: list[str]) -> str:
-    """Columns of the stored registry, so that state without any row reads too."""
+    """Columns of the registry, for a stream that has stored none."""
     unit = ",".join(["batch:int", *[f"`{c}`:{batch.schema[c].dataType.simpleString()}" for c in key_cols]])
     return (f"_scope struct<corpus:int>, rule string, key string, first_pos struct<u:struct<{unit}>,k:int,s:int>, "
             "first_v string, first_k int, occurrences bigint, n bigint, pseudonym string, batch int")
@@ -50,8 +51,8 @@ def mask_batch(batch: DataFrame, batch_id: int, state_dir: str, text_col: str, k
                                               *[F.col(c) for c in key_cols]))
     prior = None
     base = registry_path(state_dir)
-    if batch_id > 0 and _exists(spark, base):
-        old = spark.read.schema(registry_schema(batch, key_cols)).parquet(base).where(F.col("batch") < batch_id).drop("batch")
+    if batch_id > 0 and _has_state(spark, base):
+        old = spark.read.parquet(base).where(F.col("batch") < batch_id).drop("batch")
         prior = Masking(None, None, None, None, [], internal=old)
     res = mask(units, text_col, key_cols, None, rules=rules, order_col="_ord", prior=prior)
     fresh = res.internal.where(F.col("first_pos.u.batch") == batch_id)
@@ -77,4 +78,6 @@ def start(stream: DataFrame, text_col: str, key_cols: list[str], rules: list[Rul
 def latest_registry(spark: SparkSession, state_dir: str, units: DataFrame, key_cols: list[str]) -> DataFrame:
     """The registry after the last completed batch (union of the deltas).
     ``units``: any frame with the key columns of the stream."""
-    return spark.read.schema(registry_schema(units, key_cols)).parquet(registry_path(state_dir)).drop("batch")
+    if not _has_state(spark, registry_path(state_dir)):
+        return spark.createDataFrame([], registry_schema(units, key_cols)).drop("batch")
+    return spark.read.parquet(registry_path(state_dir)).drop("batch")
