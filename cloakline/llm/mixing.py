@@ -11,10 +11,11 @@ then the one document nearest the gap left is taken if that brings the source
 nearer.  The sample's size is fixed in
 words, not only in expectation, and depends on nothing but the rows.
 
-No source is ever sorted in one task: rows fall into buckets by q, bucket
-totals are summed (partial aggregates), and only the bucket that holds the cut,
-about ``bucket_rows`` rows, is ordered.  The plan (one row a source) then gives
-every row its copies without a shuffle of the texts.
+No source is ever sorted in one task: its rows fall into buckets by q, and each
+pass sums bucket totals (partial aggregates) over all rows still open and orders
+only the bucket in which the gap is used up, about ``bucket_rows`` rows.  The
+plan (one row a source) then gives every row its copies without a shuffle of the
+texts.
 
 Null text has size 0.  A null source is a source of its own, last in order.
 Rows equal in id, text and source get equal numbers: they are taken together or
@@ -81,60 +82,75 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("q", F.try_divide(F.col("_u") / (1 - F.col("_u")), odds))
 
 
-def cuts(rows: DataFrame, plan: DataFrame, n_rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The plan with, for each source, the last document drawn in order of q
-    of each round (``cut0``, then ``cut1`` ... among sizes up to ``gap1`` ...) and
-    the one that fills the last gap (``fill``), as structs (q, id, size)."""
-    buckets = max(1, -(-n_rows // bucket_rows))
-    ranked = (_ranked(rows, plan).where("p > 0")
-              .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int"))
-              .withColumn("key", F.struct("q", "_id", "_size")))
-    sums = ranked.groupBy("_source", "bucket").agg(F.sum("_size").alias("b"), F.max("key").alias("last"), F.max("rest").alias("rest"))
-    upto = Window.partitionBy("_source").orderBy("bucket")
-    sums = sums.withColumn("end", F.sum("b").over(upto))
-    full = (sums.where("end <= rest").groupBy("_source")
-            .agg(F.max("end").alias("full"), F.max(F.struct("bucket", "last"))["last"].alias("full_cut")))
-    at = (sums.where("end > rest").groupBy("_source").agg(F.min("bucket").alias("bucket")))
-    here = plan.alias("p").join(at.alias("a"), F.expr("p._source <=> a._source"), "left") \
-        .join(full.alias("f"), F.expr("p._source <=> f._source"), "left") \
-        .select("p.*", F.col("a.bucket").alias("at"), F.coalesce("f.full", F.lit(0)).alias("full"), "f.full_cut")
-    inner = (ranked.select("_source", "bucket", "key", "_size").alias("r")
-             .join(here.select("_source", "at", "full", "rest").alias("h"), F.expr("r._source <=> h._source AND r.bucket = h.at"))
-             .select("r._source", "key", "_size", (F.col("rest") - F.col("full")).alias("room")))
+def _keyed(rows: DataFrame, plan: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows with something to draw, with their key and bucket.  Buckets part the
+    numbers u, and so the order of q, evenly: each holds about ``bucket_rows``
+    rows of its source."""
+    buckets = F.greatest(F.ceil(F.col("rows") / bucket_rows), F.lit(1))
+    return (_ranked(rows, plan).where("p > 0").withColumn("bucket", F.floor(F.col("_u") * buckets))
+            .withColumn("key", F.struct("q", "_id", "_size")))
+
+
+def _pass(rows: DataFrame, state: DataFrame, k: int, bucket_rows: int) -> DataFrame:
+    """``state`` after pass k over all rows behind ``cut`` that fit ``gap``: bucket
+    totals tell the bucket in which the gap is used up; only that one is ordered."""
+    open_ = _keyed(rows, state, bucket_rows)
+    if k:
+        open_ = open_.where((F.col("cut").isNull() | (F.col("key") > F.col("cut"))) & (F.col("_size") <= F.col("gap")))
+    sums = open_.groupBy("_source", "bucket").agg(F.sum("_size").alias("b"), F.max("key").alias("last"), F.max("gap").alias("gap"))
+    sums = sums.withColumn("end", F.sum("b").over(Window.partitionBy("_source").orderBy("bucket")))
+    whole = F.col("end") <= F.col("gap")
+    at = sums.groupBy("_source").agg(F.min(F.when(~whole, F.col("bucket"))).alias("at"), F.coalesce(F.max(F.when(whole, F.col("end"))), F.lit(0)).alias("full"),
+                                     F.max(F.when(whole, F.struct("bucket", "last")))["last"].alias("full_cut"))
+    at = written(at, "mix-buckets")
     order = Window.partitionBy("_source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    of = Window.partitionBy("_source")
-    inner = inner.withColumn("taken", F.lit(False)).withColumn("gap", F.col("room"))
-    marks = []
-    for k in range(ROUNDS):  # each round: what fits the gap, in order of q, as far as it fills it
-        fits = ~F.col("taken") & ((F.col("_size") <= F.col("gap")) if k else F.lit(True))
-        inner = (inner.withColumn(f"gap{k}", F.col("gap")).withColumn("fits", fits)
-                 .withColumn("end", F.sum(F.when(F.col("fits"), F.col("_size"))).over(order))
-                 .withColumn(f"in{k}", F.col("fits") & (F.col("end") <= F.col("gap")))
-                 .withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col(f"in{k}"), F.col("end"))).over(of), F.lit(0)))
-                 .withColumn("taken", F.col("taken") | F.col(f"in{k}")))
-        marks += [F.max(F.when(F.col(f"in{k}"), F.col("key"))).alias(f"cut{k}"), F.max(f"gap{k}").alias(f"gap{k}")]
+    inner = (open_.select("_source", "bucket", "key", "_size", "gap").alias("r").join(at.alias("a"), F.expr("r._source <=> a._source AND r.bucket = a.at"))
+             .select("r._source", "key", "_size", "gap", "full").withColumn("end", F.col("full") + F.sum("_size").over(order)))
+    found = inner.where("end <= gap").groupBy("_source").agg(F.max("end").alias("end"), F.max("key").alias("key"))
+    last = F.coalesce("i.key", "a.full_cut")
+    return (state.alias("p").join(at.alias("a"), F.expr("p._source <=> a._source"), "left")
+            .join(found.alias("i"), F.expr("p._source <=> i._source"), "left")
+            .select(*[F.col(f"p.{c}") for c in state.columns if c not in ("cut", "gap")], last.alias(f"cut{k}"), F.col("p.gap").alias(f"gap{k}"),
+                    (F.coalesce(last, F.col("p.cut")) if k else last).alias("cut"),
+                    (F.col("p.gap") - F.coalesce("i.end", "a.full", F.lit(0))).alias("gap")))
+
+
+def _drawn() -> Column:
+    """Whether a row is taken by one of the passes."""
+    key, out = F.struct("q", "_id", "_size"), F.lit(False)
+    for k in range(ROUNDS):
+        fits = F.col("_size") <= F.col(f"gap{k}") if k else F.lit(True)
+        out |= F.coalesce((key <= F.col(f"cut{k}")) & fits, F.lit(False))
+    return out
+
+
+def cuts(rows: DataFrame, plan: DataFrame, n_rows: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The plan with, for each source, the last document drawn in order of q
+    of each pass (``cut0``, then ``cut1`` ... among sizes up to ``gap1`` ...) and
+    the one that fills the last gap (``fill``), as structs (q, id, size).  Buckets
+    follow each source's own rows; ``n_rows``, those of the table, has no effect."""
+    state = plan.withColumn("gap", F.col("rest"))
+    for k in range(ROUNDS):
+        state = written(_pass(rows, state, k, bucket_rows), "mix-pass")
     off = F.abs(F.col("gap") - F.col("_size"))
-    found = inner.groupBy("_source").agg(*marks, F.min(F.when(
-        ~F.col("taken") & (off < F.col("gap")), F.struct(off.alias("d"), F.col("key").alias("k"))))["k"].alias("fill"))
-    return (here.alias("h").join(found.alias("i"), F.expr("h._source <=> i._source"), "left")
-            .select("h._source", "source_size", "target", "sure", "p", F.coalesce("cut0", "full_cut").alias("cut0"),
-                    *[c for k in range(1, ROUNDS) for c in (f"cut{k}", f"gap{k}")], "fill"))
+    found = (_keyed(rows, state, bucket_rows).where(~_drawn() & (off < F.col("gap")))
+             .groupBy("_source").agg(F.min(F.struct(off.alias("d"), F.col("key").alias("k")))["k"].alias("fill")))
+    return (state.alias("h").join(found.alias("i"), F.expr("h._source <=> i._source"), "left")
+            .select("h._source", "source_size", "target", "sure", "p", "cut0", *[c for k in range(1, ROUNDS) for c in (f"cut{k}", f"gap{k}")], "fill"))
 
 
 def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with source_size, target and ``copies`` by a plan of ``cuts``."""
     ranked = _ranked(rows, plan)
     key = F.struct("q", "_id", "_size")
-    drawn = F.coalesce(key <= F.col("cut0"), F.lit(False)) | F.coalesce(key == F.col("fill"), F.lit(False))
-    for k in range(1, ROUNDS):
-        drawn |= F.coalesce((key <= F.col(f"cut{k}")) & (F.col("_size") <= F.col(f"gap{k}")), F.lit(False))
+    drawn = _drawn() | F.coalesce(key == F.col("fill"), F.lit(False))
     return (ranked.withColumn("copies", F.col("sure") + (F.col("q").isNotNull() & drawn).cast("bigint"))
             .drop("sure", "p", "q", "cut0", "fill", *[f"{c}{k}" for k in range(1, ROUNDS) for c in ("cut", "gap")]))
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
     """The finished plan, written (a row a source), so that nothing is planned twice."""
-    return written(cuts(rows, written(targets(rows, weights, max_copies), "mix-targets"), rows.count()), "mix-plan")
+    return written(cuts(rows, written(targets(rows, weights, max_copies), "mix-targets")), "mix-plan")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, **columns) -> DataFrame:

@@ -90,6 +90,21 @@ def test_mix(spark, bucket_rows):
     assert Counter((r["_id"], r.copies) for r in got) == Counter((r["_id"], r.copies) for r in again)
 
 
+@pytest.mark.parametrize("bucket_rows", [65_536, 7])
+def test_mix_passes_go_on_into_later_buckets(spark, tmp_path, bucket_rows):
+    """Equal to the SQL, whose passes see all rows, with many buckets a source and skewed sizes."""
+    rnd = random.Random(5)
+    rows = [(n, "w " * int(rnd.paretovariate(0.7)) if n % 9 else "w " * rnd.randint(300, 900), f"s{n % 13 % 5}") for n in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents")
+    df = spark.read.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    m = mixing.measured(df)
+    got = mixing.copies(m, mixing.cuts(m, mixing.targets(m), len(rows), bucket_rows)).collect()
+    want = con.sql(f"SELECT doc_id, taken FROM ({queries.ORACLES['op4_pareto_mix']})").fetchall()
+    assert Counter(want) == Counter((r["_id"], r.copies * r["_size"]) for r in got)
+
+
 def test_mix_edges(spark, edge, none):
     out = mixing.mixed(edge)
     assert out.columns == edge.columns and out.count() > 0
