@@ -8,6 +8,10 @@ before it is shuffled); the earliest occurrence by id, row and unit number
 stays, every other is a removed span with its original offsets (code points,
 end exclusive, the line end not included).
 
+``repeated_passages`` (and ``cleaned``) also take lines of fewer words that stand
+in ``min_docs`` rows, texts of scripts without blanks by their characters, and
+runs of sentences inside lines that differ elsewhere.
+
 Null and empty texts have no units.  Lines repeated inside one document count as
 repeats too.  Repeated rows are occurrences in the order they are read.  Rows
 with a null id come last and so never keep a line from a row with an id.
@@ -16,16 +20,21 @@ with a null id come last and so never keep a line from a row with an id.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import packed, python_ready, written
 
 MIN_WORDS = 10
+#: documents in which a line of fewer words must stand
+MIN_DOCS = 3
+LONG, SHORT, RUN = b"\x00", b"\x01", b"\x02"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_SENTENCE = re.compile("[.!?\u2026]+[\"')\\]\u201d\u2019]*\\s+|[\u3002\uff01\uff1f]+[\u300d\u300f\u201d\u2019]*\\s*")
 _JUNK = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -43,8 +52,23 @@ def units_of(text: str, sep: str, min_words: int) -> Iterator[tuple[int, int, in
         at += len(unit) + len(sep)
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, sep: str = "\n", id_col: str = "doc_id",
-          text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def is_long(norm: str, min_words: int) -> bool:
+    """At least ``min_words`` words, or twice as many characters of scripts that set no blanks."""
+    return norm.count(" ") + 1 >= min_words or len(_UNSPACED.findall(norm)) >= 2 * min_words
+
+
+def passages_of(text: str, sep: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Every non-blank line; the digest's first byte is the kind."""
+    at = 0
+    for k, line in enumerate(text.split(sep)):
+        if norm := normalise(line) or line.strip():
+            kind = LONG if is_long(norm, min_words) else SHORT
+            yield k, at, at + len(line), kind + blake2b(norm.encode(), digest_size=16).digest()
+        at += len(line) + len(sep)
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text",
+          row_col: str | None = None, split: Callable[[str, str, int], Iterator[tuple[int, int, int, bytes]]] = units_of) -> DataFrame:
     """Written table of the units: doc_id, row, unit, start, end, digest.  ``row``
     numbers the rows of ``docs`` (taken from ``row_col`` if there is one)."""
     python_ready(docs.sparkSession)
@@ -53,7 +77,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, sep: str = "\n", id_col:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, row, text in zip(*(c.to_pylist() for c in b.columns)):
-                for k, start, end, digest in units_of(text or "", sep, min_words):
+                for k, start, end, digest in split(text or "", sep, min_words):
                     for col, v in zip(out, (doc, row, k, start, end, digest)):
                         col.append(v)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -79,17 +103,39 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     return repeated_spans(units(docs, **options)).drop("row")
 
 
-def cleaned(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Every row of ``docs`` with repeated units cut out of its text, and the
+def repeated_passages(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Spans to remove of units split by ``passages_of``; ``whole`` tells lines
+    from runs of sentences.  Short lines must stand in ``min_docs`` rows.  Runs
+    overlap; the earliest copy of a sentence is in no span, as an earlier copy of
+    what holds it would hold it too."""
+    kind = F.substring("digest", 1, 1)
+    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "row", "unit", "start")
+    first = (found.groupBy("digest", "row").agg(F.count("*").alias("n"), F.min(F.struct(key.alias("k"), F.col("doc_id").alias("d"))).alias("f"))
+             .groupBy("digest").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"), F.min("f").alias("f"))
+             .where((F.col("occurrences") > 1) & ((kind != F.lit(SHORT)) | (F.col("docs") >= min_docs))))
+    spans = written(found.join(first, "digest").where(key != F.col("f.k"))
+                    .select("doc_id", "row", "unit", "start", "end", F.col("f.d").alias("first_doc_id"), "occurrences", (kind != F.lit(RUN)).alias("whole")), "passages")
+    whole = spans.where("whole")
+    return whole.unionByName(spans.where("NOT whole").join(whole.select("row", "unit"), ["row", "unit"], "left_anti"))
+
+
+def removed_passages(docs: DataFrame, min_docs: int = MIN_DOCS, **options) -> DataFrame:
+    return repeated_passages(units(docs, split=passages_of, **options), min_docs).drop("row")
+
+
+def cleaned(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, **options) -> DataFrame:
+    """Every row of ``docs`` with repeated passages cut out of its text, and the
     kept parts' original offsets in ``kept_spans`` (array of start, end)."""
     whole = written(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "line-docs")
     plain = whole.select(F.col(f"_all.{id_col}").alias("doc_id"), F.col(f"_all.{text_col}").alias("text"), "_row")
-    spans = (repeated_spans(units(plain, sep=sep, row_col="_row", **options))
-             .groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")))  # lines of one text
+    spans = repeated_passages(units(plain, sep=sep, row_col="_row", split=passages_of, **options), min_docs)
+    upto = F.col("end") + F.when(F.col("whole"), len(sep)).otherwise(0)  # a line goes with its end; spans overlap
+    spans = (spans.withColumn("upto", F.max(upto).over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+             .groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start", "upto"))).alias("_cut")))  # spans of one text
     text = F.col(f"_all.{text_col}")
     n = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
-    cut = F.coalesce("_cut", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda s: F.least(s["end"] + len(sep), n)))
+    cut = F.coalesce("_cut", F.array().cast("array<struct<start:bigint,upto:bigint>>"))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda s: F.least(s["upto"], n)))
     ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(n))
     kept = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["end"] > s["start"])
     out = whole.join(spans, "_row", "left").withColumn("_kept", kept)

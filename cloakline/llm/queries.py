@@ -67,6 +67,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.learn(docs.where(~held_out()), table(spark, sf_dir, "labels"))
@@ -84,4 +88,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
-    op7_permutation_index, op8_line_dedup, op9_quality_knn, op10_pii)}
+    op7_permutation_index, op8_line_dedup, op8_passage_dedup, op9_quality_knn, op10_pii)}

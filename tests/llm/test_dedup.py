@@ -108,3 +108,11 @@ def test_line_dedup(spark, edge, none):
         assert any(r.text == (None if t is None else "".join(t[s.start:s.end] for s in r.kept_spans)) for t in texts)
     assert sum(r.text == "" for r in out.collect() if r.doc_id in (1, 2, 3)) == 3
     assert line_dedup.removed_lines(none).count() == 0 and line_dedup.cleaned(none).count() == 0
+
+
+def test_short_and_unspaced_lines(spark):
+    """A short line goes by its number of documents, a text without blanks by its characters."""
+    zh = "\u8fd9\u662f\u4e00\u6bb5\u6ca1\u6709\u7a7a\u683c\u7684\u4e2d\u6587\u6587\u5b57" * 2
+    rows = [(1, f"Read more here\nfirst\n{zh}"), (2, f"Read more here\ntwice\n{zh}"), (3, "Read more here\ntwice"), (4, "once\nonce\nonce")]
+    out = line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "twice\n", 3: "twice", 4: rows[3][1]}
