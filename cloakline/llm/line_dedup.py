@@ -58,12 +58,23 @@ def is_long(norm: str, min_words: int) -> bool:
 
 
 def passages_of(text: str, sep: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Every non-blank line; the digest's first byte is the kind."""
+    """Every non-blank line, and from each sentence of a line on the shortest run
+    of sentences that is long; the digest's first byte is the kind."""
     at = 0
     for k, line in enumerate(text.split(sep)):
         if norm := normalise(line) or line.strip():
             kind = LONG if is_long(norm, min_words) else SHORT
             yield k, at, at + len(line), kind + blake2b(norm.encode(), digest_size=16).digest()
+            if kind == LONG:
+                ends = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
+                parts = [(a, b, norm) for a, b in zip(ends, ends[1:]) if (norm := normalise(line[a:b]))]
+                for i, (a, _, _) in enumerate(parts):
+                    run = ""
+                    for _, b, part in parts[i:]:
+                        run = f"{run} {part}".strip(" ")
+                        if is_long(run, min_words):
+                            yield k, at + a, at + b, RUN + blake2b(run.encode(), digest_size=16).digest()
+                            break
         at += len(line) + len(sep)
 
 

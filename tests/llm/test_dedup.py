@@ -116,3 +116,14 @@ def test_short_and_unspaced_lines(spark):
     rows = [(1, f"Read more here\nfirst\n{zh}"), (2, f"Read more here\ntwice\n{zh}"), (3, "Read more here\ntwice"), (4, "once\nonce\nonce")]
     out = line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "twice\n", 3: "twice", 4: rows[3][1]}
+
+
+def test_passages_inside_lines(spark):
+    """A shared passage in the middle of lines that differ elsewhere, its short sentence too."""
+    same = "The old mill by the river was sold last spring to a family from town. They came. Nobody in the village had seen the inside of it for twenty years."
+    rows = [(1, f"One opens so. {same} One ends so."), (2, f"Two begins in another way! {same} Two ends in yet another way."), (3, "Nothing is shared here.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.first_doc_id, r.whole) for r in line_dedup.removed_passages(df).collect()} == {(2, 1, False)}
+    out = {r.doc_id: r.text for r in line_dedup.cleaned(df).collect()}
+    assert out == {1: rows[0][1], 2: "Two begins in another way! Two ends in yet another way.", 3: rows[2][1]}
+    assert line_dedup.removed_lines(df).count() == 0
