@@ -41,8 +41,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 RUN = r"[0-9][0-9\x20-]*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key"
-SECRET = (rf"(?i:(?<![a-z0-9_])(?:{_NAMES})[\"']?\x20{{0,3}}[=:]\x20{{0,3}}[\"']?[^\s\"']{{6,200}}[\"']?)"
-          r"|(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])(?=[0-9]{0,63}[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])")
+ASSIGNED = rf"(?i:(?<![a-z0-9_])(?:{_NAMES})[\"']?\x20{{0,3}}[=:]\x20{{0,3}}[\"']?[^\s\"']{{6,}}+[\"']?)"
+BARE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
+SECRET = f"{ASSIGNED}|{BARE}"
 NATIONAL = r"(?<![0-9+])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"
 SPAN = "array<struct<k:int,s:bigint,e:bigint>>"
 

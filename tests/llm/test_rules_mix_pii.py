@@ -156,6 +156,17 @@ def test_pii_query_and_masking(spark, edge):
     assert got[11].startswith("<SECRET> é😀 <EMAIL>") and got[9] == "4711 !!! ***"
 
 
+def secrets(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [[(c.s, c.e) for c in r._cand if c.k == 4] for r in pii.scanned(df).orderBy("doc_id").collect()]
+
+
+def test_secrets_to_their_end(spark):
+    texts = [f"{name}{('Zq7.' if name else 'Zq7x') * 5_000}"[:len(name) + n] + " end" for n in (86, 128, 201, 600, 20_000) for name in ("", "token=")]
+    assert secrets(spark, texts) == [[(0, len(t) - 4)] for t in texts]
+    assert secrets(spark, ["a" * 50_000, "1" * 50_000, "a " * 20_000 + "1"]) == [[], [], []]
+
+
 def test_reliabilities_find_the_better_labeler():
     rnd = random.Random(1)
     patterns = Counter()
