@@ -117,7 +117,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(F.col("_d") & t.rlike(r"[0-9]\.[0-9]"), matches(t, IP, 1)).otherwise(_empty(SPAN)),
         F.when(F.col("_d") & t.rlike(r"[0-9][0-9\x20-]{10}"), F.filter(matches(runs, RUN, 2), lambda x: x["e"] - x["s"] > 8)).otherwise(_empty(SPAN)),
         F.when(F.instr(t, "+") > 0, matches(t, PHONE, 3)).otherwise(_empty(SPAN)),
-        F.when(F.col("_d"), matches(t, SECRET, 4)).otherwise(_empty(SPAN)),
+        F.when(F.col("_d"), matches(t, SECRET, 4)).when(t.rlike("[=:]"), matches(t, ASSIGNED, 4)).otherwise(_empty(SPAN)),  # a bare key holds a digit
         F.when(F.col("_d"), matches(t, NATIONAL, 5)).otherwise(_empty(SPAN)))
 
     def described(x: Column) -> Column:

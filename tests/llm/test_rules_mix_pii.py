@@ -167,6 +167,11 @@ def test_secrets_to_their_end(spark):
     assert secrets(spark, ["a" * 50_000, "1" * 50_000, "a " * 20_000 + "1"]) == [[], [], []]
 
 
+def test_assigned_secret_needs_no_digit(spark):
+    texts = ["password = hunterhunter end", "Api_Key: correcthorse", "password = hunterhunter end 7", "no secret: none", "password hunterhunter"]
+    assert secrets(spark, texts) == [[(0, 23)], [(0, 21)], [(0, 23)], [], []]
+
+
 def test_reliabilities_find_the_better_labeler():
     rnd = random.Random(1)
     patterns = Counter()
