@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm import langid, line_dedup, mixing, packing, permutation_index, pii, quality_knn, quality_rules, simhash, token_files
+from cloakline.llm import (langid, line_dedup, mixing, packing, permutation_index, piece_codec, pii, quality_knn, quality_rules, simhash,
+                           spelling, token_files, turn_repair)
 from cloakline.llm.common import held_out, python_ready, table, written
 from cloakline.llm.oracle import ORACLES  # noqa: F401
 
@@ -86,6 +87,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_codec.encode_decode(table(spark, sf_dir, "documents"), end_id=2)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
-    op7_permutation_index, op8_line_dedup, op8_passage_dedup, op9_quality_knn, op10_pii)}
+    op7_permutation_index, op8_line_dedup, op8_passage_dedup, op9_quality_knn, op10_pii, op11_conversation_repair, op12_sentencepiece, op13_spelling_variants)}
