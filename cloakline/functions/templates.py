@@ -82,6 +82,17 @@ def compile_template(template: str):
     return "".join(fmt), fields
 
 
+def is_native(template: str) -> bool:
+    """Does :func:`render` give built-in functions only?"""
+    if template == PRESERVE_LENGTH:
+        return True
+    try:
+        compile_template(template)
+    except NeedsPython:
+        return False
+    return True
+
+
 @F.pandas_udf(T.StringType())
 def _python_format(template: pd.Series, n: pd.Series, orig: pd.Series) -> pd.Series:
     return pd.Series(
@@ -102,10 +113,3 @@ def render(template: str, n: Column, orig: Column) -> Column:
     if not fields:
         return F.lit(fmt.replace("%%", "%"))
     return F.format_string(fmt, *[args[f] for f in fields])
-
-
-def render_python(template: str, n: int, orig: str) -> str:
-    """Driver-side rendering for one value (tests and fixtures)."""
-    if template == PRESERVE_LENGTH:
-        return str(n).zfill(len(orig))
-    return template.format(n=n, orig=orig, orig_len=len(orig))

@@ -211,7 +211,7 @@ def mask_sheet(units: DataFrame, rules: list[Rule], multi_col_names: bool, prior
 
 
 def cells_to_table(df: DataFrame, cells: DataFrame, row_col: str) -> DataFrame:
-    """Pivot redacted data cells back onto the sheet's rows."""
+    """Pivot masked data cells back onto the sheet's rows."""
     strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != row_col]
     data = cells.where(F.col("_unit.hdr") == 1).select(F.col("_unit.row").alias(row_col), "col", "_text")
     back = data.groupBy(row_col).agg(*[F.max(F.when(F.col("col") == c, F.col("_text"))).alias(c) for c in strs])

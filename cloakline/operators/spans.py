@@ -190,9 +190,9 @@ def detect(units: DataFrame, rules: list[Rule], text_col: str = "_text", ents_co
     for k in active:
         cands = _free_of(kept, F.col(f"_c{k}"))
         if kinds[k] == "entity":
-            cands = _first_come(F.array_sort(cands))
+            cands = _first_come(F.sort_array(cands))
         df = df.withColumn("_kept", F.concat(kept, cands))
-    return df.select(*units.columns, F.array_sort("_kept").alias(out_col))
+    return df.select(*units.columns, F.sort_array("_kept").alias(out_col))
 
 
 def candidates_table(units: DataFrame, rules: list[Rule], key_cols: list[str], text_col: str = "_text") -> DataFrame:

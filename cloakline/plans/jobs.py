@@ -6,8 +6,8 @@ Texts stay where they are.  Spans are found per row; then
   values are numbered and spliced inside the row: no exchange, nothing cached;
 * otherwise only spans travel: the hits (no text) are kept, numbered by a
   two-phase ranged count that spreads a scope of any size, joined with their
-  pseudonyms (hot values salted) and regrouped per unit.  Units without a hit
-  pass through; only the text of units with hits is joined by the unit key.
+  pseudonyms (hot values salted) and regrouped per unit; then the units meet
+  their hits by key, so every span is evaluated once.
 
 A unit is matched by its key and a hash of its text, so rows that share a key
 by mistake are still masked each by its own spans.
@@ -21,7 +21,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import scan
+from ..functions.templates import is_native
 from ..functions.text import strip_ws
 from ..operators import registry as reg
 from ..operators.names import cells_to_table, mask_sheet, sheet_units
@@ -83,7 +84,7 @@ def scope_columns(df: DataFrame, scope_cols: list[str] | None) -> DataFrame:
 
 
 UNIT = ["_scope", "_unit", "_h"]
-HAS_SPANS, NO_SPANS = "size(_spans) > 0 AND _b >= 0", "size(_spans) <= 0 AND _b >= 0"
+HAS_SPANS = "size(_spans) > 0 AND _b >= 0"
 
 
 def with_barrier(spanned: DataFrame) -> DataFrame:
@@ -101,29 +102,32 @@ def opaque(text: Column) -> Column:
 
 def in_row_pseudonyms(spans: Column, rules: list[Rule]) -> Column:
     """Spans with pseudonyms, numbered within the row: a value's number is its
-    place among the rule's distinct values in order of (rule, start)."""
+    place among the rule's distinct values in order of (rule, start).  Sorted by
+    value, the first span of a value is its first occurrence; sorted by that, a
+    value's number is the count of values so far.  n spans cost two sorts."""
     names = list(dict.fromkeys(r.name for r in rules))
-    of_rule = {m: [k for k, r in enumerate(rules) if r.name == m] for m in names}
-    in_order = F.transform(spans, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), strip_ws(x["v"]).alias("key"), x["v"].alias("v")))
-    lists = {}
-    for m in names:  # first occurrence of every value, in order
-        mine = F.filter(F.array_sort(in_order), lambda x: x["k"].isin(*of_rule[m]))
-        lists[m] = F.struct(F.array_distinct(F.transform(mine, lambda x: x["key"])).alias("keys"), mine.alias("all"))
-
-    def numbered(found: Column) -> Column:
-        def one(x: Column) -> Column:
-            key = strip_ws(x["v"])
-            out = F.lit(None).cast("string")
-            for m in names:
-                group = found[f"r{names.index(m)}"]
-                n = F.array_position(group["keys"], key)
-                first = F.get(F.filter(group["all"], lambda y: y["key"] == key), F.lit(0))
-                out = F.when(x["k"].isin(*of_rule[m]), reg.pseudonym_column(rules, n, first["v"], first["k"])).otherwise(out)
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), out.alias("pseudonym"))
-
-        return F.transform(spans, one)
-
-    return F.when(F.size(spans) > 0, let(F.struct(*[lists[m].alias(f"r{i}") for i, m in enumerate(names)]), numbered))
+    of_rule = F.array(*[F.lit(names.index(r.name)) for r in rules])
+    by_value = F.sort_array(F.transform(spans, lambda x: F.struct(
+        F.element_at(of_rule, x["k"] + 1).alias("m"), strip_ws(x["v"]).alias("key"), x["k"].alias("k"), x["s"].alias("s"),
+        x["e"].alias("e"), x["v"].alias("v"))))
+
+    def first(st: Column, x: Column) -> tuple[Column, Column]:
+        here = F.struct(x["m"].alias("m"), x["key"].alias("key"), x["k"].alias("k"), x["s"].alias("s"), x["v"].alias("v"))
+        of = F.when((st["m"] == x["m"]) & (st["key"] == x["key"]), st).otherwise(here)
+        return of, F.array(F.struct(x["m"].alias("m"), of["k"].alias("fk"), of["s"].alias("fs"), x["s"].alias("s"), x["e"].alias("e"), of["v"].alias("fv")))
+
+    def count(st: Column, x: Column) -> tuple[Column, Column]:
+        same = (st["fk"] == x["fk"]) & (st["fs"] == x["fs"])
+        n = F.when(st["m"] != x["m"], 1).when(same, st["n"]).otherwise(st["n"] + 1)
+        return (F.struct(x["m"].alias("m"), x["fk"].alias("fk"), x["fs"].alias("fs"), n.alias("n")),
+                F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), n.alias("n"), x["fk"].alias("fk"), x["fv"].alias("fv"))))
+
+    none = F.struct(F.lit(-1).alias("m"), F.lit("").alias("key"), F.lit(0).alias("k"), F.lit(0).alias("s"), F.lit("").alias("v"))
+    firsts = scan(by_value, none, "array<struct<m:int,fk:int,fs:int,s:int,e:int,fv:string>>", first)
+    none = F.struct(F.lit(-1).alias("m"), F.lit(0).alias("fk"), F.lit(0).alias("fs"), F.lit(0).alias("n"))
+    numbered = scan(F.sort_array(firsts), none, "array<struct<s:int,e:int,n:int,fk:int,fv:string>>", count)
+    return F.when(F.size(spans) > 0, F.transform(F.sort_array(numbered), lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), reg.pseudonym_column(rules, x["n"], x["fv"], x["fk"]).alias("pseudonym"))))
 
 
 def masked_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None = None, use_entities: bool = True,
@@ -137,28 +141,27 @@ def masked_units(units: DataFrame, rules: list[Rule], entities: DataFrame | None
     spanned = detect(units.withColumn("_h", F.xxhash64("_text")), rules, "_text", ents_col, use_entities)
     if ents_col:
         spanned = spanned.drop(ents_col)
-    if own_scope and prior is None:
+    if own_scope and prior is None and all(is_native(r.template) for r in rules):
         registry = reg.build_registry(reg.occurrences(spanned, rules), rules, "window")
         # a column of its own: splice reads it several times, also inside a lambda
         out = spanned.withColumn("_repl", in_row_pseudonyms(F.col("_spans"), rules))
         out = out.withColumn("_text", opaque(splice(F.col("_text"), F.col("_repl"))))
         return {"units": out.drop("_spans", "_h", "_repl"), "registry": registry, "cached": []}
-    spanned = with_barrier(spanned)
-    hits = spanned.where(HAS_SPANS).select(*UNIT, "_spans").persist(StorageLevel.MEMORY_AND_DISK)  # spans only: read for the registry and for the join
+    hits = with_barrier(spanned).where(HAS_SPANS).select(*UNIT, "_spans").persist(StorageLevel.MEMORY_AND_DISK)  # spans only: read for the registry and for the join
     occ = reg.occurrences(hits, rules)
     registry = reg.build_registry(occ, rules) if prior is None else reg.continue_registry(prior, occ, rules)
     registry = registry.persist(StorageLevel.MEMORY_AND_DISK)
-    out = spliced(spanned, reg.attach_pseudonyms(occ, registry, UNIT))
+    out = spliced(spanned.drop("_spans"), reg.attach_pseudonyms(occ, registry, UNIT))
     return {"units": out.drop("_h"), "registry": registry, "cached": [hits, registry]}
 
 
-def spliced(spanned: DataFrame, hits: DataFrame) -> DataFrame:
-    """Texts with their hits (``UNIT``, s, e, pseudonym) replaced.  A set per unit:
-    repeated rows of one key and text give the same hits twice."""
+def spliced(units: DataFrame, hits: DataFrame) -> DataFrame:
+    """Units with their hits (``UNIT``, s, e, pseudonym) replaced; the spans are not
+    evaluated again.  A set per unit: repeated rows of one key and text give the
+    same hits twice."""
     repl = hits.groupBy(*UNIT).agg(F.array_sort(F.collect_set(F.struct("s", "e", "pseudonym"))).alias("_repl"))
-    some = spanned.where(HAS_SPANS).drop("_spans", "_b").join(repl, UNIT)
-    some = some.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl")
-    return some.unionByName(spanned.where(NO_SPANS).drop("_spans", "_b"))
+    out = units.join(repl, UNIT, "left")
+    return out.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl")
 
 
 def mask(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[str] | None = None,
@@ -207,7 +210,7 @@ def restore(df: DataFrame, text_col: str, key_cols: list[str], mapping: DataFram
     if mode == "sequential":
         if "order" not in m.columns:
             raise ValueError("sequential restore needs the mapping's 'order' column")
-        out = restore_sequential(units, m)
+        out = restore_sequential(units, m, own_scope=bool(scope_cols) and set(key_cols) <= set(scope_cols))
     elif mode == "single_pass":
         out = restore_tokens(units, m)
     else:

@@ -4,6 +4,8 @@ DataFrame; ``ORACLES[name]`` is the independent DuckDB SQL."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import registry as reg
 from ..operators.restore import roundtrip_audit
 from ..operators.spans import candidates_table, detect
 from ..rules import load_rules, rule
+from ..session import checkpointed
 from ..sources.fixtures import ORDER_UNITS_SQL, order_units, table
 from . import oracle as O
 from .jobs import mask, restore
@@ -132,8 +135,8 @@ def _splice_docs_sql(ctes, last, src=DOCS, ids=("doc_id",), scope=("doc_id",)):
     return _with(ctes, f"SELECT {', '.join(ids)}, text FROM {O.splice_sql(src, ids, spans)}")
 
 
-@register("redacted_docs", _splice_docs_sql(_C, _L))
-def redacted_docs(spark, d):
+@register("masked_docs", _splice_docs_sql(_C, _L))
+def masked_docs(spark, d):
     return mask(_docs(spark, d), "text", ["doc_id"], ["doc_id"], rules=_rules()).masked
 
 
@@ -163,8 +166,8 @@ def registry_orders(spark, d):
     return r.registry.select("rule", "original", F.col("n").cast("bigint").alias("n"), "pseudonym")
 
 
-@register("redacted_orders", _splice_docs_sql(_OC, _OL, ORD, ["unit_seq"], []))
-def redacted_orders(spark, d):
+@register("masked_orders", _splice_docs_sql(_OC, _OL, ORD, ["unit_seq"], []))
+def masked_orders(spark, d):
     return _orders_masking(spark, d).masked.select("unit_seq", "text")
 
 
@@ -207,11 +210,28 @@ def restore_docs(spark, d):
 def roundtrip_orders(spark, d):
     units = order_units(spark, d)
     r = _orders_masking(spark, d)
-    back = restore(r.masked, "text", ["unit_seq"], r.mapping, None, mode="single_pass")
+    back = restore(checkpointed(r.masked), "text", ["unit_seq"], r.mapping, None, mode="single_pass")
     audit = roundtrip_audit(units, back, ["unit_seq"], "text")
     return audit.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("restore_orders", f"SELECT unit_seq, text FROM {ORD}")
+def restore_orders(spark, d):
+    """T1 with one mapping for the whole corpus."""
+    r = _orders_masking(spark, d)
+    return restore(checkpointed(r.masked), "text", ["unit_seq"], r.mapping, None).select("unit_seq", "text")
+
+
+_COPY_RULES = [replace(r, template=t) for r, t in zip(_rules("email", "id", "username"), ("<{orig}|{n}>", "#{orig}", "({orig})"))]
+
+
+@register("restore_copies", f"SELECT unit_seq, text FROM {ORD}")
+def restore_copies(spark, d):
+    """T5 with pseudonyms that hold the original, so without a common shape."""
+    r = _orders_masking(spark, d, rules=_COPY_RULES)
+    return restore(checkpointed(r.masked), "text", ["unit_seq"], r.mapping, None, mode="single_pass").select("unit_seq", "text")
+
+
 # ── S8 / M1-M6: cells and split names ───────────────────────────────────────
 
 from ..sources.fixtures import staff, staff_sql  # noqa: E402
@@ -445,7 +465,7 @@ def template_render(spark, d):
 
 # ── S10-S12: mapping documents and paths ────────────────────────────────────
 
-from ..sources.mapping_io import mapping_documents, read_mapping, redact_paths, restore_paths  # noqa: E402
+from ..sources.mapping_io import MASKED_STEM, mapping_documents, mask_paths, read_mapping, restore_paths  # noqa: E402
 
 _DOC_PATH = "'/data/' || source || '/doc' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.docx' " \
             "WHEN 1 THEN '.PDF' WHEN 2 THEN '.xlsx' ELSE '.odt' END"
@@ -464,7 +484,7 @@ def mapping_json(spark, d):
     docs = table(spark, d, "documents")
     r = mask(docs.select("doc_id", "text"), "text", ["doc_id"], ["doc_id"], rules=_rules())
     files = docs.select("doc_id", _doc_path().alias("source_file")).select(
-        "doc_id", "source_file", redact_paths(F.col("source_file"))["redacted"].alias("redacted_file"))
+        "doc_id", "source_file", mask_paths(F.col("source_file"))["masked"].alias("masked_file"))
     js = mapping_documents(r.registry, ["doc_id"], files)
     back = read_mapping(js, ["doc_id"])
     parsed = js.select("doc_id", F.from_json("json", "stats map<string,bigint>").alias("d"))
@@ -483,23 +503,23 @@ _RSFX = f"CASE lower({_SFX}) WHEN '.pdf' THEN '.txt' WHEN '.docx' THEN '.docx' W
 
 @register("paths", f"""WITH a AS (SELECT doc_id, {_DOC_PATH} AS path FROM documents),
   b AS (SELECT doc_id, path, {_RSFX} IS NOT NULL AS supported,
-               {_DIRP} || {_STEM} || '_redacted' || {_RSFX} AS redacted,
+               {_DIRP} || {_STEM} || '{MASKED_STEM}' || {_RSFX} AS masked,
                {_DIRP} || {_STEM} || '_mapping.json' AS mapping FROM a),
-  c AS (SELECT *, redacted AS path2 FROM b)
-  SELECT doc_id, supported, redacted, mapping,
+  c AS (SELECT *, masked AS path2 FROM b)
+  SELECT doc_id, supported, masked, mapping,
     regexp_extract(path2, '^(.*/)?[^/]*$', 1) || left(regexp_extract(path2, '([^/]*)$', 1),
       length(regexp_extract(path2, '([^/]*)$', 1)) - length(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
       '^.+(\\.[^.]+)$', 1))) || '_restored' || lower(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
       '^.+(\\.[^.]+)$', 1)) AS restored,
     regexp_extract(path2, '^(.*/)?[^/]*$', 1) || regexp_replace(left(regexp_extract(path2, '([^/]*)$', 1),
       length(regexp_extract(path2, '([^/]*)$', 1)) - length(regexp_extract(regexp_extract(path2, '([^/]*)$', 1),
-      '^.+(\\.[^.]+)$', 1))), '_redacted$', '') || '_mapping.json' AS restore_mapping
+      '^.+(\\.[^.]+)$', 1))), '{MASKED_STEM}$', '') || '_mapping.json' AS restore_mapping
   FROM c""")
 def paths(spark, d):
     docs = table(spark, d, "documents").select("doc_id", _doc_path().alias("path"))
-    red = docs.select("doc_id", redact_paths(F.col("path")).alias("r"))
-    back = red.select("doc_id", "r", restore_paths(F.col("r.redacted")).alias("b"))
-    return back.select("doc_id", F.col("r.supported").alias("supported"), F.col("r.redacted").alias("redacted"),
+    red = docs.select("doc_id", mask_paths(F.col("path")).alias("r"))
+    back = red.select("doc_id", "r", restore_paths(F.col("r.masked")).alias("b"))
+    return back.select("doc_id", F.col("r.supported").alias("supported"), F.col("r.masked").alias("masked"),
                        F.col("r.mapping").alias("mapping"), F.col("b.restored").alias("restored"),
                        F.col("b.mapping").alias("restore_mapping"))
 

@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPPING_DOC_SCHEMA = ("source_file string, redacted_file string, created string, spacy_ner_used boolean, "
+# Fixed values of the interchange format: the suffix of a masked file's stem and the JSON field that names it.
+MASKED_STEM = "_redacted"
+MASKED_FIELD = "redacted_file"
+
+MAPPING_DOC_SCHEMA = (f"source_file string, {MASKED_FIELD} string, created string, spacy_ner_used boolean, "
                       "stats map<string,bigint>, mapping map<string,string>")
 
-# Document kinds and the suffix of their redacted / restored output.
-REDACT_SUFFIX = {".docx": ".docx", ".odt": ".odt", ".xlsx": ".xlsx", ".pdf": ".txt"}
+# Document kinds and the suffix of their masked / restored output.
+MASKED_SUFFIX = {".docx": ".docx", ".odt": ".odt", ".xlsx": ".xlsx", ".pdf": ".txt"}
 RESTORE_SUFFIX = {".docx": ".docx", ".odt": ".odt", ".xlsx": ".xlsx", ".txt": ".txt"}
 
 
@@ -23,7 +27,7 @@ def mapping_documents(registry: DataFrame, scope_cols: list[str], files: DataFra
                       entities_used: bool = False, scopes: DataFrame | None = None) -> DataFrame:
     """One JSON mapping document per scope.  ``registry`` has scope
     columns plus ``rule, original, pseudonym, first_pos``; ``files`` (scope
-    columns, ``source_file``, ``redacted_file``) names the files.  Every scope of
+    columns, ``source_file``, ``masked_file``) names the files.  Every scope of
     ``files`` (or of ``scopes``) gets a document, with empty maps if it has no
     entry."""
     m = registry.groupBy(*scope_cols, "pseudonym").agg(
@@ -41,12 +45,12 @@ def mapping_documents(registry: DataFrame, scope_cols: list[str], files: DataFra
     doc = doc.withColumns({"mapping": F.coalesce("mapping", F.create_map().cast("map<string,string>")),
                            "stats": F.coalesce("stats", F.create_map().cast("map<string,bigint>"))})
     if files is not None:
-        doc = doc.join(files.select(*scope_cols, "source_file", "redacted_file"), scope_cols, "left")
+        doc = doc.join(files.select(*scope_cols, "source_file", "masked_file"), scope_cols, "left")
     else:
         doc = doc.select("*", F.lit(None).cast("string").alias("source_file"),
-                         F.lit(None).cast("string").alias("redacted_file"))
+                         F.lit(None).cast("string").alias("masked_file"))
     doc = doc.select(*scope_cols, F.to_json(F.struct(
-        "source_file", "redacted_file",
+        "source_file", F.col("masked_file").alias(MASKED_FIELD),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created"),
         F.lit(entities_used).alias("spacy_ner_used"), "stats", "mapping")).alias("json"))
     return doc
@@ -84,28 +88,28 @@ def _suffix_map(sfx: Column, table: dict) -> Column:
     return expr
 
 
-def redact_paths(input_path: Column, output: Column | None = None, mapping: Column | None = None) -> Column:
-    """struct(kind_ok, redacted, mapping) derived from the input path;
+def mask_paths(input_path: Column, output: Column | None = None, mapping: Column | None = None) -> Column:
+    """struct(supported, masked, mapping) derived from the input path;
     explicit paths win."""
     sfx = suffix(input_path)
-    out_sfx = _suffix_map(sfx, REDACT_SUFFIX)
-    derived_out = F.concat(_dir(input_path), stem(input_path), F.lit("_redacted"), out_sfx)
+    out_sfx = _suffix_map(sfx, MASKED_SUFFIX)
+    derived_out = F.concat(_dir(input_path), stem(input_path), F.lit(MASKED_STEM), out_sfx)
     derived_map = F.concat(_dir(input_path), stem(input_path), F.lit("_mapping.json"))
     return F.struct(out_sfx.isNotNull().alias("supported"),
-                    (F.coalesce(output, derived_out) if output is not None else derived_out).alias("redacted"),
+                    (F.coalesce(output, derived_out) if output is not None else derived_out).alias("masked"),
                     (F.coalesce(mapping, derived_map) if mapping is not None else derived_map).alias("mapping"))
 
 
 def restore_paths(input_path: Column, output: Column | None = None, mapping: Column | None = None) -> Column:
     """struct(supported, restored, mapping); the mapping lookup drops one
-    trailing ``_redacted`` from the stem."""
+    trailing ``MASKED_STEM`` from the stem."""
     sfx = suffix(input_path)
     out_sfx = F.coalesce(_suffix_map(sfx, RESTORE_SUFFIX), F.lower(sfx))
     st = stem(input_path)
     derived_out = F.concat(_dir(input_path), st, F.lit("_restored"), out_sfx)
-    base = F.regexp_replace(st, "_redacted$", "")
+    base = F.regexp_replace(st, f"{MASKED_STEM}$", "")
     derived_map = F.concat(_dir(input_path), base, F.lit("_mapping.json"))
-    known = F.lower(sfx).isin(*REDACT_SUFFIX, ".txt")
+    known = F.lower(sfx).isin(*MASKED_SUFFIX, ".txt")
     return F.struct(known.alias("supported"),
                     (F.coalesce(output, derived_out) if output is not None else derived_out).alias("restored"),
                     (F.coalesce(mapping, derived_map) if mapping is not None else derived_map).alias("mapping"))

@@ -58,7 +58,7 @@ def mask_batch(batch: DataFrame, batch_id: int, state_dir: str, text_col: str, k
     fresh = res.internal.where(F.col("first_pos.u.batch") == batch_id)
     (fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(base))
-    res.masked.drop("_ord").write.mode("overwrite").parquet(f"{state_dir}/redacted/batch={batch_id}")
+    res.masked.drop("_ord").write.mode("overwrite").parquet(f"{state_dir}/masked/batch={batch_id}")
     res.unpersist()
 
 
@@ -66,7 +66,7 @@ def start(stream: DataFrame, text_col: str, key_cols: list[str], rules: list[Rul
           checkpoint: str | None = None, once: bool = True):
     """Start the streaming masking; returns the StreamingQuery."""
     spark = stream.sparkSession
-    state_dir = state_dir or os.path.join(ensure_checkpoint_dir(spark), "stream-redaction")
+    state_dir = state_dir or os.path.join(ensure_checkpoint_dir(spark), "stream-masking")
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: mask_batch(df, bid, state_dir, text_col, key_cols, rules))
               .option("checkpointLocation", checkpoint or f"{state_dir}/_checkpoint"))

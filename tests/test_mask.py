@@ -43,15 +43,17 @@ def test_cases(spark):
         assert (text, mapping) == claims.masked(case, ALL)
 
 
-def test_overlap_predicate(spark):
-    df = spark.createDataFrame([(0, 4), (11, 19), (26, 30), (0, 5), (10, 15), (3, 7), (8, 15), (6, 9), (4, 12)],
-                               "s int, e int")
-    spans = F.array(F.struct(F.lit(5).alias("s"), F.lit(10).alias("e")),
-                    F.struct(F.lit(20).alias("s"), F.lit(25).alias("e")))
-    got = [r[0] for r in df.select(overlaps(spans, F.col("s"), F.col("e"))).collect()]
-    assert got == [False, False, False, False, False, True, True, True, True]
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    assert df.select(overlaps(empty, F.col("s"), F.col("e"))).first()[0] is False
+def test_overlap_predicate_equals_shared_positions(spark):
+    rnd = random.Random(17)
+    rows = []
+    for _ in range(400):
+        kept = [(s, s + rnd.randint(1, 6)) for s in (rnd.randint(0, 30) for _ in range(rnd.randint(0, 4)))]
+        s = rnd.randint(0, 30)
+        rows.append((kept, s, s + rnd.randint(1, 6)))
+    df = spark.createDataFrame(rows, "kept array<struct<s:int,e:int>>, s int, e int")
+    for r in df.select("*", overlaps(F.col("kept"), F.col("s"), F.col("e")).alias("hit")).collect():
+        taken = {p for k in r.kept for p in range(k.s, k.e)}
+        assert r.hit == bool(taken & set(range(r.s, r.e)))
 
 
 def _edge_text(rnd):

@@ -9,7 +9,7 @@ from conftest import SF001
 import __spark_entry__ as E
 from tools.check_oracle import TABLES, digest
 
-NAMES = ["redacted_docs", "registry_orders", "resolve_overlaps", "split_name_table", "workbook_sheets",
+NAMES = ["masked_docs", "registry_orders", "resolve_overlaps", "split_name_table", "workbook_sheets",
          "example_rules", "page_text", "fragment_merge", "template_render", "restore_modes"]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakline.operators.names import component_words
 from cloakline.plans.jobs import mask, mask_table, restore, restore_text_files
 from cloakline.rules import load_rules, rule
-from cloakline.sources.mapping_io import mapping_documents, read_mapping, redact_paths, restore_paths
+from cloakline.sources.mapping_io import MASKED_FIELD, MASKED_STEM, mapping_documents, mask_paths, read_mapping, restore_paths
 from cloakline.sources.units import line_units, page_text, paragraph_units, paragraph_write_back
 from test_mask import ALL, EMAIL, NAME
 
@@ -49,7 +49,7 @@ def _split_sheet(spark):
                                  "row long, `First Name` string, `Last Name` string, Email string, Score double")
 
 
-def test_string_cells_redacted_numbers_untouched(spark):
+def test_string_cells_masked_numbers_untouched(spark):
     r = mask_table(_split_sheet(spark), "row", rules=ALL)
     rows = {x["row"]: x for x in r.masked.collect()}
     assert rows[1]["Email"].endswith("@anon.invalid") and rows[1]["Score"] == 3.14
@@ -114,23 +114,22 @@ def test_restore_cases(spark, mode):
     assert [out[i] for i in range(len(out))] == [*cases.values(), None]
 
 
-def test_longest_first(spark):
-    units = spark.createDataFrame([(1, "person001@anon.invalid")], "id long, text string")
-    m = spark.createDataFrame([("person001@anon.invalid", "real@email.com", 0), ("person001", "PARTIAL", 1)],
-                              "pseudonym string, original string, order int")
-    assert restore(units, "text", ["id"], m).first()["text"] == "real@email.com"
+def test_longer_pseudonyms_go_first(spark):
+    units = spark.createDataFrame([(1, "K1 K12 K123 K1234")], "id long, text string")
+    m = spark.createDataFrame([("K1", "a", 0), ("K123", "c", 1), ("K12", "b", 2)], "pseudonym string, original string, order int")
+    assert restore(units, "text", ["id"], m).first()["text"] == "a b c c4"
 
 
 def test_restore_text_files(spark):
     d = tempfile.mkdtemp(prefix="cl-test-files-", dir=os.environ.get("TMPDIR", "/tmp"))
-    for name, body in (("a_redacted.txt", "Dear Person007,\nsee person007@anon.invalid"), ("b_redacted.txt", "x")):
+    for name, body in (("a-masked.txt", "Dear Person007,\nsee person007@anon.invalid"), ("b-masked.txt", "x")):
         with open(os.path.join(d, name), "w") as fh:
             fh.write(body)
     files = spark.read.text(d, wholetext=True).select(F.input_file_name().alias("file")).collect()
     m = spark.createDataFrame([(f["file"], p, o, i) for f in files for i, (p, o) in enumerate(MAPPING.items())],
                               "file string, pseudonym string, original string, order int")
     out = {os.path.basename(f): t for f, t in restore_text_files(spark, d, m).collect()}
-    assert out["a_redacted.txt"] == "Dear Ada Vogel,\nsee ada@post.example.org" and out["b_redacted.txt"] == "x"
+    assert out["a-masked.txt"] == "Dear Ada Vogel,\nsee ada@post.example.org" and out["b-masked.txt"] == "x"
 
 
 # ── S10-S12 ──────────────────────────────────────────────────────────────────
@@ -138,12 +137,12 @@ def test_restore_text_files(spark):
 def test_mapping_document_round_trip(spark):
     df = spark.createDataFrame([(1, "a@x.com and John Smith"), (2, "none")], "id long, text string")
     r = mask(df, "text", ["id"], ["id"], rules=ALL)
-    files = spark.createDataFrame([(1, "/d/r.docx", "/d/r_redacted.docx")], "id long, source_file string, redacted_file string")
+    files = spark.createDataFrame([(1, "/d/r.docx", "/d/r-masked.docx")], "id long, source_file string, masked_file string")
     docs = mapping_documents(r.registry, ["id"], files)
     doc = json.loads(docs.where("id = 1").first()["json"])
     assert doc["mapping"] == {"person001@anon.invalid": "a@x.com", "Person001": "John Smith"}
     assert doc["stats"] == {"email": 1, "name": 1} and doc["source_file"] == "/d/r.docx"
-    assert list(doc) == ["source_file", "redacted_file", "created", "spacy_ner_used", "stats", "mapping"]
+    assert list(doc) == ["source_file", MASKED_FIELD, "created", "spacy_ner_used", "stats", "mapping"]
     back = read_mapping(docs, ["id"]).collect()
     assert {(x["pseudonym"], x["original"]) for x in back} == {("person001@anon.invalid", "a@x.com"),
                                                                 ("Person001", "John Smith")}
@@ -156,13 +155,13 @@ def test_mapping_document_round_trip(spark):
 
 def test_paths(spark):
     df = spark.createDataFrame([("/x/report.docx", None), ("/x/notes.PDF", None), ("/x/data.csv", None),
-                                ("/x/report_redacted.docx", "/k/m.json")], "p string, m string")
-    rows = df.select(redact_paths(F.col("p")).alias("r"), restore_paths(F.col("p"), mapping=F.col("m")).alias("b")
+                                (f"/x/report{MASKED_STEM}.docx", "/k/m.json")], "p string, m string")
+    rows = df.select(mask_paths(F.col("p")).alias("r"), restore_paths(F.col("p"), mapping=F.col("m")).alias("b")
                      ).collect()
-    assert rows[0]["r"]["redacted"] == "/x/report_redacted.docx" and rows[0]["r"]["mapping"] == "/x/report_mapping.json"
-    assert rows[1]["r"]["redacted"] == "/x/notes_redacted.txt"
+    assert rows[0]["r"]["masked"] == f"/x/report{MASKED_STEM}.docx" and rows[0]["r"]["mapping"] == "/x/report_mapping.json"
+    assert rows[1]["r"]["masked"] == f"/x/notes{MASKED_STEM}.txt"
     assert not rows[2]["r"]["supported"] and not rows[2]["b"]["supported"]
-    assert rows[3]["b"]["restored"] == "/x/report_redacted_restored.docx" and rows[3]["b"]["mapping"] == "/k/m.json"
+    assert rows[3]["b"]["restored"] == f"/x/report{MASKED_STEM}_restored.docx" and rows[3]["b"]["mapping"] == "/k/m.json"
     assert rows[0]["b"]["mapping"] == "/x/report_mapping.json"
 
 
