@@ -161,7 +161,7 @@ def spliced(units: DataFrame, hits: DataFrame) -> DataFrame:
     same hits twice."""
     repl = hits.groupBy(*UNIT).agg(F.array_sort(F.collect_set(F.struct("s", "e", "pseudonym"))).alias("_repl"))
     out = units.join(repl, UNIT, "left")
-    return out.withColumn("_text", splice(F.col("_text"), F.col("_repl"))).drop("_repl")
+    return out.withColumn("_text", opaque(splice(F.col("_text"), F.col("_repl")))).drop("_repl")
 
 
 def mask(df: DataFrame, text_col: str, key_cols: list[str], scope_cols: list[str] | None = None,
@@ -202,7 +202,8 @@ def restore(df: DataFrame, text_col: str, key_cols: list[str], mapping: DataFram
             scope_cols: list[str] | None = None, mode: str = "sequential") -> DataFrame:
     """Restore ``text_col`` of ``df`` from a mapping
     (``scope cols, pseudonym, original, order``).  An empty mapping is an error."""
-    units = to_units(spread_small(df), text_col, key_cols, scope_cols)
+    # opaque: the text's own expressions are not to be copied into the Python calls below
+    units = to_units(spread_small(df), text_col, key_cols, scope_cols).withColumn("_text", opaque(F.col("_text")))
     # read several times below, and often the end of a long plan: written once
     m = checkpointed(mapping.select(scope_struct(scope_cols).alias("_scope"), "pseudonym", "original",
                                     *[c for c in ("order",) if c in mapping.columns]))
