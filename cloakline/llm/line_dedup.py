@@ -54,7 +54,7 @@ def units_of(text: str, sep: str, min_words: int) -> Iterator[tuple[int, int, in
 
 def is_long(norm: str, min_words: int) -> bool:
     """At least ``min_words`` words, or twice as many characters of scripts that set no blanks."""
-    return norm.count(" ") + 1 >= min_words or len(_UNSPACED.findall(norm)) >= 2 * min_words
+    return norm.count(" ") + 1 >= min_words or (not norm.isascii() and len(_UNSPACED.findall(norm)) >= 2 * min_words)
 
 
 def passages_of(text: str, sep: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:

@@ -95,18 +95,4 @@ h AS (
 SELECT doc_id, size, s AS source_size, target, ((sure + CASE WHEN q IS NOT NULL AND (taken OR (n = 1 AND helps)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM h
 """
 
-OP8 = r"""
-WITH u AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit
-  FROM documents),
-o AS (
-  SELECT *, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
-         trim(regexp_replace(lower(line), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+', ' ', 'g'), ' ') AS norm FROM u),
-n AS (
-  SELECT *, count(*) OVER (PARTITION BY norm) AS occurrences, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS k,
-         first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, unit) AS first_doc_id
-  FROM o WHERE len(string_split(norm, ' ')) >= 10)
-SELECT doc_id, unit::INTEGER AS unit, start, start + length(line) AS "end", first_doc_id, occurrences FROM n WHERE k > 1
-"""
-
-ORACLES = {"op3_quality_rules": OP3, "op4_pareto_mix": OP4, "op8_line_dedup": OP8}
+ORACLES = {"op3_quality_rules": OP3, "op4_pareto_mix": OP4}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.llm import tokens
-from cloakline.llm.common import python_ready
+from cloakline.llm.common import python_ready, written
 
 BLOCK_ROWS = 131_072
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -94,12 +94,10 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return seq, off, used
 
 
-def place(pieces: DataFrame, size: int = 1024, block_rows: int = BLOCK_ROWS, n_rows: int | None = None) -> DataFrame:
+def place(pieces: DataFrame, size: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece, start and length;
-    other columns are carried along.  ``n_rows``: about how many rows there are
-    (counted if not given); it only sets the number of blocks."""
-    n = pieces.count() if n_rows is None else n_rows
-    blocks = max(1, -(-n // block_rows))
+    other columns are carried along."""
+    blocks = max(1, -(-pieces.count() // block_rows))
     spark_schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,5 +126,7 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer: str | No
     doc_id, piece, start and length (default: its ids); keeping only a digest
     keeps the ids out of the shuffle."""
     pieces = token_pieces(docs, size, end_id, tokenizer, id_col, text_col)
-    kept = pieces.select("doc_id", "piece", "start", "length", *(carry if carry is not None else [F.col("ids")]))
-    return place(kept, size, block_rows, docs.count())
+    kept = written(pieces.select("doc_id", "piece", "start", "length", *(carry if carry is not None else [F.col("ids")])), "pieces")
+    full = kept.where(F.col("length") == size)  # a sequence of their own, wherever they lie
+    full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    return place(kept.where(F.col("length") < size), size, block_rows).unionByName(full)

@@ -65,11 +65,8 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
-
-
-def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_passages(table(spark, sf_dir, "documents"))
+    """Every document with its text after removal and the kept parts' original offsets."""
+    return line_dedup.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +101,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_pareto_mix, op5_token_files, op6_simhash_groups,
-    op7_permutation_index, op8_line_dedup, op8_passage_dedup, op9_quality_knn, op10_pii, op11_conversation_repair, op12_sentencepiece, op13_spelling_variants)}
+    op7_permutation_index, op8_line_dedup, op9_quality_knn, op10_pii, op11_conversation_repair, op12_sentencepiece, op13_spelling_variants)}

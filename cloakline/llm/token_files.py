@@ -1,16 +1,16 @@
 """Token-id files: Parquet list columns, sorted by document id.
 
-Texts are range-partitioned and sorted by id, encoded, and written as Parquet
-with an ``ids`` list column (dictionary-encoded pages falling back to delta
+Texts are encoded where they lie; the ids are range-partitioned and sorted by
+document id and written as Parquet with an ``ids`` list column (dictionary-encoded pages falling back to delta
 encoding of format version 2), bounded row groups and small pages with page
 indexes, so that a reader can fetch the ids of a few documents or the metadata
-columns alone.  File order is id order.  Each row holds how many ids its file
-has before it; ``read_token_files`` adds the totals of the files before, summed
-over one row a file (a file holds ``FILE_ROWS`` documents, so that table, the
-only one broadcast, has a 32,768th of the rows).
+columns alone.  File order is id order, and a file has about ``FILE_BYTES`` of
+text.  Each row holds how many ids its file has before it; ``read_token_files``
+adds the totals of the files before, summed over one row a file (that table is
+the only one broadcast).
 
-Null text counts as empty.  Repeated ids are ordered by a hash of the text, then
-by text; repeated rows stay repeated.  Null ids come first.  Other columns are not looked at.
+Null text counts as empty.  Repeated ids are ordered by a hash of the token ids,
+then by these; repeated rows stay repeated.  Null ids come first.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,46 +24,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakline.llm import tokens
-from cloakline.llm.common import python_ready
+from cloakline.llm.common import python_ready, written
 from cloakline.session import ensure_checkpoint_dir
 
 #: bytes of a row group and of a page in a token file
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 64 * 1024
-FILE_ROWS = 32_768
+FILE_BYTES = 64 * 1024 * 1024
 SCHEMA = "file int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None,
-                      id_col: str = "doc_id", text_col: str = "text", file_rows: int = FILE_ROWS) -> None:
-    """Encode every text, append ``end_id``, write the files under ``path``."""
+def encoded(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``data``: the ids of each text and ``end_id``, as
+    little-endian unsigned 32-bit bytes."""
     python_ready(docs.sparkSession)
     file = tokenizer or tokens.default_path()
-    n_files = max(1, -(-docs.count() // file_rows))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         enc = tokens.encoder(file)
         end = np.uint32(end_id).tobytes()
-        part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            docs_, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in tokens.groups(texts):
                 data = [x + end for x in enc.encode([t or "" for t in texts[a:b]])]
-                n = np.array([len(x) // 4 for x in data], dtype=np.int64)
-                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(data), dtype="<u4").astype(np.int32, copy=False).view(np.int32))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(ends[:-1] + np.int64(first)),
-                    docs_.slice(a, b - a), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), flat),
-                ], names=["file", "first", "doc_id", "n_tokens", "ids"])
-                first += int(ends[-1])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
-    ordered = rows.repartitionByRange(n_files, by[0], F.xxhash64("text")).sortWithinPartitions(by[0], F.xxhash64("text"), by[1])
-    (ordered.mapInArrow(encode, SCHEMA).write
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(data, pa.binary())], names=["doc_id", "data"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(encode, "doc_id bigint, data binary")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one file, in order, with their ids as lists."""
+    from pyspark import TaskContext
+
+    part, first = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        data = batch.column(1)
+        raw = data.to_pylist()
+        n = np.fromiter((len(x) // 4 for x in raw), dtype=np.int64, count=len(raw))
+        for a, b in _groups(n):
+            ends = np.concatenate(([0], np.cumsum(n[a:b]))).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(raw[a:b]), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(ends[:-1] + np.int64(first)), batch.column(0).slice(a, b - a),
+                pa.array(n[a:b]), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["file", "first", "doc_id", "n_tokens", "ids"])
+            first += int(ends[-1])
+
+
+def _groups(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Index ranges of rows with about a million ids."""
+    start = total = 0
+    for i, x in enumerate(n.tolist()):
+        total += x
+        if total >= 1 << 20:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(n):
+        yield start, len(n)
+
+
+def write_token_files(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None,
+                      id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Encode every text, append ``end_id``, write the files under ``path``."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = encoded(docs, end_id, tokenizer, id_col, text_col).withColumn("h", F.xxhash64("data"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("data").asc()]
+    # encoded once: the range bounds come from a sample of the written ids, not from encoding twice
+    kept = written(rows, "token-rows")
+    ordered = kept.repartitionByRange(max(1, -(-size // file_bytes)), by[0], by[1]).sortWithinPartitions(*by).select("doc_id", "data")
+    (ordered.mapInArrow(_listed, SCHEMA).write
      .option("compression", "zstd")
      .option("parquet.writer.version", "v2")  # delta encoding where the dictionary gives up
      .option("parquet.enable.dictionary", "true")

@@ -5,7 +5,7 @@ blank after it, so a text can be cut before every blank that is followed by a
 non-space character and the parts encoded alone: the ids of the whole text are
 the ids of its parts in order.  Parts repeat (they are words), so each Python
 worker keeps the ids of short ones, up to ``CACHE_ENTRIES``; beyond that bound
-they are encoded again, with the same result.
+the half not met for longest goes and is encoded again, with the same result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 from array import array
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 48
 #: texts are encoded in groups of about this many characters (bounds memory)
 GROUP_CHARS = 4_000_000
@@ -37,6 +37,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(parts, add_special_tokens=False)
@@ -49,6 +50,11 @@ class Encoder:
         for p in split:
             ids = list(map(self.known.get, p))
             gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            if gaps and self.older:
+                for i in gaps:
+                    ids[i] = self.older.get(p[i])
+                self.known.update((p[i], ids[i]) for i in gaps if ids[i] is not None)
+                gaps = [i for i in gaps if ids[i] is None]
             new.update([p[i] for i in gaps])
             found.append((ids, gaps))
         words = list(new)
@@ -59,9 +65,9 @@ class Encoder:
                 ids[i] = fresh[p[i]]
             ids[0] = head
             out.append(b"".join(ids))
-        room = CACHE_ENTRIES - len(self.known)
-        if room > 0:
-            self.known.update((w, fresh[w]) for w in words[:room] if len(w) <= CACHE_CHARS)
+        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_CHARS)
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known, self.older = {}, self.known
         return out
 
 

@@ -93,10 +93,59 @@ def naive_lines(rows, min_words=10):
     return out
 
 
-def test_line_dedup(spark, edge, none):
+def naive_cleaned(rows, min_words=10, min_docs=3):
+    """Texts without repeated lines and sentence runs, character by character."""
+    import re
+
+    def norm(x):
+        return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", x.lower()).strip(" ")
+
+    def long(x):
+        wide = sum("\u0e00" <= c <= "\u0eff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in x)
+        return len(x.split(" ")) >= min_words or wide >= 2 * min_words
+
+    found = {}  # (kind, form) -> places in order
+    for doc, text in sorted(rows):
+        at = 0
+        for line in text.split("\n"):
+            form = norm(line) or line.strip()
+            if form:
+                kind = "line" if long(form) else "short"
+                found.setdefault((kind, form), []).append((doc, at, at + len(line), 1))
+                if kind == "line":
+                    marks = [m.end() for m in re.finditer(r"[.!?\u2026]+[\"')\]\u201d\u2019]*\s+|[\u3002\uff01\uff1f]+[\u300d\u300f\u201d\u2019]*\s*", line)]
+                    cuts = [0, *marks, len(line)]
+                    sentences = [(a, b) for a, b in zip(cuts, cuts[1:]) if norm(line[a:b])]
+                    for i in range(len(sentences)):
+                        for j in range(i, len(sentences)):
+                            run = " ".join(norm(line[a:b]) for a, b in sentences[i:j + 1])
+                            if long(run):
+                                found.setdefault(("run", run), []).append((doc, at + sentences[i][0], at + sentences[j][1], 0))
+                                break
+            at += len(line) + 1
+    gone = {doc: set() for doc, _ in rows}
+    for (kind, _), places in found.items():
+        if kind != "short" or len({p[0] for p in places}) >= min_docs:
+            for doc, a, b, end in places[1:]:
+                gone[doc].update(range(a, b + end))
+    return {doc: "".join(c for i, c in enumerate(text) if i not in gone[doc]) for doc, text in rows}
+
+
+def test_cleaned_equals_the_plain_form(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    want = naive_cleaned(rows)
     got = queries.op8_line_dedup(spark, SF001).collect()
+    before = dict(rows)
+    assert len(got) == len(rows) and sum(len(t) for t in want.values()) < sum(len(t) for t in before.values())
+    for r in got:
+        assert (r.text or "") == want[r.doc_id] == "".join(before[r.doc_id][s.start:s.end] for s in r.kept_spans)
+
+
+def test_line_dedup(spark, edge, none):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = line_dedup.removed_lines(docs).collect()
     assert sorted((r.doc_id, r.unit, r.start, r.end, r.first_doc_id) for r in got) == sorted(naive_lines(rows))
     spans = line_dedup.removed_lines(edge).collect()
     assert sorted((r.doc_id, r.first_doc_id) for r in spans) == [(2, 1), (2, 1), (3, 1)]

@@ -108,7 +108,7 @@ def test_pack_edge_and_test_table(spark, edge, none, plain):
 
 def test_token_files_round_trip(spark, edge, none, plain, tmp_path):
     path = str(tmp_path / "t")
-    token_files.write_token_files(edge, path, end_id=0, file_rows=4)
+    token_files.write_token_files(edge, path, end_id=0, file_bytes=100_000)
     rows = token_files.read_token_files(spark, path).orderBy("start").collect()
     ids = [r.doc_id for r in rows]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
