@@ -35,22 +35,25 @@ SCHEMA = "file int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>
 
 
 def encoded(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``data``: the ids of each text and ``end_id``, as
-    little-endian unsigned 32-bit bytes."""
+    """``doc_id``, ``width`` and ``data``: the ids of each text and ``end_id``, as
+    little-endian unsigned integers of ``width`` bytes (2 if all ids of the
+    vocabulary fit, which halves what is shuffled)."""
     python_ready(docs.sparkSession)
     file = tokenizer or tokens.default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(file)
+        width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in tokens.groups(texts):
-                data = [x + end for x in enc.encode([t or "" for t in texts[a:b]])]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(data, pa.binary())], names=["doc_id", "data"])
+                data = [np.frombuffer(x + end, dtype="<u4").astype(f"<u{width}").tobytes() for x in enc.encode([t or "" for t in texts[a:b]])]
+                widths = pa.array(np.full(b - a, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), widths, pa.array(data, pa.binary())], names=["doc_id", "width", "data"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id bigint, data binary")
+    return rows.mapInArrow(encode, "doc_id bigint, width int, data binary")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,12 +62,13 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part, first = TaskContext.get().partitionId(), 0
     for batch in batches:
-        data = batch.column(1)
-        raw = data.to_pylist()
-        n = np.fromiter((len(x) // 4 for x in raw), dtype=np.int64, count=len(raw))
+        if not batch.num_rows:
+            continue
+        raw, width = batch.column(2).to_pylist(), batch.column(1)[0].as_py()  # one tokenizer, one width
+        n = np.fromiter((len(x) // width for x in raw), dtype=np.int64, count=len(raw))
         for a, b in _groups(n):
             ends = np.concatenate(([0], np.cumsum(n[a:b]))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(raw[a:b]), dtype="<i4"))
+            flat = pa.array(np.frombuffer(b"".join(raw[a:b]), dtype=f"<u{width}").astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(ends[:-1] + np.int64(first)), batch.column(0).slice(a, b - a),
                 pa.array(n[a:b]), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["file", "first", "doc_id", "n_tokens", "ids"])
@@ -91,7 +95,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, tokenizer: st
     by = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("data").asc()]
     # encoded once: the range bounds come from a sample of the written ids, not from encoding twice
     kept = written(rows, "token-rows")
-    ordered = kept.repartitionByRange(max(1, -(-size // file_bytes)), by[0], by[1]).sortWithinPartitions(*by).select("doc_id", "data")
+    ordered = kept.repartitionByRange(max(1, -(-size // file_bytes)), by[0], by[1]).sortWithinPartitions(*by).select("doc_id", "width", "data")
     (ordered.mapInArrow(_listed, SCHEMA).write
      .option("compression", "zstd")
      .option("parquet.writer.version", "v2")  # delta encoding where the dictionary gives up
