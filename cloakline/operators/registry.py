@@ -14,6 +14,9 @@ The reference fills a dict value by value.  Here the same numbers come from:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,14 +174,26 @@ def number(keys: DataFrame, numbering: str = "ranged") -> DataFrame:
     return number_window(keys) if numbering == "window" else number_ranged(keys)
 
 
-def continue_registry(old: DataFrame, occ: DataFrame, rules: list[Rule], numbering: str = "ranged") -> DataFrame:
+@dataclass
+class KeyedPrior:
+    """An earlier registry that is asked for keys instead of read whole."""
+
+    lookup: Callable[[DataFrame], DataFrame]  # (_scope, rule, key, ...) -> registry rows of these keys (others may come along)
+    counters: DataFrame  # _scope, rule, _base: the largest number given so far
+
+
+def continue_registry(old: DataFrame | KeyedPrior, occ: DataFrame, rules: list[Rule], numbering: str = "ranged") -> DataFrame:
     """Known values keep their number, new ones continue each counter.
 
-    ``old`` is an earlier internal registry (columns of :func:`build_registry`);
-    the new batch's first positions must sort after the old ones.  """
+    ``old`` is an earlier internal registry (columns of :func:`build_registry`) or
+    a :class:`KeyedPrior`, then the result has the rows that it gives and the new
+    ones; the new batch's first positions must sort after the old ones."""
     keys = ["_scope", "rule", "key"]
     seen = first_seen(occ)
-    base = old.groupBy("_scope", "rule").agg(F.max("n").alias("_base"))
+    if isinstance(old, KeyedPrior):
+        base, old = old.counters, old.lookup(seen)
+    else:
+        base = old.groupBy("_scope", "rule").agg(F.max("n").alias("_base"))
     fresh = number(seen.join(old.select(*keys), keys, "left_anti"), numbering).join(base, ["_scope", "rule"], "left")
     fresh = fresh.withColumn("n", F.col("n") + F.coalesce(F.col("_base"), F.lit(0))).drop("_base")
     fresh = fresh.withColumn("pseudonym", pseudonym_column(rules, F.col("n"), F.col("first_v"), F.col("first_k")))

@@ -26,7 +26,7 @@ from ..functions.templates import is_native
 from ..functions.text import strip_ws
 from ..operators import registry as reg
 from ..operators.names import cells_to_table, mask_sheet, sheet_units
-from ..operators.restore import restore_sequential, restore_tokens
+from ..operators.restore import local_restorer, restore_sequential, restore_tokens
 from ..operators.spans import detect
 from ..operators.splice import splice
 from ..rules import Rule, load_rules
@@ -289,15 +289,23 @@ def mask_workbook(sheets: list[tuple[DataFrame, str]], rules: list[Rule] | None
 
 
 def restore_table(df: DataFrame, row_col: str, mapping: DataFrame, mode: str = "sequential") -> DataFrame:
-    """T2 for a wide table: every string cell restored, other types untouched.
-    A row's cells are the units of one array column, so the table is neither
-    unpivoted nor pivoted back where no cell changes."""
+    """T2 for a wide table: every string cell restored, other types untouched.  With
+    a mapping that may go to the workers whole the cells are restored where they
+    stand; otherwise they become units, meet their entries and are pivoted back."""
     from ..sources.units import cell_units
 
     strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != row_col]
     if not strs:
         require_entries(mapping)
         return df
+    if mode == "sequential":
+        m = checkpointed(mapping.select(scope_struct(None).alias("_scope"), "pseudonym", "original", "order")
+                         .where(F.col("pseudonym").isNotNull() & (F.col("pseudonym") != "")))
+        require_entries(m)
+        local = local_restorer(m)
+        if local is not None:
+            rows = df.select([opaque(F.col(f"`{c}`")).alias(c) if c in strs else F.col(f"`{c}`") for c in df.columns])
+            return rows.select([local(F.col(f"`{c}`"), scope_struct(None)).alias(c) if c in strs else F.col(f"`{c}`") for c in df.columns])
     cells = cell_units(df, row_col).where(F.col("text").isNotNull()).select(F.col(row_col), "col", "text")
     back = restore(cells, "text", [row_col, "col"], mapping, None, mode)
     wide = back.groupBy(row_col).agg(*[F.max(F.when(F.col("col") == c, F.col("text"))).alias(c) for c in strs])

@@ -236,7 +236,7 @@ def restore_copies(spark, d):
 
 from ..sources.fixtures import staff, staff_sql  # noqa: E402
 from ..sources.units import cell_units  # noqa: E402
-from .jobs import mask_table  # noqa: E402
+from .jobs import mask_table, restore_table  # noqa: E402
 
 STAFF_COLS = ["First Name", "Last Name", "Email", "Balance"]
 STAFF_STR = ["First Name", "Last Name", "Email"]
@@ -303,6 +303,15 @@ def split_name_table(spark, d):
     return mask_table(staff(spark, d), "row", rules=_rules(), multi_col_names=True).masked
 
 
+@register("restore_staff", "WITH staff AS " + staff_sql() + """
+SELECT row, "First Name", "Last Name", "Email", "Balance" FROM staff""")
+def restore_staff(spark, d):
+    """T2 of a wide table with split names: masked, then restored in place."""
+    df = staff(spark, d)
+    t = mask_table(df, "row", multi_col_names=True)
+    return restore_table(checkpointed(t.masked), "row", t.mapping).select("row", *STAFF_COLS)
+
+
 # ── S9: page lines and page text ─────────────────────────────────────────────
 
 from ..sources.units import line_units, page_text, paragraph_units, paragraph_write_back  # noqa: E402

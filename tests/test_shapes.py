@@ -196,6 +196,25 @@ def test_streaming_batches_continue_registry(spark):
                    "c@x.com": "person003@anon.invalid"}
 
 
+def test_stream_state_is_read_by_key(spark):
+    """A batch opens the buckets of its own values only; a replay changes nothing."""
+    from cloakline.streaming import incremental
+
+    base = tempfile.mkdtemp(prefix="cl-test-keyed-", dir=os.environ.get("TMPDIR", "/tmp"))
+    first = spark.createDataFrame([(i, f"u{i}@x.com") for i in range(300)], "seq long, text string")
+    second = spark.createDataFrame([(300, "u7@x.com new@x.com"), (301, "u299@x.com")], "seq long, text string")
+    incremental.mask_batch(first, 0, base, "text", ["seq"], [EMAIL], buckets=256)
+    for _ in range(2):
+        incremental.mask_batch(second, 1, base, "text", ["seq"], [EMAIL], buckets=256)
+        got = dict(spark.read.parquet(f"{base}/masked/batch=1").collect())
+        assert got == {300: "person008@anon.invalid person301@anon.invalid", 301: "person300@anon.invalid"}
+        assert incremental.latest_registry(spark, base, first, ["seq"]).count() == 301
+    seen = spark.createDataFrame([(("u7@x.com"), "email")], "key string, rule string")
+    old = incremental.keyed_prior(spark, base, 1, 256).lookup(seen)
+    filters = old._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
+    assert "bucket" in filters and old.where("key = 'u7@x.com'").count() == 1 and old.count() < 30
+
+
 def test_kind_dispatch(spark):
     from cloakline.plans.jobs import mask_kind
 
