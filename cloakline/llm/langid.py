@@ -188,14 +188,18 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           train_docs: int = TRAIN_DOCS) -> Model | None:
     """Fit and calibrate on a bounded sample of ``labelled``."""
     python_ready(labelled.sparkSession)
-    rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
+    rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit("langid")).alias("h")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("h").alias("one")).collect()  # a row a language
     if not sizes:
         return None
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.25 * train_docs / n)))])
+    # whole texts, up to about train_docs of them and TRAIN_CHARS for each; one of every language is always learned from
+    part = lambda r: min(1.0, 1.25 * train_docs / r["n"], 1.25 * train_docs * TRAIN_CHARS / max(r["chars"], 1))
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(part(r)))])
+    always = F.col("h") == F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(r["one"]))])[F.col("lang")]
     draw = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < share[F.col("lang")]).withColumn("test", F.pmod(F.shiftright("h", 24), F.lit(5)) == 0)
+    sample = (rows.where(always | (draw < share[F.col("lang")]))
+              .withColumn("test", ~always & (F.pmod(F.shiftright("h", 24), F.lit(5)) == 0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}

@@ -149,3 +149,12 @@ def test_permutation_index_edges(spark):
     assert sorted(r.vec_id for r in tiny) == [1, 2]
     assert permutation_index.nearest(df.where("vec_id = 5"), F.lit(True)).count() == 0
     assert permutation_index.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_language_of_long_texts_or_one_text_is_learned(spark):
+    en, de, fr = "the garden and the house are near the river ", "der Garten und das Haus sind nahe am Fluss ", "le jardin et la maison sont pr\u00e8s du fleuve "
+    rows = [(i, en * 40, "en") for i in range(40)] + [(100 + i, de * 600, "de") for i in range(40)] + [(200, fr * 40, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    found = {r.id: r.lang_pred for r in langid.identify(df.select("doc_id", "text"), model, reject=False).collect()}
+    assert found == {r[0]: r[2] for r in rows}
