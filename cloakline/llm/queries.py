@@ -66,7 +66,8 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal and the kept parts' original offsets."""
-    return line_dedup.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return line_dedup.cleaned(docs, row_cols=("file", "row")).drop("file", "row")
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,18 @@ def test_passages_inside_lines(spark):
     out = {r.doc_id: r.text for r in line_dedup.cleaned(df).collect()}
     assert out == {1: rows[0][1], 2: "Two begins in another way! Two ends in yet another way.", 3: rows[2][1]}
     assert line_dedup.removed_lines(df).count() == 0
+
+
+def test_rows_that_share_an_id_and_repeats_in_one_text(spark):
+    """Of rows with one id (or none) the first read keeps; a unit counts once a text."""
+    a, b = ("The committee met on a rainy evening to settle the long dispute over %s." % x for x in ("the bridge", "the mill"))
+    rows = [(None, f"{a} x"), (5, f"{b}\n{a}\n{a}"), (5, f"{a}\n{b}"), (5, f"{a}\n{b}"), (None, f"{b}\n{b}")]
+    want = {f"{a} x", f"{b}\n{a}\n"}
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for data, options in ((df, {}), (df.selectExpr("*", "7L f", "monotonically_increasing_id() r"), {"row_cols": ("f", "r")})):
+        out = line_dedup.cleaned(data, **options)
+        assert out.columns == [*data.columns, "kept_spans"] and out.count() == 5
+        assert {r.text for r in out.collect()} - {"", "x"} == want - {f"{a} x"}
+    got = line_dedup.removed_lines(df).collect()
+    assert sorted((r.doc_id or 0, r.unit, r.first_doc_id, r.occurrences) for r in got) == [
+        (0, 0, 5, 5), (0, 1, 5, 5), (5, 0, 5, 4), (5, 0, 5, 4), (5, 1, 5, 5), (5, 1, 5, 5), (5, 2, 5, 4)]
