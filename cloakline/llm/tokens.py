@@ -6,6 +6,8 @@ non-space character and the parts encoded alone: the ids of the whole text are
 the ids of its parts in order.  Parts repeat (they are words), so each Python
 worker keeps the ids of short ones, up to ``CACHE_ENTRIES``; beyond that bound
 the half not met for longest goes and is encoded again, with the same result.
+New words are encoded many to one input: a word has one blank, its first
+character, so its ids begin at each id whose token starts with one.
 """
 
 from __future__ import annotations
@@ -13,10 +15,16 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 48
 #: texts are encoded in groups of about this many characters (bounds memory)
 GROUP_CHARS = 4_000_000
+#: new words in one input of the tokenizer
+JOINED_WORDS = 1_000
+#: how byte-level vocabularies spell the blank (fixed value)
+BLANK = "\u0120"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -38,6 +46,23 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith(BLANK)]] = True
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank and each word; the words hold no blank."""
+        chunks = [words[i:i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        out: list[bytes] = []
+        for chunk, e in zip(chunks, self.tok.encode_batch_fast([" " + " ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=np.uint32)
+            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            if len(at) == len(chunk):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+            else:  # a vocabulary of another kind
+                out += self._ids([" " + w for w in chunk])
+        return out
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(parts, add_special_tokens=False)
@@ -57,8 +82,9 @@ class Encoder:
                 gaps = [i for i in gaps if ids[i] is None]
             new.update([p[i] for i in gaps])
             found.append((ids, gaps))
-        words = list(new)
-        fresh = dict(zip(words, self._ids([" " + w for w in words])))
+        words, others = [w for w in new if " " not in w], [w for w in new if " " in w]
+        fresh = dict(zip(words, self._word_ids(words)))
+        fresh.update(zip(others, self._ids([" " + w for w in others])))
         out = []
         for head, p, (ids, gaps) in zip(heads, split, found):
             for i in gaps:

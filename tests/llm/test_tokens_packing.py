@@ -65,6 +65,18 @@ def test_sum_of_squares_rule():
             assert got == costs and max(fill.values()) <= size
 
 
+def test_joined_words_fall_back_for_other_vocabularies(plain, monkeypatch):
+    """Where no token starts with the blank, new words are encoded one by one; short inputs split as long ones do."""
+    texts = ["one two\u00a0three  four \u0120five six\n seven", " lead and trail ", "", "\u0120 \u0120\u0120 a", "x" * 5000 + " y" * 3000]
+    for joined in (1, 2, 1000):
+        monkeypatch.setattr(tokens, "JOINED_WORDS", joined)
+        enc = tokens.Encoder(tokens.default_path())
+        assert enc.encode(texts) == [plain(t).tobytes() for t in texts]
+        enc = tokens.Encoder(tokens.default_path())
+        enc.starts[:] = False
+        assert enc.encode(texts) == [plain(t).tobytes() for t in texts]
+
+
 def check_pack(rows, texts, plain, size=1024):
     by_seq, by_doc = {}, {}
     for r in rows:
