@@ -372,6 +372,17 @@ def mask_nodes(nodes: DataFrame, key_cols: list[str], text_col: str, scope_cols:
     return node_write_back(nodes, units, r.masked, key_cols, text_col), r
 
 
+def restore_nodes(nodes: DataFrame, key_cols: list[str], text_col: str, mapping: DataFrame,
+                  scope_cols: list[str] | None = None, mode: str = "sequential") -> DataFrame:
+    """T2 for marked-up documents: text nodes restored one by one, so that a
+    placeholder that stands in a tag, comment or script is left alone."""
+    from ..sources.units import node_units, node_write_back
+
+    units = node_units(nodes, key_cols, text_col)
+    back = restore(units, "text", [*key_cols, "node_no"], mapping, scope_cols, mode)
+    return node_write_back(nodes, units, back, key_cols, text_col)
+
+
 def mask_kind(df: DataFrame, kind: str, **options):
     """Dispatch on the unit kind — ``text`` (one unit per row), ``lines``
     (pages split into lines), ``fragments`` (paragraph runs), ``cells`` (wide
@@ -385,10 +396,9 @@ def mask_kind(df: DataFrame, kind: str, **options):
 
 def restore_kind(df: DataFrame, kind: str, **options) -> DataFrame:
     """S4 for restoring: ``text`` and ``lines`` (a page's or file's whole text is
-    one unit), ``fragments``, ``cells``; an unknown kind is an error."""
+    one unit), ``fragments``, ``cells``, ``nodes``; an unknown kind is an error."""
     from ..sources.units import check_kind
 
     check_kind(kind)
-    if kind == "nodes":
-        raise ValueError("restore the documents that mask_nodes wrote as kind 'text'")
-    return {"text": restore, "lines": restore, "fragments": restore_runs, "cells": restore_table}[kind](df, **options)
+    jobs = {"text": restore, "lines": restore, "fragments": restore_runs, "cells": restore_table, "nodes": restore_nodes}
+    return jobs[kind](df, **options)

@@ -682,3 +682,51 @@ def workbook_sheets(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p.masked)
     return out
+
+
+# ── S6: containers nested to any depth ──────────────────────────────────────
+
+from ..sources.containers import container_paths  # noqa: E402
+from ..sources.fixtures import SPARSE_SQL, container_nodes, container_nodes_sql, sparse_units  # noqa: E402
+
+
+def _container_sql() -> str:
+    rules = _rules("id")
+    ids = ["file", "unit_seq"]
+    ctes, last = O.kept(rules, "U", ids)
+    walk = [f"N AS {container_nodes_sql()}",
+            "W AS (SELECT file, id, text, [kind, row::BIGINT] AS path FROM N WHERE parent IS NULL "
+            "UNION ALL SELECT n.file, n.id, n.text, list_concat(w.path, [n.kind, n.row::BIGINT]) FROM N n JOIN W w ON n.parent = w.id AND n.file = w.file)",
+            "U AS (SELECT file, id AS unit_seq, text, row_number() OVER (PARTITION BY file ORDER BY path) AS place FROM W WHERE text IS NOT NULL)"]
+    placed = f"KB AS (SELECT x.*, u.place FROM {last} x JOIN U u USING (file, unit_seq))"
+    registry = "registry AS " + O.registry_sql(rules, "KB", ["file"], "CAST(place AS BIGINT) * 10000000000 + CAST(k AS BIGINT) * 1000000000 + s")
+    return _splice_docs_sql([*walk, *ctes, placed, registry], last, "U", ids, ["file"]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("container_walk", _container_sql())
+def container_walk(spark, d):
+    """Numbers follow the walk through the containers, not the ids."""
+    nodes = container_nodes(spark, d)
+    units = container_paths(nodes, ["file"], "id", "parent", ["kind", "row"]).where("text IS NOT NULL").withColumnRenamed("id", "unit_seq")
+    r = mask(units, "text", ["unit_seq"], ["file"], rules=_rules("id"), order_col="path")
+    return r.masked.select("file", "unit_seq", "text")
+
+
+# ── S4, S7: marked-up documents by kind, there and back; D7: blank units ────
+
+from .jobs import mask_kind, restore_kind  # noqa: E402
+
+
+@register("restore_nodes", "SELECT page_id, html FROM pages")
+def restore_nodes(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "html")
+    masked, r = mask_kind(pages, "nodes", key_cols=["page_id"], text_col="html", scope_cols=["page_id"], proper_nouns=True)
+    return restore_kind(masked, "nodes", key_cols=["page_id"], text_col="html", mapping=r.mapping, scope_cols=["page_id"])
+
+
+_BC, _BL = _registry_ctes(_rules(), "B", ["unit_seq"], [], "CAST(unit_seq AS BIGINT) * 10000000000 + CAST(k AS BIGINT) * 1000000000 + s")
+
+
+@register("blank_units", _splice_docs_sql([f"B AS {SPARSE_SQL}", *_BC], _BL, "B", ["unit_seq"], []))
+def blank_units(spark, d):
+    return mask(sparse_units(spark, d), "text", ["unit_seq"], None, rules=_rules()).masked

@@ -124,3 +124,54 @@ def staff_sheets(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]
     st = staff(spark, sf_dir).join(seg, "row")
     names = sorted(r[0] for r in seg.select("c_mktsegment").distinct().collect())  # a handful of segments
     return [(s, st.where(F.col("c_mktsegment") == s).drop("c_mktsegment")) for s in names]
+
+
+def container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of nested containers, one file per customer: an order
+    holds a paragraph and a cell per line number, a cell a paragraph per part and
+    a nested cell per supplier, that one a paragraph.  ``text`` is null for
+    containers."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("k"))
+    lines = (table(spark, sf_dir, "lineitem")
+             .select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("bigint").alias("line"), "l_partkey", "l_suppkey").join(orders, "k"))
+    key, no = F.col("k").cast("string"), lambda c: (F.col(c) + 1000000).cast("string")
+    cell = F.concat_ws("/", key, "line")
+    part, supplier = F.concat(cell, F.lit("/p"), F.col("l_partkey")), F.concat(cell, F.lit("/s"), F.col("l_suppkey"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+
+    def nodes(df, node_id, parent, kind, row, text):
+        return df.select("file", node_id.alias("id"), parent.alias("parent"), F.lit(kind).alias("kind"), row.alias("row"), text.alias("text"))
+
+    of_line = lines.select("file", "k", "line").distinct()
+    of_supplier = lines.select("file", "k", "line", "l_suppkey").distinct()
+    return (nodes(orders, key, none, 1, F.col("k"), none)
+            .unionByName(nodes(orders, F.concat(key, F.lit("/o")), key, 0, zero, F.concat(F.lit("order "), no("k"))))
+            .unionByName(nodes(of_line, cell, key, 1, F.col("line"), none))
+            .unionByName(nodes(lines.select("file", "k", "line", "l_partkey").distinct(), part, cell, 0, F.col("l_partkey"),
+                               F.concat(F.lit("part "), no("l_partkey"))))
+            .unionByName(nodes(of_supplier, supplier, cell, 1, F.col("l_suppkey"), none))
+            .unionByName(nodes(of_supplier, F.concat(supplier, F.lit("/t")), supplier, 0, zero, F.concat(F.lit("supplier "), no("l_suppkey")))))
+
+
+def container_nodes_sql() -> str:
+    line = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    cell = "o_orderkey || '/' || l_linenumber"
+    return f"""(SELECT o_custkey AS file, CAST(o_orderkey AS VARCHAR) AS id, NULL::VARCHAR AS parent, 1 AS kind, o_orderkey AS row, NULL AS text FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey || '/o', CAST(o_orderkey AS VARCHAR), 0, 0, 'order ' || (o_orderkey + 1000000) FROM orders
+  UNION ALL SELECT DISTINCT o_custkey, {cell}, CAST(o_orderkey AS VARCHAR), 1, l_linenumber, NULL {line}
+  UNION ALL SELECT DISTINCT o_custkey, {cell} || '/p' || l_partkey, {cell}, 0, l_partkey, 'part ' || (l_partkey + 1000000) {line}
+  UNION ALL SELECT DISTINCT o_custkey, {cell} || '/s' || l_suppkey, {cell}, 1, l_suppkey, NULL {line}
+  UNION ALL SELECT DISTINCT o_custkey, {cell} || '/s' || l_suppkey || '/t', {cell} || '/s' || l_suppkey, 0, 0, 'supplier ' || (l_suppkey + 1000000) {line})"""
+
+
+def sparse_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers between units that are null, empty or blank."""
+    o = table(spark, sf_dir, "orders")
+    k = F.pmod("o_orderkey", F.lit(5))
+    text = (F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, " \t\n")
+            .otherwise(F.concat(F.lit("  order "), (F.col("o_orderkey") + 1000000).cast("string"))))
+    return o.select(F.col("o_orderkey").cast("bigint").alias("unit_seq"), text.cast("string").alias("text"))
+
+
+SPARSE_SQL = """(SELECT o_orderkey::BIGINT AS unit_seq, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ''
+  WHEN 2 THEN ' ' || chr(9) || chr(10) ELSE '  order ' || CAST(o_orderkey + 1000000 AS VARCHAR) END AS text FROM orders)"""

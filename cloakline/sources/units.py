@@ -101,7 +101,11 @@ def cell_units(df: DataFrame, row_col: str, include_header: bool = False) -> Dat
 
 # ── S7: text nodes between markup ────────────────────────────────────────────
 
-TAG = "<[^>]*>"
+# What stands between text nodes: comments, script and style elements with all
+# they hold, and tags, in which a quoted attribute may hold ">".  What is left open
+# runs to the end; a "<" that opens nothing is text.
+TAG = (r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+       r"""|<[a-z/!?][^'"<>]*+(?:"[^"]*+"[^'"<>]*+|'[^']*+'[^'"<>]*+)*+>""")
 
 
 def node_units(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:

@@ -329,3 +329,50 @@ def test_container_order(spark):
     df = spark.createDataFrame(rows, "x string, part int, box int, kind string, row int, cell int, para int")
     key = container_order(*[F.col(c) for c in ("part", "box", "kind", "row", "cell", "para")])
     assert [r.x for r in df.orderBy(key).collect()] == ["a", "b", "t", "u", "h"]
+
+
+def test_container_paths(spark):
+    """Nested tables at several depths against a plain recursive walk; missing parents, cycles, repeated ids, no rows."""
+    import random
+
+    from cloakline.sources.containers import container_paths
+
+    rnd, rows = random.Random(4), []
+    for f in range(3):
+        for i in range(60):
+            up = None if i < 2 else rnd.choice([None, 999, *range(max(0, i - 6), i)])
+            rows.append((f, i, up, rnd.randrange(2), i if rnd.random() < 0.9 else None, "x"))
+    df = spark.createDataFrame(rows, "file int, id int, up int, kind int, row int, path0 string").repartition(4)
+
+    def walk(f, top):
+        for r in sorted((r for r in rows if r[0] == f and (r[2] if r[2] != 999 else None) == top), key=lambda r: (r[3], -1 if r[4] is None else r[4])):
+            yield r[1]
+            yield from walk(f, r[1])
+
+    got = container_paths(df, ["file"], "id", "up", ["kind", "row"])
+    assert got.columns == [*df.columns, "path"] and got.count() == len(rows)
+    for f in range(3):
+        places = {r.id: r.path for r in got.where(F.col("file") == f).collect()}
+        want = list(walk(f, None))
+        assert len(want) == 60 and [places[i] for i in want] == sorted(places.values())
+    chain = spark.range(300).selectExpr("id", "nullif(id, 0) - 1 AS up", "0 AS row")
+    assert max(len(r.path) for r in container_paths(chain, [], "id", "up", ["row"]).collect()) == 300
+    assert container_paths(df.where("id < 0"), ["file"], "id", "up", ["row"]).count() == 0
+    for bad in (chain.withColumn("up", (F.col("id") + 1) % 300), chain.union(chain), chain.withColumn("path", F.lit(1))):
+        with pytest.raises(ValueError):
+            container_paths(bad, [], "id", "up", ["row"])
+
+
+def test_markup_scan(spark):
+    """Text nodes beside quoted attributes, comments, scripts and lone brackets; only these are masked and restored."""
+    from cloakline.plans.jobs import mask_kind, restore_kind
+
+    cases = ["<a title='1 > 0 kk@ll.mm'>Ada Vogel</a><!-- Ada > Vogel --> x", "<SCRIPT>Ada Vogel = '</p>'</Script >Ada Vogel", "2 < 3 and Ada Vogel <b",
+             "<style a=1>kk@ll.mm", "<!-- open kk@ll.mm", "", None, "<p " + "a='>' " * 300 + ">kk@ll.mm", "<" * 50_000 + "Ada Vogel"]
+    want = ["<a title='1 > 0 kk@ll.mm'>Person001</a><!-- Ada > Vogel --> x", "<SCRIPT>Ada Vogel = '</p>'</Script >Person001", "2 < 3 and Person001 <b",
+            cases[3], cases[4], "", None, "<p " + "a='>' " * 300 + ">person001@anon.invalid", "<" * 50_000 + "Person001"]
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, text string")
+    masked, m = mask_kind(df, "nodes", key_cols=["id"], text_col="text", scope_cols=["id"], rules=ALL)
+    assert [r.text for r in masked.orderBy("id").collect()] == want
+    back = restore_kind(masked, "nodes", key_cols=["id"], text_col="text", mapping=m.mapping, scope_cols=["id"])
+    assert [r.text for r in back.orderBy("id").collect()] == cases
