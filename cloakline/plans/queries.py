@@ -730,3 +730,20 @@ _BC, _BL = _registry_ctes(_rules(), "B", ["unit_seq"], [], "CAST(unit_seq AS BIG
 @register("blank_units", _splice_docs_sql([f"B AS {SPARSE_SQL}", *_BC], _BL, "B", ["unit_seq"], []))
 def blank_units(spark, d):
     return mask(sparse_units(spark, d), "text", ["unit_seq"], None, rules=_rules()).masked
+
+
+# ── D2: entities from a tagger that runs in the tasks ───────────────────────
+
+from ..operators.tagging import tag_entities  # noqa: E402
+from ..sources.fixtures import DICTIONARY, dictionary_tagger  # noqa: E402
+
+
+def _tagged_sql() -> str:
+    label = " ".join(f"WHEN '{w}' THEN '{x}'" for w, x in DICTIONARY.items())
+    any_case = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in DICTIONARY)
+    return f"SELECT doc_id, s, e, CASE lower(v) {label} END AS label FROM {O.run_spans(DOCS, ['doc_id'], any_case)}"
+
+
+@register("tagged_spans", _tagged_sql())
+def tagged_spans(spark, d):
+    return tag_entities(_docs(spark, d), dictionary_tagger, ["doc_id"], "text")

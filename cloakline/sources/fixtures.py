@@ -175,3 +175,19 @@ def sparse_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARSE_SQL = """(SELECT o_orderkey::BIGINT AS unit_seq, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ''
   WHEN 2 THEN ' ' || chr(9) || chr(10) ELSE '  order ' || CAST(o_orderkey + 1000000 AS VARCHAR) END AS text FROM orders)"""
+
+
+#: entries of the dictionary tagger (our own fixture data)
+DICTIONARY = {"the": "EN", "which": "EN", "der": "DE", "und": "DE", "que": "ES", "dans": "FR"}
+
+
+def dictionary_tagger():
+    """A tagger that labels whole words of ``DICTIONARY``, upper and lower case alike."""
+    import re
+
+    words = re.compile(r"\w+")
+
+    def tag(texts):
+        return [[(m.start(), m.end(), DICTIONARY[w]) for m in words.finditer(t) if (w := m[0].lower()) in DICTIONARY] for t in texts]
+
+    return tag

@@ -1,9 +1,10 @@
 """Unit shapes, split names, entities, restore, mapping documents, paths and
-streaming — small fixtures in the spirit of the reference's handler tests."""
+streaming."""
 
 import json
 import os
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,3 +377,34 @@ def test_markup_scan(spark):
     assert [r.text for r in masked.orderBy("id").collect()] == want
     back = restore_kind(masked, "nodes", key_cols=["id"], text_col="text", mapping=m.mapping, scope_cols=["id"])
     assert [r.text for r in back.orderBy("id").collect()] == cases
+
+
+def test_tag_entities(spark):
+    """A caller's tagger: bounded calls, keys kept as they are, offsets checked, entities usable by ``mask``."""
+    from cloakline.operators.tagging import batches_of, tag_entities
+
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "Ada Vogel met \U0001f600 Bo"), (None, "Bo"), (3, None), (4, ""), (5, "x" * 50)], "id long, text string").coalesce(1)
+
+    def make():
+        def tag(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 20
+            return [[(t.index("Bo"), t.index("Bo") + 2, "PERSON")] if "Bo" in t else [] for t in texts]
+        return tag
+
+    found = tag_entities(df, make, ["id"], "text", batch_chars=20)
+    assert sorted(map(tuple, found.collect()), key=str) == [(big, 16, 18, "PERSON"), (None, 0, 2, "PERSON")]
+    assert found.schema.simpleString() == "struct<id:bigint,s:int,e:int,label:string>"
+    assert [batches_of(t, 3).__class__ and list(batches_of(t, 3)) for t in (["ab", "c", "d"], ["abcd", ""], [""] * 2, [])] == [
+        [(0, 2), (2, 3)], [(0, 1), (1, 2)], [(0, 2)], []]
+    masked = mask(df.where("id IS NOT NULL"), "text", ["id"], ["id"], rules=[replace(NAME, entity=True)], entities=found.where("id IS NOT NULL")).masked
+    assert {r.id: r.text for r in masked.collect()}[big].endswith(" Person001")
+    for bad in ((-1, 2, "P"), (0, 99, "P"), (2, 2, "P"), (3, 1, "P"), (None, 2, "P"), (0.0, 2, "P"), (0, 2, None), (True, 2, "P")):
+        wrong = lambda: lambda texts, x=bad: [[x, (0, 1, "OK")] if t else [] for t in texts]
+        assert tag_entities(df.where("id = 5"), wrong, ["id"], "text", invalid="drop").collect() == [(5, 0, 1, "OK")]
+        if bad[0] == -1:
+            with pytest.raises(Exception, match="outside the text"):
+                tag_entities(df.where("id = 5"), wrong, ["id"], "text").collect()
+    assert tag_entities(df.where("id = 6"), make, ["id"], "text").count() == 0
+    with pytest.raises(ValueError):
+        tag_entities(df.withColumnRenamed("id", "s"), make, ["s"], "text")
