@@ -747,3 +747,16 @@ def _tagged_sql() -> str:
 @register("tagged_spans", _tagged_sql())
 def tagged_spans(spark, d):
     return tag_entities(_docs(spark, d), dictionary_tagger, ["doc_id"], "text")
+
+
+# ── D6: flags of a rule: MULTILINE, VERBOSE and ASCII ───────────────────────
+
+_LINE_WORD = rule("line_word", "W{n}", r"^ [a-z]+ \b  # first word of a line", regex_flags=["MULTILINE", "VERBOSE", "ASCII"])
+
+
+@register("spans_flags", r"""WITH L AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+  P AS (SELECT doc_id, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS INTEGER) AS s FROM L)
+  SELECT doc_id, s, CAST(s + length(v) AS INTEGER) AS e, v FROM (SELECT doc_id, s, regexp_extract(line, '^[a-z]+\b') AS v FROM P) WHERE v <> ''""")
+def spans_flags(spark, d):
+    return _cands(_docs(spark, d), [_LINE_WORD], ["doc_id"])
