@@ -102,3 +102,21 @@ def test_name_triples():
     assert name_column_triples(["last", "x", None, "FORENAME "]) == [(3, None, 0)]
     assert name_column_triples(["First", "Last", "Middle", "Christian Name", "Second Name"]) == [(0, None, 1), (3, None, 4)]
     assert name_column_triples([]) == name_column_triples(["a", "b"]) == []
+
+
+def test_container_paths_leave_only_the_result(spark, tmp_path, monkeypatch):
+    """Only containers are followed, and what the rounds wrote is gone; before, every
+    round kept a copy of all nodes."""
+    from cloakline.sources import containers
+
+    made, dropped = [], []
+    keep, drop = containers.stored, containers.discard
+    monkeypatch.setattr(containers, "stored", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(containers, "discard", lambda s, p: dropped.append(p) or drop(s, p))
+    rows = [("f", "r", None, 0), ("f", "a", "r", 1), ("f", "b", "a", 2), ("f", "x", "gone", 7), (None, "r", None, 3), (None, "y", "r", None)]
+    rows += [("f", f"t{i}", "b", i) for i in range(50)]
+    out = containers.container_paths(spark.createDataFrame(rows, "file string, id string, up string, row long"), ["file"], "id", "up", ["row"])
+    got = {(r.file, r.id): r.path for r in out.collect()}
+    assert got == {("f", "r"): [0], ("f", "a"): [0, 1], ("f", "b"): [0, 1, 2], ("f", "x"): [7], (None, "r"): [3], (None, "y"): [3, -1],
+                   **{("f", f"t{i}"): [0, 1, 2, i] for i in range(50)}}
+    assert dropped == [p for _, p in made[:-1]] and len(made) == 5  # links, containers, two rounds, result
