@@ -91,6 +91,37 @@ def test_single_pass_with_templates_that_copy_the_original(spark, monkeypatch):
     assert dict(restore(df, "text", ["id"], m, None, mode="single_pass").collect()) == want
 
 
+def test_tokens_by_shape_do_not_grow_with_the_mapping(spark, monkeypatch):
+    """A full hash table lets every substring through; shapes let only places with a shape through."""
+    monkeypatch.setattr(ops, "FILTER_BITS", 10)
+    rows = [(0, f"{i:07d}", f"v{i}", i) for i in range(1, 4001)] + [(0, f"p{i}@x", f"m{i}", 4000 + i) for i in range(1, 2000)]
+    m = spark.createDataFrame(rows, "_scope int, pseudonym string, original string, order int")
+    text = "Order 0000017 by p12@x login ab, é p1234@x and 00000012"
+    words = {w for _, p, _, _ in rows for w in [p]}
+    found = ops.finder(m).tokens(text)
+    assert {(s, w) for w in words for s in range(len(text)) if text.startswith(w, s)} <= set(found)
+    assert len(found) <= 6 < len(ops.pseudonym_filter(m).tokens(text))
+    monkeypatch.setattr(ops, "LOCAL_ENTRIES", -1)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    want = in_turn(text, [(p, o) for _, p, o, _ in rows])
+    assert dict(restore(df, "text", ["id"], m.drop("_scope"), None).collect()) == {1: want, 2: None, 3: ""}
+
+
+def test_single_pass_scans_a_text_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        n.add(1)
+        return t
+
+    m = spark.createDataFrame([("p1", "a", 0), ("p22", "b", 1)], "pseudonym string, original string, order int")
+    df = spark.createDataFrame([(i, "p1 p22 p3" if i % 2 else "none") for i in range(100)], "id long, text string")
+    back = restore(df.withColumn("text", counted("text")), "text", ["id"], m, None, mode="single_pass")
+    assert {r.text for r in back.collect()} == {"a b p3", "none"}
+    assert n.value <= 200  # for the tokens and for the result; three times before
+
+
 def test_filter_never_drops_a_word():
     rnd = random.Random(9)
     words = list({"".join(rnd.choice("abc漢😀") for _ in range(rnd.randint(1, 6))) for _ in range(200)})
