@@ -218,3 +218,17 @@ def test_own_scope_needs_no_exchange(spark, monkeypatch):
     plan = mask(docs, "text", ["doc_id"], ["doc_id"], rules=load_rules()).masked._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "InMemoryTableScan" not in plan and "Join" not in plan
     assert "EqualTo(lang,en)" in plan and "source" not in plan.split("ReadSchema:")[1]
+
+
+def test_few_matches_are_taken_without_a_fold(spark):
+    """Texts with any number of matches give the same spans as ``re``; exclusions split a value once."""
+    from cloakline.operators import spans as ops
+
+    rx = rule("d", "D{n}", r"[0-9]+")
+    texts = [" é".join(str(10 ** (i % 5) + i) for i in range(n)) + "z" * (n % 3) for n in range(12)] + ["", None, "x\ue0001y22"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, _text string")
+    got = {r.id: [(x.s, x.e, x.v) for x in r.c] for r in df.where("_text IS NOT NULL").select("id", ops.regex_candidates(F.col("_text"), rx, 0).alias("c")).collect()}
+    assert got == {i: [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9]+", t)] for i, t in enumerate(texts) if t is not None}
+    named = rule("n", "N{n}", r"[A-Z][a-z]+ [A-Z][a-z]+", min_word_length=2, exclusions=["May"])
+    plan = str(ops.passes_exclusions(F.col("v"), named))
+    assert plan.count("split(") == 1
