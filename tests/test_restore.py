@@ -1,6 +1,7 @@
 """Restore at size: one long text, every way of finding entries, any template."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -135,3 +136,41 @@ def test_filter_never_drops_a_word():
             text = "".join(rnd.choice("abc漢😀") for _ in range(40))
             found = set(f.tokens(text))
             assert {(s, w) for w in words for s in range(40) if text.startswith(w, s)} <= found
+
+
+@pytest.mark.parametrize("mode", ["sequential", "single_pass"])
+def test_own_lists_few_and_many(spark, mode):
+    """Every scope a unit: few entries stay in the JVM, many go to Python, same result;
+    no entry, null text, null original, prefixes of one another."""
+    rng = random.Random(3)
+    texts, entries = {}, {}
+    for i in range(60):
+        n = 200 if i == 7 else rng.randrange(0, 9)
+        entries[i] = [(p, rng.choice([None, "", "a1", "x12", "no 7"])) for p in sorted({rng.choice(["a", "x"]) + str(rng.randrange(1500)) for _ in range(n)})]
+        texts[i] = None if i == 3 else "".join(rng.choice("ax0123456789 ") for _ in range(rng.randrange(0, 200)))
+    units = spark.createDataFrame(list(texts.items()), "id int, text string")
+
+    def expected(some):
+        found = sorted({re.sub("[0-9]", "0", p) for i in some for p, _ in entries[i]}, key=lambda p: (-len(p), p))
+        rx = re.compile("|".join(re.sub("0+", lambda z: f"[0-9]{{{len(z[0])}}}", s) for s in found))
+        out = {}
+        for i in some:
+            t, known = texts[i], dict(entries[i])
+            if t is not None and mode == "sequential":
+                for p in sorted(known, key=lambda p: (-len(p), p)):
+                    t = t.replace(p, known[p] or "")
+            elif t is not None:
+                def at(m):
+                    p = next((m[0][:n] for n in range(len(m[0]), 0, -1) if m[0][:n] in known), "")
+                    return (known[p] or "") + m[0][len(p):] if p else m[0]
+                t = rx.sub(at, t)
+            out[i] = t
+        return out
+
+    for some in (list(texts), [i for i in texts if i != 7]):
+        rows = [(i, p, o, k) for i in some for k, (p, o) in enumerate(entries[i])]
+        mapping = spark.createDataFrame(rows, "id int, pseudonym string, original string, `order` int")
+        back = restore(units.where(F.col("id").isin(some)), "text", ["id"], mapping, ["id"], mode=mode)
+        assert dict(back.collect()) == expected(some)
+        python = "ArrowEvalPython" in back._jdf.queryExecution().toString()
+        assert python == (7 in some)
