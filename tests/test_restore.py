@@ -1,7 +1,10 @@
 """Restore at size: one long text, every way of finding entries, any template."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -174,3 +177,13 @@ def test_own_lists_few_and_many(spark, mode):
         assert dict(back.collect()) == expected(some)
         python = "ArrowEvalPython" in back._jdf.queryExecution().toString()
         assert python == (7 in some)
+
+
+def test_finder_reaches_workers_by_value(spark):
+    """Workers need no copy of this package: what is broadcast is bytes, with the classes in them."""
+    get = ops.shipped(rewriting.Shapes(["a0"]))
+    data = next(c.cell_contents for c in get.__closure__ if hasattr(c.cell_contents, "value")).value
+    code = f"import pickle; print(pickle.loads({data!r}).tokens('xa7'))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.strip() == "[(1, 'a7')]", out.stderr
+    assert get().tokens("xa7") == [(1, "a7")]
