@@ -232,3 +232,9 @@ def test_few_matches_are_taken_without_a_fold(spark):
     named = rule("n", "N{n}", r"[A-Z][a-z]+ [A-Z][a-z]+", min_word_length=2, exclusions=["May"])
     plan = str(ops.passes_exclusions(F.col("v"), named))
     assert plan.count("split(") == 1
+
+
+def test_boundary_stands_ahead_of_look_aheads():
+    """The look-aheads of the username rule are not tried inside words."""
+    rule = next(r for r in load_rules() if r.name == "username")
+    assert rule.java.startswith("(?d)(?<![") and rule.java.index("(?<!") < rule.java.index("(?=")
