@@ -354,6 +354,7 @@ class _Emitter:
     def seq(self, seq: list[Node], top: bool) -> str:
         out = []
         lead = self._leading_boundary(seq) if top else None
+        first, fixed = self._late_body(seq) if top and lead is None else (-1, -1)
         for idx, node in enumerate(seq):
             if lead is not None and idx == lead[0]:
                 continue  # the leading \b, re-emitted after the first atom
@@ -362,16 +363,47 @@ class _Emitter:
                 # per position instead of a look-behind at every position
                 atom = self.node(node, seq, idx, top)
                 w = self.W
+                quant = self._quant(seq, idx)
                 if lead[2]:
-                    out.append(f"{atom}(?<![{w}]{atom})" + _less_one(atom, node.quant))
+                    out.append(f"{atom}(?<![{w}]{atom})" + _less_one(atom, quant))
                 else:  # class mixing word and other characters: split it
                     body = atom[1:-1]
                     aw, an = f"[{body}&&[{w}]]", f"[{body}&&[^{w}]]"
-                    out.append(f"(?:{aw}(?<![{w}]{aw})|{an}(?<=[{w}]{an}))" + _less_one(atom, node.quant))
+                    members = _ascii_members(node.text) or set()
+                    words = {c for c in members if _is_word_char(c)}
+                    # the look-behinds see the same character again: ASCII ones are spelled out, no intersection
+                    w2, n2 = (_spelled(words), _spelled(members - words)) if words and words < members else (aw, an)
+                    out.append(f"(?:{aw}(?<![{w}]{w2})|{n2}(?<=[{w}]{n2}))" + _less_one(atom, quant))
                 continue
-            out.append(self.node(node, seq, idx, top) + node.quant)
+            if idx == first:
+                # look-aheads scan the whole word: what is cheap to refuse goes first
+                out.append("(?=" + "".join(self.node(n, seq, i, top) + n.quant for i, n in enumerate(seq) if i >= fixed) + ")")
+            out.append(self.node(node, seq, idx, top) + self._quant(seq, idx))
         return "".join(out)
 
+    def _quant(self, seq: list[Node], idx: int) -> str:
+        """A greedy class in front of a character that it does not hold never gives a
+        character back with success, so it need not try to (``[a-z]*+@``)."""
+        node, after = seq[idx], seq[idx + 1] if idx + 1 < len(seq) else None
+        if node.kind != "cls" or not node.quant or node.quant[-1] in "?+" and node.quant != "+" or after is None or after.kind != "lit" or after.qmin < 1:
+            return node.quant
+        members, ch = _ascii_members(node.text), after.prefix
+        if after.text not in (ch, "\\" + ch) or members is None or ch in members or not ch.isascii() or ch.isalpha():  # letters: other cases may match
+            return node.quant
+        return node.quant + "+"
+
+    def _late_body(self, seq: list[Node]) -> tuple[int, int]:
+        """Places of the first look-ahead behind a leading boundary and of the body of
+        fixed length behind the look-aheads; -1 for other sequences."""
+        i = next((i for i, n in enumerate(seq) if not (n.kind == "anchor" and n.text.startswith("(?"))), len(seq))
+        if i >= len(seq) or seq[i].kind != "anchor" or seq[i].text != "\\b":
+            return -1, -1
+        j = i + 1
+        while j < len(seq) and seq[j].kind == "group" and seq[j].prefix.startswith(("(?=", "(?!")) and not seq[j].quant:
+            j += 1
+        fixed = [n.kind in ("lit", "esc", "cls") and re.fullmatch(r"(\{\d+\})?", n.quant) or n.kind == "anchor" and n.text == "\\b" for n in seq[j:]]
+        return (i + 1, j) if j > i + 1 and fixed and all(fixed) else (-1, -1)
+
     def _leading_boundary(self, seq: list[Node]):
         i = 0
         while i < len(seq) and seq[i].kind == "anchor" and seq[i].text.startswith("(?"):
@@ -416,6 +448,25 @@ class _Emitter:
         return self.both_sided(False)
 
 
+def _ascii_members(cls_text: str) -> set[str] | None:
+    """The characters of a plain class (ASCII characters, ranges, escaped punctuation); None for others."""
+    if not re.fullmatch(r"\[(?:[^\\\[\]^&~]|\\[^a-zA-Z0-9])+\]", cls_text) or not cls_text.isascii():
+        return None
+    rx = re.compile(cls_text)
+    return {c for c in map(chr, range(128)) if rx.fullmatch(c)}
+
+
+def _spelled(chars: set[str]) -> str:
+    """A class of these ASCII characters, as ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{a:02x}" if a == b else f"\\x{a:02x}-\\x{b:02x}" for a, b in ranges) + "]"
+
+
 def _less_one(atom: str, quant: str) -> str:
     """``atom`` repeated one time fewer than ``quant`` says (``quant`` min >= 1)."""
     if quant == "":

@@ -238,3 +238,22 @@ def test_boundary_stands_ahead_of_look_aheads():
     """The look-aheads of the username rule are not tried inside words."""
     rule = next(r for r in load_rules() if r.name == "username")
     assert rule.java.startswith("(?d)(?<![") and rule.java.index("(?<!") < rule.java.index("(?=")
+
+
+def test_scans_refuse_early(spark):
+    """A class in front of a character that it does not hold keeps what it took; a body of
+    fixed length is tried ahead of the look-aheads.  The matches are those of Python."""
+    java = {r.name: r.java for r in load_rules()}
+    assert "[a-zA-Z0-9._%+\\-]*+@" in java["email"]
+    assert java["username"].index("[a-zA-Z0-9]{8}") < java["username"].index("(?=[a-zA-Z0-9]*")
+    for kept in (r"[a-z]+k", r"[a-z@]+@", r"[a-z]*@?b", r"[a-z]+\x40", r"[\w]+@", r"[a-z]+?@", r"\b(?=a(b)?)[a-c]{2}\1x", r"\b(?=\d)[\da-z]+"):
+        assert "+@" not in to_java(kept).pattern.replace("]+@", "") and to_java(kept).pattern.count("{2}") <= 1
+    patterns = [r"\b[a-z.]+@[a-z]+-b", r"x[a-c]{2,3}-[a-b]*\.", r"\b(?=[a-z]*\d)(?!ab)[a-z0-9]{3}\b", r"\b(?=[a-c0-9]*[a-c])[a-c0-9]{2}x\b"]
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abcx1.@- é٣_") for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    texts += ["a.b@c-b", "xabc-ab.", "a1b 1aa ab1 1ab", "é1ab a1x 1cx_ a1x", ".a@a-b", "b1x-b1x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", *[F.regexp_extract_all("t", F.lit(to_java(p).pattern), F.lit(0)).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    for i, p in enumerate(patterns):
+        want = {t: [m.group() for m in re.finditer(p, t)] for t in texts}
+        assert any(want.values()) and all(r[f"p{i}"] == want[r.t] for r in found)
