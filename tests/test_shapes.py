@@ -9,7 +9,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from cloakline.operators.names import component_words
+from cloakline.operators.names import component_words, sheet_units
 from cloakline.plans.jobs import mask, mask_table, restore, restore_text_files
 from cloakline.rules import load_rules, rule
 from cloakline.sources.mapping_io import MASKED_FIELD, MASKED_STEM, mapping_documents, mask_paths, read_mapping, restore_paths
@@ -408,3 +408,15 @@ def test_tag_entities(spark):
     assert tag_entities(df.where("id = 6"), make, ["id"], "text").count() == 0
     with pytest.raises(ValueError):
         tag_entities(df.withColumnRenamed("id", "s"), make, ["s"], "text")
+
+
+def test_sheet_rows_are_dealt_before_they_become_units(spark, tmp_path):
+    """One small file must not make the span stage of a sheet one task a branch."""
+    rows = [(i, f"Ann{'abcdefghij'[i % 10]}", f"Ox{'abcdefghij'[i // 10 % 10]}") for i in range(100)]
+    spark.createDataFrame(rows, "row long, `First Name` string, `Last Name` string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    units = sheet_units(spark.read.parquet(str(tmp_path / "t")), "row")
+    cores = spark.sparkContext.defaultParallelism
+    placed = units.where("_unit.hdr = 1").groupBy(F.spark_partition_id().alias("p"), "_cell").agg(F.count("*").alias("n")).collect()
+    for cell, n in ((True, 200), (False, 200)):
+        mine = [r["n"] for r in placed if r["_cell"] == cell]
+        assert sum(mine) == n and len(mine) > cores // 2 and max(mine) <= n // 2
