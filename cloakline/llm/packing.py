@@ -40,22 +40,20 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         end = np.uint32(end_id).tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.groups(texts):
-                out: list[list] = [[], [], [], [], []]
-                for doc, data in zip(ids[a:b], enc.encode([t or "" for t in texts[a:b]])):
-                    data += end
-                    n = len(data) // 4
-                    at, piece = 0, 0
-                    while at < n:
-                        take = (n - 1) % size + 1 if piece == 0 else size
-                        for col, v in zip(out, (doc, piece, at, take, data[4 * at:4 * (at + take)])):
-                            col.append(v)
-                        at, piece = at + take, piece + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["doc_id", "piece", "start", "length", "ids"])
+        for keys, texts in tokens.groups(batches):
+            out: list[list] = [[], [], [], [], []]
+            for doc, data in zip(keys.to_pylist(), enc.encode(texts)):
+                data += end
+                n = len(data) // 4
+                at, piece = 0, 0
+                while at < n:
+                    take = (n - 1) % size + 1 if piece == 0 else size
+                    for col, v in zip(out, (doc, piece, at, take, data[4 * at:4 * (at + take)])):
+                        col.append(v)
+                    at, piece = at + take, piece + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, PIECES)

@@ -45,12 +45,11 @@ def encoded(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, id_c
         enc = tokens.encoder(file)
         width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.uint32(end_id).tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.groups(texts):
-                data = [np.frombuffer(x + end, dtype="<u4").astype(f"<u{width}").tobytes() for x in enc.encode([t or "" for t in texts[a:b]])]
-                widths = pa.array(np.full(b - a, width, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), widths, pa.array(data, pa.binary())], names=["doc_id", "width", "data"])
+        for keys, texts in tokens.groups(batches):
+            ids, at = enc.encode_array(texts, end)
+            data = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
+            widths = pa.array(np.full(len(keys), width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([keys, widths, data], names=["doc_id", "width", "data"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, width int, data binary")
@@ -60,6 +59,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one file, in order, with their ids as lists."""
     from pyspark import TaskContext
 
+    tokens.forget()  # all is encoded: the memory is for the lists
     part, first = TaskContext.get().partitionId(), 0
     for batch in batches:
         if not batch.num_rows:

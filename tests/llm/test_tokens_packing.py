@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 from corpus_fixtures import SF001, edge, none  # noqa: F401
@@ -77,6 +78,53 @@ def test_joined_words_fall_back_for_other_vocabularies(plain, monkeypatch):
         assert enc.encode(texts) == [plain(t).tobytes() for t in texts]
 
 
+def test_cuts_at_line_feeds_and_signs_give_the_ids_of_the_whole(plain, monkeypatch):
+    """Signs, digits, line feeds and rare white space next to letters of one, two and three bytes, kept parts and given up ones."""
+    rnd = random.Random(11)
+    chars = " \n\r\t\x1c\u0085\u00a0\u2003\u3000\u2014\u201c\u3001\u1681\u00bf\u00aa\u00d7\u00f7,.'!1$[sStlreZ\u00e9\u00ff\u0100\u0120\u010a\u6f22\u0301\U0001f600"
+    for keep in (1_000_000, 200):
+        monkeypatch.setattr(tokens, "CACHE_ENTRIES", keep)
+        enc = tokens.Encoder(tokens.default_path())
+        for _ in range(4):
+            texts = ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
+            assert enc.encode(texts) == [plain(t).tobytes() for t in texts]
+    monkeypatch.setattr(tokens, "_plain_byte_level", lambda tok: False)  # files of another kind: cut before blanks alone
+    assert tokens.Encoder(tokens.default_path()).encode(texts) == [plain(t).tobytes() for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_sign_follows(plain):
+    words = ["".join(chr(97 + (7 * i + i // 26 * j) % 26) for j in range(9)) + "\u00e9"[:i % 2] for i in range(300)]
+    texts = [" ".join(["x", *[w + after + "x" for w in words]]) for after in (" ", ", ", ". ", "! ", "###\n", ".\n", "123 ", "\n")]
+    enc = tokens.Encoder(tokens.default_path())
+
+    class Counted:
+        chars = 0
+
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, parts, **options):
+            Counted.chars += sum(map(len, parts))
+            return self.tok.encode_batch_fast(parts, **options)
+
+    enc.tok, enc.spelled = Counted(enc.tok), Counted(enc.spelled)
+    assert enc.encode(texts) == [plain(t).tobytes() for t in texts]
+    assert Counted.chars < 1.5 * len(texts[0])
+
+
+def test_groups_join_small_batches_and_split_large_ones():
+    texts = ["ab", None, "c" * 30, "", "\u00e9" * 3, "d", None]
+    for rows in (1, 2, 7):
+        batches = pa.table({"id": range(7), "text": pa.array(texts)}).to_batches(rows)
+        got = list(tokens.groups(iter([*batches, batches[0].slice(0, 0)]), 8))
+        assert [k.to_pylist() for k, _ in got] == [[0, 1, 2], [3, 4, 5, 6]]
+        assert [t for _, ts in got for t in ts.to_pylist()] == texts
+    enc = tokens.Encoder(tokens.default_path())
+    ids, at = enc.encode_array(pa.array(texts).slice(1, 5), b"\7\0\0\0")
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [x + b"\7\0\0\0" for x in enc.encode([t or "" for t in texts[1:6]])]
+    assert list(tokens.groups(iter([]))) == [] and enc.encode([]) == []
+
+
 def check_pack(rows, texts, plain, size=1024):
     by_seq, by_doc = {}, {}
     for r in rows:
