@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import python_ready
-from cloakline.llm.tokens import groups
+from cloakline.llm.tokens import ranges
 
 ORDER = 4
 TRAIN_DOCS = 1000
@@ -237,7 +237,7 @@ def _scored(rows: DataFrame, model: Model, id_type: str) -> DataFrame:
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in groups(texts, _GROUP_CHARS):
+            for x, y in ranges(texts, _GROUP_CHARS):
                 entropy, chars = m.entropies(texts[x:y])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(x, y - x), pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(chars, pa.int64())],
@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in groups(texts, _GROUP_CHARS):
+            for x, y in ranges(texts, _GROUP_CHARS):
                 entropy, chars = m.entropies(texts[x:y])
                 best = entropy.argmin(axis=1)
                 own = entropy[np.arange(len(best)), best]

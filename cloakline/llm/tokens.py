@@ -231,5 +231,17 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int = GROUP_BYTES) -> Itera
         yield _columns(held)
 
 
+def ranges(texts: list[str | None], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive texts with about ``limit`` characters."""
+    start = chars = 0
+    for i, t in enumerate(texts, 1):
+        chars += len(t or "")
+        if chars >= limit:
+            yield start, i
+            start, chars = i, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _columns(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))

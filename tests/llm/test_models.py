@@ -158,3 +158,13 @@ def test_language_of_long_texts_or_one_text_is_learned(spark):
     model = langid.learn(df)
     found = {r.id: r.lang_pred for r in langid.identify(df.select("doc_id", "text"), model, reject=False).collect()}
     assert found == {r[0]: r[2] for r in rows}
+
+
+def test_language_of_texts_in_several_groups(spark):
+    en, de = "the garden and the house are near the river ", "der Garten und das Haus sind nahe am Fluss "
+    model = langid.learn(spark.createDataFrame([(i, (de if i % 2 else en) * 40, "de" if i % 2 else "en") for i in range(40)],
+                                               "doc_id long, text string, lang string"))
+    rows = [(1, en * 15_000), (2, de * 15_000), (3, None), (4, de), (5, en * 30_000), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.id: r.lang_pred for r in langid.identify(df, model, reject=False).collect()}
+    assert found == {1: "en", 2: "de", 3: "und", 4: "de", 5: "en", 6: "und"}

@@ -125,6 +125,13 @@ def test_groups_join_small_batches_and_split_large_ones():
     assert list(tokens.groups(iter([]))) == [] and enc.encode([]) == []
 
 
+def test_ranges_hold_every_text_once():
+    texts = ["ab", None, "c" * 30, "", "\u00e9" * 3, "d", None]
+    assert list(tokens.ranges(texts, 8)) == [(0, 3), (3, 7)]
+    assert list(tokens.ranges(texts, 1)) == [(0, 1), (1, 3), (3, 5), (5, 6), (6, 7)]
+    assert list(tokens.ranges([])) == [] and list(tokens.ranges([None])) == [(0, 1)]
+
+
 def check_pack(rows, texts, plain, size=1024):
     by_seq, by_doc = {}, {}
     for r in rows:
