@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import python_ready
-from cloakline.llm.tokens import groups
+from cloakline.llm.tokens import ranges
 
 MAX_LABELLED = 3000
 LATENT = 64
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            for a, c in groups(texts, 500_000):
+            for a, c in ranges(texts, 500_000):
                 x = term_counts(texts[a:c])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(a, c - a), b.column(2).slice(a, c - a)],
                                                  names=["x", "y", "h"])
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for a, c in groups(texts, 500_000):
+            for a, c in ranges(texts, 500_000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, c - a), pa.array(m.scores(texts[a:c]))], names=["id", "score"])
 
     return rows.mapInArrow(vote, f"id {dict(rows.dtypes)['id']}, score double")

@@ -168,3 +168,14 @@ def test_language_of_texts_in_several_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = {r.id: r.lang_pred for r in langid.identify(df, model, reject=False).collect()}
     assert found == {1: "en", 2: "de", 3: "und", 4: "de", 5: "en", 6: "und"}
+
+
+def test_quality_of_texts_in_several_groups(spark):
+    good, bad = "alpha beta gamma delta words that read well ", "### x|y 000 ### "
+    rows = [(i, (bad if i % 2 else good) * (20_000 if i < 4 else 30)) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_knn.learn(df, labels)
+    assert len(model.labels) == 40
+    found = {r.id: r.score for r in quality_knn.score(df, model).collect()}
+    assert found.keys() == {r[0] for r in rows} and all((found[i] > 0.5) == (i % 2 == 1) for i in range(40))
