@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import python_ready
-from cloakline.llm.tokens import groups
+from cloakline.llm.tokens import ranges
 
 CACHE_PARTS = 1_000_000
 CACHE_CHARS = 48
@@ -223,7 +223,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, end_id: int = 2, id
         c = codec(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in groups(texts):
+            for a, b in ranges(texts):
                 ids = [[*c.encode(t or ""), end_id] for t in texts[a:b]]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1])))

@@ -181,6 +181,16 @@ def test_codec_query(spark, library, edge, none):  # noqa: F811
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_codec_of_texts_in_several_groups(spark, library):  # noqa: F811
+    rows = [(1, "a large text, in words. " * 90_000), (2, None), (3, "b\u00e9\n" * 700_000), (4, ""), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.ids, r.decoded) for r in piece_codec.encode_decode(df).collect()}
+    for i, t in rows:
+        ids = [*library.encode(t or ""), 2]
+        assert got.pop(i) == (ids, library.decode(ids))
+    assert not got
+
+
 # ---- op13 -----------------------------------------------------------------------------------------------------------
 
 def edits(word):
