@@ -18,9 +18,10 @@ MAX_DEPTH = 1024
 
 
 def container_paths(nodes: DataFrame, scope_cols: list[str], id_col: str, parent_col: str, step_cols: list[str],
-                    path_col: str = "path", max_depth: int = MAX_DEPTH) -> DataFrame:
+                    path_col: str = "path", max_depth: int = MAX_DEPTH, wanted: str | None = None) -> DataFrame:
     """``nodes`` with ``path_col``, an array of bigint that sorts in walk order;
-    use it as ``order_col`` of ``mask``.
+    use it as ``order_col`` of ``mask``.  ``wanted``: a condition on the nodes that
+    the result is to have; all of them are followed and checked.
 
     Only containers that hold something are followed.  Every round joins each open
     path with the path of the container that it starts at, so its length doubles: a
@@ -35,7 +36,7 @@ def container_paths(nodes: DataFrame, scope_cols: list[str], id_col: str, parent
         raise ValueError(f"columns {sorted(clash)} are taken")
     step = F.array(*[F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")) for c in step_cols])
     scope = F.struct(*[F.col(c) for c in scope_cols]) if scope_cols else F.struct(F.lit(0))
-    written = []
+    written: list[str] = []
 
     def kept(df: DataFrame) -> DataFrame:
         out, path = stored(df)
@@ -47,6 +48,7 @@ def container_paths(nodes: DataFrame, scope_cols: list[str], id_col: str, parent
         raise ValueError("node ids repeat within a document")
     holders = links.where("_up IS NOT NULL").select(F.col("_scope").alias("_s"), F.col("_up").alias("_i")).distinct()
     inner = kept(links.join(holders, F.col("_scope").eqNullSafe(F.col("_s")) & (F.col("_id") == F.col("_i")), "left_semi"))
+    discard(spark, written.pop(0))  # the links: what is followed has been written
     done, still = inner.where("_up IS NULL"), inner.where("_up IS NOT NULL")
     while not still.isEmpty():
         if not still.where(F.size("_path") > (max_depth - 1) * len(step_cols)).isEmpty():  # each of them holds one more
@@ -58,7 +60,7 @@ def container_paths(nodes: DataFrame, scope_cols: list[str], id_col: str, parent
     if not done.where(F.size("_path") > (max_depth - 1) * len(step_cols)).isEmpty():
         raise ValueError(f"containers lie more than {max_depth} deep or in a cycle")
     above = done.select(F.col("_scope").alias("_s"), F.col("_id").alias("_i"), F.col("_path").alias("_before"))
-    out, _ = stored(nodes.join(above, scope.eqNullSafe(F.col("_s")) & (F.col(parent_col) == F.col("_i")), "left")
+    out, _ = stored((nodes.where(wanted) if wanted else nodes).join(above, scope.eqNullSafe(F.col("_s")) & (F.col(parent_col) == F.col("_i")), "left")
                     .select(*nodes.columns, F.concat(F.coalesce("_before", F.array().cast("array<bigint>")), step).alias(path_col)))
     for path in written:
         discard(spark, path)

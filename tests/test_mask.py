@@ -257,3 +257,26 @@ def test_scans_refuse_early(spark):
     for i, p in enumerate(patterns):
         want = {t: [m.group() for m in re.finditer(p, t)] for t in texts}
         assert any(want.values()) and all(r[f"p{i}"] == want[r.t] for r in found)
+
+
+def test_small_scopes_move_once_and_equal_the_way_of_large_ones(spark, monkeypatch):
+    """Nothing is cached or joined; keys and whole rows repeat, scopes, keys and texts are null."""
+    from cloakline.plans import jobs
+
+    text = "Alice Jones met Bob Smith, mail a@b.org or c@d.org; Alice Jones left with ab123456 and 12345678"
+    rows = [(i % 5 if i % 7 else None, i // 9 if i % 11 else None, None if i % 13 == 5 else "" if i % 13 == 6 else "nothing here" if i % 13 == 7
+             else text[: 20 + 3 * (i % 40)] + f" x{i % 4}@y.org", {"n": i}) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:40], "file long, seq long, text string, more map<string,long>").repartition(5)
+
+    def run():
+        r = jobs.mask(df, "text", ["seq"], ["file"], rules=load_rules())
+        out = sorted(map(repr, r.masked.collect())), sorted(map(repr, r.registry.collect())), sorted(map(repr, r.mapping.collect()))
+        return out, r.cached, (r.masked.dtypes, r.registry.dtypes), r.masked._jdf.queryExecution().optimizedPlan().toString()
+
+    got, cached, types, plan = run()
+    monkeypatch.setattr(jobs, "SCOPE_UNITS", 1)
+    want, held, were, _ = run()
+    assert got == want and types == were and held and not cached and "Join" not in plan and len(got[0]) == 340
+    monkeypatch.setattr(jobs, "SCOPE_UNITS", 1000)
+    monkeypatch.setattr(jobs, "SCOPE_CHARS", 1)
+    assert run()[1]

@@ -120,3 +120,14 @@ def test_container_paths_leave_only_the_result(spark, tmp_path, monkeypatch):
     assert got == {("f", "r"): [0], ("f", "a"): [0, 1], ("f", "b"): [0, 1, 2], ("f", "x"): [7], (None, "r"): [3], (None, "y"): [3, -1],
                    **{("f", f"t{i}"): [0, 1, 2, i] for i in range(50)}}
     assert dropped == [p for _, p in made[:-1]] and len(made) == 5  # links, containers, two rounds, result
+
+
+def test_container_paths_of_the_wanted_nodes(spark):
+    from cloakline.sources.containers import container_paths
+
+    rows = [("f", "a", None, 1, None), ("f", "b", "a", 2, "x"), ("f", "c", "a", 1, None), ("f", "d", "c", 4, "y"), ("g", "a", None, 7, "z")]
+    df = spark.createDataFrame(rows, "file string, id string, up string, row long, text string")
+    got = container_paths(df, ["file"], "id", "up", ["row"], wanted="text IS NOT NULL").collect()
+    assert {(r.file, r.id, tuple(r.path)) for r in got} == {("f", "b", (1, 2)), ("f", "d", (1, 1, 4)), ("g", "a", (7,))} and len(got) == 3
+    with pytest.raises(ValueError):  # what is not wanted is checked too
+        container_paths(df.union(df.where("id = 'c'")), ["file"], "id", "up", ["row"], wanted="text IS NOT NULL")
